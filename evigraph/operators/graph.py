@@ -144,19 +144,43 @@ def bridge_policy_matches(nodes: DataFrame, node_zones: DataFrame, policies: Dat
     return marked.groupBy("id", "policy").agg((F.max("anchor") == 1).alias("anchor"))
 
 
+def node_links(ends: DataFrame) -> DataFrame:
+    """Relations of each node by the zone of the other end and, for non-genres, the genre reached.
+
+    One pass over the relations with partial sums; a hub shrinks to its distinct (zone, genre) pairs. Input is
+    `end_kinds` of map connections.
+    """
+    def end(near: str, far: str) -> Column:
+        genre = F.when((F.col(f"{far}_type") == "genre") & (F.col(f"{near}_type") != "genre"), F.col(far))
+        return F.struct(
+            F.col(near).alias("id"), F.col(f"{near}_zone").alias("zone"), F.col(f"{far}_zone").alias("other_zone"),
+            genre.alias("genre_id"),
+        )
+
+    both = ends.select(
+        F.explode(F.array(end("source", "target"), end("target", "source"))).alias("_end"),
+        F.coalesce("strength", F.lit(0.5)).alias("strength"),
+    )
+    return both.groupBy("_end.id", "_end.zone", "_end.other_zone", "_end.genre_id").agg(
+        F.count(F.lit(1)).alias("links"), F.sum("strength").alias("strength")
+    )
+
+
 def node_profiles(
-    nodes: DataFrame, edges: DataFrame, overlap_counts: DataFrame, policy_matches: DataFrame | None = None,
+    nodes: DataFrame, links: DataFrame, overlap_counts: DataFrame, policy_matches: DataFrame | None = None,
     learned: DataFrame | None = None,
 ) -> DataFrame:
     """Bridge and hub scores, importance and recommended actions of every node.
 
-    `overlap_counts` has id, overlap_count; `learned` may add bridge_score, hub_score and fact_count per id.
-    Nodes need an `overflow` column.
+    `links` comes from `node_links`; `overlap_counts` has id, overlap_count; `learned` may add bridge_score,
+    hub_score and fact_count per id. Nodes need an `overflow` column.
     """
-    ends = end_kinds(map_connections(edges).select("source", "target", "strength"), nodes)
-    zones = connected_zones(ends).groupBy("id").agg(F.count(F.lit(1)).alias("zone_links"))
-    genres = linked_genres(ends).groupBy("id").agg(F.count(F.lit(1)).alias("genre_links"))
-    profile = degrees(edges, nodes).join(zones, "id", "left").join(genres, "id", "left")
+    crossing = F.when((F.col("other_zone") != "") & (F.col("other_zone") != F.col("zone")), F.col("other_zone"))
+    sums = links.groupBy("id").agg(
+        F.sum("links").alias("degree"), F.sum("strength").alias("weighted_degree"),
+        F.count_distinct(crossing).alias("zone_links"), F.count_distinct("genre_id").alias("genre_links"),
+    )
+    profile = nodes.join(sums, "id", "left").fillna({"degree": 0, "weighted_degree": 0.0})
     profile = profile.join(overlap_counts, "id", "left")
     if policy_matches is not None:
         matched = policy_matches.groupBy("id").agg(

@@ -9,6 +9,7 @@ from evigraph.operators import evidence, graph, spatial
 from evigraph.operators.prefix import floor_quantile
 from evigraph.plans import views
 from evigraph.plans.registry import query
+from evigraph.session import cut_lineage
 
 PROFILE_SQL = """
 , zc AS (SELECT id, count(*) AS zone_links, sum(strength) AS total FROM (
@@ -51,15 +52,19 @@ PROFILE_VIEWS = ("entities", "relations", "tiered", "ends", "degree", "zone_boxe
 
 def profiles(spark, sf_dir):
     """Node profiles over the whole views, shared by the zone and ranking queries."""
-    nodes = graph.overflow_distance(views.entities(spark, sf_dir), views.zone_boxes(spark, sf_dir))
-    edges = views.relations(spark, sf_dir)
-    overlaps = spatial.overlap_counts(spatial.proximity_pairs(nodes))
-    ends = graph.end_kinds(evidence.map_connections(edges), nodes)
-    zones = nodes.select("id", "zone").unionByName(
-        graph.connected_zones(ends).select("id", F.col("other_zone").alias("zone"))
-    )
+    nodes = views.entities(spark, sf_dir)
+    ends = graph.end_kinds(evidence.map_connections(views.relations(spark, sf_dir)), nodes)
+    links = graph.node_links(ends)
+    zones = nodes.select("id", "zone").unionByName(links.select("id", F.col("other_zone").alias("zone")))
     matches = graph.bridge_policy_matches(nodes, zones, views.bridge_policies(spark, sf_dir))
-    return graph.node_profiles(nodes, edges, overlaps, matches)
+    overlaps = spatial.overlap_counts(spatial.proximity_pairs(nodes))
+    placed = graph.overflow_distance(nodes, views.zone_boxes(spark, sf_dir))
+    return graph.node_profiles(placed, links, overlaps, matches)
+
+
+def stored_profiles(spark, sf_dir):
+    """The same as a written table, for queries that read the profiles several times."""
+    return cut_lineage(profiles(spark, sf_dir))
 
 
 @query("flt05_evidence_tier", "SELECT id, tier FROM tiered", ("relations", "tiered"))
@@ -363,9 +368,8 @@ def zone_crossings(spark, sf_dir):
 def bridge_policies(spark, sf_dir):
     nodes = views.entities(spark, sf_dir)
     ends = graph.end_kinds(evidence.map_connections(views.relations(spark, sf_dir)), nodes)
-    zones = nodes.select("id", "zone").unionByName(
-        graph.connected_zones(ends).select("id", F.col("other_zone").alias("zone"))
-    )
+    links = graph.node_links(ends)
+    zones = nodes.select("id", "zone").unionByName(links.select("id", F.col("other_zone").alias("zone")))
     return graph.bridge_policy_matches(nodes, zones, views.bridge_policies(spark, sf_dir))
 
 
@@ -403,7 +407,7 @@ ZONE_SQL = PROFILE_SQL + """
     PROFILE_VIEWS,
 )
 def zone_profiles(spark, sf_dir):
-    return graph.zone_profiles(profiles(spark, sf_dir)).drop("needs", "fact_coverage")
+    return graph.zone_profiles(stored_profiles(spark, sf_dir)).drop("needs", "fact_coverage")
 
 
 @query(
@@ -433,7 +437,7 @@ def floor_quantiles(spark, sf_dir):
     PROFILE_VIEWS,
 )
 def layout_pressure(spark, sf_dir):
-    zones = graph.zone_profiles(profiles(spark, sf_dir))
+    zones = graph.zone_profiles(stored_profiles(spark, sf_dir))
     return graph.layout_pressure(zones, views.zone_boxes(spark, sf_dir), readability_rule=True)
 
 
@@ -453,7 +457,7 @@ LISTS_SQL = """, entries AS (
     PROFILE_VIEWS,
 )
 def zone_top_lists(spark, sf_dir):
-    lists = graph.zone_top_lists(profiles(spark, sf_dir))
+    lists = graph.zone_top_lists(stored_profiles(spark, sf_dir))
     return lists.select(
         "zone", "list", F.col("rank").cast("bigint").alias("rank"), "id", numeric.half_up(F.col("score"), 3).alias("score")
     )
@@ -471,7 +475,7 @@ def zone_top_lists(spark, sf_dir):
     PROFILE_VIEWS,
 )
 def recommended_requests(spark, sf_dir):
-    rows = profiles(spark, sf_dir)
+    rows = stored_profiles(spark, sf_dir)
     return graph.recommended_requests(rows, graph.zone_profiles(rows))
 
 

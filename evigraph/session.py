@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
+SALTS = 8
 
 
 def build_session(app_name: str = "evigraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +22,7 @@ def build_session(app_name: str = "evigraph", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
@@ -56,29 +57,20 @@ def fits_broadcast(df: DataFrame) -> bool:
 def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner") -> DataFrame:
     """Join many rows to a table that is unique in `dim_key`, safe when a few keys hold most rows.
 
-    A dimension below the broadcast threshold is left to Catalyst. Above it, the HOT_KEYS most frequent keys
-    (counted with map-side combine) meet at most HOT_KEYS dimension rows through a broadcast, and only the
-    remaining, evenly spread keys are shuffled. The dimension columns must not clash with the fact columns.
+    A dimension below the broadcast threshold is left to Catalyst, which broadcasts it. A larger one is copied to
+    SALTS salt values and each fact row picks one by its own hash, so the rows of a hot key meet their dimension row
+    in SALTS tasks instead of one; AQE may split those further. The columns of both sides must not clash.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup supports inner and left, not {how}")
     condition = F.col(fact_key) == F.col(dim_key)
     if fits_broadcast(dim):
         return facts.join(dim, condition, how)
-    hot = (
-        facts.where(F.col(fact_key).isNotNull())
-        .groupBy(F.col(fact_key).alias("_hot_key"))
-        .count()
-        .orderBy(F.desc("count"), "_hot_key")
-        .limit(HOT_KEYS)
-        .select("_hot_key")
-    )
-    flagged = facts.join(F.broadcast(hot), F.col(fact_key) == F.col("_hot_key"), "left")
-    hot_dim = dim.join(F.broadcast(hot), F.col(dim_key) == F.col("_hot_key"), "left_semi")
-    columns = facts.columns + dim.columns
-    hot_rows = flagged.where(F.col("_hot_key").isNotNull()).join(F.broadcast(hot_dim), condition, how)
-    cold_rows = flagged.where(F.col("_hot_key").isNull()).join(dim, condition, how)
-    return hot_rows.select(*columns).unionByName(cold_rows.select(*columns))
+    atomic = [name for name, kind in facts.dtypes if "<" not in kind]
+    salted = facts.withColumn("_fact_salt", F.pmod(F.xxhash64(*atomic), F.lit(SALTS)).cast("int"))
+    copies = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(copies, condition & (F.col("_fact_salt") == F.col("_dim_salt")), how)
+    return joined.drop("_fact_salt", "_dim_salt")
 
 
 def equal_on(left: str, right: str, keys: list[str]) -> Column:
