@@ -13,7 +13,7 @@ from evigraph.functions import numeric
 from evigraph.functions.hashing import pair_key
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.prefix import positions as row_positions
-from evigraph.session import lookup
+from evigraph.session import attach_row, lookup
 
 SALTS = 4
 
@@ -128,8 +128,7 @@ def layout_metrics(nodes: DataFrame, edges: DataFrame, baseline: DataFrame, scop
         F.count(F.lit(1)).alias("nodes"),
         F.avg(numeric.distance(F.col("x"), F.col("y"), F.col("_old_x"), F.col("_old_y"))).alias("_mean_drift"),
     )
-    # Each side is a single aggregate row.
-    row = labels.crossJoin(lengths).crossJoin(drift).fillna({"_mean_edge": 0.0, "_mean_drift": 0.0})
+    row = attach_row(attach_row(labels, lengths), drift).fillna({"_mean_edge": 0.0, "_mean_drift": 0.0})
     density = F.greatest(F.lit(1.0), F.col("edges") / F.greatest(F.lit(1), F.col("nodes")))
     score = (
         F.col("overlaps") * 8 + F.col("severe") * 14 + F.col("_mean_edge") * density * 0.025

@@ -73,6 +73,11 @@ def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: s
     return joined.drop("_fact_salt", "_dim_salt")
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a frame that is one row by construction (a global aggregate); no row removes all rows."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def equal_on(left: str, right: str, keys: list[str]) -> Column:
     """Conjunction of equalities between two aliased frames."""
     condition = F.lit(True)
