@@ -31,8 +31,10 @@ def neighborhood(edges: DataFrame, center: str, limit: int = 80, keep_center: bo
     ids = near.where(F.col("id") == center).select(F.col("other").alias("id"))
     own = edges.sparkSession.range(1).select(F.lit(center).alias("id"))
     union = ids.union(own).distinct()
-    first = F.asc(F.when(F.col("id") == center, 0).otherwise(1)) if keep_center else F.asc(F.lit(0))
-    return union.orderBy(first, "id").limit(max(1, min(limit, 200)))
+    order = [F.asc("id")]
+    if keep_center:
+        order.insert(0, F.asc(F.when(F.col("id") == center, 0).otherwise(1)))
+    return union.orderBy(*order).limit(max(1, min(limit, 200)))
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

@@ -225,7 +225,7 @@ def audit_nodes(spark, d):
     "val02_audit_edges",
     """, k AS (SELECT id FROM entities WHERE NOT starter)
     SELECT 'missing_source' AS rule, id AS key FROM relations WHERE source NOT IN (SELECT id FROM k) UNION ALL SELECT 'missing_target', id FROM relations WHERE target NOT IN (SELECT id FROM k)
-    UNION ALL SELECT 'unsupported_type', id FROM relations WHERE type = 'plays' UNION ALL SELECT 'blocked_edge', id FROM relations WHERE target = 'band-5'
+    UNION ALL SELECT 'unsupported_type', id FROM relations WHERE type = 'plays' UNION ALL SELECT 'blocked_edge', id FROM relations WHERE target = 'band-5' OR source = 'band-5'
     UNION ALL SELECT 'blocked_context', id FROM relations WHERE list_contains(context, 'Order 77')""",
     ("entities", "relations"),
 )

@@ -171,3 +171,29 @@ FROM (SELECT id, node_type, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) A
              CAST(regexp_extract(zone, '([0-9]+)$', 1) AS BIGINT) AS n FROM entities WHERE node_type IN ('artist', 'band'))
 """,
 }
+
+
+def _pick(words, key: str) -> str:
+    listed = ", ".join(f"'{word}'" for word in words)
+    return f"([{listed}])[{key} % {len(words)} + 1]"
+
+
+_PREFIXES = (
+    "", "List of ", "Category:", "History of ", "1999 ", "The ", "Deep ", "Billboard ", "Rolling ", "Music of ", "rock ",
+    "electric ",
+)
+_SUFFIXES = (
+    "", " (band)", " album", " genres", " musicians", " by era", " media", " pages", " guitarist", " rock music", " singer",
+    " guitar",
+)
+SQL_VIEWS["titles"] = f"""
+SELECT 't-' || p_partkey AS id, {_pick(_PREFIXES, 'p_partkey')} || p_name || {_pick(_SUFFIXES, '(p_partkey // 12)')} AS title,
+       {_pick(('genre', 'band', 'artist', 'guitarist', 'guitar', 'guitar_brand'), '(p_partkey // 5)')} AS kind,
+       {_pick(('link', 'category', 'template', ''), '(p_partkey // 7)')} AS source, p_partkey AS key FROM part
+"""
+SQL_VIEWS["attempts"] = """
+SELECT 'artist-' || user_id AS entity_id, ts AS attempted_at, CASE WHEN event_type = 'error' THEN 'source_error' ELSE 'no_match' END AS outcome FROM events
+"""
+SQL_VIEWS["lines6"] = """
+SELECT l.*, o_custkey, l_linenumber % 6 AS turn FROM lineitem l JOIN orders ON o_orderkey = l_orderkey
+"""

@@ -276,3 +276,73 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('Country ', n % 5) as country", "(n * 7) % 120 - 60 + (k % 4) * 0.1D as lat",
         "(n * 13) % 340 - 170 + (k % 4) * 0.1D as lon",
     )
+
+
+PREFIXES = (
+    "", "List of ", "Category:", "History of ", "1999 ", "The ", "Deep ", "Billboard ", "Rolling ", "Music of ", "rock ",
+    "electric ",
+)
+SUFFIXES = (
+    "", " (band)", " album", " genres", " musicians", " by era", " media", " pages", " guitarist", " rock music", " singer",
+    " guitar",
+)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made title per part with a kind and a source, covering the scope rules."""
+    def pick(words: tuple[str, ...], key: str) -> str:
+        listed = ", ".join(f"'{word}'" for word in words)
+        return f"element_at(array({listed}), cast({key} % {len(words)} as int) + 1)"
+
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('t-', p_partkey) as id", f"concat({pick(PREFIXES, 'p_partkey')}, p_name, {pick(SUFFIXES, 'p_partkey div 12')}) as title",
+        f"{pick(('genre', 'band', 'artist', 'guitarist', 'guitar', 'guitar_brand'), 'p_partkey div 5')} as kind",
+        f"{pick(('link', 'category', 'template', ''), 'p_partkey div 7')} as source", "p_partkey as key",
+    )
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a research package about its customer with its lines as related candidates."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linenumber % 6 as turn",
+    ).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    title = (
+        "case turn when 0 then concat('Act ', o_custkey) when 1 then concat('Ensemble ', l_suppkey) when 2 then 'Some album' "
+        "when 3 then concat('Player ', l_partkey) when 4 then 'Blocked act two' else '' end"
+    )
+    kind = "case turn when 1 then 'band' when 3 then 'artist' when 4 then 'venue' else 'genre' end"
+    candidate = (
+        f"named_struct('title', {title}, 'kind', {kind}, 'source', 'musicbrainz_relation', 'reason', '', "
+        f"'musicbrainz', named_struct('id', 'x', 'name', {title}, 'type', case when l_returnflag = 'R' then 'Other' when turn = 1 then 'Group' else 'Person' end), "
+        f"'wikipedia', cast(null as {schemas.PAGE}), 'documented_relation', named_struct('type', 'member_of', 'label', 'member of', "
+        "'context', 'c', 'source_url', 'https://musicbrainz.org/artist/mb', 'seed_mb_id', 'mb', 'seed_is_band', false, 'strength', cast(null as double)))"
+    )
+    grouped = lines.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{candidate} as c").groupBy("l_orderkey").agg(
+        F.expr("transform(array_sort(collect_list(named_struct('n', l_linenumber, 'p', l_partkey, 's', l_suppkey, 'c', c))), v -> v.c) as candidates")
+    )
+    orders = table(spark, sf_dir, "orders").join(grouped, F.expr("o_orderkey = l_orderkey"), "left")
+    name = (
+        "case when o_orderkey % 13 = 0 then '' when o_orderkey % 11 = 0 then 'List of things' when o_orderkey % 17 = 0 then 'Blocked act' "
+        "else concat('Act ', o_custkey) end"
+    )
+    text = "case when o_orderkey % 3 = 0 then 'English rock band and singer.' else 'A village.' end"
+    none = NO_STRINGS
+    return orders.selectExpr(
+        "concat('pkg-', o_orderkey) as id", "concat('run-', o_orderkey div 100) as run_id", "o_orderkey",
+        f"named_struct('name', {name}, 'kind', 'package', 'requested_kind', element_at(array('band', 'artist', 'guitarist', 'genre', 'album'), cast(o_orderkey % 5 as int) + 1), "
+        f"'suggested_zone', '', 'wikipedia', case when o_orderkey % 4 <> 0 then named_struct('title', {name}, 'url', '', 'extract', {text}, 'wikidata_id', concat('Q', o_orderkey), "
+        f"'categories', {none}, 'links', {none}, 'musicbrainz_artist_ids', array(concat('mb', o_custkey))) end, "
+        "'wikidata', case when o_orderkey % 6 <> 0 then named_struct('id', concat('Q', o_orderkey + case when o_orderkey % 19 = 0 then 1 else 0 end), "
+        f"'musicbrainz_artist_ids', {none}) end, "
+        "'musicbrainz', case when o_orderkey % 8 <> 0 then named_struct('id', concat('MB', o_custkey + case when o_orderkey % 23 = 0 then 1 else 0 end), 'name', '', 'type', 'Person') end, "
+        "'music_candidates', candidates, 'link_leads', case when o_orderkey % 2 = 0 then array('a', 'b') else array('a') end, "
+        "'source_errors', case when o_orderkey % 9 = 0 then array(named_struct('source', 's', 'message', 'm')) else cast(array() as array<struct<source:string,message:string>>) end) as payload",
+    )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup attempts about the customer of each event."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('artist-', user_id) as entity_id", "ts as attempted_at",
+        "case when event_type = 'error' then 'source_error' else 'no_match' end as outcome",
+    )

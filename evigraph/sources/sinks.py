@@ -40,7 +40,8 @@ def note_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The document is the product and holds all relations of its node, so a row is as long as its node has relations.
     """
     context = F.when(F.size("context") > 0, F.concat(F.lit(" ("), F.array_join("context", "; "), F.lit(")"))).otherwise("")
-    lines = adjacency(induced_edges(edges, nodes), nodes).select(
+    inside = induced_edges(edges, nodes).select("source", "target", "label", "context")
+    lines = adjacency(inside, nodes).select(
         "id", "other_label",
         F.concat(F.lit("- [["), "other", F.lit("|"), "other_label", F.lit("]] - "), "label", context).alias("line"),
     )
