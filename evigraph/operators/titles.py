@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph import vocab
-from evigraph.functions.text import alternation, canonical_title, contains_any, normalize_text
+from evigraph.functions.text import canonical_title, contains_any, normalize_text
 from evigraph.operators.evidence import has_blocked_term
 from evigraph.operators.graph import first_per_key, top_per_group
 
@@ -267,6 +267,3 @@ def preview_rejections(rows: DataFrame, blocked_terms: Sequence[str] = (), limit
         F.array_join(quality_categories(F.col("j.title"), F.col("j.kind"), F.col("j.issues")), ",").alias("categories"),
     )
 
-
-def term_pattern(terms: Sequence[str]) -> str:
-    return alternation(terms)

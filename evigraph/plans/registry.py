@@ -17,7 +17,7 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     """Prefix a statement with the named view definitions; a leading comma continues the WITH list."""
     body = sql.strip()
     if not views:
-        return body
+        return "WITH" + body[1:] if body.startswith(",") else body
     definitions = ",\n".join(f"{name} AS ({SQL_VIEWS[name].strip()})" for name in views)
     return f"WITH {definitions}{'' if body.startswith(',') else ' '}\n{body}"
 
