@@ -207,7 +207,12 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a reviewed candidate about the customer with the event's user number."""
-    events = table(spark, sf_dir, "events").selectExpr(
+    return review_rows_of(table(spark, sf_dir, "events"))
+
+
+def review_rows_of(events: DataFrame) -> DataFrame:
+    """The same mapping for any frame with the columns of the events table, streams included."""
+    events = events.selectExpr(
         "*", "cast(get_json_object(props, '$.k') as bigint) as k",
         "case event_type when 'purchase' then 'approved' when 'signup' then 'imported' when 'view' then 'review' "
         "else 'rejected' end as status",
