@@ -145,7 +145,7 @@ def membership_candidates(spark, d):
 
 @query(
     "flt29_promoted_edges",
-    """SELECT 'brain-' || s || '-' || t || '-' || ty AS id, s AS source, t AS target, CASE WHEN ty = 'member_of' AND l_linenumber % 2 = 0 THEN 'Member' ELSE replace(ty, '_', ' ') END AS label, CASE WHEN l_quantity > 25 THEN 0.8 ELSE 0.6 END AS strength
+    """SELECT 'brain-' || s || '-' || t || '-' || ty AS id, s AS source, t AS target, CASE WHEN ty = 'member_of' AND l_linenumber % 2 = 0 THEN 'Member' ELSE replace(ty, '_', ' ') END AS label, CASE WHEN l_quantity > 25 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS strength
        FROM (SELECT *, CASE WHEN ty = 'member_of' AND l_suppkey % 2 = 0 THEN 'band-' || l_suppkey ELSE 'artist-' || l_partkey END AS s, CASE WHEN ty = 'member_of' AND l_suppkey % 2 = 0 THEN 'artist-' || l_partkey ELSE 'band-' || l_suppkey END AS t FROM (
          SELECT *, CASE l_returnflag WHEN 'A' THEN 'member_of' WHEN 'N' THEN 'influenced_by' ELSE 'fan_of' END AS ty FROM lineitem)) WHERE ty <> 'fan_of' AND l_linenumber <> 3""",
 )
@@ -391,8 +391,8 @@ def _labels(spark, d):
 _PLACE_SQL = """, loc AS (SELECT 'artist-' || c AS node_id, 'birthplace' AS role, pl FROM (SELECT c_custkey AS c, CASE
       WHEN c_custkey % 8 = 0 THEN 1 WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 9 = 0 OR c_custkey % 50 = 1 THEN 1 END WHEN c_custkey % 9 <> 0 THEN c_custkey % 50 END AS pl FROM customer) WHERE pl IS NOT NULL
     UNION ALL SELECT 'band-' || s_suppkey, 'musical_base', s_suppkey % 50 FROM supplier)
-  , placed AS (SELECT node_id, role, 'wikidata:Q' || (pl * 10 + 3) AS place_id, CASE WHEN pl % 2 = 0 THEN 'City ' || pl ELSE 'Ciudad ' || pl END AS name, r_name AS country, pl * 1.0::DOUBLE AS lat, pl * 2.0::DOUBLE AS lon
-      FROM loc JOIN region ON r_regionkey = pl % 5 WHERE pl % 7 <> 0 AND pl % 11 <> 0 AND pl * 2 <= 180 AND pl <= 90)"""
+  , placed AS (SELECT node_id, role, 'wikidata:Q' || (pl * 10 + 3) AS place_id, CASE WHEN pl % 2 = 0 THEN 'City ' || pl ELSE 'Ciudad ' || pl END AS name, r_name AS country, pl + CASE WHEN pl % 77 = 0 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS lat, pl * 2.0::DOUBLE AS lon
+      FROM loc JOIN region ON r_regionkey = pl % 5 WHERE ((pl % 7 <> 0 AND pl % 11 <> 0) OR pl % 77 = 0) AND pl * 2 <= 180 AND pl <= 90)"""
 
 
 @query("join35_location_claims", _PLACE_SQL + " SELECT node_id, role, 'Q' || (pl * 10 + 3) AS place_item FROM loc", ("blocked",))
@@ -655,9 +655,9 @@ def _metric_sql(mode: str, zone: str | None) -> str:
     both = "" if zone is None else f" AND (az = '{zone}' OR bz = '{zone}')"
     ends = "" if zone is None else f" AND (sz = '{zone}' OR tz = '{zone}')"
     own = "" if zone is None else f" AND c.zone = '{zone}'"
-    return f"""SELECT '{mode}' AS mode, nodes, edges, overlaps, severe, CAST(round(me) AS BIGINT) AS mean_edge, long_edges, CAST(round(md) AS BIGINT) AS mean_drift,
-      round(overlaps * 8 + severe * 14 + me * greatest(1.0::DOUBLE, edges / greatest(1, nodes)) * 0.025::DOUBLE + long_edges * 2 + md * 0.035::DOUBLE, 1) AS score FROM
-      (SELECT count(*) AS overlaps, count(*) FILTER (ox > 28 AND oy > 16) AS severe FROM ov WHERE mode = '{mode}'{both}),
+    return f"""SELECT '{mode}' AS mode, nodes, edges, "overlaps", severe, CAST(round(me) AS BIGINT) AS mean_edge, long_edges, CAST(round(md) AS BIGINT) AS mean_drift,
+      round("overlaps" * 8 + severe * 14 + me * greatest(1.0::DOUBLE, edges / greatest(1, nodes)) * 0.025::DOUBLE + long_edges * 2 + md * 0.035::DOUBLE, 1) AS score FROM
+      (SELECT count(*) AS "overlaps", count(*) FILTER (ox > 28 AND oy > 16) AS severe FROM ov WHERE mode = '{mode}'{both}),
       (SELECT count(*) AS edges, coalesce(avg(l), 0) AS me, count(*) FILTER (l > 1800) AS long_edges FROM len WHERE mode = '{mode}'{ends}),
       (SELECT count(*) AS nodes, avg(sqrt((c.x - o.x) ** 2 + (c.y - o.y) ** 2)) AS md FROM lay c JOIN lay o ON o.id = c.id AND o.mode = 'before' WHERE c.mode = '{mode}'{own})"""
 
@@ -681,7 +681,7 @@ def zone_metrics(spark, d):
 @query(
     "agg18_outcome",
     _BOX_SQL + _LEN_SQL + f""", mb AS ({_metric_sql('before', 'nation-3')}), ma AS ({_metric_sql('after', 'nation-3')})
-    SELECT CASE WHEN ma.severe > mb.severe OR ma.overlaps > mb.overlaps OR ma.mean_edge > greatest(mb.mean_edge * 1.15, mb.mean_edge + 100) THEN 'regression' WHEN ma.score < mb.score - 0.1 THEN 'improved' ELSE 'unchanged' END AS outcome FROM ma, mb""",
+    SELECT CASE WHEN ma.severe > mb.severe OR ma."overlaps" > mb."overlaps" OR ma.mean_edge > greatest(mb.mean_edge * 1.15, mb.mean_edge + 100) THEN 'regression' WHEN ma.score < mb.score - 0.1 THEN 'improved' ELSE 'unchanged' END AS outcome FROM ma, mb""",
     _LAYOUT_VIEWS,
 )
 def outcome(spark, d):
@@ -714,7 +714,7 @@ def focused_connections(spark, d):
 
 @query(
     "val15_metric_mismatches",
-    _BOX_SQL + _LEN_SQL + f""", m AS ({_metric_sql('after', 'nation-3')}) SELECT 'metric_differs' AS rule, 'overlaps' AS key, CAST(overlaps AS VARCHAR) AS detail FROM m""",
+    _BOX_SQL + _LEN_SQL + f""", m AS ({_metric_sql('after', 'nation-3')}) SELECT 'metric_differs' AS rule, 'overlaps' AS key, CAST("overlaps" AS VARCHAR) AS detail FROM m""",
     _LAYOUT_VIEWS,
 )
 def metric_mismatches(spark, d):
@@ -774,7 +774,7 @@ def _trials(spark, d):
     return views.table(spark, d, "events").selectExpr(
         "event_id", "case when user_id % 2 = 0 then 'organized' else 'timeline' end as mode", "concat('nation-', user_id % 5) as zone", "concat('p', event_id % 4) as parameters",
         "case when event_type in ('view', 'click', 'purchase', 'signup') then 'safe' else event_type end as reason", "cast(event_id % 3 as int) as hint_count",
-        "event_id div 8 as sample", "cast(value as int) as severe", "case when event_type = 'purchase' then 'win' when event_type = 'signup' and value > 97 then 'regression' else 'none' end as outcome",
+        "event_id div 8 as sample", "cast(value as int) as severe", "case when event_type = 'purchase' then 'win' when event_type = 'signup' and value > 97 and event_id % 4 = 1 then 'regression' else 'none' end as outcome",
     )
 
 
@@ -790,7 +790,7 @@ def trial_history(spark, d):
 @query(
     "agg33_choose_parameters",
     """, t AS (SELECT event_id // 8 AS sample, CASE WHEN user_id % 2 = 0 THEN 'organized' ELSE 'timeline' END AS mode, 'nation-' || (user_id % 5) AS zone, 'p' || (event_id % 4) AS parameters, event_type <> 'error' AS ok, CAST(trunc(value) AS INTEGER) AS severe,
-        CASE WHEN event_type = 'purchase' THEN 'win' WHEN event_type = 'signup' AND value > 97 THEN 'regression' ELSE 'none' END AS outcome FROM events),
+        CASE WHEN event_type = 'purchase' THEN 'win' WHEN event_type = 'signup' AND value > 97 AND event_id % 4 = 1 THEN 'regression' ELSE 'none' END AS outcome FROM events),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, mode, zone, parameters ORDER BY ok DESC, severe, outcome) AS n FROM t) WHERE n = 1),
     c AS (SELECT mode, zone, parameters, count(*) FILTER (ok) AS safe, count(*) FILTER (ok AND outcome = 'win') AS wins, count(*) FILTER (ok AND outcome = 'regression') AS reg FROM b GROUP BY 1, 2, 3)
     SELECT mode, zone, parameters, safe, wins FROM (SELECT *, row_number() OVER (PARTITION BY mode, zone ORDER BY wins DESC, safe DESC, parameters) AS n FROM c WHERE safe >= 3 AND wins >= 2 AND reg <= 0) WHERE n = 1""",

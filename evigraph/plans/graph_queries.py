@@ -8,7 +8,7 @@ from evigraph.functions import numeric, refs, text
 from evigraph.operators import evidence, graph, spatial
 from evigraph.operators.prefix import floor_quantile
 from evigraph.plans import views
-from evigraph.plans.registry import query
+from evigraph.plans.registry import ORACLES, query
 from evigraph.session import cut_lineage
 
 PROFILE_SQL = """
@@ -50,10 +50,11 @@ PROFILE_SQL = """
 PROFILE_VIEWS = ("entities", "relations", "tiered", "ends", "degree", "zone_boxes", "policies")
 
 
-def profiles(spark, sf_dir):
+def profiles(spark, sf_dir, kind=None):
     """Node profiles over the whole views, shared by the zone and ranking queries."""
     nodes = views.entities(spark, sf_dir)
-    ends = graph.end_kinds(evidence.map_connections(views.relations(spark, sf_dir)), nodes)
+    edges = evidence.map_connections(views.relations(spark, sf_dir))
+    ends = graph.end_kinds(edges if kind is None else edges.where(F.col("type") == kind), nodes)
     links = graph.node_links(ends)
     zones = nodes.select("id", "zone").unionByName(links.select("id", F.col("other_zone").alias("zone")))
     matches = graph.bridge_policy_matches(nodes, zones, views.bridge_policies(spark, sf_dir))
@@ -507,18 +508,23 @@ def isolated_catalogued(spark, sf_dir):
     return graph.isolated_catalogued(views.entities(spark, sf_dir), edges).select("id", "catalogue_id")
 
 
-@query(
-    "top10_work_lists",
-    PROFILE_SQL + """SELECT list, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) AS rank FROM (
+WORK_SQL = PROFILE_SQL + """SELECT list, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) AS rank FROM (
         SELECT 'isolated' AS list, id, round(hub_score + bridge_score, 3) AS score FROM profiles WHERE degree = 0
-        UNION ALL SELECT 'under_connected', id, round(hub_score + bridge_score, 3) FROM profiles WHERE important AND degree <= 2)) WHERE rank <= 80""",
-    PROFILE_VIEWS,
-)
+        UNION ALL SELECT 'under_connected', id, round(hub_score + bridge_score, 3) FROM profiles WHERE important AND degree <= 2)) WHERE rank <= 80"""
+
+
+@query("top10_work_lists", WORK_SQL, PROFILE_VIEWS)
 def work_lists(spark, sf_dir):
-    lists = graph.work_lists(profiles(spark, sf_dir))
+    """Work lists when only the genre relations are known, which leaves instruments isolated."""
+    lists = graph.work_lists(profiles(spark, sf_dir, "associated_genre"))
     return lists.select("list", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
+ORACLES["top10_work_lists"] = ORACLES["top10_work_lists"].replace(
+    "tier <> 'research_lead'", "tier <> 'research_lead' AND type = 'associated_genre'"
+)
+
+
 @query(
     "top10_overlap_risks",
     PROFILE_SQL + """SELECT a, b, zone, CAST(round(d) AS BIGINT) AS distance, round((t - d) / t, 3) AS severity FROM near

@@ -126,7 +126,15 @@ def package_review(spark, d):
     )
 
 
-@query("fn25_27_rejected_preview")
+@query(
+    "fn25_27_rejected_preview",
+    """, r AS (SELECT 'pkg-' || l_orderkey AS id, turn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
+        CASE turn WHEN 0 THEN 'Act ' || o_custkey WHEN 1 THEN 'Ensemble ' || l_suppkey WHEN 2 THEN 'Some album' WHEN 3 THEN 'Player ' || l_partkey WHEN 4 THEN 'Blocked act two' ELSE '' END AS title
+        FROM lines6 WHERE turn NOT IN (1, 3) OR l_returnflag = 'R')
+    SELECT id, pos, title, CASE turn WHEN 5 THEN 'Candidate has no title.' WHEN 4 THEN 'Unsupported kind: venue.' WHEN 2 THEN 'release page, not a map entity' ELSE 'Research lead, not a verified entity.' END AS reason,
+      CASE turn WHEN 4 THEN 'bad_node_type,blocked_entity' WHEN 2 THEN 'release_as_context_only' ELSE 'candidate_ok' END AS categories FROM r WHERE pos < 8""",
+    ("lines6",),
+)
 def rejected_preview(spark, d):
     return titles.preview_rejections(views.packages(spark, d), ["Blocked act"])
 
@@ -310,9 +318,6 @@ def fact_states(spark, d):
     return facts.next_state(old, new, F.lit("2024-06-01 00:00:00").cast("timestamp"))
 
 
-_LEAD_RULES_FIXTURE = ", ".join(f"'{c}'" for c, _, _ in vocab.SENTENCE_RULES)
-
-
 @query("flt25_candidate_leads")
 def candidate_leads(spark, d):
     """Lead sentences of every document, whose words are mapped so that the rules have something to find."""

@@ -272,8 +272,8 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of bands and birthplaces of artists at points derived from their nation."""
     nodes = entities(spark, sf_dir).where("node_type in ('artist', 'band')")
     keyed = nodes.selectExpr(
-        "id", "node_type", "cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as k",
-        "cast(regexp_extract(zone, '([0-9]+)$', 1) as bigint) as n",
+        "id", "node_type", "try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as k",
+        "try_cast(regexp_extract(zone, '([0-9]+)$', 1) as bigint) as n",
     )
     return keyed.selectExpr(
         "id as node_id", "case when node_type = 'band' then 'musical_base' else 'birthplace' end as role",
