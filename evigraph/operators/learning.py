@@ -10,7 +10,7 @@ from evigraph.functions.numeric import clamp, group_adjustment, half_even, poste
 from evigraph.functions.text import normalize_words
 from evigraph.operators.evidence import derived_kind
 from evigraph.operators.graph import first_per_key, top_per_group
-from evigraph.operators.prefix import prefix_sum
+from evigraph.operators.prefix import prefix_sums
 from evigraph.session import attach_row, cut_lineage
 
 
@@ -116,8 +116,7 @@ def split_holdout(decisions: DataFrame) -> DataFrame:
     # Read several times below, and the slices need one stable version of it.
     seeds = cut_lineage(decisions.groupBy("seed_key").agg(F.count(F.lit(1)).alias("_rows"), F.max("reviewed_at").alias("_last")))
     order = [("_last", False), ("seed_key", False)]
-    ranked = prefix_sum(seeds, order, F.col("_rows"), "_before", exclusive=True)
-    ranked = prefix_sum(ranked, order, F.lit(1).cast("bigint"), "_taken", exclusive=True)
+    ranked = prefix_sums(seeds, order, {"_before": F.col("_rows"), "_taken": F.lit(1).cast("bigint")}, exclusive=True)
     totals = seeds.agg(F.sum("_rows").alias("_all"), F.count(F.lit(1)).alias("_seeds"))
     sized = attach_row(ranked, totals)
     target = F.greatest(F.lit(4), half_even(F.col("_all") * 0.2))

@@ -36,16 +36,18 @@ def _slice_number(keys: Sequence[tuple[str, bool]], points: list, low: int = 0)
     ).otherwise(_slice_number(keys, points[:middle], low))
 
 
-def prefix_sum(
+def prefix_sums(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
-    value: Column,
-    out: str,
+    values: dict[str, Column],
     group: Sequence[str] = (),
     exclusive: bool = False,
     slices: int = SLICES,
 ) -> DataFrame:
-    """Running sum of `value` in `order` (column, ascending) within `group`; order columns must not be null."""
+    """Running sums of `values` (name -> integer column) in `order` (column, ascending) within `group`.
+
+    The order columns must not be null and should end in a unique one.
+    """
     keys = [(name, True) for name in group] + list(order)
     names = [name for name, _ in keys]
     sort = [F.asc(name) if ascending else F.desc(name) for name, ascending in keys]
@@ -53,23 +55,28 @@ def prefix_sum(
     step = max(1, len(sample) // slices)
     points = [tuple(row) for row in sample[step::step]]
 
-    sliced = df.withColumn("_slice", _slice_number(keys, points)).withColumn("_value", value)
-    totals = sliced.groupBy(*group, "_slice").agg(F.sum("_value").alias("_total"))
+    inputs = {name: f"_in_{i}" for i, name in enumerate(values)}
+    sliced = df.withColumn("_slice", _slice_number(keys, points))
+    for name, value in values.items():
+        sliced = sliced.withColumn(inputs[name], value)
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-
+    totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(column).alias(column) for column in inputs.values()])
+    offsets = totals.select(
+        *group, "_slice", *[F.coalesce(F.sum(column).over(before), F.lit(0)).alias(f"{column}_offset") for column in inputs.values()]
+    )
     local = Window.partitionBy("_slice", *group).orderBy(*sort[len(group) :])
     frame = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    ranked = sliced.withColumn("_running", F.coalesce(F.sum("_value").over(frame), F.lit(0)))
-    joined = ranked.join(offsets, [*group, "_slice"])
-    return joined.withColumn(out, F.col("_running") + F.col("_offset")).drop("_slice", "_value", "_running", "_offset")
+    running = [F.coalesce(F.sum(column).over(frame), F.lit(0)).alias(f"{column}_running") for column in inputs.values()]
+    joined = sliced.select("*", *running).join(offsets, [*group, "_slice"])
+    outputs = [(F.col(f"{column}_running") + F.col(f"{column}_offset")).alias(name) for name, column in inputs.items()]
+    return joined.select(*df.columns, *outputs)
 
 
 def positions(
     df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "position", group: Sequence[str] = ()
 ) -> DataFrame:
     """1-based row number in `order`; the order should end in a unique column."""
-    return prefix_sum(df, order, F.lit(1).cast("bigint"), out, group)
+    return prefix_sums(df, order, {out: F.lit(1).cast("bigint")}, group)
 
 
 def floor_quantile(df: DataFrame, group: Sequence[str], value: str, share: float | None, out: str) -> DataFrame:

@@ -163,10 +163,18 @@ def _flag(condition: Column, severity: str, code: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
 
 
-def candidate_issues(candidate: Column, seed: Column, blocked_terms: Sequence[str] = ()) -> Column:
-    """Issues of one related candidate as (severity, code, message)."""
+def judged(candidate: Column) -> Column:
+    """Title, kind, scope reason and verified identity of a candidate, so that each is worked out once."""
     title, kind = F.trim(F.coalesce(candidate["title"], F.lit(""))), F.trim(F.coalesce(candidate["kind"], F.lit("unknown")))
-    reason = scope_reason(title, kind, F.coalesce(candidate["source"], F.lit("")))
+    return F.struct(
+        title.alias("title"), kind.alias("kind"), scope_reason(title, kind, F.coalesce(candidate["source"], F.lit(""))).alias("reason"),
+        has_verified_identity(candidate).alias("verified"),
+    )
+
+
+def candidate_issues(candidate: Column, seed: Column, blocked_terms: Sequence[str] = ()) -> Column:
+    """Issues of one `judged` candidate as (severity, code, message)."""
+    title, kind, reason = candidate["title"], candidate["kind"], candidate["reason"]
 
     def issue(condition: Column, severity: str, code: str, message: Column) -> Column:
         value = F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
@@ -176,7 +184,7 @@ def candidate_issues(candidate: Column, seed: Column, blocked_terms: Sequence[st
         issue(~kind.isin(*vocab.NODE_KINDS), "reject", "unsupported_candidate_kind", F.concat(F.lit("Unsupported kind: "), kind, F.lit("."))),
         issue(has_blocked_term(title, blocked_terms), "reject", "blocked_entity", F.lit("Candidate matches the blocklist.")),
         issue(reason.isNotNull(), "reject", "out_of_scope_candidate", reason),
-        issue(reason.isNull() & ~has_verified_identity(candidate), "reject", "unverified_candidate_identity", F.lit("Research lead, not a verified entity.")),
+        issue(reason.isNull() & ~candidate["verified"], "reject", "unverified_candidate_identity", F.lit("Research lead, not a verified entity.")),
         issue(normalize_text(title) == normalize_text(seed), "warning", "same_as_seed", F.lit("Candidate repeats the seed entity.")),
     ))
     empty = F.array(F.struct(F.lit("reject").alias("severity"), F.lit("empty_candidate_title").alias("code"), F.lit("Candidate has no title.").alias("message")))
@@ -229,13 +237,12 @@ def package_flags(p: Column, blocked_terms: Sequence[str] = ()) -> Column:
 def review_packages(rows: DataFrame, blocked_terms: Sequence[str] = (), payload: str = "payload") -> DataFrame:
     """Level, score, flags and candidate counts of each package; no shuffle, each row is judged on its own."""
     p = F.col(payload)
-    none = F.array().cast("array<string>")
-    candidates = F.coalesce(p["music_candidates"], F.array())
-    issues = F.transform(candidates, lambda c: F.transform(candidate_issues(c, p["name"], blocked_terms), lambda i: i["severity"]))
-    judged = rows.withColumn("_flags", package_flags(p, blocked_terms)).withColumn("_issues", issues)
+    rows = rows.withColumn("_judged", F.coalesce(F.transform(p["music_candidates"], judged), F.array()))
+    issues = F.transform("_judged", lambda j: F.transform(candidate_issues(j, p["name"], blocked_terms), lambda i: i["severity"]))
+    flagged = rows.withColumn("_flags", package_flags(p, blocked_terms)).withColumn("_issues", issues)
     rejected = F.size(F.filter("_issues", lambda s: F.array_contains(s, "reject")))
     warned = F.size(F.filter("_issues", lambda s: F.array_contains(s, "warning") & ~F.array_contains(s, "reject")))
-    counted = judged.withColumn("total", F.size("_issues")).withColumn("rejected", rejected).withColumn("warnings", warned)
+    counted = flagged.withColumn("total", F.size("_issues")).withColumn("rejected", rejected).withColumn("warnings", warned)
     counted = counted.withColumn("publishable", F.col("total") - F.col("rejected"))
     extra = F.array_compact(F.array(
         _flag(F.col("total") == 0, "warning", "no_music_candidates"),
@@ -250,17 +257,17 @@ def review_packages(rows: DataFrame, blocked_terms: Sequence[str] = (), payload:
     score = F.greatest(F.lit(0), 100 - severity("reject") * 35 - severity("warning") * 12 - F.col("rejected") * 2 - F.col("warnings"))
     scored = flagged.withColumn("score", score)
     level = F.when(severity("reject") > 0, "reject").when((severity("warning") > 0) | (F.col("score") < 85), "warning").otherwise("ok")
-    return scored.withColumn("level", level).drop("_flags", "_issues")
+    return scored.withColumn("level", level).drop("_flags", "_issues", "_judged")
 
 
 def preview_rejections(rows: DataFrame, blocked_terms: Sequence[str] = (), limit: int = 8) -> DataFrame:
     """First rejected candidates of each package with the reason and quality categories."""
     p = F.col("payload")
-    judged = F.transform(
-        p["music_candidates"],
-        lambda c: F.struct(c["title"].alias("title"), c["kind"].alias("kind"), candidate_issues(c, p["name"], blocked_terms).alias("issues")),
+    found = F.transform(
+        F.transform(p["music_candidates"], judged),
+        lambda j: F.struct(j["title"].alias("title"), j["kind"].alias("kind"), candidate_issues(j, p["name"], blocked_terms).alias("issues")),
     )
-    rejected = F.filter(judged, lambda j: F.exists(j["issues"], lambda i: i["severity"] == "reject"))
+    rejected = F.filter(found, lambda j: F.exists(j["issues"], lambda i: i["severity"] == "reject"))
     exploded = rows.select("id", F.posexplode(F.slice(rejected, 1, limit)).alias("pos", "j"))
     return exploded.select(
         "id", F.col("pos").cast("bigint").alias("pos"), F.col("j.title").alias("title"), F.col("j.issues")[0]["message"].alias("reason"),

@@ -13,7 +13,6 @@ from evigraph.functions.text import fold_text
 from evigraph.operators.evidence import induced_edges, map_connections
 from evigraph.operators.graph import endpoints, first_per_key, top_per_group
 from evigraph.operators.prefix import positions
-from evigraph.session import attach_row
 
 # Words that say nothing about a zone.
 STOP_WORDS = (
@@ -82,21 +81,21 @@ def zone_scores(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Score of each text in each zone: a matched term counts max(2, words + 1), the current zone one more.
 
     Texts are (id, text, zone) with folded text; terms (zone, term, weight) with folded terms, weight null for fixed
-    terms and clamp(0.35 w, 0.5, 6) for learned ones. Words match by equality and phrases by equality of word spans,
-    so any number of terms costs one join.
+    terms and clamp(0.35 w, 0.5, 6) for learned ones. A term is looked up by its first word among the distinct words
+    of a text, and a phrase is then looked for in the text, so any number of terms costs one join.
     """
-    words = F.size(F.split("term", " "))
-    value = F.when(F.col("weight").isNull(), F.greatest(F.lit(2), words + 1).cast("double")).otherwise(
+    parts = F.split("term", " ")
+    value = F.when(F.col("weight").isNull(), F.greatest(F.lit(2), F.size(parts) + 1).cast("double")).otherwise(
         F.least(F.lit(6.0), F.greatest(F.lit(0.5), F.col("weight") * 0.35))
     )
-    table = terms.where(F.col("term") != "").select(F.col("zone").alias("_zone"), "term", value.alias("_value"))
-    longest = table.agg(F.max(F.size(F.split("term", " "))).alias("_longest"))
-    parts = attach_row(texts.withColumn("_parts", F.split("text", " ")), longest)
-    lengths = parts.select("id", "_parts", F.explode(F.sequence(F.lit(1), F.least("_longest", F.size("_parts")))).alias("_n"))
-    spans = lengths.select("id", F.explode(F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.size("_parts") - F.col("_n") + 1), lambda i: F.array_join(F.slice("_parts", i, F.col("_n")), " "))
-    )).alias("term"))
-    hits = spans.join(table, "term").groupBy("id", F.col("_zone").alias("zone")).agg(F.sum("_value").alias("score"))
+    table = terms.where(F.col("term") != "").select(F.col("zone").alias("_zone"), "term", parts[0].alias("_word"), value.alias("_value"))
+    words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
+    found = words.join(table, "_word").drop("_word")
+    phrase = F.contains("term", F.lit(" "))
+    padded = texts.select("id", F.concat(F.lit(" "), "text", F.lit(" ")).alias("_text"))
+    spelled = found.where(phrase).join(padded, "id").where(F.contains("_text", F.concat(F.lit(" "), "term", F.lit(" "))))
+    both = found.where(~phrase).unionByName(spelled.drop("_text"))
+    hits = both.groupBy("id", F.col("_zone").alias("zone")).agg(F.sum("_value").alias("score"))
     own = texts.where(F.col("zone") != "").select("id", "zone", F.lit(1.0).alias("score"))
     return hits.unionByName(own).groupBy("id", "zone").agg(F.sum("score").alias("score"))
 

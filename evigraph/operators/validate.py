@@ -15,6 +15,8 @@ from evigraph.functions.refs import has_url
 from evigraph.functions.text import has_superlative, normalize_key
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.graph import first_per_key
+from evigraph.operators.prefix import positions
+from evigraph.session import cut_lineage
 
 
 def _rule(rule: str, condition: Column, detail: Column | str = "") -> Column:
@@ -134,9 +136,7 @@ def over_cap(facts: DataFrame, cap: int) -> DataFrame:
     An entity under the cap never leaves the partial count; only rows of entities over it are ranked.
     """
     crowded = facts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
-    rows = facts.select("id", "entity_id").join(crowded.select("entity_id"), "entity_id", "left_semi")
-    from evigraph.operators.prefix import positions
-
+    rows = cut_lineage(facts.select("id", "entity_id").join(crowded.select("entity_id"), "entity_id", "left_semi"))
     ranked = positions(rows, [("id", True)], "_pos", ["entity_id"])
     return ranked.where(F.col("_pos") > cap).select(
         F.lit("entity_cap").alias("rule"), F.col("id").alias("key"), F.col("entity_id").alias("detail")

@@ -398,7 +398,7 @@ _SPLIT_SQL = """, sd AS (SELECT seed_key, count(*) AS n, max(reviewed_at) AS las
 
 @query("win05_split_holdout", _DECISION_SQL + _SPLIT_SQL + "SELECT side, count(*) AS n, count(DISTINCT u.seed_key) AS seeds FROM u JOIN sides ON sides.seed_key = u.seed_key GROUP BY side", _DECISION_VIEWS)
 def split_holdout(spark, d):
-    split = learning.split_holdout(learning.usable(_decisions(spark, d)))
+    split = learning.split_holdout(cut_lineage(learning.usable(_decisions(spark, d))))
     return split.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed_key").alias("seeds"))
 
 
@@ -416,7 +416,7 @@ def split_holdout(spark, d):
     _DECISION_VIEWS,
 )
 def brier(spark, d):
-    split = cut_lineage(learning.split_holdout(learning.usable(_decisions(spark, d))))
+    split = cut_lineage(learning.split_holdout(cut_lineage(learning.usable(_decisions(spark, d)))))
     return learning.evaluate(split.where("side = 'train'"), split.where("side = 'holdout'"))
 
 
@@ -428,7 +428,7 @@ def brier(spark, d):
     _DECISION_VIEWS,
 )
 def eligibility(spark, d):
-    split = cut_lineage(learning.split_holdout(learning.usable(_decisions(spark, d))))
+    split = cut_lineage(learning.split_holdout(cut_lineage(learning.usable(_decisions(spark, d)))))
     return learning.eligibility(split).select("train", "train_seeds", "holdout_seeds", "clear_rejections", "rejection_seeds", "enough_training")
 
 
