@@ -13,8 +13,6 @@ from evigraph.operators.evidence import induced_edges
 from evigraph.operators.graph import first_per_key, top_per_group
 from evigraph.session import attach_row
 
-BUCKETS = 256
-
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """added, removed, changed or same for every key."""
@@ -110,17 +108,15 @@ def set_difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def table_fingerprint(rows: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """Order-insensitive digest of a table, built in two levels so that no task sees all row digests.
+    """Order-insensitive digest of a table: the row count and the sums of the eight words of the row digests.
 
-    Rows are hashed, the hashes sorted and hashed inside BUCKETS prefixes, and the bucket digests hashed together.
-    A bucket holds rows / BUCKETS digests whatever the data, because the prefix of a digest is evenly spread;
-    equal digests are folded to a count first.
+    Sums are partial aggregates, so nothing but one row per task is shuffled however large or repetitive the table is.
     """
     hashed = rows.select(F.sha2(F.to_json(F.array(*columns)), 256).alias("h"))
-    counted = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    keyed = counted.select(F.substring("h", 1, 2).alias("bucket"), F.concat_ws("*", "h", "n").alias("h"))
-    buckets = keyed.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
-    return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "digest"))), ""), 256).alias("fingerprint"))
+    words = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")) for i in range(8)]
+    sums = hashed.agg(F.count(F.lit(1)).alias("n"), *[word.alias(f"w{i}") for i, word in enumerate(words)])
+    parts = [F.coalesce(F.col(name).cast("string"), F.lit("0")) for name in ["n"] + [f"w{i}" for i in range(8)]]
+    return sums.select(F.sha2(F.concat_ws(":", *parts), 256).alias("fingerprint"))
 
 
 def graph_fingerprint(nodes: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
@@ -208,10 +204,8 @@ def append_trials(history: DataFrame, batch: DataFrame, fresh_ids: DataFrame, ke
 
     Ids that mark simulated nodes stop the append.
     """
-    digest = fresh_ids.agg(
-        F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256), 1, 20).alias("_batch"),
-        F.count_if(F.startswith("id", F.lit("__simulation_"))).alias("_simulated"),
-    ).where("_simulated = 0").select("_batch")
+    simulated = fresh_ids.agg(F.count_if(F.startswith("id", F.lit("__simulation_"))).alias("_simulated")).where("_simulated = 0")
+    digest = attach_row(table_fingerprint(fresh_ids, [F.col("id")]), simulated).select(F.substring("fingerprint", 1, 20).alias("_batch"))
     last = history.agg(F.coalesce(F.max("batch_no"), F.lit(0)).alias("_last"))
     stamped = attach_row(attach_row(batch, digest), last)
     stamped = stamped.withColumn("batch", F.col("_batch")).withColumn("batch_no", F.col("_last") + 1)

@@ -79,6 +79,21 @@ def positions(
     return prefix_sums(df, order, {out: F.lit(1).cast("bigint")}, group)
 
 
+def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], columns: Sequence[Column], out: str) -> DataFrame:
+    """Adds the given columns of the row before, as a struct; null for the first row of a group.
+
+    Rows are numbered by slices and met by number, so the rows of a hot group are spread over the tasks.
+    """
+    numbered = positions(df, order, "_pos", group)
+    before = numbered.select(
+        *[F.col(name).alias(f"_before_{name}") for name in group], (F.col("_pos") + 1).alias("_next"), F.struct(*columns).alias(out)
+    )
+    condition = F.col("_pos") == F.col("_next")
+    for name in group:
+        condition = condition & (F.col(name) == F.col(f"_before_{name}"))
+    return numbered.join(before, condition, "left").select(*df.columns, out)
+
+
 def floor_quantile(df: DataFrame, group: Sequence[str], value: str, share: float | None, out: str) -> DataFrame:
     """Element at floor(n/2) (`share` None) or floor((n-1)*share) of the sorted values of each group.
 

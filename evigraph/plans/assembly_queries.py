@@ -441,8 +441,7 @@ def early_pool_issues(spark, d):
     h AS (SELECT 'nodes' AS part, sha256('["' || concat_ws('","', id, node_type, CAST(x AS VARCHAR), CAST(y AS VARCHAR), zone, CAST(starter AS VARCHAR), coalesce(CAST(era_start AS VARCHAR), 'null')) || '"]') AS h FROM k
       UNION ALL SELECT 'edges', sha256('["' || concat_ws('","', source, target, type, label, coalesce(CAST(strength AS VARCHAR), 'null')) || '"]') FROM relations
         WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)),
-    c AS (SELECT part, substr(h, 1, 2) AS b, h || '*' || count(*) AS h FROM h GROUP BY part, h), bk AS (SELECT part, b, sha256(array_to_string(list_sort(list(h)), '')) AS dg FROM c GROUP BY part, b),
-    pt AS (SELECT part, sha256(array_to_string(list_sort(list(b || dg)), '')) AS fp FROM bk GROUP BY part)
+    pt AS (SELECT part, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 17, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 33, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 41, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 49, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(h, 57, 8) AS BIGINT)) AS VARCHAR))) AS fp FROM h GROUP BY part)
     SELECT sha256(array_to_string(list_sort(list(part || ':' || fp)), '|')) AS fingerprint FROM pt""",
     ("entities", "relations"),
 )
@@ -553,28 +552,28 @@ def set_status(spark, d):
 @query(
     "snk08_note_export",
     """, adj AS (SELECT source AS id, target AS o, label FROM relations WHERE type IN ('associated_genre', 'made_by') UNION ALL SELECT target, source, label FROM relations WHERE type IN ('associated_genre', 'made_by')),
-    lines AS (SELECT a.id, e.label AS ol, a.o, '- [[' || a.o || '|' || e.label || ']] - ' || a.label AS line FROM adj a JOIN entities e ON e.id = a.o)
-    SELECT e.id, sha256('# ' || e.label || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || CASE WHEN e.summary = '' THEN 'No summary yet.' ELSE e.summary END || chr(10) || chr(10) ||
-      '## Connections' || chr(10) || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY ol, line) FROM lines l WHERE l.id = e.id), 'No documented connections yet.') || chr(10) || chr(10) ||
-      '## Sources' || chr(10) || chr(10) || CASE WHEN len(e.sources) = 0 THEN 'No sources yet.' ELSE array_to_string(list_transform(e.sources, lambda s: '- [' || s.label || '](' || s.url || ')'), chr(10)) END) AS digest FROM entities e""",
+    lines AS (SELECT a.id, e.label AS ol, '- [[' || a.o || '|' || e.label || ']] - ' || a.label AS line FROM adj a JOIN entities e ON e.id = a.o)
+    SELECT id, 2 AS section, row_number() OVER (PARTITION BY id ORDER BY ol, line) AS line_no, line FROM lines
+    UNION ALL SELECT id, 1, 1, '# ' || label FROM entities UNION ALL SELECT id, 1, 2, '## Summary' FROM entities UNION ALL SELECT id, 1, 3, CASE WHEN summary = '' THEN 'No summary yet.' ELSE summary END FROM entities
+    UNION ALL SELECT id, 3, i, CASE WHEN len(sources) = 0 THEN 'No sources yet.' ELSE '- [' || sources[i].label || '](' || sources[i].url || ')' END FROM entities, range(1, 3) r(i) WHERE i <= greatest(1, len(sources))""",
     ("entities", "relations"),
 )
 def note_export(spark, d):
-    from evigraph.sources.sinks import note_documents
+    from evigraph.sources.sinks import note_lines
 
     edges = _edges(spark, d).where("type in ('associated_genre', 'made_by')")
-    return note_documents(_nodes(spark, d), edges).select("id", F.sha2("markdown", 256).alias("digest"))
+    return note_lines(_nodes(spark, d), edges).select("id", "section", "line_no", "line")
 
 
 @query(
     "snk09_type_index",
-    "SELECT node_type, count(*) AS nodes, sha256(string_agg('- [[' || id || '|' || label || ']]', chr(10) ORDER BY label, id)) AS digest FROM entities GROUP BY node_type",
+    "SELECT node_type, row_number() OVER (PARTITION BY node_type ORDER BY label, id) AS line_no, '- [[' || id || '|' || label || ']]' AS line FROM entities",
     ("entities",),
 )
 def type_index(spark, d):
-    from evigraph.sources.sinks import type_index as index
+    from evigraph.sources.sinks import index_lines
 
-    return index(_nodes(spark, d))
+    return index_lines(_nodes(spark, d))
 
 
 @query(

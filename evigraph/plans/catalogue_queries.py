@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.functions import refs
-from evigraph.operators import geography, graph, resolve, spatial, titles, trials
+from evigraph.operators import geography, resolve, spatial, titles, trials
 from evigraph.plans import views
 from evigraph.plans.registry import query
 from evigraph.session import cut_lineage

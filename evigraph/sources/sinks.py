@@ -34,31 +34,32 @@ def write_single_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def note_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One markdown document per node with its sorted relations and its sources.
+def note_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines of one markdown note per node: head, sorted relations, sources (id, node_type, section, line_no, line).
 
-    The document is the product and holds all relations of its node, so a row is as long as its node has relations.
+    The relations of a node are numbered by slices, so a node with a third of all relations is not one task.
     """
     context = F.when(F.size("context") > 0, F.concat(F.lit(" ("), F.array_join("context", "; "), F.lit(")"))).otherwise("")
     inside = induced_edges(edges, nodes).select("source", "target", "label", "context")
-    lines = adjacency(inside, nodes).select(
-        "id", "other_label",
-        F.concat(F.lit("- [["), "other", F.lit("|"), "other_label", F.lit("]] - "), "label", context).alias("line"),
+    related = adjacency(inside, nodes).select(
+        "id", "other_label", F.concat(F.lit("- [["), "other", F.lit("|"), "other_label", F.lit("]] - "), "label", context).alias("line")
     )
-    sorted_lines = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("other_label", "line"))).alias("_lines"))
-    body = F.array_join(F.transform("_lines", lambda v: v["line"]), "\n")
-    sources = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- ["), F.coalesce(s["label"], s["provider"], F.lit("Source")), F.lit("]("), s["url"], F.lit(")"))), "\n")
-    markdown = F.concat_ws(
-        "\n\n", F.concat(F.lit("# "), "label"), F.lit("## Summary"),
-        F.when(F.coalesce("summary", F.lit("")) == "", "No summary yet.").otherwise(F.col("summary")),
-        F.lit("## Connections"), F.coalesce(body, F.lit("No documented connections yet.")),
-        F.lit("## Sources"), F.when(F.size("sources") > 0, sources).otherwise("No sources yet."),
-    )
-    return nodes.join(sorted_lines, "id", "left").select("id", "node_type", markdown.alias("markdown"))
+    numbered = positions(related, [("other_label", True), ("line", True)], "line_no", ["id"])
+    kinds = nodes.select("id", "node_type")
+    body = numbered.join(kinds, "id").select("id", "node_type", F.lit(2).alias("section"), "line_no", "line")
+    summary = F.when(F.coalesce("summary", F.lit("")) == "", "No summary yet.").otherwise(F.col("summary"))
+    head = nodes.select("id", "node_type", F.lit(1).alias("section"), F.posexplode(F.array(F.concat(F.lit("# "), "label"), F.lit("## Summary"), summary)).alias("_n", "line"))
+    sources = F.transform("sources", lambda s: F.concat(F.lit("- ["), F.coalesce(s["label"], s["provider"], F.lit("Source")), F.lit("]("), s["url"], F.lit(")")))
+    listed = F.when(F.size("sources") > 0, sources).otherwise(F.array(F.lit("No sources yet.")))
+    tail = nodes.select("id", "node_type", F.lit(3).alias("section"), F.posexplode(listed).alias("_n", "line"))
+    ends = head.unionByName(tail).withColumn("line_no", (F.col("_n") + 1).cast("bigint")).drop("_n")
+    return body.unionByName(ends)
 
 
-def write_notes(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").partitionBy("node_type").parquet(path)
+def write_notes(lines: DataFrame, path: str) -> None:
+    """Text files by kind; the lines of a note follow each other in order."""
+    ordered = lines.repartitionByRange("node_type", "id", "section", "line_no").sortWithinPartitions("node_type", "id", "section", "line_no")
+    ordered.select("node_type", F.col("line").alias("value")).write.mode("overwrite").partitionBy("node_type").text(path)
 
 
 def index_lines(nodes: DataFrame) -> DataFrame:
@@ -67,15 +68,6 @@ def index_lines(nodes: DataFrame) -> DataFrame:
     return ranked.select("node_type", "line_no", F.concat(F.lit("- [["), "id", F.lit("|"), "label", F.lit("]]")).alias("line"))
 
 
-def type_index(nodes: DataFrame) -> DataFrame:
-    """Size and digest of the sorted index of each kind; `index_lines` gives the lines themselves."""
-    lines = index_lines(nodes)
-    return lines.groupBy("node_type").agg(
-        F.count(F.lit(1)).alias("nodes"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda v: v["line"]), "\n"), 256).alias("digest"),
-    )
-
-
 def run_rows(packages: DataFrame) -> DataFrame:
     """Ledger row per run: sizes of the nested parts and the number of documented relations."""
     return packages.groupBy("run_id").agg(

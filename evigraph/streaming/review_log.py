@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evigraph import vocab
+from evigraph.operators.prefix import with_previous
 
 OUTPUT = (
     "candidate_id string, version string, previous_status string, status string, reason_code string, note string, "
@@ -19,11 +20,13 @@ STATE = "status string, reason_code string, note string"
 
 
 def batch_events(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Events of a change table: first rows that are final, and rows whose status, reason or note changed."""
-    window = Window.partitionBy(key).orderBy(*order)
-    watched = F.struct("status", F.col("review_reason_code").alias("reason_code"), "note")
-    previous = F.lag(watched).over(window)
-    marked = rows.withColumn("_previous", previous).withColumn("_current", watched)
+    """Events of a change table: first rows that are final, and rows whose status, reason or note changed.
+
+    `order` names columns without nulls that end in a unique one.
+    """
+    watched = [F.col("status"), F.col("review_reason_code").alias("reason_code"), F.col("note")]
+    marked = with_previous(rows, [key], [(name, True) for name in order], watched, "_previous")
+    marked = marked.withColumn("_current", F.struct(*watched))
     first_final = F.col("_previous").isNull() & F.col("status").isin(*vocab.FINAL_STATUSES)
     changed = F.col("_previous").isNotNull() & ~F.col("_previous").eqNullSafe(F.col("_current"))
     events = marked.where(first_final | changed)
