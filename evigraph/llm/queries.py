@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import packing, token_files
+from evigraph.llm import language, packing, pii, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op2_language_filters")
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(_documents(spark, sf_dir))
+
+
 @_query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_documents(spark, sf_dir))
@@ -34,3 +39,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
+
+
+@_query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
+@_query("op10_secret_spans")
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_documents(spark, sf_dir))
