@@ -29,5 +29,5 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all other characters as they are."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case, all other characters as they are; pure ASCII takes the shorter way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
