@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.functions import refs
-from evigraph.functions.hashing import edge_key, pair_key
+from evigraph.functions.hashing import edge_key, pair_key, row_hash
 from evigraph.functions.text import merge_unique, normalize_key
 from evigraph.operators.evidence import induced_edges
 from evigraph.operators.graph import first_per_key
 
 
+def _tie(df: DataFrame) -> Column:
+    """Ends an order: rows that are equal in all that is compared before differ in no column, or by digest."""
+    return row_hash(*[F.col(name) for name in sorted(df.columns)])
+
+
 def _ranked_union(parts: Sequence[tuple[int, DataFrame]]) -> DataFrame:
     frames = [df.withColumn("_priority", F.lit(priority)) for priority, df in parts]
     union = frames[0]
@@ -35,14 +40,17 @@ def assemble_nodes(
     free = ~(normalize_key("id").isin(*terms) | normalize_key("label").isin(*terms)) if terms else F.lit(True)
     parts = [(0, base.where(known)), (1, promoted.where(known & free & (F.col("id") != ""))), (2, curated)]
     union = _ranked_union(parts)
-    nodes = first_per_key(union, ["id"], [F.asc("_priority"), F.asc("label")]).drop("_priority")
+    nodes = first_per_key(union, ["id"], [F.asc("_priority"), F.asc("label"), _tie(union)]).drop("_priority")
     earlier = parts[0][1].select("id").union(parts[1][1].select("id"))
     clashes = curated.join(earlier.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
     return nodes, clashes.select(F.lit("curated_exists").alias("rule"), F.col("id").alias("key"), F.col("label").alias("detail"))
 
 
 def assemble_edges(parts: Sequence[DataFrame], nodes: DataFrame, blocked_terms: Sequence[str] = ()) -> DataFrame:
-    """Relations of all sources between known nodes; the first per id and per (source, target, type, label) stays."""
+    """Relations of all sources between known nodes; the first per id and per (source, target, type, label) stays.
+
+    Of rows with one id the order is: source of the rows, key, strength, year (each ascending, missing first), digest of the row.
+    """
     terms = [term.lower().replace("_", " ").replace("-", " ").strip() for term in blocked_terms]
     union = _ranked_union(list(enumerate(parts)))
     if terms:
@@ -53,7 +61,8 @@ def assemble_edges(parts: Sequence[DataFrame], nodes: DataFrame, blocked_terms:
     keyed = induced_edges(union, nodes).withColumn(
         "_key", edge_key(F.col("source"), F.col("target"), F.col("type"), F.col("label"))
     )
-    by_id = first_per_key(keyed, ["id"], [F.asc("_priority"), F.asc("_key")])
+    order = [F.asc("_priority"), F.asc("_key"), F.asc("strength"), F.asc("year"), _tie(keyed)]
+    by_id = first_per_key(keyed, ["id"], order)
     by_key = first_per_key(by_id, ["_key"], [F.asc("_priority"), F.asc("id")])
     return by_key.withColumn("strength", F.coalesce("strength", F.lit(0.5))).drop("_priority", "_key")
 

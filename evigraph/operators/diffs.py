@@ -135,10 +135,14 @@ def graph_fingerprint(nodes: DataFrame, edges: DataFrame, mode: str) -> DataFram
     )
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of `new` replace rows of `existing` with the same key; other rows stay; the last new row of a key counts."""
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Rows of `new` replace rows of `existing` with the same key; other rows stay.
+
+    Of several new rows with one key the first in `order` counts; a digest of the row breaks remaining ties.
+    """
     kept = existing.join(new.select(*key).distinct(), key, "left_anti")
-    return kept.select(existing.columns).unionByName(new.select(existing.columns))
+    tie = row_hash(*[F.col(name) for name in sorted(new.columns)])
+    return kept.select(existing.columns).unionByName(first_per_key(new, key, [*order, tie]).select(existing.columns))
 
 
 def append_missing(existing: DataFrame, patch: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigraph.functions import hashing, text
+from evigraph.functions.hashing import row_hash
 from evigraph.operators import assemble, diffs, evidence, graph, neighborhood, validate
+from evigraph.operators.graph import first_per_key
 from evigraph.plans import views
 from evigraph.plans.registry import query
 
@@ -49,7 +51,7 @@ def curated_clashes(spark, d):
     "set01_assemble_edges",
     """, known AS (SELECT id FROM entities WHERE NOT starter), u AS (
       SELECT 0 AS p, * FROM relations WHERE type <> 'plays' UNION ALL SELECT 1, * FROM relations WHERE type IN ('plays', 'made_by')),
-    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, source || '|' || target || '|' || type || '|' || label) AS a FROM u
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, source || '|' || target || '|' || type || '|' || label, strength NULLS FIRST) AS a FROM u
           WHERE source IN (SELECT id FROM known) AND target IN (SELECT id FROM known))
     SELECT id, coalesce(strength, 0.5) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type, label ORDER BY p, id) AS b FROM k WHERE a = 1) WHERE b = 1""",
     ("entities", "relations"),
@@ -57,7 +59,6 @@ def curated_clashes(spark, d):
 def assemble_edges(spark, d):
     edges, nodes = _edges(spark, d), _nodes(spark, d).where("not starter")
     parts = [edges.where("type <> 'plays'"), edges.where("type in ('plays', 'made_by')")]
-    # Repeated ids of the order lines carry different strengths only through their key, which decides the tie.
     return assemble.assemble_edges(parts, nodes).select("id", "strength")
 
 
@@ -301,7 +302,8 @@ def fact_rules(spark, d):
     ("relations", "tiered"),
 )
 def batch_gate(spark, d):
-    edges = evidence.with_tier(_edges(spark, d)).dropDuplicates(["id"])
+    edges = evidence.with_tier(_edges(spark, d))
+    edges = first_per_key(edges, ["id"], [row_hash(*[F.col(name) for name in sorted(edges.columns)])])
     before = edges.where("type <> 'made_by'").drop("tier")
     after = edges.where("id not like 'bg-1%'")
     ledger = edges.where("type = 'made_by' and tier = 'source_linked'").select(F.col("id").alias("edge_id"))
@@ -451,13 +453,15 @@ def graph_fingerprint(spark, d):
 
 @query(
     "snk02_10_upsert",
-    "SELECT id, CASE WHEN id LIKE '%3' THEN 'new' ELSE status END AS status FROM review_rows WHERE status <> 'review' OR id LIKE '%3'",
+    """SELECT id, CASE WHEN id LIKE '%3' THEN 'renewed' WHEN id LIKE '%4' THEN 'new' ELSE status END AS status FROM review_rows
+    WHERE status <> 'review' OR id LIKE '%3' OR id LIKE '%4'""",
     ("review_rows",),
 )
 def upsert(spark, d):
     rows = views.review_rows(spark, d).select("id", "status")
-    new = rows.where("id like '%3'").withColumn("status", F.lit("new"))
-    return diffs.upsert(rows.where("status <> 'review'"), new, ["id"])
+    new = rows.where("id like '%3' or id like '%4'").withColumn("status", F.lit("new"))
+    again = rows.where("id like '%3'").withColumn("status", F.lit("renewed"))
+    return diffs.upsert(rows.where("status <> 'review'"), new.unionByName(again), ["id"], [F.desc("status")])
 
 
 @query(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph import schemas
-from evigraph.session import estimated_bytes
 
 # Known table schemas spare every scan a file inspection; tables not listed are read with their own schema.
 TABLES = {
@@ -32,22 +31,10 @@ TABLES = {
 }
 
 
-# Tables that feed heavy row work, with the column they are spread by while they are a single small file.
-SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
-SPREAD_FROM, SPREAD_TO = 1 << 20, 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the star schema.
-
-    A file of one row group is one task however many cores there are, so tables between SPREAD_FROM and SPREAD_TO
-    bytes are spread over the cores once; larger tables come in many splits and are left as they are.
-    """
+    """A table of the star schema; how files are split is the session's business."""
     reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
-    df = reader.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD_BY and SPREAD_FROM < estimated_bytes(df) < SPREAD_TO:
-        return df.repartition(spark.sparkContext.defaultParallelism, SPREAD_BY[name])
-    return df
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 NO_STRINGS = "cast(array() as array<string>)"

@@ -1,14 +1,10 @@
-"""Session defaults, lineage cuts and size-checked joins shared by all operators."""
+"""Session defaults, lineage cuts and lookups shared by all operators."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 8
-
 
 def build_session(app_name: str = "evigraph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; cluster sizing stays with the submitter."""
@@ -22,6 +18,7 @@ def build_session(app_name: str = "evigraph", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
@@ -29,48 +26,28 @@ def build_session(app_name: str = "evigraph", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate data may lie: `spark.checkpoint.dir`, or a folder of the warehouse, which a cluster shares too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names, so a lost executor never forces a full recompute."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint in the shared folder, so a lost executor never forces a full recompute."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a plan; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    text = str(limit).strip().lower()
-    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
-    for suffix, factor in units.items():
-        if text.endswith(suffix):
-            return estimated_bytes(df) <= int(text[: -len(suffix)]) * factor
-    return estimated_bytes(df) <= int(text)
-
-
 def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner") -> DataFrame:
-    """Join many rows to a table that is unique in `dim_key`, safe when a few keys hold most rows.
+    """Join many rows to a table that is unique in `dim_key`; the columns of both sides must not clash.
 
-    A dimension below the broadcast threshold is left to Catalyst, which broadcasts it. A larger one is copied to
-    SALTS salt values and each fact row picks one by its own hash, so the rows of a hot key meet their dimension row
-    in SALTS tasks instead of one; AQE may split those further. The columns of both sides must not clash.
+    A small dimension is broadcast by Catalyst or AQE, and AQE splits the partitions of hot keys of a large one.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup supports inner and left, not {how}")
-    condition = F.col(fact_key) == F.col(dim_key)
-    if fits_broadcast(dim):
-        return facts.join(dim, condition, how)
-    atomic = [name for name, kind in facts.dtypes if "<" not in kind]
-    salted = facts.withColumn("_fact_salt", F.pmod(F.xxhash64(*atomic), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(copies, condition & (F.col("_fact_salt") == F.col("_dim_salt")), how)
-    return joined.drop("_fact_salt", "_dim_salt")
+    return facts.join(dim, F.col(fact_key) == F.col(dim_key), how)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

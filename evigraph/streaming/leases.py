@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.session import shared_folder
 from evigraph.streaming.review_log import append_batch
 
 
@@ -39,8 +39,7 @@ def close_requests(requests: DataFrame, runs: DataFrame) -> DataFrame:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place the cluster names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

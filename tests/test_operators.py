@@ -3,11 +3,15 @@
 import itertools
 import random
 import re
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, learning, neighborhood, prefix, spatial, titles, trials, validate
+from evigraph.session import lookup, shared_folder
+from evigraph.streaming.leases import work_folder
 
 SRC = "array<struct<label:string,url:string,provider:string>>"
 EDGE = f"id string, source string, target string, type string, label string, strength double, context array<string>, year int, sources {SRC}"
@@ -38,18 +42,31 @@ def test_degrees_ignore_leads_and_dangling_ends(spark):
     assert got == {"a": (2, 1.0), "b": (2, 1.0), "c": (0, 0.0)}
 
 
-def test_lookup_salts_when_the_dimension_is_large(spark):
-    from evigraph.session import lookup
+def test_lookup_of_a_hot_key(spark):
+    facts = spark.createDataFrame([("hub", i) for i in range(200)] + [("x", 1), ("none", 2)], "k string, v int")
+    dim = spark.createDataFrame([("hub", "a"), ("x", "b"), ("y", "c")], "name string, w string")
+    assert lookup(facts, dim, "k", "name").count() == 201
+    assert lookup(facts, dim, "k", "name", "left").where("w is null").count() == 1
+    with pytest.raises(ValueError):
+        lookup(facts, dim, "k", "name", "full")
 
-    big = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 20).alias("k"))
-    dim = spark.range(15).select(F.col("id").alias("d"), (F.col("id") * 2).alias("v"))
-    plain = sorted(map(tuple, big.join(dim, F.col("k") == F.col("d"), "left").collect()), key=str)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
-    try:
-        salted = sorted(map(tuple, lookup(big, dim, "k", "d", "left").collect()), key=str)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    assert salted == plain
+
+def test_shared_folder_follows_the_session(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == named and work_folder(spark, "x").startswith(f"{named}/x-")
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, *default: {"spark.sql.warehouse.dir": "s3://w"}.get(key, *default)))
+    assert shared_folder(bare) == "s3://w/_checkpoints"
+
+
+def test_ties_of_repeated_ids_are_total(spark):
+    nodes = spark.createDataFrame([node("a"), node("b")], NODE)
+    twins = [edge("e", "a", "b", strength=0.9), edge("e", "a", "b", strength=0.2)]
+    for rows in (twins, twins[::-1]):
+        kept = assemble.assemble_edges([spark.createDataFrame(rows, EDGE)], nodes).collect()
+        assert [r.strength for r in kept] == [0.2]
+    old = spark.createDataFrame([("a", 1)], "id string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 3)], "id string, v int")
+    assert [tuple(r) for r in diffs.upsert(old, new, ["id"], [F.desc("v")]).collect()] == [("a", 3)]
 
 
 def test_positions_and_sums_match_a_plain_sort(spark):
@@ -151,7 +168,7 @@ def test_append_and_upsert_are_idempotent(spark):
     twice = diffs.append_missing(once, patch, ["id"], [F.asc("v")])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", 1), ("b", 2), ("c", 3)]
     new = spark.createDataFrame([("b", 9)], "id string, v int")
-    assert sorted(map(tuple, diffs.upsert(diffs.upsert(old, new, ["id"]), new, ["id"]).collect())) == [("a", 1), ("b", 9)]
+    assert sorted(map(tuple, diffs.upsert(diffs.upsert(old, new, ["id"], [F.desc("v")]), new, ["id"], [F.desc("v")]).collect())) == [("a", 1), ("b", 9)]
 
 
 def test_guarded_append_is_all_or_nothing(spark):
