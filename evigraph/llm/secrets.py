@@ -105,7 +105,7 @@ def encode(tokens: list[str], file_marks: tuple[str, ...]) -> np.ndarray:
         near = [own[k + d] if 0 <= k + d < len(own) else none for d in (-2, -1, 1, 2)]
         names = [*mine, mine[0] + mine[1], *(f"{d}{x[j]}" for d, x in zip("abcd", near, strict=True) for j in (0, 1, 4)), *(f + mine[0] for f in file_marks)]
         rows.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names])
-    return np.array(rows, dtype=np.int64)
+    return np.array(rows, dtype=np.uint16)
 
 
 def file_marks(text: str) -> tuple[str, ...]:
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_SEQUENCES, id_col: str = "doc_id",
     sequences = []
     for r in chosen.toArrow().to_pylist():
         tags = np.frombuffer(r["y"], dtype=np.uint8).astype(np.int64)
-        sequences.append((np.frombuffer(r["x"], dtype=np.int64).reshape(len(tags), -1), tags))
+        sequences.append((np.frombuffer(r["x"], dtype=np.uint16).reshape(len(tags), -1), tags))
     if not any(tags.any() for _, tags in sequences):
         return Field()
     return train(sequences)

@@ -208,17 +208,24 @@ def feedback_bias(spark, d):
     return facts.feedback_bias(views.facts(spark, d))
 
 
-_OCC_SQL = ", occ AS (SELECT entity_id, count(*) AS occupied FROM facts WHERE status IN ('review', 'approved') AND pos < 2 AND doc_id % 3 = 0 GROUP BY entity_id)"
+# Curated facts: the second sentence of every fifth document. An entity's facts count where its first sentence is active.
+_CURATED = "pos = 1 and doc_id % 5 = 0"
+_OCC_SQL = f""", cur AS (SELECT * FROM facts WHERE {_CURATED}), occ AS (SELECT entity_id, count(*) AS occupied FROM (
+   SELECT entity_id FROM facts WHERE status IN ('review', 'approved') UNION ALL SELECT entity_id FROM cur) GROUP BY entity_id)"""
 
 
-def _few_facts(spark, d):
-    return views.facts(spark, d).where("pos < 2 and doc_id % 3 = 0")
+def _curated(spark, d):
+    return views.facts(spark, d).where(_CURATED)
+
+
+def _blocked_ids(spark, d):
+    return views.blocked(spark, d).select(F.lower("id").alias("id"))
 
 
 def _eligible(spark, d):
-    nodes = views.entities(spark, d)
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
     return facts.eligible_entities(
-        nodes, _few_facts(spark, d), views.attempts(spark, d), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), views.blocked(spark, d).select(F.lower("id").alias("id"))
+        views.entities(spark, d), views.facts(spark, d), views.attempts(spark, d), now, _blocked_ids(spark, d), curated=_curated(spark, d)
     )
 
 
@@ -241,16 +248,18 @@ def eligible_entities(spark, d):
 
 @query(
     "win04_round_robin",
-    _ELIGIBLE_SQL + """ SELECT el.id, el.zone, row_number() OVER (PARTITION BY el.zone ORDER BY occupied, starter DESC, id) AS round, round(ratio, 6) AS ratio FROM el JOIN zr ON zr.zone = el.zone""",
+    _ELIGIBLE_SQL + """, q AS (SELECT el.id, el.zone, row_number() OVER (PARTITION BY el.zone ORDER BY occupied, starter DESC, id) AS round, ratio FROM el JOIN zr ON zr.zone = el.zone)
+    SELECT id, zone, round, round(ratio, 6) AS ratio, row_number() OVER (ORDER BY round, ratio, zone) AS position FROM q""",
     ("entities", "facts", "attempts", "blocked"),
 )
 def round_robin(spark, d):
     eligible = cut_lineage(_eligible(spark, d).select("id", "zone", "starter", "occupied"))
-    ratios = facts.zone_fact_ratio(views.entities(spark, d), _few_facts(spark, d))
-    return facts.round_robin(eligible, ratios).select("id", "zone", "round", F.round("ratio", 6).alias("ratio"))
+    ratios = facts.zone_fact_ratio(views.entities(spark, d), views.facts(spark, d), _curated(spark, d))
+    return facts.round_robin(eligible, ratios).select("id", "zone", "round", F.round("ratio", 6).alias("ratio"), "position")
 
 
-_COVERED_SQL = ", cov AS (SELECT DISTINCT entity_id FROM facts WHERE status = 'approved'), m AS (SELECT e.*, c.entity_id IS NOT NULL AS has FROM entities e LEFT JOIN cov c ON c.entity_id = e.id)"
+_COVERED_SQL = f""", cov AS (SELECT DISTINCT entity_id FROM facts WHERE status = 'approved' OR {_CURATED}),
+   m AS (SELECT e.*, c.entity_id IS NOT NULL AS has FROM entities e LEFT JOIN cov c ON c.entity_id = e.id WHERE e.id NOT IN (SELECT lower(id) FROM blocked))"""
 _PROVIDER_SQL = """list_distinct(list_filter(list_transform(sources, lambda s: CASE WHEN s.provider <> 'other' THEN s.provider END), lambda p: p IS NOT NULL))"""
 
 
@@ -258,19 +267,58 @@ _PROVIDER_SQL = """list_distinct(list_filter(list_transform(sources, lambda s: C
     "agg10_fact_coverage",
     _COVERED_SQL + f""" SELECT g AS "group", k AS key, count(*) AS total, CAST(sum(has::INT) AS BIGINT) AS covered FROM (SELECT 'kind' AS g, node_type AS k, has FROM m UNION ALL SELECT 'zone', zone, has FROM m
       UNION ALL SELECT 'source', unnest({_PROVIDER_SQL}), has FROM m) GROUP BY g, k""",
-    ("entities", "facts"),
+    ("entities", "facts", "blocked"),
 )
 def fact_coverage(spark, d):
-    return facts.coverage(views.entities(spark, d), views.facts(spark, d))
+    return facts.coverage(views.entities(spark, d), views.facts(spark, d), _curated(spark, d), _blocked_ids(spark, d))
 
 
 @query(
     "agg10_coverage_gaps",
     _COVERED_SQL + """, z AS (SELECT zone, avg(has::INT) AS r FROM m GROUP BY zone) SELECT m.id, m.zone, m.node_type, m.label FROM m JOIN z ON z.zone = m.zone WHERE NOT has ORDER BY r, m.zone, node_type, lower(label), id LIMIT 30""",
-    ("entities", "facts"),
+    ("entities", "facts", "blocked"),
 )
 def coverage_gaps(spark, d):
-    return facts.coverage_gaps(views.entities(spark, d), views.facts(spark, d))
+    return facts.coverage_gaps(views.entities(spark, d), views.facts(spark, d), 30, _curated(spark, d), _blocked_ids(spark, d))
+
+
+# A batch of every third document's sentences beside the facts of the others; some rows break a rule of their own.
+_BATCH_SQL = f""", b AS (SELECT CASE WHEN doc_id % 31 = 0 THEN 'Batch_A' ELSE 'batch-a' END AS batch_id, doc_id * 100000 + pos AS index,
+   CASE WHEN doc_id % 4 = 1 THEN 'artist-' || (doc_id % 50) ELSE entity_id END AS entity_id, text || '.' AS text, CASE WHEN pos % 11 = 0 THEN 'Bad One' ELSE 'history' END AS category,
+   CASE WHEN pos % 7 = 0 THEN NULL ELSE 'Site' END AS source_label, CASE WHEN pos % 7 = 0 THEN NULL WHEN pos % 5 = 0 THEN 'https://en.wikipedia.org/wiki/X' ELSE 'https://site.example.org/' || doc_id END AS source_url,
+   CASE WHEN pos % 13 = 0 THEN '  ' ELSE 'page 1' END AS evidence, CASE WHEN pos % 3 = 0 THEN source_fingerprint ELSE 'new-' || id END AS fingerprint,
+   list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM facts WHERE doc_id % 3 = 0),
+   old AS (SELECT entity_id, status, source_fingerprint, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM facts WHERE doc_id % 3 > 0 OR pos % 6 = 0),
+   cur AS (SELECT entity_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM facts WHERE {_CURATED}),
+   r AS (SELECT b.*, e.node_type, source_label IS NOT NULL AS sourced FROM b LEFT JOIN entities e ON e.id = b.entity_id),
+   o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY batch_id, index) AS n FROM r WHERE sourced AND fingerprint NOT IN (SELECT source_fingerprint FROM old)),
+   act AS (SELECT entity_id, count(*) AS k FROM (SELECT entity_id FROM old WHERE status IN ('review', 'approved') UNION ALL SELECT entity_id FROM cur) GROUP BY 1),
+   prior AS (SELECT entity_id, w, 0 AS n FROM old WHERE status IN ('review', 'approved') UNION ALL SELECT entity_id, w, 0 FROM cur UNION ALL SELECT entity_id, w, n FROM o)
+"""
+
+
+@query(
+    "val07_batch_preflight",
+    _BATCH_SQL + """ SELECT 'batch_slug' AS rule, batch_id, index FROM r WHERE batch_id = 'Batch_A' UNION ALL SELECT 'unknown_entity', batch_id, index FROM r WHERE node_type IS NULL
+   UNION ALL SELECT 'text_form', batch_id, index FROM r WHERE length(text) NOT BETWEEN 35 AND 200 UNION ALL SELECT 'category_slug', batch_id, index FROM r WHERE category = 'Bad One'
+   UNION ALL SELECT 'missing_source', batch_id, index FROM r WHERE NOT sourced UNION ALL SELECT 'indirect_source', batch_id, index FROM r WHERE sourced AND contains(source_url, 'wikipedia')
+   UNION ALL SELECT 'superlative', batch_id, index FROM r WHERE sourced AND regexp_matches(lower(text), '\\b(first|only|largest|most|oldest|youngest)\\b')
+   UNION ALL SELECT 'missing_evidence', batch_id, index FROM r WHERE sourced AND trim(evidence) = ''
+   UNION ALL SELECT 'entity_full', batch_id, index FROM o LEFT JOIN act USING (entity_id) WHERE coalesce(k, 0) + n > 2
+   UNION ALL SELECT DISTINCT 'near_duplicate', o.batch_id, o.index FROM o JOIN prior p ON p.entity_id = o.entity_id AND p.n < o.n AND len(o.w) > 0 AND len(p.w) > 0
+     AND len(list_intersect(o.w, p.w))::DOUBLE / (len(o.w) + len(p.w) - len(list_intersect(o.w, p.w))) >= 0.64""",
+    ("entities", "facts"),
+)
+def batch_preflight(spark, d):
+    every = views.facts(spark, d)
+    batch = every.where("doc_id % 3 = 0").selectExpr(
+        "case when doc_id % 31 = 0 then 'Batch_A' else 'batch-a' end as batch_id", "doc_id * 100000 + pos as index",
+        "case when doc_id % 4 = 1 then concat('artist-', doc_id % 50) else entity_id end as entity_id", "concat(text, '.') as text",
+        "case when pos % 11 = 0 then 'Bad One' else 'history' end as category", "case when pos % 7 = 0 then null else 'Site' end as source_label",
+        "case when pos % 7 = 0 then null when pos % 5 = 0 then 'https://en.wikipedia.org/wiki/X' else concat('https://site.example.org/', doc_id) end as source_url",
+        "case when pos % 13 = 0 then '  ' else 'page 1' end as evidence", "case when pos % 3 = 0 then source_fingerprint else concat('new-', id) end as fingerprint",
+    )
+    return facts.preflight(batch, views.entities(spark, d), _curated(spark, d), every.where("doc_id % 3 > 0 or pos % 6 = 0"))
 
 
 @query(
