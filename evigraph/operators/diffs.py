@@ -203,8 +203,8 @@ def set_status(rows: DataFrame, ids: DataFrame, status: str, reason: str | None
     return out.drop("_id")
 
 
-def append_trials(history: DataFrame, batch: DataFrame, fresh_ids: DataFrame, keep: int = 100) -> DataFrame:
-    """Append a trial batch under a digest of its new ids, unless that batch is known; the newest `keep` stay.
+def append_trials(history: DataFrame, batch: DataFrame, fresh_ids: DataFrame, keep: int | None = None) -> DataFrame:
+    """Append a trial batch under a digest of its new ids, unless that batch is known; with `keep` only the newest so many stay.
 
     Ids that mark simulated nodes stop the append.
     """
@@ -215,6 +215,8 @@ def append_trials(history: DataFrame, batch: DataFrame, fresh_ids: DataFrame, ke
     stamped = stamped.withColumn("batch", F.col("_batch")).withColumn("batch_no", F.col("_last") + 1)
     new = stamped.join(history.select(F.col("batch").alias("_known")).distinct(), F.col("batch") == F.col("_known"), "left_anti")
     union = history.unionByName(new.select(history.columns))
+    if keep is None:
+        return union
     newest = union.agg(F.max("batch_no").alias("_newest"))
     return attach_row(union, newest).where(F.col("batch_no") > F.col("_newest") - keep).drop("_newest")
 

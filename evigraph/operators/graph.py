@@ -240,10 +240,10 @@ def node_profiles(
     )
 
 
-def zone_profiles(profiles: DataFrame, transition_needs: DataFrame | None = None) -> DataFrame:
-    """Counts, averages and the needs-attention score of each zone; list sizes count at most 20 each."""
+def zone_profiles(profiles: DataFrame, transition_needs: DataFrame | None = None, list_cap: int | None = None) -> DataFrame:
+    """Counts, averages and the needs-attention score of each zone; with `list_cap` list sizes count at most that each."""
     def listed(condition: Column) -> Column:
-        return F.least(F.lit(20), F.count_if(condition))
+        return F.count_if(condition) if list_cap is None else F.least(F.lit(list_cap), F.count_if(condition))
 
     zones = profiles.groupBy("zone").agg(
         F.count(F.lit(1)).alias("nodes"),

@@ -11,22 +11,30 @@ from evigraph.operators.graph import endpoints
 from evigraph.session import cut_lineage
 
 
+def _positive(limit: int) -> None:
+    if limit < 1:
+        raise ValueError(f"a page needs a limit of 1 or more, not {limit}")
+
+
 def map_page(nodes: DataFrame, mode: str, limit: int = 800) -> DataFrame:
-    """Starters first, then label; at most 1200 nodes."""
+    """The first `limit` nodes, starters first, then by label."""
+    _positive(limit)
     kept = nodes.where(F.col("node_type").isin(*vocab.MODE_KINDS[mode]))
-    return kept.orderBy(F.desc("starter"), F.asc("label"), F.asc("id")).limit(max(1, min(limit, 1200)))
+    return kept.orderBy(F.desc("starter"), F.asc("label"), F.asc("id")).limit(limit)
 
 
 def map_edges(edges: DataFrame, page: DataFrame, limit: int = 5000) -> DataFrame:
-    """Relations between the nodes of a page, at most 5000, in order of id."""
+    """The first `limit` relations between the nodes of a page, in order of id."""
+    _positive(limit)
     return induced_edges(edges, page).orderBy("id").limit(limit)
 
 
 def neighborhood(edges: DataFrame, center: str, limit: int = 80, keep_center: bool = True) -> DataFrame:
-    """Ids one hop from the centre in order of id, cut at `limit` (1 to 200).
+    """Ids one hop from the centre in order of id, cut at `limit`.
 
     With `keep_center` the centre always counts among them; without it the plain cut may drop it.
     """
+    _positive(limit)
     near = endpoints(edges.where((F.col("source") == center) | (F.col("target") == center)).select("source", "target"))
     ids = near.where(F.col("id") == center).select(F.col("other").alias("id"))
     own = edges.sparkSession.range(1).select(F.lit(center).alias("id"))
@@ -34,7 +42,7 @@ def neighborhood(edges: DataFrame, center: str, limit: int = 80, keep_center: bo
     order = [F.asc("id")]
     if keep_center:
         order.insert(0, F.asc(F.when(F.col("id") == center, 0).otherwise(1)))
-    return union.orderBy(*order).limit(max(1, min(limit, 200)))
+    return union.orderBy(*order).limit(limit)
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

@@ -111,17 +111,26 @@ def best_titles(candidates: DataFrame, key: str, limit: int = 12) -> DataFrame:
     return top_per_group(best, [key], [F.desc("score"), F.asc("title")], limit).drop("_t")
 
 
-def page_matches_kind(extract: Column, categories: Column, kind: Column) -> Column:
-    """Terms of the kind in the first 600 characters or 30 categories; disambiguation pages never match."""
-    text = F.substring(F.lower(F.coalesce(extract, F.lit(""))), 1, 600)
-    joined = F.lower(F.array_join(F.slice(F.coalesce(categories, F.array().cast("array<string>")), 1, 30), " "))
+def _opening(extract: Column, characters: int | None) -> Column:
+    whole = F.lower(F.coalesce(extract, F.lit("")))
+    return whole if characters is None else F.substring(whole, 1, characters)
+
+
+def page_matches_kind(extract: Column, categories: Column, kind: Column, characters: int | None = None, first: int | None = None) -> Column:
+    """Terms of the kind in the extract or the categories; disambiguation pages never match.
+
+    `characters` and `first` limit the extract and the categories that count; by default all do.
+    """
+    text = _opening(extract, characters)
+    listed = F.coalesce(categories, F.array().cast("array<string>"))
+    joined = F.lower(F.array_join(listed if first is None else F.slice(listed, 1, first), " "))
     hit = F.lit(False)
     for name, terms in vocab.PAGE_KIND_TERMS.items():
         hit = hit | ((kind == name) & (contains_any(text, terms) | contains_any(joined, terms)))
     return hit & ~F.contains(text, F.lit("may refer to")) & ~F.contains(joined, F.lit("disambiguation"))
 
 
-def has_verified_identity(candidate: Column) -> Column:
+def has_verified_identity(candidate: Column, characters: int | None = None, first: int | None = None) -> Column:
     """Identity through a documented relation, through a linked page, or through the subject of the page."""
     kind, title = candidate["kind"], normalize_text(candidate["title"])
     page, catalogue, relation = candidate["wikipedia"], candidate["musicbrainz"], candidate["documented_relation"]
@@ -138,12 +147,12 @@ def has_verified_identity(candidate: Column) -> Column:
         & filled(relation["context"])
     )
     linked = F.coalesce(F.array_contains(page["musicbrainz_artist_ids"], catalogue["id"]), F.lit(False))
-    text = F.substring(F.lower(F.coalesce(page["extract"], F.lit(""))), 1, 600)
+    text = _opening(page["extract"], characters)
     subject = F.lit(False)
     for name, terms in vocab.SUBJECT_TERMS.items():
         subject = subject | ((kind == name) & contains_any(text, terms))
     by_page = filled(page["wikidata_id"]) & (normalize_text(page["title"]) == title) & F.when(
-        kind.isin(*vocab.MUSIC_ENTITY_KINDS), typed & linked & page_matches_kind(page["extract"], page["categories"], kind)
+        kind.isin(*vocab.MUSIC_ENTITY_KINDS), typed & linked & page_matches_kind(page["extract"], page["categories"], kind, characters, first)
     ).otherwise(subject)
     return F.coalesce(F.when(candidate["source"] == "musicbrainz_relation", by_relation).otherwise(by_page), F.lit(False))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.numeric import laplace_rate
@@ -122,11 +122,13 @@ def term_seeds(nodes: DataFrame) -> DataFrame:
     return rows.select("id", "zone", F.explode(F.array_distinct(F.concat(F.array("_t"), words))).alias("term")).distinct()
 
 
-def zone_term_weights(seeds: DataFrame, extra: DataFrame, limit: int = 80) -> DataFrame:
-    """Heaviest terms of each zone; seeds (zone, term) weigh one, `extra` (zone, term, weight) adds feedback."""
+def zone_term_weights(seeds: DataFrame, extra: DataFrame, limit: int | None = None) -> DataFrame:
+    """Terms of each zone by falling weight, with `limit` only the first so many; seeds (zone, term) weigh one, `extra` (zone, term, weight) adds feedback."""
     union = seeds.select("zone", "term", F.lit(1.0).alias("weight")).unionByName(extra.select("zone", "term", "weight"))
     kept = union.where((F.col("term") != "") & ~F.col("term").isin(*STOP_WORDS))
     summed = kept.groupBy("zone", "term").agg(F.sum("weight").alias("weight"))
+    if limit is None:
+        return summed.withColumn("rank", F.row_number().over(Window.partitionBy("zone").orderBy(F.desc("weight"), F.asc("term"))))
     return top_per_group(summed, ["zone"], [F.desc("weight"), F.asc("term")], limit)
 
 

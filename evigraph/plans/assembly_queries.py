@@ -163,11 +163,11 @@ def position_overlay(spark, d):
 @query(
     "set07_08_merge_unique",
     """SELECT id, array_to_string(list_filter([label, 'Ensemble 1', CASE WHEN lower(label) = 'ensemble 1' THEN '' ELSE 'x y' END], lambda v: v <> ''), '|') AS merged,
-       array_to_string(CASE WHEN len(sources) = 0 THEN ['http://a'] ELSE list_append(list_transform(sources, lambda s: s.url), 'http://a') END, '|') AS urls FROM entities WHERE node_type = 'band'""",
+       array_to_string(CASE WHEN len(sources) = 0 THEN ['http://a'] ELSE list_append(list_transform(sources, lambda s: s.url), 'http://a') END, '|') AS urls FROM entities""",
     ("entities",),
 )
 def merge_unique(spark, d):
-    nodes = _nodes(spark, d).where("node_type = 'band'")
+    nodes = _nodes(spark, d)
     values = F.array(F.lit("Ensemble 1"), F.lit(" x y"), F.lit("X_Y"), F.lit(""))
     merged = text.merge_unique_normalized(F.array("label"), values)
     from evigraph.functions import refs
@@ -312,11 +312,11 @@ def batch_gate(spark, d):
 
 @query(
     "val09_documented_backfill",
-    """SELECT id, id NOT LIKE '%3' AND era_start IS NOT NULL AND len(sources) > 0 AS allowed FROM entities WHERE node_type IN ('artist', 'band')""",
+    """SELECT id, id NOT LIKE '%3' AND era_start IS NOT NULL AND len(sources) > 0 AS allowed FROM entities""",
     ("entities",),
 )
 def documented_backfill(spark, d):
-    nodes = _nodes(spark, d).where("node_type in ('artist', 'band')").withColumn("urls", F.expr("transform(sources, s -> s.url)"))
+    nodes = _nodes(spark, d).withColumn("urls", F.expr("transform(sources, s -> s.url)"))
     before = nodes.selectExpr("id", "label", "cast(null as int) as era_start", f"{views.NO_STRINGS} as evidence_urls", "urls as source_urls")
     after = nodes.selectExpr(
         "id", "case when id like '%3' then concat(label, ' x') else label end as label", "era_start",
@@ -327,13 +327,13 @@ def documented_backfill(spark, d):
 
 @query(
     "val10_batch_completeness",
-    """SELECT 'absent' AS rule, id || '-x' AS key FROM entities WHERE node_type = 'band' AND starter
-       UNION ALL SELECT 'zone', id FROM entities WHERE node_type = 'band' AND zone NOT IN ('nation-1', 'nation-2', 'nation-3')
-       UNION ALL SELECT 'no_sources', id FROM entities WHERE node_type = 'band' AND len(sources) = 0""",
+    """SELECT 'absent' AS rule, id || '-x' AS key FROM entities WHERE starter
+       UNION ALL SELECT 'zone', id FROM entities WHERE zone NOT IN ('nation-1', 'nation-2', 'nation-3')
+       UNION ALL SELECT 'no_sources', id FROM entities WHERE len(sources) = 0""",
     ("entities",),
 )
 def batch_completeness(spark, d):
-    bands = _nodes(spark, d).where("node_type = 'band'")
+    bands = _nodes(spark, d)
     ids = bands.select("id").union(bands.where("starter").selectExpr("concat(id, '-x')"))
     return validate.batch_completeness(ids, bands, ["nation-1", "nation-2", "nation-3"]).select("rule", "key")
 
@@ -466,39 +466,47 @@ def upsert(spark, d):
 
 @query(
     "snk03_missing_or_conflict",
-    """SELECT id, CASE WHEN id LIKE '%1' THEN 'missing' WHEN id LIKE '%2' THEN 'conflict' WHEN id LIKE '%3' THEN 'conflict' ELSE 'current' END AS state FROM entities WHERE node_type = 'band'""",
+    """, live AS (SELECT CASE WHEN id LIKE '%3' THEN id || '-other' ELSE id END AS id, CASE WHEN id LIKE '%3' THEN upper(label) ELSE label END AS label,
+       CASE WHEN id LIKE '%2' THEN 'elsewhere' ELSE zone END AS zone FROM entities WHERE id NOT LIKE '%1'),
+    o AS (SELECT lower(label) AS l, min(id) AS lo, max(id) AS hi FROM live GROUP BY 1)
+    SELECT e.id, CASE WHEN o.lo <> e.id OR o.hi <> e.id THEN 'conflict' WHEN v.id IS NULL THEN 'missing'
+      WHEN v.label = e.label AND v.zone IS NOT DISTINCT FROM e.zone THEN 'current' ELSE 'conflict' END AS state
+    FROM entities e LEFT JOIN live v ON v.id = e.id LEFT JOIN o ON o.l = lower(e.label)""",
     ("entities",),
 )
 def missing_or_conflict(spark, d):
-    bands = _nodes(spark, d).where("node_type = 'band'").select("id", "label", "zone")
-    live = bands.where("id not like '%1'").selectExpr(
-        "case when id like '%3' then concat(id, '-other') else id end as id", "upper(label) as label",
+    nodes = _nodes(spark, d).select("id", "label", "zone")
+    live = nodes.where("id not like '%1'").selectExpr(
+        "case when id like '%3' then concat(id, '-other') else id end as id", "case when id like '%3' then upper(label) else label end as label",
         "case when id like '%2' then 'elsewhere' else zone end as zone",
-    ).withColumn("label", F.expr("case when id like '%-other' then label else concat('S', lower(substr(label, 2))) end"))
-    return diffs.missing_or_conflict(bands, live, "id", "label")
+    )
+    return diffs.missing_or_conflict(nodes, live, "id", "label")
 
 
 @query(
     "snk03_guarded_append",
-    "SELECT id, label FROM entities WHERE node_type IN ('band', 'genre')",
+    "SELECT id, label || ' ' || id AS label FROM entities",
     ("entities",),
 )
 def guarded_append(spark, d):
-    rows = _nodes(spark, d).where("node_type in ('band', 'genre')").select("id", "label")
-    live = rows.where("id like 'band-%'")
+    rows = _nodes(spark, d).selectExpr("id", "concat(label, ' ', id) as label")
+    live = rows.where("id not like 'genre-%'")
     states = diffs.missing_or_conflict(rows, live, "id", "label")
     return diffs.guarded_append(live, rows, states, "id")
 
 
 @query(
     "snk04_update_states",
-    """, u AS (SELECT * FROM tiered WHERE type IN ('associated_genre', 'made_by'))
-    SELECT id, CASE WHEN id LIKE '%1' THEN 'conflict' WHEN id LIKE '%2' THEN CASE WHEN len(sources) = 0 THEN 'current' ELSE 'update' END
-         WHEN id LIKE '%3' THEN CASE WHEN len(sources) = 0 THEN 'conflict' ELSE 'current' END ELSE 'current' END AS state FROM u""",
+    """, live AS (SELECT source, target, type, label, context, CASE WHEN id LIKE '%2' THEN [] WHEN id LIKE '%3' THEN
+         [{'label': 'Catalogue', 'url': 'https://catalogue.example.org/e/' || source, 'provider': 'other'}] ELSE sources END AS sources FROM tiered WHERE id NOT LIKE '%1'),
+    c AS (SELECT source, target, type, label, count(*) AS n, any_value(context) AS context, any_value(sources) AS sources FROM live GROUP BY ALL)
+    SELECT t.id, CASE WHEN coalesce(n, 0) <> 1 THEN 'conflict' WHEN t.context = c.context AND t.sources = c.sources THEN 'current'
+         WHEN len(c.context) > 0 OR len(c.sources) > 0 THEN 'conflict' ELSE 'update' END AS state
+    FROM tiered t LEFT JOIN c ON c.source = t.source AND c.target = t.target AND c.type = t.type AND c.label = t.label""",
     ("relations", "tiered"),
 )
 def update_states(spark, d):
-    edges = _edges(spark, d).where("type in ('associated_genre', 'made_by')")
+    edges = _edges(spark, d)
     origin = views.source_struct("Catalogue", "concat('https://catalogue.example.org/e/', source)", "other")
     live = edges.where("id not like '%1'").withColumn(
         "sources", F.expr(f"case when id like '%2' then {views.NO_SOURCES} when id like '%3' then array({origin}) else sources end")
@@ -540,7 +548,7 @@ def append_trials(spark, d):
     history = events.selectExpr("concat('b', event_id div 40) as batch", "event_id div 40 as batch_no", "event_type as mode")
     batch = events.where("event_type = 'view'").selectExpr("event_type as mode")
     fresh = views.table(spark, d, "supplier").selectExpr("concat('band-', s_suppkey) as id")
-    return diffs.append_trials(history, batch, fresh).groupBy("batch_no").agg(F.count(F.lit(1)).alias("trials"))
+    return diffs.append_trials(history, batch, fresh, keep=100).groupBy("batch_no").agg(F.count(F.lit(1)).alias("trials"))
 
 
 @query(
@@ -555,9 +563,12 @@ def set_status(spark, d):
 
 @query(
     "snk08_note_export",
-    """, adj AS (SELECT source AS id, target AS o, label FROM relations WHERE type IN ('associated_genre', 'made_by') UNION ALL SELECT target, source, label FROM relations WHERE type IN ('associated_genre', 'made_by')),
-    lines AS (SELECT a.id, e.label AS ol, '- [[' || a.o || '|' || e.label || ']] - ' || a.label AS line FROM adj a JOIN entities e ON e.id = a.o)
+    """, adj AS (SELECT source AS id, target AS o, label, context FROM relations UNION ALL SELECT target, source, label, context FROM relations),
+    lines AS (SELECT a.id, e.label AS ol, '- [[' || a.o || '|' || e.label || ']] - ' || a.label || CASE WHEN len(a.context) > 0 THEN ' (' || array_to_string(a.context, '; ') || ')' ELSE '' END AS line FROM adj a JOIN entities e ON e.id = a.o)
     SELECT id, 2 AS section, row_number() OVER (PARTITION BY id ORDER BY ol, line) AS line_no, line FROM lines
+    UNION ALL SELECT id, 0, unnest(range(1, 13)), unnest(['---', 'id: ' || id, 'label: "' || label || '"', 'type: ' || node_type, 'zone: ' || zone,
+      'roles: [' || array_to_string(list_transform(roles, lambda v: '"' || v || '"'), ', ') || ']', 'aliases: [' || array_to_string(list_transform(aliases, lambda v: '"' || v || '"'), ', ') || ']',
+      'eraStart: ' || coalesce(CAST(era_start AS VARCHAR), ''), 'layoutX: ' || CAST(x AS DECIMAL(18, 3)), 'layoutY: ' || CAST(y AS DECIMAL(18, 3)), 'starter: ' || starter, '---']) FROM entities
     UNION ALL SELECT id, 1, 1, '# ' || label FROM entities UNION ALL SELECT id, 1, 2, '## Summary' FROM entities UNION ALL SELECT id, 1, 3, CASE WHEN summary = '' THEN 'No summary yet.' ELSE summary END FROM entities
     UNION ALL SELECT id, 3, i, CASE WHEN len(sources) = 0 THEN 'No sources yet.' ELSE '- [' || sources[i].label || '](' || sources[i].url || ')' END FROM entities, range(1, 3) r(i) WHERE i <= greatest(1, len(sources))""",
     ("entities", "relations"),
@@ -565,8 +576,23 @@ def set_status(spark, d):
 def note_export(spark, d):
     from evigraph.sources.sinks import note_lines
 
-    edges = _edges(spark, d).where("type in ('associated_genre', 'made_by')")
-    return note_lines(_nodes(spark, d), edges).select("id", "section", "line_no", "line")
+    return note_lines(_nodes(spark, d), _edges(spark, d)).select("id", "section", "line_no", "line")
+
+
+@query(
+    "snk08_src07_round_trip",
+    "SELECT id, label, node_type, zone, array_to_string(roles, '|') AS roles, array_to_string(aliases, '|') AS aliases, era_start, starter FROM entities",
+    ("entities",),
+)
+def note_round_trip(spark, d):
+    """Front matter written for every entity and read back; a note's head has twelve lines."""
+    from evigraph.sources.readers import parse_notes
+    from evigraph.sources.sinks import front_matter_lines
+
+    heads = front_matter_lines(_nodes(spark, d)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    notes = heads.select(F.col("id").alias("path"), F.array_join(F.transform("lines", lambda v: v["line"]), "\n").alias("value"))
+    rows, _ = parse_notes(notes)
+    return rows.select("id", "label", "node_type", "zone", F.array_join("roles", "|").alias("roles"), F.array_join("aliases", "|").alias("aliases"), "era_start", "starter")
 
 
 @query(
@@ -613,14 +639,14 @@ def one_hop(spark, d):
 
 @query(
     "join04_reach",
-    """, b AS (SELECT source AS f, target AS t FROM relations WHERE type <> 'plays' UNION SELECT target, source FROM relations WHERE type <> 'plays'),
+    """, b AS (SELECT source AS f, target AS t FROM relations UNION SELECT target, source FROM relations),
     l0 AS (SELECT 'brand-3' AS id UNION SELECT 'artist-3'), l1 AS (SELECT DISTINCT t AS id FROM b WHERE f IN (SELECT id FROM l0) AND t NOT IN (SELECT id FROM l0)),
     l2 AS (SELECT DISTINCT t AS id FROM b WHERE f IN (SELECT id FROM l1) AND t NOT IN (SELECT id FROM l0) AND t NOT IN (SELECT id FROM l1))
     SELECT id, 0 AS level FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2""",
     ("relations",),
 )
 def reach(spark, d):
-    edges = _edges(spark, d).where("type <> 'plays'")
+    edges = _edges(spark, d)
     start = _nodes(spark, d).where("id in ('brand-3', 'artist-3')").select("id")
     return neighborhood.reach(edges, start, 2)
 

@@ -368,11 +368,10 @@ def _claims(spark, d):
     born = rows(customer, "c_custkey * 10 + 1", "P19", "concat('Q', (c_custkey % 50) * 10 + 3)", "case when c_custkey % 9 = 0 then 'deprecated' else 'normal' end")
     second = rows(customer.where("c_custkey % 4 = 0"), "c_custkey * 10 + 1", "P19", "'Q13'", "case when c_custkey % 8 = 0 then 'preferred' else 'normal' end", tail="'t'")
     formed = rows(supplier, "s_suppkey * 10 + 2", "P740", "concat('Q', (s_suppkey % 50) * 10 + 3)", "'normal'")
-    small = part.where("p_partkey < 60")
-    point = rows(small, "p_partkey * 10 + 3", "P625", "cast(null as string)", "'normal'", "p_partkey * 1D", "p_partkey * 2D",
+    point = rows(part, "p_partkey * 10 + 3", "P625", "cast(null as string)", "'normal'", "p_partkey * 1D", "p_partkey * 2D",
                  f"case when p_partkey % 11 = 0 then 'moon' else '{geography.EARTH}' end")
-    drift = rows(small.where("p_partkey % 7 = 0"), "p_partkey * 10 + 3", "P625", "cast(null as string)", "'normal'", "p_partkey * 1D + 0.02D", "p_partkey * 2D", f"'{geography.EARTH}'", tail="'t'")
-    country = rows(small, "p_partkey * 10 + 3", "P17", "concat('Q', (p_partkey % 5) * 10 + 4)", "'normal'")
+    drift = rows(part.where("p_partkey % 7 = 0"), "p_partkey * 10 + 3", "P625", "cast(null as string)", "'normal'", "p_partkey * 1D + 0.02D", "p_partkey * 2D", f"'{geography.EARTH}'", tail="'t'")
+    country = rows(part, "p_partkey * 10 + 3", "P17", "concat('Q', (p_partkey % 5) * 10 + 4)", "'normal'")
     return born.union(second).union(formed).union(point).union(drift).union(country)
 
 
@@ -384,7 +383,7 @@ def _identities(spark, d):
 
 def _labels(spark, d):
     part, region = views.table(spark, d, "part"), views.table(spark, d, "region")
-    places = part.where("p_partkey < 60").selectExpr("concat('Q', p_partkey * 10 + 3) as entity_id", "case when p_partkey % 2 = 0 then concat('City ', p_partkey) else '' end as en", "concat('Ciudad ', p_partkey) as mul")
+    places = part.selectExpr("concat('Q', p_partkey * 10 + 3) as entity_id", "case when p_partkey % 2 = 0 then concat('City ', p_partkey) else '' end as en", "concat('Ciudad ', p_partkey) as mul")
     return places.union(region.selectExpr("concat('Q', r_regionkey * 10 + 4)", "r_name", "r_name"))
 
 
@@ -595,7 +594,7 @@ def half_century_pool(spark, d):
 
 @query(
     "flt35_genre_edges",
-    """, g AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 12 AS k FROM orders WHERE o_orderkey % 12 < 9),
+    """, g AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 12 AS k FROM orders),
     z AS (SELECT c, min(k) AS k FROM g GROUP BY c) SELECT 'node' AS part, 'artist-' || c_custkey AS id, CASE WHEN k IS NULL THEN 'classical-history' WHEN k < 3 THEN 'jazz' ELSE 'pop-soul-disco' END AS zone FROM customer LEFT JOIN z ON c = c_custkey WHERE c_custkey IN (SELECT o_custkey FROM orders)
     UNION ALL SELECT 'edge', 'early-artist-' || c || '-genre-' || k, 'artist-' || c FROM g""",
     ("blocked",),
@@ -604,7 +603,7 @@ def genre_edges(spark, d):
     artists = views.table(spark, d, "orders").groupBy("o_custkey").agg(F.expr("collect_set(concat('G', o_orderkey % 12)) as genre_ids")).selectExpr(
         "concat('artist-', o_custkey) as id", "genre_ids", "size(genre_ids) as references"
     )
-    genres = views.table(spark, d, "nation").where("n_nationkey < 9").selectExpr(
+    genres = views.table(spark, d, "nation").selectExpr(
         "concat('G', n_nationkey) as genre_id", "concat('genre-', n_nationkey) as node_id", "n_name as label", "case when n_nationkey < 3 then 'jazz' else 'pop-soul-disco' end as zone", "n_nationkey as precedence"
     )
     placed, edges = geography.genre_edges(artists, genres)
@@ -875,14 +874,14 @@ def best_zones(spark, d):
 
 @query(
     "top11_top_tags",
-    """, s AS (SELECT 'artist-' || o_custkey AS id, 'tag-' || (l_partkey % 30) AS tag, count(*) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 30 < 4 GROUP BY 1, 2),
+    """, s AS (SELECT 'artist-' || o_custkey AS id, 'tag-' || (l_partkey % 30) AS tag, count(*) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
     f AS (SELECT 'artist-' || c_custkey AS id, 'nation-' || ((c_custkey + i) % 3) AS tag, i AS rank FROM customer, range(3) t(i)), u AS (SELECT id, tag, 0 AS p, score, 0 AS r FROM s UNION ALL SELECT id, tag, 1, 0, rank FROM f)
     SELECT id, tag, rank FROM (SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY p, score DESC, r, tag) AS rank FROM u) WHERE rank <= 3""",
     ("blocked",),
 )
 def top_tags(spark, d):
     orders = views.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    scores = views.table(spark, d, "lineitem").where("l_partkey % 30 < 4").join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+    scores = views.table(spark, d, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
         "concat('artist-', o_custkey) as id", "concat('tag-', l_partkey % 30) as tag", "1D as score"
     )
     fallback = views.table(spark, d, "customer").selectExpr("c_custkey", "explode(sequence(0, 2)) as rank").selectExpr(
@@ -903,7 +902,7 @@ def top_tags(spark, d):
 )
 def zone_term_weights(spark, d):
     extra = views.table(spark, d, "nation").selectExpr("concat('nation-', n_nationkey) as zone", "lower(n_name) as term", "8D as weight")
-    weights = trials.zone_term_weights(trials.term_seeds(_nodes(spark, d)), extra)
+    weights = trials.zone_term_weights(trials.term_seeds(_nodes(spark, d)), extra, 80)
     return weights.select("zone", "term", "weight", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -1071,7 +1070,7 @@ def identity_matches(spark, d):
 
 @query(
     "flt33_route_leads",
-    """, l AS (SELECT id, entity_id, text, source_fingerprint AS fp, doc_id % 4 > 0 AS ref, pos FROM facts WHERE pos >= 3 AND pos < 6), ex AS (SELECT * FROM facts WHERE pos = 3),
+    """, l AS (SELECT id, entity_id, text, source_fingerprint AS fp, doc_id % 4 > 0 AS ref, pos FROM facts WHERE pos % 2 = 1), ex AS (SELECT * FROM facts WHERE pos % 2 = 0),
     k AS (SELECT l.id, EXISTS (SELECT 1 FROM ex WHERE ex.entity_id = l.entity_id AND ex.source_fingerprint = l.fp) OR EXISTS (SELECT 1 FROM ex WHERE ex.entity_id = l.entity_id AND ex.status IN ('review', 'approved') AND
        len(list_distinct(regexp_extract_all(lower(l.text), '[a-z0-9]+'))) > 0 AND len(list_intersect(list_distinct(regexp_extract_all(lower(l.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(ex.text), '[a-z0-9]+'))))::DOUBLE /
        greatest(1, len(list_distinct(list_concat(regexp_extract_all(lower(l.text), '[a-z0-9]+'), regexp_extract_all(lower(ex.text), '[a-z0-9]+'))))) >= 0.64) AS dropped, ref, pos FROM l),
@@ -1083,10 +1082,10 @@ def route_leads(spark, d):
     from evigraph.operators.facts import route_leads as route
 
     rows = views.facts(spark, d)
-    leads = rows.where("pos >= 3 and pos < 6").selectExpr(
+    leads = rows.where("pos % 2 = 1").selectExpr(
         "id", "entity_id", "text", "source_fingerprint as fingerprint", f"case when doc_id % 4 > 0 then array('https://r.example.org') else {views.NO_STRINGS} end as references", "pos as score"
     )
-    return route(leads, rows.where("pos = 3"), 100).select("id", "route")
+    return route(leads, rows.where("pos % 2 = 0"), 100).select("id", "route")
 
 
 @query(

@@ -50,11 +50,11 @@ PROFILE_SQL = """
 PROFILE_VIEWS = ("entities", "relations", "tiered", "ends", "degree", "zone_boxes", "policies")
 
 
-def profiles(spark, sf_dir, kind=None):
+def profiles(spark, sf_dir):
     """Node profiles over the whole views, shared by the zone and ranking queries."""
     nodes = views.entities(spark, sf_dir)
     edges = evidence.map_connections(views.relations(spark, sf_dir))
-    ends = graph.end_kinds(edges if kind is None else edges.where(F.col("type") == kind), nodes)
+    ends = graph.end_kinds(edges, nodes)
     links = graph.node_links(ends)
     zones = nodes.select("id", "zone").unionByName(links.select("id", F.col("other_zone").alias("zone")))
     matches = graph.bridge_policy_matches(nodes, zones, views.bridge_policies(spark, sf_dir))
@@ -392,9 +392,9 @@ def node_profiles(spark, sf_dir):
 
 ZONE_SQL = PROFILE_SQL + """
 , zl AS (SELECT zone, count(*) AS nodes, round(avg(degree), 2) AS average_degree, round(avg(source_quality), 3) AS average_quality, sum(overlap_count) AS overlap_risk,
-    least(20, count(*) FILTER (degree = 0)) AS isolated, least(20, count(*) FILTER (important AND degree <= 2)) AS under_connected,
-    least(20, count(*) FILTER (bridge >= 0.34 OR zone_links >= 2)) AS bridges, least(20, count(*) FILTER (hub >= 0.34 OR starter OR node_type = 'genre')) AS hubs,
-    least(20, count(*) FILTER (overflow > 0)) AS overflowing, list_sort(list(degree))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS degree_p25,
+    count(*) FILTER (degree = 0) AS isolated, count(*) FILTER (important AND degree <= 2) AS under_connected,
+    count(*) FILTER (bridge >= 0.34 OR zone_links >= 2) AS bridges, count(*) FILTER (hub >= 0.34 OR starter OR node_type = 'genre') AS hubs,
+    count(*) FILTER (overflow > 0) AS overflowing, list_sort(list(degree))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS degree_p25,
     list_sort(list(era_start) FILTER (era_start IS NOT NULL))[CAST(floor(count(era_start) / 2) AS BIGINT) + 1] AS era_median FROM profiles GROUP BY zone)
 , zones AS (SELECT *, round(isolated * 2.2::DOUBLE + under_connected * 2.8::DOUBLE + bridges * 0.8::DOUBLE + least(30.0::DOUBLE, overlap_risk * 0.38::DOUBLE)
     + greatest(0.0::DOUBLE, 0.68 - average_quality) * 18 + greatest(0.0::DOUBLE, 2.4 - average_degree) * 5, 2) AS needs_attention FROM zl)
@@ -495,17 +495,19 @@ def priority_review(spark, sf_dir):
 
 @query(
     "top09_isolated_catalogued",
-    """, c AS (SELECT id, label, node_type, starter, list_distinct(list_filter(list_transform(sources, lambda s:
-          lower(regexp_extract(s.url, '^https://musicbrainz.org/artist/([0-9a-f-]{36})', 1))), lambda v: v <> '')) AS ids FROM entities WHERE node_type IN ('artist', 'band'))
+    """, grown AS (SELECT id, label, node_type, starter, sources FROM entities UNION ALL SELECT id || '-new', label, node_type, starter, sources FROM entities WHERE starter),
+    c AS (SELECT id, label, node_type, starter, list_distinct(list_filter(list_transform(sources, lambda s:
+          lower(regexp_extract(s.url, '^https://musicbrainz.org/artist/([0-9a-f-]{36})', 1))), lambda v: v <> '')) AS ids FROM grown WHERE node_type IN ('artist', 'band'))
     SELECT id, ids[1] AS catalogue_id FROM c WHERE len(ids) = 1 AND id NOT IN (
-      SELECT source FROM tiered WHERE type = 'plays' UNION ALL SELECT target FROM tiered WHERE type = 'plays')
+      SELECT source FROM tiered WHERE tier <> 'research_lead' UNION ALL SELECT target FROM tiered WHERE tier <> 'research_lead')
     ORDER BY starter DESC, node_type = 'band', label, id LIMIT 12""",
     ("entities", "relations", "tiered"),
 )
 def isolated_catalogued(spark, sf_dir):
-    edges = views.relations(spark, sf_dir).where(F.col("type") == "plays").withColumn("label", F.lit("plays"))
-    edges = edges.withColumn("context", F.array().cast("array<string>"))
-    return graph.isolated_catalogued(views.entities(spark, sf_dir), edges).select("id", "catalogue_id")
+    """Newcomers, copies of the starters under new ids, have no relation yet."""
+    nodes = views.entities(spark, sf_dir)
+    newcomers = nodes.where("starter").withColumn("id", F.concat("id", F.lit("-new")))
+    return graph.isolated_catalogued(nodes.unionByName(newcomers), views.relations(spark, sf_dir)).select("id", "catalogue_id")
 
 
 WORK_SQL = PROFILE_SQL + """SELECT list, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) AS rank FROM (
@@ -515,16 +517,10 @@ WORK_SQL = PROFILE_SQL + """SELECT list, rank, id, score FROM (SELECT *, row_num
 
 @query("top10_work_lists", WORK_SQL, PROFILE_VIEWS)
 def work_lists(spark, sf_dir):
-    """Work lists when only the genre relations are known, which leaves instruments isolated."""
-    lists = graph.work_lists(profiles(spark, sf_dir, "associated_genre"))
+    lists = graph.work_lists(profiles(spark, sf_dir))
     return lists.select("list", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
-ORACLES["top10_work_lists"] = ORACLES["top10_work_lists"].replace(
-    "tier <> 'research_lead'", "tier <> 'research_lead' AND type = 'associated_genre'"
-)
-
-
 @query(
     "top10_overlap_risks",
     PROFILE_SQL + """SELECT a, b, zone, CAST(round(d) AS BIGINT) AS distance, round((t - d) / t, 3) AS severity FROM near

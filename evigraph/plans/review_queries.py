@@ -168,7 +168,7 @@ def run_metrics(spark, d):
 @query(
     "flt08_page_matches_kind",
     f"""SELECT doc_id, NOT contains(t, 'may refer to') AND {_any('t', [x.replace('duo', 'duo') for x in vocab.PAGE_KIND_TERMS['band']])} AS band,
-         NOT contains(t, 'may refer to') AND {_any('t', vocab.PAGE_KIND_TERMS['artist'])} AS artist FROM (SELECT doc_id, substr(replace(replace(lower(text), 'the ', 'band '), 'ing', 'singer'), 1, 600) AS t FROM documents)""",
+         NOT contains(t, 'may refer to') AND {_any('t', vocab.PAGE_KIND_TERMS['artist'])} AS artist FROM (SELECT doc_id, substr(replace(replace(lower(text), 'the ', 'band '), 'ing', 'singer'), 1) AS t FROM documents)""",
 )
 def page_matches(spark, d):
     extract = F.replace(F.replace(F.lower("text"), F.lit("the "), F.lit("band ")), F.lit("ing"), F.lit("singer"))
@@ -339,14 +339,14 @@ def evidence_counts(spark, d):
 
 @query(
     "top13_shown_facts",
-    """, u AS (SELECT entity_id, id, text, 0 AS p, NULL::TIMESTAMP AS t FROM facts WHERE pos = 3 UNION ALL SELECT entity_id, id, text, 1, TIMESTAMP '2024-01-01' + to_days(CAST(pos AS INTEGER)) FROM facts WHERE status = 'approved'),
+    """, u AS (SELECT entity_id, id, text, 0 AS p, NULL::TIMESTAMP AS t FROM facts WHERE pos % 4 = 3 UNION ALL SELECT entity_id, id, text, 1, TIMESTAMP '2024-01-01' + to_days(CAST(pos AS INTEGER)) FROM facts WHERE status = 'approved'),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, text ORDER BY p, t DESC NULLS LAST, id) AS n FROM u) WHERE n = 1)
     SELECT entity_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY p, t DESC NULLS LAST, id) AS rank FROM f) WHERE rank <= 2""",
     ("facts",),
 )
 def shown_facts(spark, d):
     rows = views.facts(spark, d).withColumn("reviewed_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(pos as int))"))
-    shown = facts.shown_facts(rows.where("pos = 3"), rows.where("status = 'approved'"))
+    shown = facts.shown_facts(rows.where("pos % 4 = 3"), rows.where("status = 'approved'"))
     return shown.select("entity_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -485,7 +485,7 @@ def rejection_reasons(spark, d):
     return learning.rejection_reasons(views.review_rows(spark, d))
 
 
-_FRONTIER_SQL = """, dg AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM tiered WHERE tier <> 'research_lead' AND type = 'plays' UNION ALL SELECT target FROM tiered WHERE tier <> 'research_lead' AND type = 'plays') GROUP BY id),
+_FRONTIER_SQL = """, dg AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM tiered WHERE tier <> 'research_lead' UNION ALL SELECT target FROM tiered WHERE tier <> 'research_lead') GROUP BY id),
   sc AS (SELECT e.id, label, zone, coalesce(dg.n, 0) AS degree, CASE WHEN list_contains(roles, 'guitarist') THEN 'guitarist' ELSE node_type END AS kind, starter,
      CASE WHEN list_contains(roles, 'guitarist') THEN 10 WHEN node_type = 'artist' THEN 9 WHEN node_type = 'band' THEN 8 WHEN node_type = 'genre' THEN 7 WHEN node_type = 'guitar' THEN 6 ELSE 5 END + greatest(0, 6 - least(coalesce(dg.n, 0), 6)) * 5
      + CASE WHEN starter THEN 5 ELSE 0 END + CASE WHEN len(list_filter(sources, lambda s: s.provider IN ('wikipedia', 'wikidata'))) > 0 THEN 4 ELSE 0 END + CASE WHEN summary = '' THEN 2 ELSE 0 END AS score
@@ -494,7 +494,7 @@ _FRONTIER_SQL = """, dg AS (SELECT id, count(*) AS n FROM (SELECT source AS id F
 
 def _frontier_rows(spark, d):
     nodes = views.entities(spark, d)
-    found = graph.end_degrees(views.relations(spark, d).where("type = 'plays'"))
+    found = graph.end_degrees(views.relations(spark, d))
     joined = nodes.join(found, "id", "left").fillna({"degree": 0})
     kind = evidence.derived_kind(F.col("node_type"), F.col("roles"), F.col("metadata"))
     scored = joined.withColumn("kind", kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.evidence import induced_edges
@@ -34,8 +34,29 @@ def write_single_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def front_matter_lines(nodes: DataFrame) -> DataFrame:
+    """The head of each note that `readers.parse_notes` reads back (id, node_type, section 0, line_no, line)."""
+    def quoted(value: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.coalesce(value, F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+    def listed(name: str) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(name, quoted), ", "), F.lit("]"))
+
+    def plain(name: str, kind: str = "string") -> Column:
+        return F.coalesce(F.col(name).cast(kind).cast("string"), F.lit(""))
+
+    fields = [
+        ("id", plain("id")), ("label", quoted(F.col("label"))), ("type", plain("node_type")), ("zone", plain("zone")), ("roles", listed("roles")),
+        ("aliases", listed("aliases")), ("eraStart", plain("era_start")), ("layoutX", plain("x", "decimal(18,3)")), ("layoutY", plain("y", "decimal(18,3)")),
+        ("starter", plain("starter")),
+    ]
+    lines = F.array(F.lit("---"), *[F.concat(F.lit(f"{name}: "), value) for name, value in fields], F.lit("---"))
+    numbered = nodes.select("id", "node_type", F.lit(0).alias("section"), F.posexplode(lines).alias("_n", "line"))
+    return numbered.withColumn("line_no", (F.col("_n") + 1).cast("bigint")).drop("_n")
+
+
 def note_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of one markdown note per node: head, sorted relations, sources (id, node_type, section, line_no, line).
+    """Lines of one markdown note per node: front matter, head, sorted relations, sources (id, node_type, section, line_no, line).
 
     The relations of a node are numbered by slices, so a node with a third of all relations is not one task.
     """
@@ -53,7 +74,7 @@ def note_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     listed = F.when(F.size("sources") > 0, sources).otherwise(F.array(F.lit("No sources yet.")))
     tail = nodes.select("id", "node_type", F.lit(3).alias("section"), F.posexplode(listed).alias("_n", "line"))
     ends = head.unionByName(tail).withColumn("line_no", (F.col("_n") + 1).cast("bigint")).drop("_n")
-    return body.unionByName(ends)
+    return front_matter_lines(nodes).unionByName(body).unionByName(ends)
 
 
 def write_notes(lines: DataFrame, path: str) -> None:
