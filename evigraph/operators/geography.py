@@ -275,3 +275,25 @@ def genre_edges(artists: DataFrame, genres: DataFrame) -> tuple[DataFrame, DataF
     )
     return placed, edges
 
+
+def geography_summary(
+    targets: DataFrame, states: DataFrame, located: DataFrame, placements: DataFrame, nodes: DataFrame, bridges: DataFrame, missing: DataFrame
+) -> DataFrame:
+    """One row of counts on a geography run; `missing` are the rows of `unresolved`."""
+    kinds = nodes.select(F.col("id").alias("_id"), "node_type")
+    placed = placements.join(kinds, F.col("node_id") == F.col("_id"), "left")
+    counts = [
+        targets.agg(F.count(F.lit(1)).alias("graph_targets")),
+        states.agg(F.count_if(F.col("state") == "resolved").alias("identified"), F.count_if(F.col("state") == "identity_conflict").alias("identity_conflicts")),
+        located.agg(F.count(F.lit(1)).alias("claims")),
+        placed.agg(
+            F.count(F.lit(1)).alias("placed"), F.count_if(F.col("node_type") == "band").alias("bands_placed"),
+            F.count_if(F.col("role") == "birthplace").alias("people_with_birthplace"),
+        ),
+        missing.agg(F.count(F.lit(1)).alias("unplaced")),
+        bridges.agg(F.count(F.lit(1)).alias("cross_place_relations")),
+    ]
+    row = counts[0]
+    for part in counts[1:]:
+        row = attach_row(row, part)
+    return row

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.functions import numeric, refs, text
 from evigraph.operators.evidence import induced_edges, is_actionable_seed, map_connections, with_tier
-from evigraph.operators.prefix import floor_quantile
+from evigraph.operators.prefix import floor_quantile, positions
 from evigraph.session import lookup
 
 
@@ -401,3 +403,13 @@ def work_lists(profiles: DataFrame, limit: int = 80) -> DataFrame:
     ))
     rows = profiles.select("id", "label", F.explode(entries).alias("list"), both.alias("score"))
     return top_per_group(rows, ["list"], [F.desc("score"), F.asc("id")], limit)
+
+
+def stable_positions(nodes: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Position of each node in its zone: by rank of its kind in `kinds`, start year (missing last), label without case, id."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("node_type")), F.lit(0))
+    ordered = nodes.select(
+        "id", "zone", F.when(rank == 0, len(kinds) + 1).otherwise(rank).cast("int").alias("_rank"),
+        F.coalesce("era_start", F.lit(9999)).alias("_era"), F.lower("label").alias("_label"),
+    )
+    return positions(ordered, [("_rank", True), ("_era", True), ("_label", True), ("id", True)], "position", ["zone"]).select("id", "zone", "position")

@@ -234,3 +234,43 @@ def best_request(requests: DataFrame, seeds: DataFrame, seen_ids: DataFrame, see
     options = fresh.join(mean, F.col("id") == F.col("request_id"))
     scored = options.withColumn("score", F.round(F.col("priority") + F.col("_mean"), 4))
     return scored.orderBy(F.desc("score"), F.asc("position")).limit(1).select("id", "score")
+
+
+def request_id_of_scope(name: Column, at: Column) -> Column:
+    """name-year-week of a request, by ISO year and week."""
+    week = F.lpad(F.extract(F.lit("WEEK"), at).cast("string"), 2, "0")
+    return F.concat_ws("-", name, F.extract(F.lit("YEAROFWEEK"), at).cast("string"), F.concat(F.lit("w"), week))
+
+
+def interpretation_notes(notes: DataFrame, batch: DataFrame, nodes: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Notes on facts joined to their batch row and, by entity and fingerprint, to the approved facts; and the warnings.
+
+    Notes are (batch_id, fact_index, related_nodes, interpretation). A note counts if its batch is a slug, its fact and source
+    exist, its text is not empty, and the fact's entity is among the related nodes, which must all be known.
+    """
+    ids = nodes.select(F.col("id").alias("_node")).distinct()
+    numbered = notes.withColumn("ref", F.concat_ws("#", "batch_id", F.col("fact_index").cast("string")))
+    facts = batch.select(F.col("batch_id").alias("_batch"), F.col("index").alias("_index"), "entity_id", "category", "source_url", "fingerprint")
+    joined = numbered.join(facts, (F.col("batch_id") == F.col("_batch")) & (F.col("fact_index") == F.col("_index")), "left")
+    related = joined.select("ref", F.explode(F.array_distinct("related_nodes")).alias("_related")).distinct()
+    lost = related.join(ids, F.col("_related") == F.col("_node"), "left_anti").select(F.col("ref").alias("_lost")).distinct()
+    marked = joined.join(lost, F.col("ref") == F.col("_lost"), "left").join(ids, F.col("entity_id") == F.col("_node"), "left")
+    form = F.col("batch_id").rlike("^[a-z0-9-]+$") & (F.col("fact_index") >= 1)
+    whole = (
+        F.col("_node").isNotNull() & (F.coalesce("source_url", F.lit("")) != "") & (F.trim(F.coalesce("interpretation", F.lit(""))) != "")
+        & F.col("_lost").isNull() & F.coalesce(F.array_contains("related_nodes", F.col("entity_id")), F.lit(False))
+    )
+    rule = F.when(~F.coalesce(form, F.lit(False)), "note_reference").when(~F.coalesce(whole, F.lit(False)), "note_incomplete")
+    judged = marked.withColumn("rule", rule)
+    known = approved.select(F.col("entity_id").alias("_e"), F.col("source_fingerprint").alias("_f"), F.lit(True).alias("approved")).distinct()
+    kept = judged.where("rule is null").join(known, (F.col("entity_id") == F.col("_e")) & (F.col("fingerprint") == F.col("_f")), "left")
+    rows = kept.select(
+        "ref", "entity_id", "category", "related_nodes", F.trim("interpretation").alias("interpretation"), "source_url", "fingerprint",
+        F.coalesce("approved", F.lit(False)).alias("approved"),
+    )
+    return rows, judged.where("rule is not null").select("rule", F.col("ref").alias("key"))
+
+
+def public_report(model: DataFrame) -> DataFrame:
+    """The model's groups (dimension, group, stats) without the examples inside `stats`, which name private candidates."""
+    return model.withColumn("stats", F.col("stats").dropFields("examples"))

@@ -327,3 +327,9 @@ def assemble_packages(seeds: DataFrame, pages: DataFrame, items: DataFrame, cata
     listed = leads.groupBy("seed").agg(F.array_sort(F.collect_set("identifier")).alias("archive_leads"))
     out = seeds.join(pages, "seed", "left").join(items, "seed", "left").join(catalogue, "seed", "left").join(listed, "seed", "left")
     return out.withColumn("archive_leads", F.coalesce("archive_leads", F.array().cast("array<string>")))
+
+
+def sitelink_matches(sources: Column, sitelink: Column) -> Column:
+    """Whether the article among the sources is the catalogue's; case and underscores don't count."""
+    title = refs.article_title(sources, "en")
+    return F.coalesce(F.lower(title) == F.translate(F.lower(sitelink), "_", " "), F.lit(False))

@@ -9,8 +9,8 @@ from evigraph.functions import refs
 from evigraph.operators import geography, resolve, spatial, titles, trials
 from evigraph.plans import views
 from evigraph.plans.registry import query
-from evigraph.session import cut_lineage
-from evigraph.sources import readers
+from evigraph.session import attach_row, cut_lineage
+from evigraph.sources import readers, sinks
 from evigraph.streaming import leases, review_log
 
 UID = vocab.MEMBERSHIP_TYPE_ID
@@ -405,6 +405,31 @@ def placements(spark, d):
     return geography.placements_from_claims(geography.location_claims(_identities(spark, d), claims), claims, _labels(spark, d))
 
 
+@query(
+    "snk11_geography_outputs",
+    _PLACE_SQL + """, t AS (SELECT 'artist-' || c_custkey AS id FROM customer UNION ALL SELECT 'band-' || s_suppkey FROM supplier)
+    SELECT count(*) AS graph_targets, count(*) FILTER (id NOT LIKE '%5' AND id NOT LIKE '%6') AS identified, count(*) FILTER (id LIKE '%5') AS identity_conflicts, (SELECT count(*) FROM loc) AS claims,
+      (SELECT count(*) FROM placed) AS placed, (SELECT count(*) FROM placed WHERE node_id LIKE 'band-%') AS bands_placed, (SELECT count(*) FROM placed WHERE role = 'birthplace') AS people_with_birthplace,
+      count(*) FILTER (id NOT IN (SELECT node_id FROM placed)) AS unplaced, (SELECT count(*) FROM placed) AS written FROM t""",
+    ("blocked",),
+)
+def geography_outputs(spark, d):
+    """A whole run written to the shared folder, and its summary row read back with the number of placements written."""
+    claims = cut_lineage(_claims(spark, d))
+    identities, nodes = _identities(spark, d), _nodes(spark, d)
+    located = geography.location_claims(identities, claims)
+    placed = geography.placements_from_claims(located, claims, _labels(spark, d))
+    states = identities.selectExpr("node_id", "case when node_id like '%5' then 'identity_conflict' when node_id like '%6' then 'identity_unresolved' else 'resolved' end as state")
+    targets = identities.select(F.col("node_id").alias("id"))
+    missing = geography.unresolved(targets, states, located, placed)
+    bridges = geography.cross_place_relations(_edges(spark, d), placed)
+    summary = geography.geography_summary(targets, states, located, placed, nodes, bridges, missing)
+    folder = leases.work_folder(spark, "geography")
+    sinks.write_geography(folder, summary, placed, located.where("node_id like '%7'"), missing)
+    written = spark.read.parquet(f"{folder}/placements").agg(F.count(F.lit(1)).alias("written"))
+    return attach_row(spark.read.parquet(f"{folder}/summary").drop("cross_place_relations"), written)
+
+
 @query(
     "agg27_unresolved",
     _PLACE_SQL + """ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN id LIKE '%5' THEN 'identity_conflict' WHEN id LIKE '%6' THEN 'identity_unresolved' WHEN l.node_id IS NULL THEN 'location_claim_missing' ELSE 'place_or_coordinates_missing' END AS reason
@@ -1064,8 +1089,7 @@ def identity_matches(spark, d):
     title = refs.article_title(F.col("sources"), "en")
     other = F.expr("case when id like '%1' then 'Elsewhere' else upper(regexp_extract(sources[0].url, '/wiki/(.*)$', 1)) end")
     other = F.when(other.rlike("^Q[0-9]"), F.upper(F.replace(title, F.lit(" "), F.lit("_")))).otherwise(other)
-    same = F.lower(title) == F.translate(F.lower(other), "_", " ")
-    return nodes.select("id", F.coalesce(same, F.lit(False)).alias("same"))
+    return nodes.select("id", resolve.sitelink_matches(F.col("sources"), other).alias("same"))
 
 
 @query(

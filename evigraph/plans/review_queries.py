@@ -627,7 +627,7 @@ def scope_of_kinds(spark, d):
     kinds = F.expr(
         "case o_orderkey % 5 when 3 then array('genre', 'guitar') when 2 then array('genre', 'genre') when 1 then array('genre', 'band') else array('artist') end"
     )
-    request = F.expr("concat('frontier-', extract(yearofweek from o_orderdate), '-w', lpad(cast(extract(week from o_orderdate) as string), 2, '0'))")
+    request = learning.request_id_of_scope(F.lit("frontier"), F.col("o_orderdate"))
     return views.table(spark, d, "orders").select("o_orderkey", learning.scope_of_kinds(kinds).alias("scope"), request.alias("request"))
 
 

@@ -98,3 +98,9 @@ def run_rows(packages: DataFrame) -> DataFrame:
         F.sum(F.size(F.filter("music_candidates", lambda c: c["documented_relation"].isNotNull()))).alias("documented"),
         F.sum(F.size("source_errors")).alias("source_errors"),
     )
+
+
+def write_geography(folder: str, summary: DataFrame, placements: DataFrame, pending: DataFrame, missing: DataFrame) -> None:
+    """The outputs of a geography run: the dataset, the candidates with a location, what has no place, and the counts."""
+    for name, rows in (("placements", placements), ("pending", pending), ("unresolved", missing), ("summary", summary)):
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
