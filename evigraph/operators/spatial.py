@@ -13,7 +13,7 @@ from evigraph.functions import numeric
 from evigraph.functions.hashing import pair_key
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.prefix import positions as row_positions
-from evigraph.session import attach_row, lookup
+from evigraph.session import cut_lineage, attach_row, lookup
 
 SALTS = 4
 
@@ -206,8 +206,9 @@ def constraint_totals(details: DataFrame) -> DataFrame:
 def growth_hints(edges: DataFrame, nodes: DataFrame, fresh: DataFrame, per_node: int = 2) -> DataFrame:
     """Near-constraints for new nodes from their strongest sourced relations, at most `per_node` per new node.
 
-    The order-independent form of a greedy choice: an edge counts when it is among the best of both fresh ends. It
-    differs from the greedy form only where an edge dropped at one end would have freed a place at the other.
+    Relations are taken by strength, then id, each if its new ends still have a free place. In sets: an open relation
+    that ranks within the free places of all its new ends is taken whatever happens to the others, and those with
+    a full end go; this is repeated until none is open. The strongest open relation always counts, so each round ends some.
     """
     from evigraph.functions.refs import has_url
     from evigraph.operators.graph import first_per_key, top_per_group
@@ -219,14 +220,29 @@ def growth_hints(edges: DataFrame, nodes: DataFrame, fresh: DataFrame, per_node:
     usable = usable.withColumn("pair", pair_key(F.col("source"), F.col("target")))
     best = first_per_key(usable, ["pair"], [F.desc("strength"), F.asc("id")])
     placed = lookup(best, zones, "source", "_zid").withColumnRenamed("_zone", "source_zone").drop("_zid")
-    placed = lookup(placed, zones, "target", "_zid").withColumnRenamed("_zone", "target_zone").drop("_zid")
-    ends = placed.withColumn("_end", F.explode(F.array("source", "target"))).join(ids, F.col("_end") == F.col("_fresh"))
-    fresh_ends = ends.groupBy("id").agg(F.count(F.lit(1)).alias("_ends"))
-    kept = top_per_group(ends, ["_end"], [F.desc("strength"), F.asc("id")], per_node)
-    kept_ends = kept.groupBy("id").agg(F.count(F.lit(1)).alias("_kept"))
-    chosen = fresh_ends.join(kept_ends, "id").where(F.col("_ends") == F.col("_kept")).select("id")
+    placed = cut_lineage(lookup(placed, zones, "target", "_zid").withColumnRenamed("_zone", "target_zone").drop("_zid"))
+
+    ends = placed.select("id", "strength", F.explode(F.array_distinct(F.array("source", "target"))).alias("end"))
+    open_ends = cut_lineage(ends.join(ids, F.col("end") == F.col("_fresh")).select("id", "strength", "end"))
+    taken: list[DataFrame] = []
+    used = open_ends.select("end").limit(0).withColumn("used", F.lit(0).cast("long"))
+    while not open_ends.isEmpty():
+        count = open_ends.groupBy("id").agg(F.count(F.lit(1)).alias("_ends"))
+        places = open_ends.join(used, "end", "left").withColumn("free", per_node - F.coalesce("used", F.lit(0)))
+        ranked = top_per_group(places, ["end"], [F.desc("strength"), F.asc("id")], per_node)
+        good = ranked.where("rank <= free").groupBy("id").agg(F.count(F.lit(1)).alias("_good"))
+        chosen = cut_lineage(count.join(good, "id").where(F.col("_ends") == F.col("_good")).select("id"))
+        taken.append(chosen)
+        now = open_ends.join(chosen, "id", "left_semi").groupBy("end").agg(F.count(F.lit(1)).alias("used"))
+        used = cut_lineage(used.unionByName(now).groupBy("end").agg(F.sum("used").alias("used")))
+        full = used.where(F.col("used") >= per_node).select("end")
+        lost = open_ends.join(full, "end", "left_semi").select("id").union(chosen).distinct()
+        open_ends = cut_lineage(open_ends.join(lost, "id", "left_anti").select("id", "strength", "end"))
+    picked = placed.select("id").limit(0)
+    for part in taken:
+        picked = picked.union(part)
     reach = F.when(F.col("source_zone") == F.col("target_zone"), 700).otherwise(1200)
-    return placed.join(chosen, "id").select(
+    return placed.join(picked, "id").select(
         F.concat(F.lit("growth-"), "id").alias("id"), F.lit("near").alias("kind"), "source", "target",
         reach.cast("double").alias("max_distance"), F.col("id").alias("evidence_edge_id"),
     )

@@ -8,7 +8,7 @@ from evigraph import vocab
 from evigraph.functions import refs
 from evigraph.operators import geography, resolve, spatial, titles, trials
 from evigraph.plans import views
-from evigraph.plans.registry import query
+from evigraph.plans.registry import ORACLES, query
 from evigraph.session import attach_row, cut_lineage
 from evigraph.sources import readers, sinks
 from evigraph.streaming import leases, review_log
@@ -754,8 +754,11 @@ def metric_mismatches(spark, d):
     "win14_growth_hints",
     """, fr AS (SELECT id FROM entities WHERE id LIKE '%7'), u AS (SELECT id, source, target, coalesce(strength, 0) AS s FROM tiered WHERE type = 'member_of' AND tier = 'source_linked'),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY s DESC, id) AS n FROM u) WHERE n = 1),
-    e AS (SELECT id, s, unnest([source, target]) AS en FROM b), ef AS (SELECT *, row_number() OVER (PARTITION BY en ORDER BY s DESC, id) AS r FROM e WHERE en IN (SELECT id FROM fr))
-    SELECT 'growth-' || id AS id FROM ef GROUP BY id HAVING count(*) = count(*) FILTER (r <= 2)""",
+    c AS (SELECT id, list_filter([source, target], lambda v: v LIKE '%7') AS ends, row_number() OVER (ORDER BY s DESC, id) AS n FROM b WHERE source IN (SELECT id FROM fr) OR target IN (SELECT id FROM fr)),
+    g AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, CAST([] AS VARCHAR[]) AS used, FALSE AS taken
+      UNION ALL SELECT n, id, CASE WHEN ok THEN list_concat(used, ends) ELSE used END, ok FROM (
+        SELECT c.n, c.id, g.used, c.ends, len(list_filter(c.ends, lambda v: len(list_filter(g.used, lambda w: w = v)) >= 2)) = 0 AS ok FROM g JOIN c ON c.n = g.n + 1))
+    SELECT 'growth-' || id AS id FROM g WHERE taken""",
     ("entities", "relations", "tiered"),
 )
 def growth_hints(spark, d):
@@ -763,6 +766,9 @@ def growth_hints(spark, d):
     return spatial.growth_hints(_edges(spark, d), nodes, nodes.where("id like '%7'")).select("id")
 
 
+ORACLES["win14_growth_hints"] = ORACLES["win14_growth_hints"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(
     "win08_undated_slots",
     """SELECT id, 100.0 + ((n - 1) % 7 + 0.5) * 50.0 AS x, 200.0 + ((n - 1) // 7) * 126.0 AS y FROM (SELECT id, row_number() OVER (ORDER BY zone, label, id) AS n FROM entities WHERE era_start IS NULL)""",
