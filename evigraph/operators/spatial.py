@@ -15,35 +15,30 @@ from evigraph.operators.evidence import map_connections
 from evigraph.operators.prefix import positions as row_positions
 from evigraph.session import cut_lineage, attach_row, lookup
 
-SALTS = 4
-
 
 def _cells(points: DataFrame, width: float, height: float) -> DataFrame:
     return points.withColumn("_cx", F.floor(F.col("x") / width)).withColumn("_cy", F.floor(F.col("y") / height))
 
 
-def grid_pairs(points: DataFrame, width: float, height: float, keep: list[str], salts: int = SALTS) -> DataFrame:
+def grid_pairs(points: DataFrame, width: float, height: float, keep: list[str]) -> DataFrame:
     """Candidate pairs no further apart than one cell in each direction, each pair once with first.id < second.id.
 
-    The pairs of neighbouring cells are complete: the left side goes to its 9 surrounding cells. The right side is
-    spread over `salts` sub-cells and the left side copied to each, which bounds the rows a task joins.
+    A point meets its own cell and four of its neighbours, which finds each pair once; AQE splits crowded cells.
     """
-    base = _cells(points.select("id", "x", "y", *keep), width, height)
-
-    def side(prefix: str) -> list[Column]:
-        return [F.col(name).alias(f"{prefix}_{name}") for name in ["id", "x", "y", *keep]]
-
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    left = (
-        base.withColumn("_shift", F.explode(around))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
-        .select(
-            *side("a"), (F.col("_cx") + F.col("_shift.dx")).alias("_cx"), (F.col("_cy") + F.col("_shift.dy")).alias("_cy"), "_salt"
-        )
+    names = ["id", "x", "y", *keep]
+    base = _cells(points.select(*names), width, height)
+    half = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    left = base.withColumn("_shift", F.explode(half)).select(
+        *[F.col(name).alias(f"_l_{name}") for name in names], (F.col("_cx") + F.col("_shift.dx")).alias("_cx"), (F.col("_cy") + F.col("_shift.dy")).alias("_cy"),
+        ((F.col("_shift.dx") == 0) & (F.col("_shift.dy") == 0)).alias("_own"),
+    )
+    right = base.select(*[F.col(name).alias(f"_r_{name}") for name in names], "_cx", "_cy")
+    pairs = left.join(right, ["_cx", "_cy"]).where(F.when(F.col("_own"), F.col("_l_id") < F.col("_r_id")).otherwise(F.col("_l_id") != F.col("_r_id")))
+    first = F.col("_l_id") < F.col("_r_id")
+    return pairs.select(
+        *[F.when(first, F.col(f"_l_{name}")).otherwise(F.col(f"_r_{name}")).alias(f"a_{name}") for name in names],
+        *[F.when(first, F.col(f"_r_{name}")).otherwise(F.col(f"_l_{name}")).alias(f"b_{name}") for name in names],
     )
-    right = base.select(*side("b"), "_cx", "_cy", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
-    pairs = left.join(right, ["_cx", "_cy", "_salt"]).where(F.col("a_id") < F.col("b_id"))
-    return pairs.drop("_cx", "_cy", "_salt")
 
 
 def proximity_pairs(nodes: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph import vocab
 from evigraph.functions.numeric import laplace_rate
 from evigraph.functions.refs import has_url
 from evigraph.functions.text import fold_text
 from evigraph.operators.evidence import induced_edges, map_connections
 from evigraph.operators.graph import endpoints, first_per_key, top_per_group
 from evigraph.operators.prefix import positions
+from evigraph.session import attach_row
 
 # Words that say nothing about a zone.
 STOP_WORDS = (
@@ -81,29 +83,41 @@ def zone_scores(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Score of each text in each zone: a matched term counts max(2, words + 1), the current zone one more.
 
     Texts are (id, text, zone) with folded text; terms (zone, term, weight) with folded terms, weight null for fixed
-    terms and clamp(0.35 w, 0.5, 6) for learned ones. A term is looked up by its first word among the distinct words
-    of a text, and a phrase is then looked for in the text, so any number of terms costs one join.
+    terms and clamp(0.35 w, 0.5, 6) for learned ones. A word matches as a whole word, by one join with the distinct words
+    of the texts; a phrase matches as a substring, looked for in the row that holds the text. The phrases are one row
+    beside it: a vocabulary, some hundred phrases of each zone. No text is shuffled.
     """
     parts = F.split("term", " ")
     value = F.when(F.col("weight").isNull(), F.greatest(F.lit(2), F.size(parts) + 1).cast("double")).otherwise(
         F.least(F.lit(6.0), F.greatest(F.lit(0.5), F.col("weight") * 0.35))
     )
-    table = terms.where(F.col("term") != "").select(F.col("zone").alias("_zone"), "term", parts[0].alias("_word"), value.alias("_value"))
-    words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
-    found = words.join(table, "_word").drop("_word")
+    table = terms.where(F.col("term") != "").select(F.col("zone").alias("_zone"), "term", value.alias("_value"))
     phrase = F.contains("term", F.lit(" "))
-    padded = texts.select("id", F.concat(F.lit(" "), "text", F.lit(" ")).alias("_text"))
-    spelled = found.where(phrase).join(padded, "id").where(F.contains("_text", F.concat(F.lit(" "), "term", F.lit(" "))))
-    both = found.where(~phrase).unionByName(spelled.drop("_text"))
-    hits = both.groupBy("id", F.col("_zone").alias("zone")).agg(F.sum("_value").alias("score"))
+    words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("term"))
+    by_word = words.join(table.where(~phrase), "term").select("id", F.col("_zone").alias("zone"), F.col("_value").alias("score"))
+    phrases = table.where(phrase).agg(F.collect_list(F.struct("_zone", "term", "_value")).alias("_phrases"))
+    spelled = attach_row(texts.select("id", "text"), phrases).select("id", F.explode(F.filter("_phrases", lambda p: F.contains(F.col("text"), p["term"]))).alias("p"))
+    by_phrase = spelled.select("id", F.col("p._zone").alias("zone"), F.col("p._value").alias("score"))
     own = texts.where(F.col("zone") != "").select("id", "zone", F.lit(1.0).alias("score"))
-    return hits.unionByName(own).groupBy("id", "zone").agg(F.sum("score").alias("score"))
+    return by_word.unionByName(by_phrase).unionByName(own).groupBy("id", "zone").agg(F.sum("score").alias("score"))
 
 
-def best_zones(scores: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Zone with the highest score; ties follow the fixed order of zones (zone, zone_rank)."""
-    joined = scores.where(F.col("score") > 0).join(ranks, "zone")
-    return first_per_key(joined, ["id"], [F.desc("score"), F.asc("zone_rank")]).select("id", "zone", "score")
+def best_zones(nodes: DataFrame, scores: DataFrame, ranks: DataFrame, default: str = "rock-circuit") -> DataFrame:
+    """Zone of each node (id, node_type, preferred_zone, learned_zone), and the score if that decided.
+
+    Instruments belong to the workshop; then a preferred, then a learned zone counts if it is among `ranks` (zone,
+    zone_rank); then the best positive score, ties by rank; nodes without any get the default zone.
+    """
+    joined = scores.where(F.col("score") > 0).join(ranks, "zone").where(F.col("zone") != vocab.WORKSHOP_ZONE)
+    best = first_per_key(joined, ["id"], [F.desc("score"), F.asc("zone_rank")]).select("id", F.col("zone").alias("_best"), "score")
+    known = ranks.agg(F.collect_set("zone").alias("_known"))  # the zones of the layout
+    rows = attach_row(nodes.join(best, "id", "left"), known)
+    fixed = F.coalesce(
+        F.when(F.col("node_type").isin("guitar", "guitar_brand"), F.lit(vocab.WORKSHOP_ZONE)),
+        F.when(F.array_contains("_known", F.col("preferred_zone")), F.col("preferred_zone")),
+        F.when(F.array_contains("_known", F.col("learned_zone")), F.col("learned_zone")),
+    )
+    return rows.select("id", F.coalesce(fixed, "_best", F.lit(default)).alias("zone"), F.when(fixed.isNull(), F.col("score")).alias("score"))
 
 
 def top_tags(scores: DataFrame, fallback: DataFrame, limit: int = 3) -> DataFrame:

@@ -868,15 +868,17 @@ _TERMS = (("rock-circuit", "by the"), ("rock-circuit", "of"), ("jazz", "the"), (
 
 
 def _zone_terms(spark, d):
-    """Fixed terms, and each word-long supplier number as a learned term."""
+    """Fixed terms, and a learned word or phrase of each nation's zone that texts hold, some with weights past either clamp."""
     fixed = " union all ".join(f"select '{z}' as zone, '{t}' as term, cast(null as double) as weight" for z, t in _TERMS)
-    learned = views.table(spark, d, "nation").selectExpr("concat('nation-', n_nationkey) as zone", "concat('t', n_nationkey, ' of') as term", "cast(n_nationkey as double) as weight")
+    learned = views.table(spark, d, "nation").selectExpr("concat('nation-', n_nationkey) as zone", "element_at(array('the', 'on the', 'und', 'er und', 'de la'), n_nationkey % 5 + 1) as term", "cast(n_nationkey as double) as weight")
     return spark.sql(fixed).union(learned)
 
 
 _ZS_SQL = r""", tx AS (SELECT doc_id AS id, trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) AS t, CASE WHEN doc_id % 2 = 0 THEN 'jazz' ELSE '' END AS zone FROM documents),
   tm AS (SELECT * FROM (VALUES """ + ", ".join(f"('{z}', '{t}')" for z, t in _TERMS) + r""") v(zone, term)),
-  sc AS (SELECT id, zone, sum(s) AS score FROM (SELECT tx.id, tm.zone, greatest(2, len(string_split(term, ' ')) + 1) AS s FROM tx JOIN tm ON contains(' ' || t || ' ', ' ' || term || ' ')
+  sc AS (SELECT id, zone, sum(s) AS score FROM (SELECT tx.id, tm.zone, greatest(2, len(string_split(term, ' ')) + 1) AS s FROM tx JOIN tm ON CASE WHEN contains(term, ' ') THEN contains(t, term) ELSE contains(' ' || t || ' ', ' ' || term || ' ') END
+    UNION ALL SELECT tx.id, 'nation-' || n_nationkey, least(6.0, greatest(0.5, n_nationkey * 0.35)) FROM tx JOIN (SELECT n_nationkey, ['the', 'on the', 'und', 'er und', 'de la'][n_nationkey % 5 + 1] AS term FROM nation)
+      ON CASE WHEN contains(term, ' ') THEN contains(t, term) ELSE contains(' ' || t || ' ', ' ' || term || ' ') END
     UNION ALL SELECT id, zone, 1 FROM tx WHERE zone <> '') GROUP BY id, zone)"""
 
 
@@ -894,13 +896,19 @@ def zone_scores(spark, d):
 
 @query(
     "join25_best_zones",
-    _ZS_SQL + """, rk AS (SELECT * FROM (VALUES ('rock-circuit', 0), ('punk-alt', 1), ('jazz', 2), ('folk-country-vise', 3)) v(zone, r))
-    SELECT id, zone, CAST(score AS DOUBLE) AS score FROM (SELECT sc.*, row_number() OVER (PARTITION BY id ORDER BY score DESC, r) AS n FROM sc JOIN rk ON rk.zone = sc.zone) WHERE n = 1""",
+    _ZS_SQL + """, rk AS (SELECT * FROM (VALUES ('rock-circuit', 0), ('punk-alt', 1), ('jazz', 2), ('folk-country-vise', 3)) v(zone, r)),
+    b AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY id ORDER BY score DESC, r) AS n FROM sc JOIN rk ON rk.zone = sc.zone) WHERE n = 1),
+    f AS (SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN 'guitar-workshop' WHEN doc_id % 17 = 0 THEN 'jazz' WHEN doc_id % 23 = 0 THEN 'punk-alt' END AS fixed FROM documents)
+    SELECT f.id, coalesce(fixed, b.zone, 'rock-circuit') AS zone, CASE WHEN fixed IS NULL THEN CAST(score AS DOUBLE) END AS score FROM f LEFT JOIN b ON b.id = f.id""",
     ("blocked",),
 )
 def best_zones(spark, d):
     ranks = spark.sql("select * from values ('rock-circuit', 0), ('punk-alt', 1), ('jazz', 2), ('folk-country-vise', 3) as v(zone, zone_rank)")
-    return trials.best_zones(_zone_scores(spark, d), ranks)
+    nodes = views.table(spark, d, "documents").selectExpr(
+        "doc_id as id", "case when doc_id % 13 = 0 then 'guitar' else 'artist' end as node_type",
+        "case when doc_id % 17 = 0 then 'jazz' when doc_id % 19 = 0 then 'nowhere' end as preferred_zone", "case when doc_id % 23 = 0 then 'punk-alt' end as learned_zone",
+    )
+    return trials.best_zones(nodes, _zone_scores(spark, d), ranks)
 
 
 @query(

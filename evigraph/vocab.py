@@ -266,3 +266,6 @@ FINAL_STATUSES = ("approved", "imported", "rejected")
 POSITIVE_STATUSES = ("approved", "imported")
 SOURCE_REASONS = ("duplicate", "wrong_entity", "weak_source", "weak_connection", "incorrect_fact")
 DUPLICATE_PHRASES = ("duplicate", "already in graph", "existing node")
+
+# Fixed value: the zone of instruments and their makers.
+WORKSHOP_ZONE = "guitar-workshop"

@@ -237,6 +237,10 @@ def test_zone_scores_words_and_phrases(spark):
     terms = spark.createDataFrame([("x", "hard rock", None), ("y", "rock", None), ("y", "edge", 100.0), ("y", "ock", None)], "zone string, term string, weight double")
     got = {(r.id, r.zone): r.score for r in trials.zone_scores(texts, terms).collect()}
     assert got == {(1, "x"): 4.0, (1, "y"): 2.0, (2, "y"): 6.0}
+    plan = trials.zone_scores(texts, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+    inner = spark.createDataFrame([("x", "ard roc", None)], "zone string, term string, weight double")
+    assert [(r.id, r.score) for r in trials.zone_scores(texts, inner).where("zone = 'x' and score > 1").collect()] == [(1, 4.0)]
 
 
 def test_scope_order(spark):
