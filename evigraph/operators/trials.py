@@ -95,8 +95,9 @@ def zone_scores(texts: DataFrame, terms: DataFrame) -> DataFrame:
     phrase = F.contains("term", F.lit(" "))
     words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("term"))
     by_word = words.join(table.where(~phrase), "term").select("id", F.col("_zone").alias("zone"), F.col("_value").alias("score"))
-    phrases = table.where(phrase).agg(F.collect_list(F.struct("_zone", "term", "_value")).alias("_phrases"))
-    spelled = attach_row(texts.select("id", "text"), phrases).select("id", F.explode(F.filter("_phrases", lambda p: F.contains(F.col("text"), p["term"]))).alias("p"))
+    phrases = table.where(phrase).agg(F.collect_list(F.struct("_zone", "term", "_value"))).scalar()
+    beside = texts.select("id", "text", phrases.alias("_phrases"))
+    spelled = beside.select("id", F.explode(F.filter("_phrases", lambda p: F.contains(F.col("text"), p["term"]))).alias("p"))
     by_phrase = spelled.select("id", F.col("p._zone").alias("zone"), F.col("p._value").alias("score"))
     own = texts.where(F.col("zone") != "").select("id", "zone", F.lit(1.0).alias("score"))
     return by_word.unionByName(by_phrase).unionByName(own).groupBy("id", "zone").agg(F.sum("score").alias("score"))
