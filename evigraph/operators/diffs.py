@@ -52,6 +52,57 @@ def batch_gate(
     return broken.unionByName(unreviewed).unionByName(count)
 
 
+def graph_gate(
+    before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], published: tuple[DataFrame, DataFrame],
+    promoted: tuple[DataFrame, DataFrame], ledger: DataFrame, backfills: DataFrame | None = None,
+) -> DataFrame:
+    """Violations of a reviewed batch as a whole; each pair is (nodes, edges) with the same columns everywhere.
+
+    Ids are unique; an old node stays as it is unless `backfills` (id, allowed) permits its change; a new node is a band
+    with a catalogue id and source, is the target of a new reviewed membership and equals its promoted copy but for its
+    place; a new edge equals its promoted copy and has a catalogue source; the published copy equals the new graph.
+    """
+    def says(rows: DataFrame, rule: str) -> DataFrame:
+        return rows.select(F.lit(rule).alias("rule"), F.col("id").alias("key"))
+
+    def repeated(rows: DataFrame, rule: str) -> DataFrame:
+        return says(rows.groupBy("id").count().where("count > 1"), rule)
+
+    def differing(rows: DataFrame, copy: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+        names = [c for c in sorted(rows.columns) if c not in drop]
+        own = rows.select("id", row_hash(*[F.col(c) for c in names]).alias("_own"))
+        other = copy.select(F.col("id").alias("_copy"), row_hash(*[F.col(c) for c in names]).alias("_other"))
+        return own.join(other, F.col("id") == F.col("_copy"), "left").where(~F.col("_own").eqNullSafe(F.col("_other"))).select("id")
+
+    def sourced(pattern: Column) -> Column:
+        return F.exists("sources", lambda v: F.coalesce((v["provider"] == "musicbrainz") & F.regexp_like(v["url"], pattern), F.lit(False)))
+
+    found = [repeated(frame, f"duplicate_{name}") for pair in (before, after) for name, frame in zip(("node", "edge"), pair, strict=True)]
+    diff = snapshot_diff(before[0], after[0])
+    changed = diff.where(F.col("state").isin("changed", "removed")).select("id")
+    if backfills is not None:
+        changed = changed.join(backfills.where("allowed").select("id"), "id", "left_anti")
+    found.append(says(changed, "existing_node"))
+    reviewed = ledger.where(F.col("kind") == "typed_connection").select(F.col("edge_id").alias("_edge")).distinct()
+    additions = after[1].join(before[1].select("id"), "id", "left_anti")
+    linked = additions.where(F.col("type") == "member_of").join(reviewed, F.col("id") == F.col("_edge"), "left_semi").select(F.col("target").alias("_linked")).distinct()
+    fresh = after[0].join(diff.where(F.col("state") == "added").select("id"), "id", "left_semi")
+    judged = fresh.join(linked, F.col("id") == F.col("_linked"), "left")
+    address = F.concat(F.lit("^https://musicbrainz[.]org/artist/"), F.substring("id", 9, 36), F.lit("$"))
+    good = F.col("_linked").isNotNull() & (F.col("node_type") == "band") & F.col("id").rlike("^mb-band-[0-9a-f-]{36}$") & sourced(address)
+    bad = judged.where(~F.coalesce(good, F.lit(False))).select("id").union(differing(fresh, promoted[0], ("x", "y"))).distinct()
+    found.append(says(bad, "new_node"))
+    loose = additions.where(~F.coalesce(sourced(F.lit("^https://musicbrainz[.]org/artist/")), F.lit(False))).select("id")
+    found.append(says(loose.union(differing(additions, promoted[1])).distinct(), "new_edge"))
+    for name, own, copy in zip(("node", "edge"), after, published, strict=True):
+        apart = differing(own, copy).union(copy.select("id").join(own.select("id"), "id", "left_anti")).distinct()
+        found.append(says(apart, f"published_{name}"))
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def documented_backfill(before: DataFrame, after: DataFrame) -> DataFrame:
     """Whether each changed node only gained a valid year with evidence among its kept sources.
 

@@ -208,6 +208,21 @@ def batch_completeness(reviewed_ids: DataFrame, rows: DataFrame, zones: Sequence
     return rules.unionByName(duplicates(reviewed_ids, F.col("id"), "duplicate_id"))
 
 
+def batch_edges(edges: DataFrame, nodes: DataFrame, prefix: str, expected: int) -> DataFrame:
+    """The edges of a reviewed batch: as many as expected, ids unique, both ends known, context and sources given."""
+    rows = edges.where(F.startswith("id", F.lit(prefix)))
+    ids = nodes.select(F.col("id").alias("_node")).distinct()
+    ends = rows.select("id", F.explode(F.array("source", "target")).alias("_end"))
+    lost = ends.join(ids, F.col("_end") == F.col("_node"), "left_anti").select(F.lit("unknown_end").alias("rule"), F.col("id").alias("key"), F.col("_end").alias("detail"))
+    rules = violations(rows, F.col("id"), [
+        _rule("no_context", F.coalesce(F.size("context"), F.lit(0)) <= 0),
+        _rule("no_sources", F.coalesce(F.size("sources"), F.lit(0)) <= 0),
+    ])
+    count = rows.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") != expected)
+    count = count.select(F.lit("edge_count").alias("rule"), F.lit(prefix).alias("key"), F.col("_n").cast("string").alias("detail"))
+    return rules.unionByName(duplicates(rows, F.col("id"), "duplicate_id")).unionByName(lost).unionByName(count)
+
+
 def early_pool_issues(pool: DataFrame) -> DataFrame:
     """Plausibility issues of early performers: role, ages and identity signals."""
     issue = lambda condition, text: F.when(F.coalesce(condition, F.lit(False)), F.lit(text))

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from evigraph import vocab
 from evigraph.functions import text
-from evigraph.operators import graph, learning, validate
+from evigraph.operators import diffs, graph, learning, validate
 from evigraph.plans import views
 from evigraph.plans.registry import query
 from evigraph.sources import readers
@@ -164,3 +164,36 @@ def interpretation_notes(spark, d):
 )
 def stable_positions(spark, d):
     return graph.stable_positions(views.entities(spark, d), vocab.NODE_KINDS)
+
+
+@query(
+    "val10_batch_edges",
+    """, r AS (SELECT * FROM relations WHERE starts_with(id, 'p-1')), k AS (SELECT id FROM entities WHERE id NOT LIKE '%7')
+    SELECT 'no_context' AS rule, id AS key FROM r WHERE len(context) = 0 UNION ALL SELECT 'no_sources', id FROM r WHERE len(sources) = 0
+    UNION ALL SELECT 'duplicate_id', id FROM r GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 'unknown_end', id FROM (SELECT id, unnest([source, target]) AS e FROM r) WHERE e NOT IN (SELECT id FROM k) UNION ALL SELECT 'edge_count', 'p-1'""",
+    ("entities", "relations"),
+)
+def batch_edges(spark, d):
+    nodes = views.entities(spark, d).where("id not like '%7'")
+    return validate.batch_edges(views.relations(spark, d), nodes, "p-1", 5).select("rule", "key")
+
+
+@query(
+    "val08_graph_gate",
+    """, n AS (SELECT * FROM entities), e AS (SELECT DISTINCT source AS id FROM relations WHERE type = 'made_by')
+    SELECT 'existing_node' AS rule, id AS key FROM n WHERE id LIKE '%3' AND id NOT LIKE '%9' AND id NOT LIKE '%13' UNION ALL SELECT 'new_node', id FROM n WHERE id LIKE '%9'
+    UNION ALL SELECT 'new_edge', 'm-' || id FROM e WHERE id LIKE '%9' UNION ALL SELECT 'published_node', id FROM n WHERE id LIKE '%5'""",
+    ("entities", "relations"),
+)
+def graph_gate(spark, d):
+    """Entities on 9 are new but no catalogue bands, those on 3 changed (on 13 as permitted), those on 5 differ where published."""
+    names = ["id", "label", "node_type", "zone", "x", "y", "sources"]
+    nodes = views.entities(spark, d).select(*names)
+    after = nodes.withColumn("label", F.expr("case when id like '%3' then concat(label, ' x') else label end"))
+    edges = views.relations(spark, d).where("type = 'made_by'").selectExpr("concat('m-', source) as id", "type", "source", "target", f"{views.NO_SOURCES} as sources").distinct()
+    old = (nodes.where("id not like '%9'"), edges.where("source not like '%9'"))
+    published = after.withColumn("zone", F.expr("case when id like '%5' then 'elsewhere' else zone end"))
+    ledger = edges.selectExpr("'typed_connection' as kind", "id as edge_id")
+    permitted = nodes.selectExpr("id", "id like '%13' as allowed")
+    return diffs.graph_gate(old, (after, edges), (published, edges), (after, edges), ledger, permitted).select("rule", "key")

@@ -191,6 +191,30 @@ def test_batch_gate_rejects_bad_batches(spark):
     assert {r.rule for r in diffs.batch_gate(before, before, ledger).collect()} == {"addition_count"}
 
 
+def test_graph_gate_passes_a_reviewed_batch(spark):
+    ident = "0123456789abcdef0123456789abcdef0123"
+    source = [("MB", f"https://musicbrainz.org/artist/{ident}", "musicbrainz")]
+    kinds = "sources array<struct<label:string,url:string,provider:string>>"
+    node_kind = f"id string, node_type string, x double, y double, {kinds}"
+    edge_kind = f"id string, type string, source string, target string, {kinds}"
+    old = [("a", "artist", 0.0, 0.0, [])]
+    band = (f"mb-band-{ident}", "band", 1.0, 2.0, source)
+    link = ("e", "member_of", "a", band[0], source)
+    nodes = lambda rows: spark.createDataFrame(rows, node_kind)
+    edges = lambda rows: spark.createDataFrame(rows, edge_kind)
+    ledger = spark.createDataFrame([("typed_connection", "e")], "kind string, edge_id string")
+    after = (nodes([*old, band]), edges([link]))
+    moved = (nodes([(*band[:2], 9.0, 9.0, source)]), edges([link]))
+    assert diffs.graph_gate((nodes(old), edges([])), after, after, moved, ledger).collect() == []
+    weak = (nodes([*old, band]), edges([(*link[:4], [])]))
+    rules = {(r.rule, r.key) for r in diffs.graph_gate((nodes(old), edges([])), weak, after, moved, ledger).collect()}
+    assert rules == {("new_edge", "e"), ("published_edge", "e")}
+    none = spark.createDataFrame([], ledger.schema)
+    assert {r.rule for r in diffs.graph_gate((nodes(old), edges([])), after, after, moved, none).collect()} == {"new_node"}
+    twice = (nodes([("a", "artist", 5.0, 0.0, []), band, band]), edges([link]))
+    assert {r.rule for r in diffs.graph_gate((nodes(old), edges([])), twice, twice, moved, ledger).collect()} == {"duplicate_node", "existing_node"}
+
+
 def test_co_occurrence_makes_each_pair_once(spark):
     rows = [("r", m) for m in ("c", "a", "b", "a")] + [("s", "a"), ("s", "b")]
     got = assemble.co_occurrence(spark.createDataFrame(rows, "release_id string, member string"))
