@@ -1,10 +1,11 @@
 """Near-duplicate join of word-shingle sets: size-banded tiles, hashed bitmaps that bound overlap, exact intersection.
 
 Two sets with Jaccard similarity of at least 3/4 share one of the first |s| - ceil(3|s|/4) + 1 shingles of either, in any
-order common to all sets; frequent shingles come last in ours. A tile is one such shingle and one band of sizes, and holds
-the sets of the band (residents) and of the next (visitors): two similar sets are in the same or in neighbouring bands.
-Inside a tile nothing is compared by all pairs at once: all sets meet three residents first, the links found there join
-sets to components, and only then are the tile's different components compared, in blocks, by their bitmaps.
+order common to all sets; frequent shingles come last in ours. At the first that two similar sets share, the rest of
+either is at least as long as the overlap they need, which bounds its position. Where few sets share a shingle they are
+paired at once. The others form tiles of one shingle and one band of sizes, which hold the sets of the band (residents) and
+of the next (visitors): similar sets are in the same or in neighbouring bands. In a tile all sets meet three residents
+first, the links found there join sets to components, and only then are different components compared, in blocks, by bitmaps.
 Candidates that the bitmaps admit are verified on the sorted sets, best first, until no admitted pair joins two components.
 """
 
@@ -28,7 +29,10 @@ HOT_LOCAL, HOT_SETS, HOT_KEPT = 3, 64, 200_000
 BROADCAST_IDS = 1_000_000
 BAND = math.log(1.34)  # a little over 4/3, so that rounding can't move two similar sets two bands apart
 LEADERS = 3
+FEW = 16
+MORE = 64
 BLOCK = 512
+SALTS = 64
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SPACES = re.compile(rb"[\x20\x09-\x0D]")
 _random = np.random.default_rng(20240229)
@@ -94,8 +98,8 @@ def node_of(found: np.ndarray) -> bytes:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Four to eight bits for each shingle; a power of two, so that longer bitmaps fold to shorter ones."""
-    width = max(64, 1 << int(4 * len(found) - 1).bit_length())
+    """Two to four bits for each shingle; a power of two, so that longer bitmaps fold to shorter ones."""
+    width = max(64, 1 << int(2 * len(found) - 1).bit_length())
     bits = np.zeros(width, dtype=bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -109,7 +113,7 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (doc_id, n, node, bits), and of shingles with their number of sets in this task (key, uses)."""
-    for batch in batches:
+    for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
         ids, sizes, nodes, maps, seen, found_here = batch.column("doc_id").to_pylist(), [], [], [], set(), []
         for text in batch.column("text"):
             found = shingles(text.as_py())
@@ -129,16 +133,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["doc_id", "n", "node", "bits", "key", "uses"])
 
 
-def _prefixes(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """key, n, node and hot for each shingle of the sets' prefixes; equal sets of one task count once."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)  # HOT_KEPT hashes
+PREFIX = "key bigint, salt int, a bigint, b bigint, n int, pos int"
+
+
+def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The shingles of the sets' prefixes: key, set (its 16 bytes as a and b), size and position; salt is 0 but for hot keys.
+
+    Equal sets of one task count once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_KEPT hashes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         frequent = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                keys, nodes, sizes, hots = [], [], [], []
+                keys, salts, nodes, sizes, places = [], [], [], [], []
                 for text in batch.column("text").slice(at, 512):
                     found = shingles(text.as_py())
                     node = node_of(found)
@@ -149,30 +159,109 @@ def _prefixes(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                     seen.add(node)
                     size = len(found)
                     take = size - (3 * size + 3) // 4 + 1
+                    n_cold = size
                     if len(frequent):
-                        where = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                        is_hot = frequent[where] == found
-                        found = np.concatenate([found[~is_hot], found[is_hot]])[:take]
-                        hots.append(np.arange(take) >= np.count_nonzero(~is_hot))
-                    else:
-                        found = found[:take]
-                        hots.append(np.zeros(take, dtype=bool))
-                    keys.append(found)
-                    nodes += [node] * take
+                        is_hot = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+                        n_cold = size - int(np.count_nonzero(is_hot))
+                        found = np.concatenate([found[~is_hot], found[is_hot]])
+                    keys.append(found[:take])
+                    nodes.append(np.frombuffer(node, dtype=">i8").astype(np.int64).repeat(take).reshape(2, take))
                     sizes.append(np.full(take, size))
+                    places.append(np.arange(take))
+                    salts.append(np.where(places[-1] < n_cold, 0, 1 + node[0] % SALTS))
                 if keys:
+                    both = np.concatenate(nodes, axis=1)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes), pa.int32()), pa.array(nodes, pa.binary()), pa.array(np.concatenate(hots)),
-                    ], ["key", "n", "node", "hot"])
+                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int32()), pa.array(both[0]), pa.array(both[1]),
+                        pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(places), pa.int32()),
+                    ], [x.split()[0] for x in PREFIX.split(", ")])
+
+    return docs.mapInArrow(cut, PREFIX)
+
+
+def _possible(nx: np.ndarray, ny: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Sizes that can reach 3/4, and positions after which either set still holds the overlap they need."""
+    need = (3 * (nx + ny) + 6) // 7
+    return (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)) & (nx - px >= need) & (ny - py >= need)
 
-    return rows.mapInArrow(cut, "key bigint, n int, node binary, hot boolean")
+
+def _meetings(prefixes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of sets that share a rare shingle, and members (key, n, pos, x) of the tiles that have more than FEW.
+
+    The rows of a hot key are spread by salt and pass as members; the rows of any other key come together in order.
+    """
+
+    def as_bytes(a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        raw = np.stack([a, b], axis=1).astype(">i8").tobytes()
+        return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+    def members(rows: np.ndarray) -> pa.RecordBatch:
+        m = len(rows)
+        return pa.RecordBatch.from_arrays([
+            pa.array(rows[:, 0]), pa.array(rows[:, 4], pa.int32()), pa.array(rows[:, 5], pa.int32()), pa.array(as_bytes(rows[:, 2], rows[:, 3]), pa.binary()),
+            pa.nulls(m, pa.binary()),
+        ], ["key", "n", "pos", "x", "y"])
+
+    def pairs(i: np.ndarray, j: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The possible ones of the row pairs i, j as (a, b) of the smaller and of the larger set."""
+        x, y = rows[i], rows[j]
+        ok = _possible(x[:, 4], y[:, 4], x[:, 5], y[:, 5]) & ((x[:, 2] != y[:, 2]) | (x[:, 3] != y[:, 3]))
+        x, y = x[ok][:, 2:4], y[ok][:, 2:4]
+        u, v = x.view(np.uint64), y.view(np.uint64)
+        swap = (u[:, 0] > v[:, 0]) | ((u[:, 0] == v[:, 0]) & (u[:, 1] > v[:, 1]))
+        return np.concatenate([np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)], axis=1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((0, 6), dtype=np.int64)
+
+        def handle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
+            starts = np.concatenate([[0], edge])
+            sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+            two = starts[sizes == 2]
+            found, crowded = [pairs(two, two + 1, rows)], []
+            for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                run = rows[at : at + size]
+                run = run[np.unique(run[:, 2:4], axis=0, return_index=True)[1]] if size <= 64 else run[np.unique(np.ascontiguousarray(run[:, 2:4]).view("V16"), return_index=True)[1]]
+                if len(run) > FEW:
+                    crowded.append(run)
+                elif len(run) > 1:
+                    i, j = np.triu_indices(len(run), 1)
+                    found.append(pairs(i, j, run))
+            if crowded:
+                yield members(np.concatenate(crowded))
+            both = np.unique(np.concatenate(found), axis=0)
+            if len(both):
+                m = len(both)
+                yield pa.RecordBatch.from_arrays([
+                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(as_bytes(both[:, 0], both[:, 1]), pa.binary()),
+                    pa.array(as_bytes(both[:, 2], both[:, 3]), pa.binary()),
+                ], ["key", "n", "pos", "x", "y"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+            hot = rows[:, 1] > 0
+            if hot.any():
+                yield members(rows[hot])
+                rows = rows[~hot]
+            rest = np.concatenate([rest, rows])
+            if len(rest) > 100_000:
+                last = int(np.searchsorted(rest[:, 0], rest[-1, 0]))
+                if last:
+                    yield from handle(rest[:last])
+                    rest = rest[last:]
+        if len(rest):
+            yield from handle(rest)
+
+    dealt = prefixes.repartition("key", "salt").sortWithinPartitions("key")
+    return dealt.mapInArrow(meet, "key bigint, n int, pos int, x binary, y binary")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
     """Each set as a resident of its band's tile and as a visitor of the tile of the band below."""
     band = F.floor(F.log("n") / BAND).cast("int")
     place = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("resident")), F.struct((band - 1).alias("band"), F.lit(False).alias("resident"))))
-    return members.select("key", "n", "node", place.alias("place")).select("key", "place.band", "place.resident", "n", "node")
+    return members.select("key", "n", "pos", "node", place.alias("place")).select("key", "place.band", "place.resident", "n", "pos", "node")
 
 
 def _admit(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,41 +288,42 @@ def _upper(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
     return overlap / (na + nb - overlap)
 
 
-def _arrays(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its sorted shingles, from one text of each set."""
+def _texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and one text of each set; texts are shorter than their shingles."""
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column("text")]
             rows = []
-            for f in found:
-                if (node := node_of(f)) not in seen:
+            for text in batch.column("text").to_pylist():
+                if (node := node_of(shingles(text))) not in seen:
                     seen.add(node)
-                    rows.append((node, f.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+                    rows.append((node, text))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["node", "text"])
 
     wanted = write_table(sets.join(nodes, "node").select(F.col("rep").alias("wanted")).distinct(), "wanted")
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
-    return write_table(chosen.mapInArrow(compute, "node binary, shingles binary"), "arrays")
+    return write_table(chosen.mapInArrow(name, "node binary, text string"), "texts")
 
 
-def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """x, y and linked: the exact test of each pair."""
+def _verify(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """x, y and linked: the exact test of each pair on the sorted shingles of both texts."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            linked, last, a = [], None, None
+            for x, one, two in zip(*(batch.column(c) for c in ("x", "a", "b")), strict=True):
+                if x != last:
+                    last, a = x, shingles(one.as_py())
+                b = shingles(two.as_py())
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(100 * common >= 75 * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
-    side = lambda c, to: arrays.select(F.col("node").alias(c), F.col("shingles").alias(to))
-    return pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").mapInArrow(test, "x binary, y binary, linked boolean")
+    side = lambda c, to: texts_of.select(F.col("node").alias(c), F.col("text").alias(to))
+    return pairs.join(side("y", "b"), "y").join(side("x", "a"), "x").mapInArrow(test, "x binary, y binary, linked boolean")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -270,22 +360,22 @@ class _Links:
         return rows.join(self.tested.select("x", "y"), ["x", "y"], "left_anti")
 
     def settle(self, pool: DataFrame) -> bool:
-        """Verify the pool until no pair of it crosses components; each round the best of each component, four times as
-        many as in the round before, the fourth time all. False if nothing was to be done."""
-        arrays, turn = None, 0
+        """Verify the pool until no pair of it crosses components: the best of each component, then
+        all. False if nothing was to be done."""
+        texts_of, turn = None, 0
         while True:
             cross = write_table(self.crossing(pool), "crossing")
             if cross.isEmpty():
                 return turn > 0
-            if arrays is None:
+            if texts_of is None:
                 nodes = cross.select(F.col("x").alias("node")).union(cross.select(F.col("y").alias("node"))).distinct()
-                arrays = _arrays(self.docs, self.sets, nodes)
+                texts_of = _texts_of(self.docs, self.sets, nodes)
             chosen = cross.select("x", "y")
-            if turn < 3:
+            if turn == 0:
                 rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.col("gain").desc(), "x", "y"))
-                sides = [cross.select("x", "y", "gain", F.col(f"comp_{s}").alias("comp")).withColumn("rank", rank).where(F.col("rank") <= 4**turn) for s in "xy"]
+                sides = [cross.select("x", "y", "gain", F.col(f"comp_{s}").alias("comp")).withColumn("rank", rank).where("rank = 1") for s in "xy"]
                 chosen = sides[0].select("x", "y").union(sides[1].select("x", "y")).distinct()
-            self.tested = self.tested.unionByName(write_table(_verify(chosen, arrays).distinct(), "tested"))
+            self.tested = self.tested.unionByName(write_table(_verify(chosen, texts_of).distinct(), "tested"))
             links = self.tested.where("linked").select("x", "y")
             if not links.isEmpty():
                 self.labels = connected(links)
@@ -304,20 +394,20 @@ def _remaining(tiles: DataFrame, sizes: DataFrame, links: _Links, sets: DataFram
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high"))))
-    dealt = rows.withColumn("pair", pair).withColumn("own", own).select("key", "band", "pair.low", "pair.high", "own", "resident", "n", "node", "comp", "bits")
+    dealt = rows.withColumn("pair", pair).withColumn("own", own).select("key", "band", "pair.low", "pair.high", "own", "resident", "n", "pos", "node", "comp", "bits")
     dealt = dealt.repartition("key", "band", "low", "high").sortWithinPartitions("key", "band", "low", "high", "node")
 
     def compare(run: list[tuple]) -> list[tuple]:
-        width = min(len(r[9]) for r in run) // 8
-        bits = np.stack([fold(np.frombuffer(r[9], np.uint64), width) for r in run])
-        n, home, block = np.array([r[6] for r in run]), np.array([r[5] for r in run]), np.array([r[4] for r in run])
-        comps = {c: k for k, c in enumerate(dict.fromkeys(r[8] for r in run))}
-        comp = np.array([comps[r[8]] for r in run])
+        own, resident, n, pos = (np.array([r[k] for r in run]) for k in (4, 5, 6, 7))
+        width = min(len(r[10]) for r in run) // 8
+        bits = np.stack([fold(np.frombuffer(r[10], np.uint64), width) for r in run])
+        comps = {c: k for k, c in enumerate(dict.fromkeys(r[9] for r in run))}
+        comp = np.array([comps[r[9]] for r in run])
         same_block = run[0][2] == run[0][3]
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         for i in range(len(run) - 1):
             j = np.arange(i + 1, len(run))
-            j = j[(comp[j] != comp[i]) & (home[j] | home[i]) & (4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])) & (same_block | (block[j] != block[i]))]
+            j = j[(comp[j] != comp[i]) & (resident[j] | resident[i]) & (same_block | (own[j] != own[i])) & _possible(n[j], n[i], pos[j], pos[i])]
             if len(j):
                 overlap = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1)).astype(np.int64)
                 gain = overlap / (n[i] + n[j] - overlap)
@@ -326,7 +416,7 @@ def _remaining(tiles: DataFrame, sizes: DataFrame, links: _Links, sets: DataFram
         out = []
         for pairs in found.values():
             pairs.sort()
-            out += [(run[i][7], run[j][7], -g, len(pairs) > best) for g, i, j in pairs[:best]]
+            out += [(run[i][8], run[j][8], -g, len(pairs) > best) for g, i, j in pairs[:best]]
         return out
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,26 +460,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = write_table(sets, "classes")
 
     prefixes = _prefixes(docs, np.sort(hot_keys.astype(np.int64).view(np.uint64)))
-    tag = F.xxhash64("node")
-    every = Window.partitionBy("key")
-    cold = prefixes.where("not hot").select("key", "n", "node").withColumn("low", F.min(tag).over(every)).withColumn("high", F.max(tag).over(every))
-    cold = cold.where("low <> high").select("key", "n", "node", F.lit(False).alias("hot"))
-    raw = write_table(cold.unionByName(prefixes.where("hot")), "members")
-    members = raw.select("key", "n", "node").distinct()
+    met = write_table(_meetings(prefixes), "meetings")
+    members = met.where("key is not null").select("key", "n", "pos", F.col("x").alias("node")).distinct()
     tiles = write_table(_tiles(members), "tiles")
     lead = [F.min(F.when(F.col("resident"), F.xxhash64("node", F.lit(k)))).alias(f"lead{k}") for k in range(LEADERS)]
     sizes = tiles.groupBy("key", "band").agg(F.count("*").alias("members"), *lead).where("members > 1 and lead0 is not null")
     sizes = write_table(sizes, "tile-sizes")
-    return _finish(spark, docs, rows, sets, tiles, sizes)
-
 
-def _finish(spark: SparkSession, docs: DataFrame, rows: DataFrame, sets: DataFrame, tiles: DataFrame, sizes: DataFrame) -> DataFrame:
     leads = [F.struct(F.lit(k).alias("seed"), F.col(f"lead{k}").alias("lead")) for k in range(LEADERS)]
-    met = tiles.join(sizes.select("key", "band", *(f"lead{k}" for k in range(LEADERS))), ["key", "band"])
-    met = met.select("node", F.explode(F.array(*leads)).alias("l")).select("node", "l.seed", "l.lead").distinct()
-    names = sets.select(F.col("node").alias("leader"), F.explode(F.array(*[F.struct(F.lit(k).alias("seed"), F.xxhash64("node", F.lit(k)).alias("lead")) for k in range(LEADERS)])).alias("l"))
-    met = met.join(names.select("leader", "l.seed", "l.lead"), ["seed", "lead"]).where("leader <> node")
-    pairs = met.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")).distinct()
+    stars = tiles.join(sizes.select("key", "band", *(f"lead{k}" for k in range(LEADERS))), ["key", "band"])
+    stars = stars.select("node", F.explode(F.array(*leads)).alias("l")).select("node", "l.seed", "l.lead").distinct()
+    names = [F.struct(F.lit(k).alias("seed"), F.xxhash64("node", F.lit(k)).alias("lead")) for k in range(LEADERS)]
+    names = sets.select(F.col("node").alias("leader"), F.explode(F.array(*names)).alias("l")).select("leader", "l.seed", "l.lead")
+    stars = stars.join(names, ["seed", "lead"]).where("leader <> node").select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y"))
+    pairs = met.where("key is null").select("x", "y").unionByName(stars).distinct()
     links = _Links(spark, docs, sets)
     links.settle(write_table(_admit(pairs, sets), "admitted"))
 
@@ -397,10 +481,11 @@ def _finish(spark: SparkSession, docs: DataFrame, rows: DataFrame, sets: DataFra
     best = 1
     while True:
         pool = write_table(_remaining(tiles, sizes, links, sets, best), "remaining")
-        done = not links.settle(pool.select("x", "y", "gain"))
-        if done and pool.where("more").isEmpty():
+        links.settle(pool.select("x", "y", "gain"))
+        # All crossing pairs of the tiles were in the pool and are tested now, unless a block had more of them.
+        if pool.where("more").isEmpty():
             break
-        best *= 4
+        best *= MORE
     comp = _label(rows, links.labels, "node", "comp")
     smallest = comp.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     with_words = comp.where("n > 0").join(smallest, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
