@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 CACHE_PIECES = 400_000
+GROUP_CHARS = 2_000_000
 LETTER, DIGIT, SPACE = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9", " \t\n\x0b\x0c\r"
 OTHER_ALPHABET = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 # The pre-token patterns of the two tokenisers.
@@ -51,17 +52,28 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text, equal to the library's for the whole text."""
-        if OTHER_ALPHABET.search(text):
-            return np.frombuffer(self.whole(text), dtype=self.dtype)
-        pieces = self.pattern.findall(text.lower() if self.lower else text)
-        try:
-            code = b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self.learn(set(pieces).difference(self.known))
-            code = b"".join(map(self.known.__getitem__, pieces))
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-        return np.frombuffer(code, dtype=self.dtype)
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; the unknown pre-tokens of a group of texts are learned together."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        split = [None if OTHER_ALPHABET.search(t) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
+        self.learn(set().union(*[p for p in split if p]).difference(self.known))
+        get = self.known.__getitem__
+        for text, pieces in zip(texts, split, strict=True):
+            yield np.frombuffer(self.whole(text) if pieces is None else b"".join(map(get, pieces)), dtype=self.dtype)
 
 
 _ENCODERS: dict[str, Encoder] = {}
