@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.shared import texts
+from evigraph.llm.shared import texts, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_CANDIDATES = 20_000
+#: A kind with fewer distinct rows of a label than this has too few to hold some out; their copies are split instead.
+FEW = 30
 
 # The formats of the base spans. Possessive repeats give the same matches as plain ones, in linear time.
 DIGIT = re.compile("[0-9]")
@@ -204,49 +207,88 @@ def _node_table(tree) -> np.ndarray:
     return np.array(rows, dtype=float)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_CANDIDATES, precision: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> Selector:
-    """Boosted trees on at most `sample` candidates, chosen by hash from all documents, labelled by strict formats.
-
-    Labels come from the base formats and `sure`; the trees see only format and context, so their scores carry over to
-    candidates that no rule knows. Two thirds of the sample fit the trees; on the rest each kind gets the smallest
-    threshold from which at least `precision` of the candidates are labelled 1. A kind with fewer than 50 candidates
-    over it there adds nothing; with fewer than 20 rows of either label no trees are fitted and only base spans count.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
+def distinct_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """kind, x, label, n: the candidates of all documents, equal ones as one row with their number."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
+            found: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 base = set(base_spans(text))
                 every, cover = proposals(text), Cover(list(base))
                 for span in every:
                     if span in base or not cover.meets(*span[1:]):
-                        x.append(features(text, span, len(every)))
-                        y.append(float(span in base or sure(span[0], text[span[1] : span[2]])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["x", "label"])
+                        label = float(span in base or sure(span[0], text[span[1] : span[2]]))
+                        found[(KINDS.index(span[0]), tuple(features(text, span, len(every))), label)] += 1
+            kinds, x, y = zip(*found, strict=True) if found else ((), (), ())
+            columns = [pa.array(kinds, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(found.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "x", "label", "n"])
+
+    found = texts(docs, id_col, text_col).mapInArrow(candidates, "kind int, x array<double>, label double, n long")
+    return found.groupBy("kind", "x", "label").agg(F.sum("n").alias("n"))
+
+
+def sampled(distinct: DataFrame, sample: int) -> pa.Table:
+    """kind, x, label, n, held, weight: at most `sample` distinct rows by hash, as many for each kind and label.
+
+    A weight is the number of candidates a row stands for: its copies times the distinct rows per row chosen. `held` is a
+    hash of x alone, so equal rows are on one side.
+    """
+    distinct = write_table(distinct, "candidates")  # read once for each kind and label
+    groups = distinct.groupBy("kind", "label").agg(F.count("*").alias("rows")).collect()
+    most = max(1, sample // (2 * len(KINDS)))
+    parts = []
+    for g in sorted(groups):
+        mine = distinct.where((F.col("kind") == g.kind) & (F.col("label") == g.label)).orderBy(F.xxhash64("x", "label"), "x").limit(most)
+        weight = F.col("n") * F.lit(g.rows / min(g.rows, most))
+        parts.append(mine.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "x"), F.lit(3)) == 2).withColumn("weight", weight).toArrow())
+    schema = pa.schema([("kind", pa.int32()), ("x", pa.list_(pa.float64())), ("label", pa.float64()), ("n", pa.int64()), ("held", pa.bool_()), ("weight", pa.float64())])
+    return pa.concat_tables([t.cast(schema) for t in parts]) if parts else schema.empty_table()
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE_CANDIDATES, precision: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> Selector:
+    """Boosted trees on at most `sample` distinct candidates, chosen by hash from all documents, labelled by strict formats.
+
+    Labels come from the base formats and `sure`; the trees see only format and context, so their scores carry over to
+    candidates that no rule knows. Equal candidates are one row that counts as often as it occurs, and each kind and label
+    has its own share of the sample. Two thirds of the distinct rows fit the trees; on the rest each kind gets the smallest
+    threshold from which at least `precision` of the candidates are labelled 1. Only where a kind has fewer than FEW
+    distinct rows of a label, their copies are split in the same shares. A kind with fewer than 50 candidates over its
+    threshold there adds nothing; with fewer than 20 candidates of either label no trees are fitted and only base spans count.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
 
-    found = texts(docs, id_col, text_col).mapInArrow(candidates, "x array<double>, label double")
-    chosen = found.orderBy(F.xxhash64("x", "label")).limit(sample).toArrow()
+    chosen = sampled(distinct_candidates(docs, text_col, id_col), sample)
     x = np.array(chosen["x"].to_pylist(), dtype=float).reshape(-1, FEATURES)
-    y = chosen["label"].to_numpy()
-    if min((y == 0).sum(), (y == 1).sum()) < 20:
+    y, n, kind = chosen["label"].to_numpy(), chosen["n"].to_numpy().astype(float), chosen["kind"].to_numpy()
+    if min(n[y == 0].sum(), n[y == 1].sum()) < 20:
         return Selector()
-    held = np.arange(len(x)) % 3 == 2
+    held = chosen["held"].to_numpy().astype(float)
+    for k in range(len(KINDS)):
+        for label in (0, 1):
+            if (mine := (kind == k) & (y == label)).sum() < FEW:
+                held[mine] = 1 / 3
+    weight = chosen["weight"].to_numpy()
+    fitted = held < 1
+    scale = (weight * (1 - held)).sum() / max(1, fitted.sum())
     spark = docs.sparkSession
-    table = pa.table({"x": pa.array(x[~held].tolist(), pa.list_(pa.float64())), "label": pa.array(y[~held])})
-    rows = spark.createDataFrame(table).coalesce(1).select(array_to_vector("x").alias("features"), "label")
-    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1).fit(rows)
+    table = pa.table({
+        "x": pa.array(x[fitted].tolist(), pa.list_(pa.float64())), "label": pa.array(y[fitted]), "weight": pa.array((weight * (1 - held))[fitted] / scale),
+    })
+    rows = spark.createDataFrame(table).coalesce(1).select(array_to_vector("x").alias("features"), "label", "weight")
+    # As many bins as small numbers need: a row of many copies would take all of a few.
+    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1, maxBins=256, weightCol="weight").fit(rows)
     selector = Selector(tuple((float(w), _node_table(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)))
-    p, limits = selector.score(x[held]), []
+    p, limits = selector.score(x), []
     for k in range(len(KINDS)):
-        mine = x[held][:, k] == 1
-        order = np.argsort(-p[mine], kind="stable")
-        right = np.cumsum(y[held][mine][order]) / np.arange(1, len(order) + 1)
-        ends = np.append(np.diff(p[mine][order]) != 0, True)[: len(order)]
-        good = np.flatnonzero((right >= precision) & ends & (np.arange(len(order)) >= 49))
-        limits.append(float(p[mine][order][good[-1]]) if len(good) else 2.0)
+        mine = np.flatnonzero((kind == k) & (held > 0))
+        mine = mine[np.argsort(-p[mine], kind="stable")]
+        counted = (weight * held)[mine]
+        right = np.cumsum(y[mine] * counted) / np.cumsum(counted)
+        ends = np.append(np.diff(p[mine]) != 0, True)[: len(mine)]
+        good = np.flatnonzero((right >= precision) & ends & (np.cumsum((n * held)[mine]) >= 50 - 1e-6))
+        limits.append(float(p[mine][good[-1]]) if len(good) else 2.0)
     return Selector(selector.trees, tuple(limits))
 
 

@@ -107,6 +107,26 @@ def test_trees_select_look_alikes(spark):
     assert pii.find(odd.limit(0), pii.fit(odd.limit(0))).collect() == []
 
 
+def test_copies_fill_no_sample(spark):
+    rng = random.Random(6)
+    sizes = (1, 10, 100)
+    ips = [f"server {a}.{b}.{c}.{d} is up" for a in sizes for b in sizes for c in sizes for d in sizes]
+    phones = [(3000 + k, f"{'so ' * rng.randint(0, 3)}call phone ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} today") for k in range(200)]
+    others = [(4000 + k, f"item {rng.randint(1, 99)}.{rng.randint(1, 999)}.{rng.randint(256, 999)} of {rng.randint(100, 999)} 77 8{k}") for k in range(200)]
+    for n in (1, 200):  # 200: the copies are many times the sample
+        frame = spark.createDataFrame([(k, text) for k, text in enumerate(ips * n)] + phones + others, "doc_id long, text string")
+        chosen = pii.sampled(pii.distinct_candidates(frame), 400).to_pylist()
+        assert len({(tuple(r["x"]), r["label"]) for r in chosen}) == len(chosen) <= 400
+        assert {(r["kind"], r["label"]) for r in chosen} >= {(1, 1.0), (3, 0.0), (3, 1.0)}
+        assert max(r["n"] for r in chosen if r["kind"] == 1 and r["label"]) >= n
+        sides = {}
+        for r in chosen:
+            sides.setdefault(tuple(r["x"]), set()).add(r["held"])
+        assert all(len(s) == 1 for s in sides.values())
+        text = "please call phone (321) 555-0187 today"
+        assert pii.fit(frame, sample=400).spans(text) == ([], [("phone", 18, 32)])
+
+
 def test_field_prefers_what_it_saw(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
