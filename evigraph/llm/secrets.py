@@ -1,13 +1,17 @@
-"""Secrets: fixed formats always, and token runs that a linear-chain conditional random field tags begin/inside/outside."""
+"""Secrets: fixed formats always, and token runs that a linear-chain conditional random field tags begin/inside/outside.
+
+The field reads every token of a text. Only where its weights prove that the best path is outside is no path computed.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,25 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.pii import Cover
-from evigraph.llm.shared import texts
+from evigraph.llm.shared import texts, write_table
 
 KINDS = ("assign", "access", "hex", "tagged")
 SAMPLE_SEQUENCES = 4_000
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 BUCKETS = 1 << 12
-REACH = 12
+#: Tokens of a training sequence, and of a block that is scored at once; neighbours are seen across both.
+LENGTH, BLOCK = 64, 8192
 
 # The formats of the base spans.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-NAMES = re.compile("|".join(ASSIGN_WORDS), re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]+|[^\sA-Za-z0-9_+/=.-]")
-DIGIT = re.compile(r"[0-9]")
-#: A token that can be a secret, or names one; all other tokens are plain words or marks, and outside.
-SUSPECT = re.compile(r"[A-Za-z_+/=-]*[0-9][A-Za-z0-9_+/=.-]{5,}|[A-Za-z_+/=-]{6,}[0-9]")
 Span = tuple[str, int, int]
 
 
@@ -52,37 +53,19 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def segments(text: str) -> Iterator[list[re.Match]]:
-    """Runs of tokens around suspects, REACH tokens to either side; runs that touch are one. Tokens between them are
-    words without digits, whose features never speak for a secret, and stay outside."""
-    low = text.lower()
-    marks = [m.span() for m in SUSPECT.finditer(text)] if DIGIT.search(text) else []
-    if any(w in low for w in ASSIGN_WORDS):
-        marks += [m.span() for m in NAMES.finditer(text)]
-    pieces: list[list[int]] = []
-    for start, end in sorted(marks):
-        start, end = max(0, start - 12 * REACH), min(len(text), end + 12 * REACH)
-        while start and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        if pieces and start <= pieces[-1][1]:
-            pieces[-1][1] = max(end, pieces[-1][1])
-        else:
-            pieces.append([start, end])
-    for start, end in pieces:
-        tokens = list(TOKEN.finditer(text, start, end))
-        for at in range(0, len(tokens), 256):  # longer runs are tagged in parts
-            yield tokens[at : at + 256]
+KINDS_OF = str.maketrans({**dict.fromkeys("0123456789", "9"), **{c: "A" if c < "a" else "a" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}})
+REPEAT = re.compile(r"(.)\1+")
 
 
 def shape(token: str) -> str:
-    kinds = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in token[:64])
-    return re.sub(r"(.)\1+", r"\1+", kinds)[:8]
+    if not token.isascii():  # a single character
+        return "A" if token.isupper() else "a" if token.islower() else token
+    return REPEAT.sub(r"\1+", token[:64].translate(KINDS_OF))[:8]
 
 
 def entropy(token: str) -> float:
-    return -sum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
+    counts = [token.count(c) for c in set(token)]
+    return -sum(n / len(token) * math.log2(n / len(token)) for n in counts) if len(counts) < len(token) else math.log2(len(token))
 
 
 def describe(token: str) -> tuple[str, ...]:
@@ -96,16 +79,59 @@ def describe(token: str) -> tuple[str, ...]:
     )
 
 
-def encode(tokens: list[str], file_marks: tuple[str, ...]) -> np.ndarray:
-    """Feature buckets, tokens x features: the token itself, two neighbours to either side, and the file."""
-    own = [describe(t) for t in tokens]
-    none = ("none",) * 7
-    rows = []
-    for k, mine in enumerate(own):
-        near = [own[k + d] if 0 <= k + d < len(own) else none for d in (-2, -1, 1, 2)]
-        names = [*mine, mine[0] + mine[1], *(f"{d}{x[j]}" for d, x in zip("abcd", near, strict=True) for j in (0, 1, 4)), *(f + mine[0] for f in file_marks)]
-        rows.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names])
-    return np.array(rows, dtype=np.uint16)
+class Coder:
+    """Feature buckets, tokens x features: the token itself, two neighbours to either side, and the file.
+
+    Tokens that look alike are one class, whose buckets are computed once; the tables are emptied when they grow large.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.classes: dict[tuple[str, ...], int] = {}
+        self.own, self.near, self.shapes = np.zeros((256, 8), np.uint16), np.zeros((256, 4, 3), np.uint16), []
+        self.marks: dict[str, np.ndarray] = {}
+        self.add(("none",) * 7)
+
+    def add(self, looks: tuple[str, ...]) -> int:
+        k = self.classes[looks] = len(self.classes)
+        if k == len(self.own):
+            self.own, self.near = np.concatenate([self.own, self.own]), np.concatenate([self.near, self.near])
+        self.own[k] = [bucket(x) for x in (*looks, looks[0] + looks[1])]
+        self.near[k] = [[bucket(d + looks[j]) for j in (0, 1, 4)] for d in "abcd"]
+        self.shapes.append(looks[0])
+        return k
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        """The classes of a text's tokens, two empty neighbours at either end."""
+        if len(self.known) > 400_000 or len(self.classes) > 50_000:
+            self.clear()
+        known, out = self.known, [0, 0]
+        for token in tokens:
+            k = known.get(token)
+            if k is None:
+                looks = describe(token)
+                k = self.classes.get(looks)
+                known[token] = k = self.add(looks) if k is None else k
+            out.append(k)
+        return np.array([*out, 0, 0], dtype=np.int64)
+
+    def blocks(self, tokens: list[str], marks: tuple[str, ...]) -> Iterator[np.ndarray]:
+        ids = self.ids(tokens)
+        for f in marks:
+            if len(self.marks.get(f, ())) < len(self.shapes):
+                self.marks[f] = np.array([bucket(f + x) for x in self.shapes], np.uint16)
+        for at in range(2, len(ids) - 2, BLOCK):
+            end = min(at + BLOCK, len(ids) - 2)
+            mine = ids[at:end]
+            near = [self.near[ids[at + d : end + d], k] for k, d in enumerate((-2, -1, 1, 2))]
+            yield np.hstack([self.own[mine], *near, *(self.marks[f][mine][:, None] for f in marks)])
+
+
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def file_marks(text: str) -> tuple[str, ...]:
@@ -121,45 +147,75 @@ class Field:
     emit: np.ndarray | None = None
     move: np.ndarray | None = None
 
+    @cached_property
+    def coder(self) -> Coder:
+        return Coder()
+
+    def __getstate__(self) -> dict:
+        return {"emit": self.emit, "move": self.move}
+
     def tags(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence, by Viterbi."""
-        score = self.emit[x].sum(axis=1)
-        best, back = score[0].copy(), np.zeros((len(x), 3), dtype=np.int64)
-        best[INSIDE] = -1e9
-        for k in range(1, len(x)):
-            step = best[:, None] + self.move
-            back[k] = step.argmax(axis=0)
-            best = step.max(axis=0) + score[k]
-        path = np.empty(len(x), dtype=np.int64)
-        path[-1] = best.argmax()
-        for k in range(len(x) - 1, 0, -1):
-            path[k - 1] = back[k, path[k]]
+        """The best tag sequence of a whole text."""
+        return self.path(self.emit[x].sum(axis=1))
+
+    def path(self, score: np.ndarray) -> np.ndarray:
+        """The best tag sequence for scores of tokens x tags, by Viterbi between tokens that are surely outside."""
+        path = np.full(len(score), OUTSIDE)
+        alive = np.flatnonzero(self.open(score))
+        for part in np.split(alive, np.flatnonzero(np.diff(alive) > 1) + 1) if len(alive) else []:
+            start, end = part[0], part[-1] + 1
+            path[start:end] = self.viterbi(score[start:end], start == 0, end == len(score))
         return path
 
+    def open(self, score: np.ndarray) -> np.ndarray:
+        """Where a best path may leave outside.
+
+        A run that is not outside gains, over the same tokens outside, at most the sum of its tokens' gains, each with the
+        dearest move, and one move more. Where no run through a token gains anything, every best path is outside.
+        """
+        step = np.delete(self.move.ravel(), [OUTSIDE * 3 + OUTSIDE, OUTSIDE * 3 + INSIDE]).max() - self.move[OUTSIDE, OUTSIDE]
+        gain = np.maximum(score[:, BEGIN], score[:, INSIDE]) - score[:, OUTSIDE] + step
+        until = lambda g: (total := np.cumsum(g)) - np.minimum.accumulate(np.append(0.0, total[:-1]))
+        return until(gain) + until(gain[::-1])[::-1] - gain + abs(step) > -1e-6
+
+    def viterbi(self, score: np.ndarray, first: bool, last: bool) -> list[int]:
+        """Viterbi over part of a text, outside before and after it, but at the ends of the text."""
+        move = self.move.tolist()
+        rows = score.tolist()
+        best = [rows[0][k] + (0 if first else move[OUTSIDE][k]) for k in range(3)]
+        if first:
+            best[INSIDE] = -1e9
+        back = []
+        for row in rows[1:]:
+            from_ = [max((0, 1, 2), key=lambda j, k=k: best[j] + move[j][k]) for k in range(3)]
+            best = [best[j] + move[j][k] + row[k] for k, j in enumerate(from_)]
+            back.append(from_)
+        tag = max((0, 1, 2), key=lambda k: best[k] + (0 if last else move[k][OUTSIDE]))
+        path = [tag]
+        for from_ in reversed(back):
+            path.append(tag := from_[tag])
+        return path[::-1]
+
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Tagged runs that meet no base span, as spans of the kind `tagged`."""
-        if self.emit is None:
+        if self.emit is None or not (tokens := TOKEN.findall(text)):
+            return []
+        path = self.path(np.concatenate([self.emit[x].sum(axis=1) for x in self.coder.blocks(tokens, file_marks(text))]))
+        if not path.any():
             return []
         found: list[Span] = []
-        marks = None
-        for tokens in segments(text):
-            marks = marks or file_marks(text)
-            path = self.tags(encode([m[0] for m in tokens], marks))
-            start = None
-            for token, tag in zip(tokens, path, strict=True):
-                if tag == BEGIN:
-                    start = token.start()
-                    found.append(("tagged", start, token.end()))
-                elif tag == INSIDE and start is not None:
-                    found[-1] = ("tagged", start, token.end())
-                else:
-                    start = None
+        for m, tag in zip(TOKEN.finditer(text), path.tolist(), strict=True):
+            if tag == BEGIN:
+                found.append(("tagged", *m.span()))
+            elif tag == INSIDE:
+                found[-1] = ("tagged", found[-1][1], m.end())
         cover = Cover(base)
         return [span for span in found if not cover.meets(*span[1:])]
 
 
-def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.2, decay: float = 1e-4) -> Field:
-    """Maximum conditional likelihood by Adagrad over batches of padded sequences, in a fixed order."""
+def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.2, decay: float = 1e-4, weights: np.ndarray | None = None) -> Field:
+    """Maximum conditional likelihood by Adagrad over batches of padded sequences, in a fixed order; means are weighted."""
+    weights = np.ones(len(sequences)) if weights is None else weights
     emit, move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
     move[OUTSIDE, INSIDE] = -1e4  # inside follows begin or inside only
     fixed = move < -1e3
@@ -169,6 +225,8 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate
     for epoch in range(epochs):
         for k in range(len(batches)):
             batch = [sequences[i] for i in batches[(k * 7919 + epoch) % len(batches)]]
+            part = weights[batches[(k * 7919 + epoch) % len(batches)]]
+            part = part / part.sum()
             n, width = max(len(x) for x, _ in batch), batch[0][0].shape[1]
             x, y, real = np.zeros((len(batch), n, width), np.int64), np.zeros((len(batch), n), np.int64), np.zeros((len(batch), n), bool)
             for i, (features, tags) in enumerate(batch):
@@ -187,13 +245,13 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate
             here = np.exp(ahead + behind - whole[:, None]).transpose(1, 0, 2) * real[:, :, None]
             gold = np.eye(3)[y] * real[:, :, None]
             slope = np.zeros_like(emit)
-            np.add.at(slope, x[real], (gold - here)[real][:, None, :])
+            np.add.at(slope, x[real], ((gold - here) * part[:, None, None])[real][:, None, :])
             pair = np.zeros((3, 3))
             for t in range(1, n):
                 both = np.exp(ahead[t - 1][:, :, None] + move + (behind[t] + score[:, t])[:, None, :] - whole[:, None, None])
-                pair += (np.einsum("bi,bj->bij", gold[:, t - 1], gold[:, t]) - both)[real[:, t]].sum(axis=0)
-            slope = slope / len(batch) - decay * emit
-            pair = np.where(fixed, 0, pair / len(batch))
+                pair += ((np.einsum("bi,bj->bij", gold[:, t - 1], gold[:, t]) - both) * part[:, None, None])[real[:, t]].sum(axis=0)
+            slope = slope - decay * emit
+            pair = np.where(fixed, 0, pair)
             past_emit += slope**2
             past_move += pair**2
             emit += rate * slope / np.sqrt(past_emit)
@@ -201,46 +259,88 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate
     return Field(emit, move)
 
 
+def sequences_of(coder: Coder, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, tags) of all tokens of a text, LENGTH tokens each; tokens in base spans' values are begin and inside."""
+    if not (tokens := TOKEN.findall(text)):
+        return
+    tags = np.full(len(tokens), OUTSIDE, np.uint8)
+    if spans := base_spans(text):
+        values = sorted(ASSIGN.match(text, s).span(1) if kind == "assign" else (s, e) for kind, s, e in spans)
+        at, open_until = 0, -1
+        for k, m in enumerate(TOKEN.finditer(text)):
+            while at < len(values) and values[at][1] <= m.start():
+                at += 1
+            if at < len(values) and values[at][0] < m.end():
+                tags[k] = INSIDE if m.start() < open_until else BEGIN
+                open_until = max(open_until, values[at][1])
+    at = 0
+    for x in coder.blocks(tokens, file_marks(text)):
+        for k in range(0, len(x), LENGTH):
+            y = tags[at + k : at + min(k + LENGTH, len(x))].copy()
+            y[0] = BEGIN if y[0] == INSIDE else y[0]
+            yield x[k : k + LENGTH], y
+        at += len(x)
+
+
+def key_of(x: np.ndarray, y: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def sampled(docs: DataFrame, sample: int = SAMPLE_SEQUENCES, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(features, tags, n): at most `sample` distinct sequences by hash and how often each occurs; half of them hold a secret."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for batch in batches:
+            found: dict[int, list] = {}
+            for text, at in zip(batch.column("text"), batch.column("at").to_pylist(), strict=True):
+                for x, y in sequences_of(coder, text.as_py()):
+                    row = found.setdefault(key_of(x, y), [bool(y.any()), 0, at])
+                    row[1] += 1
+                    row[2] = min(row[2], at)
+            columns = list(zip(*((k, *row) for k, row in found.items()), strict=True)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "secret", "n", "at"])
+
+    placed = texts(docs, id_col, text_col).select("text", F.xxhash64("text").alias("at"))
+    distinct = placed.mapInArrow(count, "key long, secret boolean, n long, at long").groupBy("key", "secret").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    distinct = write_table(distinct, "sequences")  # read once for each half
+    half = sample // 2
+    chosen = {r.key: r for part in ("secret", "not secret") for r in distinct.where(part).orderBy("key").limit(half).collect()}
+    if not chosen:
+        return []
+    keys = set(chosen)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for batch in batches:
+            rows = {}
+            for text in batch.column("text"):
+                rows |= {k: (k, x.tobytes(), y.tobytes()) for x, y in sequences_of(coder, text.as_py()) if (k := key_of(x, y)) in keys}
+            columns = list(zip(*rows.values(), strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "x", "y"])
+
+    # One text for each chosen sequence; copies of a text are read once.
+    places = docs.sparkSession.createDataFrame([(a,) for a in sorted({r.at for r in chosen.values()})], "at long")
+    once = placed.join(F.broadcast(places), "at", "left_semi").groupBy("at").agg(F.first("text").alias("text"))
+    taken = {r["key"]: r for r in once.select("text").mapInArrow(take, "key long, x binary, y binary").toArrow().to_pylist()}
+    out = []
+    for key in sorted(taken):
+        y = np.frombuffer(taken[key]["y"], dtype=np.uint8).astype(np.int64)
+        out.append((np.frombuffer(taken[key]["x"], dtype=np.uint16).reshape(len(y), -1), y, chosen[key].n))
+    return out
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE_SEQUENCES, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field from at most `sample` token sequences, chosen by hash from all documents; half of them hold a secret.
+    """A field from at most `sample` distinct token sequences of whole texts, chosen by hash; half of them hold a secret.
 
-    Tokens inside base spans' values are labelled begin and inside, all others outside. Without any labelled secret
-    nothing is learned, and only base spans count.
+    Tokens inside base spans' values are labelled begin and inside, all others outside. Equal sequences are one that
+    counts as often as it occurs. Without any labelled secret nothing is learned, and only base spans count.
     """
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                marks = file_marks(text) if spans or DIGIT.search(text) else ("fd0", "fc0")
-                values = [ASSIGN.match(text, s).span(1) if kind == "assign" else (s, e) for kind, s, e in spans]
-                at = 0
-                for tokens in segments(text):
-                    while at < len(values) and values[at][1] <= tokens[0].start():
-                        at += 1
-                    near = [v for v in values[at : at + 256] if v[0] < tokens[-1].end()]
-                    tags, open_until = [], -1
-                    for m in tokens:
-                        hit = next((v for v in near if v[0] < m.end() and m.start() < v[1]), None)
-                        tags.append(OUTSIDE if hit is None else INSIDE if m.start() < open_until else BEGIN)
-                        open_until = -1 if hit is None else max(open_until, hit[1])
-                    rows.append((encode([m[0] for m in tokens], marks).tobytes(), bytes(tags), any(tags)))
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            kinds = (pa.binary(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["x", "y", "secret"])
-
-    found = texts(docs, id_col, text_col).mapInArrow(label, "x binary, y binary, secret boolean").withColumn("key", F.xxhash64("x", "y"))
-    numbered = found.select("key", "x", "y", "secret")
-    half = sample // 2
-    chosen = numbered.where("secret").orderBy("key").limit(half).unionByName(numbered.where("not secret").orderBy("key").limit(half))
-    sequences = []
-    for r in chosen.toArrow().to_pylist():
-        tags = np.frombuffer(r["y"], dtype=np.uint8).astype(np.int64)
-        sequences.append((np.frombuffer(r["x"], dtype=np.uint16).reshape(len(tags), -1), tags))
-    if not any(tags.any() for _, tags in sequences):
+    chosen = sampled(docs, sample, id_col, text_col)
+    if not any(y.any() for _, y, _ in chosen):
         return Field()
-    return train(sequences)
+    return train([(x, y) for x, y, _ in chosen], weights=np.array([n for _, _, n in chosen], dtype=float))
 
 
 def written(spans: list[Span]) -> str:

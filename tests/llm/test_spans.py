@@ -143,6 +143,33 @@ def test_field_prefers_what_it_saw(spark):
     assert secrets.find(odd.limit(0), secrets.fit(odd.limit(0))).collect() == []
 
 
+def test_field_reads_every_token(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(24))
+    docs = [(k, f"{word(4)} {word(6)} " + (f'secret = "{key()}"' if k % 2 else f'{word(6)} = "{word(5)}"') + f" {word(5)}") for k in range(400)]
+    copies = [(1000 + k, docs[1][1]) for k in range(3000)]
+    frame = spark.createDataFrame(docs + copies, "doc_id long, text string")
+    chosen = secrets.sampled(frame, 200)
+    assert len({(x.tobytes(), y.tobytes()) for x, y, _ in chosen}) == len(chosen) <= 200
+    assert sum(bool(y.any()) for _, y, _ in chosen) > 50 and max(n for *_, n in secrets.sampled(frame)) > 3000
+    field = secrets.fit(frame)
+    lone = 'abc defa hiding = "QmFzZVNlYXJldEtleQabcDEF" efg'  # neither a digit nor a name
+    assert [lone[s:e] for _, s, e in field.added(lone, [])] == ["QmFzZVNlYXJldEtleQabcDEF"]
+    for n in (254, 255, 8190, 8191):  # also across the edges of blocks
+        long = "abc " * n + lone
+        assert [long[s:e] for _, s, e in field.added(long, [])] == ["QmFzZVNlYXJldEtleQabcDEF"]
+
+
+def test_skipped_tokens_are_outside_in_every_best_path():
+    rng = np.random.default_rng(9)
+    for k in range(600):
+        move = rng.normal(0, 2, (3, 3))
+        move[0, 2] = -1e4
+        field, score = secrets.Field(np.zeros((1, 3)), move), rng.normal(0, 3, (rng.integers(1, 40), 3)) + [k % 7, 0, 0]
+        assert field.path(score).tolist() == field.viterbi(score, True, True)
+
+
 def test_gradient_fits_a_small_chain():
     x = np.array([[1], [2], [3], [4]])
     field = secrets.train([(x, np.array([0, 1, 2, 0]))] * 4, epochs=60)
