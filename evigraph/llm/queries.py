@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import decontam, jaccard, language, packing, pii, secrets, syncmers, token_files
+from evigraph.llm import centroids, decontam, jaccard, language, packing, pii, secrets, syncmers, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,35 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_secret_spans")
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_documents(spark, sf_dir))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out, each as one table of assignments and one of centroids."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT row, vec_id, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.row, v.vec_id, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{r} c USING (pos) GROUP BY ALL) GROUP BY row, vec_id)"""
+    update = """
+c{n} AS MATERIALIZED (
+  SELECT c.c, c.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x) AS x
+  FROM c{r} c LEFT JOIN (SELECT a.c, v.pos, sum(v.x) AS s, count(*) AS n FROM v JOIN a{r} a USING (row) GROUP BY ALL) m USING (c, pos))"""
+    steps = [nearest.format(r=r) + "," + update.format(r=r, n=r + 1) for r in range(rounds)] + [nearest.format(r=rounds)]
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (
+  SELECT row, vec_id, pos, CAST(floor(CAST(embedding[pos] AS DOUBLE) * 1024) AS HUGEINT) AS x
+  FROM (SELECT row, vec_id, embedding, unnest(range(1, 65)) AS pos FROM e)),
+s AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS c FROM e QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, pos, x FROM v JOIN s USING (row)),{",".join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(t.text) AS centroid_sha256, count(*) OVER (PARTITION BY a.c) AS n_cluster
+FROM a{rounds} a JOIN (SELECT c, string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos) AS text FROM c{rounds} GROUP BY c) t USING (c)
+"""
+
+
+@_query("op11_centroid_clusters", _op11_sql())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
