@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import centroids, decontam, jaccard, language, packing, pii, secrets, syncmers, token_files
+from evigraph.llm import centroids, conversations, decontam, jaccard, language, packing, pages, pii, secrets, syncmers, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,67 @@ FROM a{rounds} a JOIN (SELECT c, string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos
 @_query("op11_centroid_clusters", _op11_sql())
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# Forwards over whole edit scripts instead of backwards over costs: w0 to w3 are the cheapest (cost, audit, lines) for each state of the grammar.
+OP12_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)), lambda acc, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+      lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(acc, b)), 4294967295), 4294967295) % 20 AS case_no
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN case_no = 4 THEN 'user' ELSE role END AS role,
+    CASE case_no WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN case_no = 3 THEN 2 ELSE 1 END))
+  FROM k WHERE case_no <> 0),
+o AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS r, lag(left(role, 1)) OVER w AS before,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+f AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM o),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, n, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS w0, {'c': CAST(1000000000000 AS BIGINT), 'a': '', 't': ''} AS w1,
+    {'c': CAST(1000000000000 AS BIGINT), 'a': '', 't': ''} AS w2, {'c': CAST(1000000000000 AS BIGINT), 'a': '', 't': ''} AS w3
+  FROM f WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, n, {'c': w0.c + 2, 'a': w0.a || 'D', 't': w0.t},
+    list_min([{'c': w1.c + 2, 'a': w1.a || 'D', 't': w1.t},
+      {'c': w0.c + dear + if(r = 's', late, 1000000000000), 'a': w0.a || 'K', 't': w0.t || line}]),
+    list_min([{'c': u.c + 2, 'a': u.a || 'D', 't': u.t},
+      {'c': w0.c + dear + if(r = 'u', late, 1000000000000), 'a': w0.a || 'K', 't': w0.t || line}, {'c': w0.c + 1 + dear + late, 'a': w0.a || 'R', 't': w0.t || asked},
+      {'c': w1.c + dear + if(r = 'u', late, 1000000000000), 'a': w1.a || 'K', 't': w1.t || line}, {'c': w1.c + 1 + dear + late, 'a': w1.a || 'R', 't': w1.t || asked},
+      {'c': a.c + dear + if(r = 'u', late, 1000000000000), 'a': a.a || 'K', 't': a.t || line}, {'c': a.c + 1 + dear + late, 'a': a.a || 'R', 't': a.t || asked}]),
+    list_min([{'c': a.c + 2, 'a': a.a || 'D', 't': a.t},
+      {'c': u.c + dear + if(r = 'a', late, 1000000000000), 'a': u.a || 'K', 't': u.t || line}, {'c': u.c + 1 + dear + late, 'a': u.a || 'R', 't': u.t || said}])
+  FROM (
+    SELECT *, list_min([w3, {'c': u.c + 5, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}]) AS a
+    FROM (
+      SELECT s.conv_id, f.i, s.n, w0, w1, w3, f.r, if(f.fault IN ('blank', 'duplicate'), 1000000000000, 0) AS dear, if(f.fault = 'truncated', 5, 0) AS late,
+        chr(10) || f.role || ':' || f.text AS line, chr(10) || 'user:' || f.text AS asked, chr(10) || 'assistant:' || f.text AS said,
+        list_min([w2, {'c': w0.c + 5, 'a': w0.a || 'I', 't': w0.t || chr(10) || 'user:'}, {'c': w1.c + 5, 'a': w1.a || 'I', 't': w1.t || chr(10) || 'user:'},
+          {'c': w3.c + 5, 'a': w3.a || 'I', 't': w3.t || chr(10) || 'user:'}]) AS u
+      FROM steps s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1))),
+ends AS (
+  SELECT conv_id, list_min([w0, w3, {'c': w2.c + 5, 'a': w2.a || 'I', 't': w2.t || chr(10) || 'assistant:'},
+    {'c': w0.c + 10, 'a': w0.a || 'II', 't': w0.t || chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': w1.c + 10, 'a': w1.a || 'II', 't': w1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}]) AS e
+  FROM steps WHERE i = n),
+m AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n_rows
+  FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256, coalesce(n_rows, 0) AS n_rows
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@_query("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@_query("op13_main_text")
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
