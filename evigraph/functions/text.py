@@ -50,6 +50,16 @@ def fold_text(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
+def label_order(value: Column | str) -> Column:
+    """Sort key of a label in locale order: letters before case, accents and case as later levels (ICU root collation)."""
+    return F.collate(_c(value), "UNICODE")
+
+
+def base_order(value: Column | str) -> Column:
+    """As `label_order`, where labels that differ in case and accents only are equal."""
+    return F.collate(_c(value), "UNICODE_CI_AI")
+
+
 def slugify(value: Column | str, default: str = "research-candidate") -> Column:
     """ASCII slug with Nordic letters spelled out, or `default` when nothing is left."""
     text = _c(value)

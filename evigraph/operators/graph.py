@@ -406,10 +406,10 @@ def work_lists(profiles: DataFrame, limit: int = 80) -> DataFrame:
 
 
 def stable_positions(nodes: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """Position of each node in its zone: by rank of its kind in `kinds`, start year (missing last), label without case, id."""
+    """Position of each node in its zone: by rank of its kind in `kinds`, start year (missing last), label by its base letters, id."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("node_type")), F.lit(0))
     ordered = nodes.select(
         "id", "zone", F.when(rank == 0, len(kinds) + 1).otherwise(rank).cast("int").alias("_rank"),
-        F.coalesce("era_start", F.lit(9999)).alias("_era"), F.lower("label").alias("_label"),
+        F.coalesce("era_start", F.lit(9999)).alias("_era"), text.base_order("label").alias("_label"),
     )
     return positions(ordered, [("_rank", True), ("_era", True), ("_label", True), ("id", True)], "position", ["zone"]).select("id", "zone", "position")

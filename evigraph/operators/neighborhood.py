@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph import vocab
+from evigraph.functions.text import label_order
 from evigraph.operators.evidence import induced_edges
 from evigraph.operators.graph import endpoints
 from evigraph.session import cut_lineage
@@ -17,10 +18,10 @@ def _positive(limit: int) -> None:
 
 
 def map_page(nodes: DataFrame, mode: str, limit: int = 800) -> DataFrame:
-    """The first `limit` nodes, starters first, then by label."""
+    """The first `limit` nodes, starters first, then by label in locale order."""
     _positive(limit)
     kept = nodes.where(F.col("node_type").isin(*vocab.MODE_KINDS[mode]))
-    return kept.orderBy(F.desc("starter"), F.asc("label"), F.asc("id")).limit(limit)
+    return kept.orderBy(F.desc("starter"), F.asc(label_order("label")), F.asc("id")).limit(limit)
 
 
 def map_edges(edges: DataFrame, page: DataFrame, limit: int = 5000) -> DataFrame:
@@ -70,7 +71,7 @@ def search(nodes: DataFrame, query: str, limit: int = 12) -> DataFrame:
         return nodes.limit(0)
     text = F.lower(F.concat_ws(" ", "label", "node_type", F.array_join("roles", " "), F.array_join("metadata", " "), F.array_join("aliases", " ")))
     hits = nodes.where(F.contains(text, F.lit(wanted)))
-    return hits.orderBy(F.desc(F.startswith(F.lower("label"), F.lit(wanted))), F.asc("label"), F.asc("id")).limit(limit)
+    return hits.orderBy(F.desc(F.startswith(F.lower("label"), F.lit(wanted))), F.asc(label_order("label")), F.asc("id")).limit(limit)
 
 
 def search_labels(nodes: DataFrame, query: str, limit: int = 12) -> DataFrame:
@@ -80,4 +81,4 @@ def search_labels(nodes: DataFrame, query: str, limit: int = 12) -> DataFrame:
         return nodes.limit(0)
     text = F.lower(F.concat_ws(" ", "label", F.array_join("aliases", " ")))
     hits = nodes.where(F.contains(text, F.lit(wanted)))
-    return hits.orderBy(F.desc(F.startswith(F.lower("label"), F.lit(wanted))), F.asc("label"), F.asc("id")).limit(limit)
+    return hits.orderBy(F.desc(F.startswith(F.lower("label"), F.lit(wanted))), F.asc(label_order("label")), F.asc("id")).limit(limit)

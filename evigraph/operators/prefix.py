@@ -1,82 +1,67 @@
-"""Ranks and running sums over groups too large for one task.
+"""Ranks, running sums and quantiles over groups too large for one task.
 
-A plain window sorts each group in one task. Here the group is first split into ordered slices at split points
-taken from a uniform, deterministic sample of at most SAMPLE keys; each slice is ranked on its own and shifted by
-the total of the slices before it. The split points are literals, so a recomputed task sees the same slices.
+A plain window sorts each group in one task. Here Spark's own range partitioning puts the rows in global order, as many
+slices as the session has shuffle partitions; the ordered rows are checkpointed, so that slices and places in them are facts and not
+recomputed, and the totals of the slices before are added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 2048
-SLICES = 32
+from evigraph.session import cut_lineage
 
+PLACE_BITS = 33  # of monotonically_increasing_id: the partition above, the row in it below
 
-def _after(keys: Sequence[tuple[str, bool]], point: Sequence) -> Column:
-    """Row at or after `point` in the given order."""
-    name, ascending = keys[0]
-    column, value = F.col(name), F.lit(point[0])
-    beyond = column > value if ascending else column < value
-    if len(keys) == 1:
-        return beyond | (column == value)
-    return beyond | ((column == value) & _after(keys[1:], point[1:]))
 
+def _same(group: Sequence[str], other: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(group, other, strict=True)], F.lit(True))
 
-def _slice_number(keys: Sequence[tuple[str, bool]], points: list, low: int = 0) -> Column:
-    """Binary search over the split points as nested conditions."""
-    if not points:
-        return F.lit(low)
-    middle = len(points) // 2
-    return F.when(
-        _after(keys, points[middle]), _slice_number(keys, points[middle + 1 :], low + middle + 1)
-    ).otherwise(_slice_number(keys, points[:middle], low))
+
+def _in_order(df: DataFrame, order: Sequence[tuple[str, bool]], group: Sequence[str]) -> DataFrame:
+    """Rows in global order with `_slice`, the partition, and `_row`, the place in it."""
+    sort = [F.asc(name) for name in group] + [F.asc(name) if ascending else F.desc(name) for name, ascending in order]
+    ordered = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    at = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    return at.withColumn("_slice", F.shiftright("_at", PLACE_BITS)).withColumn("_row", F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1)).drop("_at")
+
+
+def _with_offsets(sliced: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds to each row the sums over the slices before its own; the totals are a row for each slice a group touches."""
+    before = Window.partitionBy(*[f"_g_{name}" for name in group]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*[F.col(name).alias(f"_g_{name}") for name in group], F.col("_slice").alias("_s")).agg(
+        F.min("_row").alias("_first"), *[value.alias(name) for name, value in sums.items()]
+    )
+    names = [f"_g_{name}" for name in group]
+    offsets = totals.select(*names, "_s", "_first", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums])
+    if not group:
+        offsets = F.broadcast(offsets)  # a row for each shuffle partition
+    return sliced.join(offsets, (F.col("_slice") == F.col("_s")) & _same(group, names)).drop(*names, "_s")
 
 
 def prefix_sums(
-    df: DataFrame,
-    order: Sequence[tuple[str, bool]],
-    values: dict[str, Column],
-    group: Sequence[str] = (),
-    exclusive: bool = False,
-    slices: int = SLICES,
+    df: DataFrame, order: Sequence[tuple[str, bool]], values: dict[str, Column], group: Sequence[str] = (), exclusive: bool = False,
 ) -> DataFrame:
     """Running sums of `values` (name -> integer column) in `order` (column, ascending) within `group`.
 
-    The order columns must not be null and should end in a unique one.
+    The order should end in a unique column; nulls come first, or last where it descends.
     """
-    keys = [(name, True) for name in group] + list(order)
-    names = [name for name, _ in keys]
-    sort = [F.asc(name) if ascending else F.desc(name) for name, ascending in keys]
-    sample = df.select(*names).orderBy(F.xxhash64(*names), *names).limit(SAMPLE).orderBy(*sort).collect()
-    step = max(1, len(sample) // slices)
-    points = [tuple(row) for row in sample[step::step]]
-
     inputs = {name: f"_in_{i}" for i, name in enumerate(values)}
-    sliced = df.withColumn("_slice", _slice_number(keys, points))
-    for name, value in values.items():
-        sliced = sliced.withColumn(inputs[name], value)
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(column).alias(column) for column in inputs.values()])
-    offsets = totals.select(
-        *group, "_slice", *[F.coalesce(F.sum(column).over(before), F.lit(0)).alias(f"{column}_offset") for column in inputs.values()]
-    )
-    local = Window.partitionBy("_slice", *group).orderBy(*sort[len(group) :])
-    frame = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    running = [F.coalesce(F.sum(column).over(frame), F.lit(0)).alias(f"{column}_running") for column in inputs.values()]
-    joined = sliced.select("*", *running).join(offsets, [*group, "_slice"])
-    outputs = [(F.col(f"{column}_running") + F.col(f"{column}_offset")).alias(name) for name, column in inputs.items()]
-    return joined.select(*df.columns, *outputs)
+    sliced = _in_order(df.withColumns({inputs[name]: value for name, value in values.items()}), order, group)
+    shifted = _with_offsets(sliced, group, {f"{column}_offset": F.sum(column) for column in inputs.values()})
+    frame = Window.partitionBy("_slice", *group).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    outputs = [(F.coalesce(F.sum(column).over(frame), F.lit(0)) + F.col(f"{column}_offset")).alias(name) for name, column in inputs.items()]
+    return shifted.select(*df.columns, *outputs)
 
 
-def positions(
-    df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "position", group: Sequence[str] = ()
-) -> DataFrame:
-    """1-based row number in `order`; the order should end in a unique column."""
-    return prefix_sums(df, order, {out: F.lit(1).cast("bigint")}, group)
+def positions(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "position", group: Sequence[str] = ()) -> DataFrame:
+    """1-based row number in `order`, which should end in a unique column: the place in the slice, shifted. No window sees the rows."""
+    shifted = _with_offsets(_in_order(df, order, group), group, {"_before": F.count(F.lit(1))})
+    return shifted.select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias(out))
 
 
 def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], columns: Sequence[Column], out: str) -> DataFrame:
@@ -85,24 +70,38 @@ def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str
     Rows are numbered by slices and met by number, so the rows of a hot group are spread over the tasks.
     """
     numbered = positions(df, order, "_pos", group)
-    before = numbered.select(
-        *[F.col(name).alias(f"_before_{name}") for name in group], (F.col("_pos") + 1).alias("_next"), F.struct(*columns).alias(out)
-    )
-    condition = F.col("_pos") == F.col("_next")
-    for name in group:
-        condition = condition & (F.col(name) == F.col(f"_before_{name}"))
-    return numbered.join(before, condition, "left").select(*df.columns, out)
+    names = [f"_before_{name}" for name in group]
+    before = numbered.select(*[F.col(a).alias(b) for a, b in zip(group, names, strict=True)], (F.col("_pos") + 1).alias("_next"), F.struct(*columns).alias(out))
+    return numbered.join(before, (F.col("_pos") == F.col("_next")) & _same(group, names), "left").select(*df.columns, out)
 
 
 def floor_quantile(df: DataFrame, group: Sequence[str], value: str, share: float | None, out: str) -> DataFrame:
-    """Element at floor(n/2) (`share` None) or floor((n-1)*share) of the sorted values of each group.
+    """Element at floor(n/2) (`share` None) or floor((n-1)*share) of the sorted values of each group."""
+    return floor_quantiles(df, group, value, {out: share})
+
+
+def floor_quantiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float | None]) -> DataFrame:
+    """Several floor quantiles at once: name -> share, None for the element at floor(n/2); groups without a value are left out.
 
-    Values are counted before they are shuffled, so a hot group is one row per distinct value.
+    Exact selection in two steps. Values are counted before they are shuffled, and range partitioning by (group, value) makes the counts of
+    slices a histogram. Only the slice that holds a rank is looked into, so a task sees a slice of a group and never the group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*group)
-    running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = counts.withColumn("_upto", F.sum("_n").over(running)).withColumn("_all", F.sum("_n").over(whole))
-    index = F.floor(F.col("_all") / 2) if share is None else F.floor((F.col("_all") - 1) * F.lit(share))
-    hit = sized.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index))
-    return hit.select(*group, F.col(value).alias(out))
+    sliced = _in_order(counts, [(value, True)], group)
+    names = [f"_g_{name}" for name in group]
+    whole = Window.partitionBy(*names)
+    totals = sliced.groupBy(*[F.col(a).alias(b) for a, b in zip(group, names, strict=True)], F.col("_slice").alias("_s")).agg(F.sum("_n").alias("_sum"))
+    sized = totals.withColumn("_upto", F.sum("_sum").over(whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sized = sized.withColumn("_all", F.sum("_sum").over(whole))
+
+    def index(share: float | None) -> Column:
+        return F.floor(F.col("_all") / 2) if share is None else F.floor((F.col("_all") - 1) * F.lit(share))
+
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), index(share).alias("at")) for name, share in shares.items()]))
+    wanted = sized.select(*names, "_s", (F.col("_upto") - F.col("_sum")).alias("_before"), "_upto", ranks.alias("_rank"))
+    wanted = wanted.where((F.col("_rank.at") >= F.col("_before")) & (F.col("_rank.at") < F.col("_upto")))
+    bucket = sliced.join(wanted, (F.col("_slice") == F.col("_s")) & _same(group, names))
+    running = Window.partitionBy("_rank.name", *names).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = bucket.withColumn("_end", F.col("_before") + F.sum("_n").over(running))
+    hit = reached.where((F.col("_end") > F.col("_rank.at")) & (F.col("_end") - F.col("_n") <= F.col("_rank.at")))
+    return hit.groupBy(*group).agg(*[F.max(F.when(F.col("_rank.name") == name, F.col(value))).alias(name) for name in shares])

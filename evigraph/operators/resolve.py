@@ -13,7 +13,6 @@ from evigraph.functions.text import (
 )
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.graph import first_per_key, top_per_group
-from evigraph.operators.prefix import positions
 from evigraph.operators.titles import page_matches_kind, scope_reason
 
 
@@ -199,16 +198,17 @@ def promotion_patch(candidates: DataFrame, nodes: DataFrame, edges: DataFrame, m
 
 
 def stage_memberships(proposals: DataFrame, edges: DataFrame, recorded: DataFrame, limit: int) -> DataFrame:
-    """stage, already_present, needs_review or deferred for approved proposals, in order of id."""
+    """stage, already_present, needs_review or deferred for approved proposals; the first `limit` ids are not deferred."""
     open_rows = proposals.where(F.col("status") == "approved").join(recorded.select(F.col("id").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_anti")
-    ranked = positions(open_rows, [("id", True)], "_pos")
+    chosen = open_rows.select("id").orderBy("id").limit(limit).select(F.col("id").alias("_chosen"))
+    ranked = open_rows.join(chosen, F.col("id") == F.col("_chosen"), "left")
     sourced = F.exists("sources", lambda s: s["provider"] == "musicbrainz")
     present = edges.where(F.col("type") == "member_of").groupBy(F.col("source").alias("_s"), F.col("target").alias("_t")).agg(
         F.max((sourced & (F.col("label") == "Member of")).cast("int")).alias("_good")
     )
     joined = ranked.join(present, (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_t")), "left")
     state = (
-        F.when(F.col("_pos") > limit, "deferred").when(F.col("_s").isNull(), "stage").when(F.col("_good") == 1, "already_present").otherwise("needs_review")
+        F.when(F.col("_chosen").isNull(), "deferred").when(F.col("_s").isNull(), "stage").when(F.col("_good") == 1, "already_present").otherwise("needs_review")
     )
     return joined.select("id", state.alias("state"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import numeric
 from evigraph.functions.hashing import pair_key
+from evigraph.functions.text import base_order
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.prefix import positions as row_positions
 from evigraph.session import cut_lineage, attach_row, lookup
@@ -244,8 +245,9 @@ def growth_hints(edges: DataFrame, nodes: DataFrame, fresh: DataFrame, per_node:
 
 
 def undated_slots(nodes: DataFrame, left: float, top: float, columns: int, column_gap: float, row_gap: float) -> DataFrame:
-    """Row-by-row slots for nodes without a year, in order of zone, label and id."""
-    ordered = row_positions(nodes, [("zone", True), ("label", True), ("id", True)], "_pos")
+    """Row-by-row slots for nodes without a year, in order of zone, label by its base letters, and id."""
+    keyed = nodes.withColumn("_key", base_order("label"))
+    ordered = row_positions(keyed, [("zone", True), ("_key", True), ("id", True)], "_pos")
     index = F.col("_pos") - 1
     return ordered.select(
         "id", "zone", (F.lit(left) + (index % columns + 0.5) * column_gap).alias("x"),
@@ -254,11 +256,11 @@ def undated_slots(nodes: DataFrame, left: float, top: float, columns: int, colum
 
 
 def alphabetic_grid(nodes: DataFrame, columns: int = 16) -> DataFrame:
-    """A to Z grid with a small offset by first letter."""
+    """A to Z grid, by the base letters of labels, with a small offset by first letter."""
     from evigraph.functions.text import fold_text
 
     low, high, gap, start = -2260, 4300, 112, -1220
-    keyed = nodes.withColumn("_key", F.lower("label"))
+    keyed = nodes.withColumn("_key", base_order("label"))
     ordered = row_positions(keyed, [("_key", True), ("id", True)], "_pos")
     index = F.col("_pos") - 1
     letter = F.pmod(F.ascii(fold_text("label")), F.lit(7))

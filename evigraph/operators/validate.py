@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,9 +14,7 @@ from evigraph.functions.hashing import pair_key
 from evigraph.functions.refs import has_url
 from evigraph.functions.text import has_superlative, normalize_key
 from evigraph.operators.evidence import map_connections
-from evigraph.operators.graph import first_per_key
-from evigraph.operators.prefix import positions
-from evigraph.session import cut_lineage
+from evigraph.operators.graph import first_per_key, top_per_group
 
 
 def _rule(rule: str, condition: Column, detail: Column | str = "") -> Column:
@@ -131,16 +129,17 @@ def curated_fact_rules(facts: DataFrame, nodes: DataFrame, per_entity: int = 2)
 
 
 def over_cap(facts: DataFrame, cap: int) -> DataFrame:
-    """Facts beyond the cap of their entity, counted in order of id.
-
-    An entity under the cap never leaves the partial count; only rows of entities over it are ranked.
-    """
-    crowded = facts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
-    rows = cut_lineage(facts.select("id", "entity_id").join(crowded.select("entity_id"), "entity_id", "left_semi"))
-    ranked = positions(rows, [("id", True)], "_pos", ["entity_id"])
-    return ranked.where(F.col("_pos") > cap).select(
-        F.lit("entity_cap").alias("rule"), F.col("id").alias("key"), F.col("entity_id").alias("detail")
-    )
+    """Facts beyond the cap of their entity, counted in order of id: all but the top `cap`, which are found per task first."""
+    rows = facts.where(F.col("entity_id").isNotNull()).groupBy("entity_id", "id").agg(F.count(F.lit(1)).alias("_n"))
+    first = top_per_group(rows, ["entity_id"], [F.asc("id")], cap)  # at most `cap` rows of an entity from here
+    before = Window.partitionBy("entity_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(cap) - F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    within = first.select(F.col("entity_id").alias("_e"), F.col("id").alias("_i"), room.alias("_room"))
+    counted = rows.join(within, (F.col("entity_id") == F.col("_e")) & F.col("id").eqNullSafe(F.col("_i")), "left")
+    extra = counted.withColumn("_extra", F.col("_n") - F.coalesce("_room", F.lit(0))).where(F.col("_extra") > 0)
+    return extra.select(
+        F.lit("entity_cap").alias("rule"), F.col("id").alias("key"), F.col("entity_id").alias("detail"), F.explode(F.sequence(F.lit(1), "_extra")).alias("_")
+    ).drop("_")
 
 
 def fact_rules(facts: DataFrame, nodes: DataFrame) -> DataFrame:

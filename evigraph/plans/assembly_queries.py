@@ -565,7 +565,7 @@ def set_status(spark, d):
     "snk08_note_export",
     """, adj AS (SELECT source AS id, target AS o, label, context FROM relations UNION ALL SELECT target, source, label, context FROM relations),
     lines AS (SELECT a.id, e.label AS ol, '- [[' || a.o || '|' || e.label || ']] - ' || a.label || CASE WHEN len(a.context) > 0 THEN ' (' || array_to_string(a.context, '; ') || ')' ELSE '' END AS line FROM adj a JOIN entities e ON e.id = a.o)
-    SELECT id, 2 AS section, row_number() OVER (PARTITION BY id ORDER BY ol, line) AS line_no, line FROM lines
+    SELECT id, 2 AS section, row_number() OVER (PARTITION BY id ORDER BY ol COLLATE en, line) AS line_no, line FROM lines
     UNION ALL SELECT id, 0, unnest(range(1, 13)), unnest(['---', 'id: ' || id, 'label: "' || label || '"', 'type: ' || node_type, 'zone: ' || zone,
       'roles: [' || array_to_string(list_transform(roles, lambda v: '"' || v || '"'), ', ') || ']', 'aliases: [' || array_to_string(list_transform(aliases, lambda v: '"' || v || '"'), ', ') || ']',
       'eraStart: ' || coalesce(CAST(era_start AS VARCHAR), ''), 'layoutX: ' || CAST(x AS DECIMAL(18, 3)), 'layoutY: ' || CAST(y AS DECIMAL(18, 3)), 'starter: ' || starter, '---']) FROM entities
@@ -597,7 +597,7 @@ def note_round_trip(spark, d):
 
 @query(
     "snk09_type_index",
-    "SELECT node_type, row_number() OVER (PARTITION BY node_type ORDER BY label, id) AS line_no, '- [[' || id || '|' || label || ']]' AS line FROM entities",
+    "SELECT node_type, row_number() OVER (PARTITION BY node_type ORDER BY label COLLATE en, id) AS line_no, '- [[' || id || '|' || label || ']]' AS line FROM entities",
     ("entities",),
 )
 def type_index(spark, d):
@@ -608,7 +608,7 @@ def type_index(spark, d):
 
 @query(
     "top01_map_page",
-    "SELECT id, starter, label FROM entities WHERE node_type IN ('band', 'guitarist', 'artist', 'genre') ORDER BY starter DESC, label, id LIMIT 800",
+    "SELECT id, starter, label FROM entities WHERE node_type IN ('band', 'guitarist', 'artist', 'genre') ORDER BY starter DESC, label COLLATE en, id LIMIT 800",
     ("entities",),
 )
 def map_page(spark, d):
@@ -617,7 +617,7 @@ def map_page(spark, d):
 
 @query(
     "top01_map_edges",
-    """, p AS (SELECT id FROM entities WHERE node_type IN ('band', 'guitarist', 'artist', 'genre') ORDER BY starter DESC, label, id LIMIT 800)
+    """, p AS (SELECT id FROM entities WHERE node_type IN ('band', 'guitarist', 'artist', 'genre') ORDER BY starter DESC, label COLLATE en, id LIMIT 800)
     SELECT id FROM relations WHERE source IN (SELECT id FROM p) AND target IN (SELECT id FROM p) ORDER BY id LIMIT 5000""",
     ("entities", "relations"),
 )
@@ -663,8 +663,8 @@ def adjacency(spark, d):
 @query(
     "top02_search",
     """SELECT 'all' AS variant, id FROM (SELECT id FROM entities WHERE contains(lower(concat_ws(' ', label, node_type, array_to_string(roles, ' '), array_to_string(metadata, ' '), array_to_string(aliases, ' '))), 'small')
-         ORDER BY starts_with(lower(label), 'small') DESC, label, id LIMIT 12)
-       UNION ALL SELECT 'labels', id FROM (SELECT id FROM entities WHERE contains(lower(concat_ws(' ', label, array_to_string(aliases, ' '))), 'ensemble 1') ORDER BY label, id LIMIT 12)""",
+         ORDER BY starts_with(lower(label), 'small') DESC, label COLLATE en, id LIMIT 12)
+       UNION ALL SELECT 'labels', id FROM (SELECT id FROM entities WHERE contains(lower(concat_ws(' ', label, array_to_string(aliases, ' '))), 'ensemble 1') ORDER BY label COLLATE en, id LIMIT 12)""",
     ("entities",),
 )
 def search(spark, d):

@@ -771,7 +771,7 @@ ORACLES["win14_growth_hints"] = ORACLES["win14_growth_hints"].replace("WITH ", "
 
 @query(
     "win08_undated_slots",
-    """SELECT id, 100.0 + ((n - 1) % 7 + 0.5) * 50.0 AS x, 200.0 + ((n - 1) // 7) * 126.0 AS y FROM (SELECT id, row_number() OVER (ORDER BY zone, label, id) AS n FROM entities WHERE era_start IS NULL)""",
+    """SELECT id, 100.0 + ((n - 1) % 7 + 0.5) * 50.0 AS x, 200.0 + ((n - 1) // 7) * 126.0 AS y FROM (SELECT id, row_number() OVER (ORDER BY zone, icu_sort_key(lower(strip_accents(label)), 'en'), id) AS n FROM entities WHERE era_start IS NULL)""",
     ("entities",),
 )
 def undated_slots(spark, d):
@@ -781,7 +781,7 @@ def undated_slots(spark, d):
 
 @query(
     "win08_alphabetic_grid",
-    """SELECT id, round(-2260 + ((n - 1) % 16) * (6560 / 15.0::DOUBLE), 4) AS x, CAST(-1220 + ((n - 1) // 16) * 112 + ord(lower(label)) % 7 * 4 AS DOUBLE) AS y FROM (SELECT id, label, row_number() OVER (ORDER BY lower(label), id) AS n FROM entities)""",
+    """SELECT id, round(-2260 + ((n - 1) % 16) * (6560 / 15.0::DOUBLE), 4) AS x, CAST(-1220 + ((n - 1) // 16) * 112 + ord(lower(label)) % 7 * 4 AS DOUBLE) AS y FROM (SELECT id, label, row_number() OVER (ORDER BY icu_sort_key(lower(strip_accents(label)), 'en'), id) AS n FROM entities)""",
     ("entities",),
 )
 def alphabetic_grid(spark, d):
@@ -1175,6 +1175,8 @@ def review_stream(spark, d):
         "cast(user_id as string) as candidate_id", "id as version", "status", "review_reason_code as reason_code", "cast(null as string) as note",
         "cast(updated_at as timestamp) as happened_at",
     )
+    end = views.table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("ts")).first().ts
+    changes = changes.unionByName(leases.clock_mark(changes, "happened_at", F.lit(end) + F.expr("interval 2 days")))
     out = leases.run_available(review_log.stream_events(changes), "review-events")
     return out.select("candidate_id", "version", "previous_status", "status")
 
@@ -1219,6 +1221,28 @@ def close_requests(spark, d):
     return leases.close_requests(rows, runs).select("id", "status", "error")
 
 
+@query(
+    "str05_request_stream",
+    """SELECT o_orderkey AS id, CASE WHEN run AND (o_orderkey % 3 < 2 OR o_orderkey % 2 = 0) THEN 'processed' ELSE 'queued' END AS status,
+       CASE WHEN NOT run THEN 'Recovered after an interrupted run.' WHEN o_orderkey % 3 = 2 THEN 'boom' END AS error
+       FROM (SELECT *, o_orderkey % 5 <> 0 AND o_orderkey % 30 <= 12 AS run FROM orders) ORDER BY id""",
+)
+def request_stream(spark, d):
+    """Requests and their runs as two streams: a run ends up to 29 hours after the request, some never, some are delivered twice."""
+    orders = spark.readStream.schema(views.TABLES["orders"]).option("pathGlobFilter", "orders.parquet").parquet(d)
+    requests = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
+    runs = orders.where("o_orderkey % 5 <> 0").select(
+        F.col("o_orderkey").alias("request_id"), F.concat(F.lit("run-"), "o_orderkey").alias("run_id"), F.expr("case when o_orderkey % 3 = 2 then 'failed' else 'completed' end as outcome"),
+        F.expr("o_orderkey % 2 = 0 as candidates_written"), F.expr("case when o_orderkey % 3 = 2 then 'boom' end as error"),
+        (F.col("o_orderdate").cast("timestamp") + F.expr("make_dt_interval(0, o_orderkey % 30)")).alias("finished_at"), F.expr("explode(sequence(0, if(o_orderkey % 7 = 0, 1, 0)))"),
+    ).drop("col")
+    end = views.table(spark, d, "orders").agg(F.max("o_orderdate").cast("timestamp").alias("t")).first().t
+    mark = F.lit(end) + F.expr("interval 9 days")
+    requests = requests.unionByName(leases.clock_mark(requests, "started_at", mark))
+    runs = runs.unionByName(leases.clock_mark(runs, "finished_at", mark))
+    return leases.run_available(leases.close_request_stream(requests, runs), "requests").select("id", "status", "error")
+
+
 @query(
     "str03_recently_checked",
     "SELECT DISTINCT entity_id AS id FROM attempts WHERE attempted_at > TIMESTAMP '2024-01-16 00:00:00' - INTERVAL 14 DAY",

@@ -159,7 +159,7 @@ def interpretation_notes(spark, d):
     "top14_stable_positions",
     """SELECT id, zone, row_number() OVER (PARTITION BY zone ORDER BY CASE node_type """
     + " ".join(f"WHEN '{kind}' THEN {k}" for k, kind in enumerate(vocab.NODE_KINDS))
-    + """ END, era_start NULLS LAST, lower(label), id) AS position FROM entities""",
+    + """ END, era_start NULLS LAST, icu_sort_key(lower(strip_accents(label)), 'en'), id) AS position FROM entities""",
     ("entities",),
 )
 def stable_positions(spark, d):

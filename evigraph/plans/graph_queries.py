@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import numeric, refs, text
 from evigraph.operators import evidence, graph, spatial
-from evigraph.operators.prefix import floor_quantile
+from evigraph.operators.prefix import floor_quantiles as quantiles
 from evigraph.plans import views
 from evigraph.plans.registry import ORACLES, query
 from evigraph.session import cut_lineage
@@ -419,9 +419,7 @@ def zone_profiles(spark, sf_dir):
 )
 def floor_quantiles(spark, sf_dir):
     values = views.entities(spark, sf_dir).select("zone", (F.col("x").cast("bigint") % 1000).alias("k"))
-    return floor_quantile(values, ["zone"], "k", None, "median").join(
-        floor_quantile(values, ["zone"], "k", 0.25, "p25"), "zone"
-    )
+    return quantiles(values, ["zone"], "k", {"median": None, "p25": 0.25})
 
 
 @query(

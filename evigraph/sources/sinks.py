@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.functions.text import label_order
 from evigraph.operators.evidence import induced_edges
 from evigraph.operators.graph import adjacency
 from evigraph.operators.prefix import positions
@@ -65,7 +66,8 @@ def note_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     related = adjacency(inside, nodes).select(
         "id", "other_label", F.concat(F.lit("- [["), "other", F.lit("|"), "other_label", F.lit("]] - "), "label", context).alias("line")
     )
-    numbered = positions(related, [("other_label", True), ("line", True)], "line_no", ["id"])
+    related = related.withColumn("_order", label_order("other_label"))
+    numbered = positions(related, [("_order", True), ("line", True)], "line_no", ["id"])
     kinds = nodes.select("id", "node_type")
     body = numbered.join(kinds, "id").select("id", "node_type", F.lit(2).alias("section"), "line_no", "line")
     summary = F.when(F.coalesce("summary", F.lit("")) == "", "No summary yet.").otherwise(F.col("summary"))
@@ -84,8 +86,8 @@ def write_notes(lines: DataFrame, path: str) -> None:
 
 
 def index_lines(nodes: DataFrame) -> DataFrame:
-    """Numbered index lines per kind in order of label; the order of a kind is built without one task per kind."""
-    ranked = positions(nodes.select("node_type", "label", "id"), [("label", True), ("id", True)], "line_no", ["node_type"])
+    """Numbered index lines per kind in locale order of label; the order of a kind is built without one task per kind."""
+    ranked = positions(nodes.select("node_type", "label", "id", label_order("label").alias("_order")), [("_order", True), ("id", True)], "line_no", ["node_type"])
     return ranked.select("node_type", "line_no", F.concat(F.lit("- [["), "id", F.lit("|"), "label", F.lit("]]")).alias("line"))
 
 

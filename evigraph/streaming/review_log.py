@@ -1,22 +1,22 @@
-"""Change log of candidate reviews: batch form and Structured Streaming form with one small state per candidate."""
+"""Change log of candidate reviews: batch form, and a stream that orders rows by event time before it compares them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from evigraph import vocab
 from evigraph.operators.prefix import with_previous
 
 OUTPUT = (
     "candidate_id string, version string, previous_status string, status string, reason_code string, note string, "
-    "origin string, happened_at timestamp"
+    "origin string, happened_at_us bigint"
 )
-STATE = "status string, reason_code string, note string"
+EVENT = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
+TRIPLE = "status string, reason_code string, note string"
 
 
 def batch_events(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -44,33 +44,86 @@ def backfill_events(candidates: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def _clean(value: object) -> str | None:
-    return None if value is None or value != value else str(value)
+class ReviewLog(StatefulProcessor):
+    """Waiting rows of a candidate by (time, version), its last triple, and one timer at the earliest moment of work.
 
+    A row waits until the watermark has passed its time, when no earlier row can come any more; then rows are compared in
+    the order of (time, version), whatever batches brought them. A repeated delivery falls on the same key. The last triple is
+    forgotten when the watermark is `keep_ms` past it, so state ends; a candidate that comes back later starts anew.
+    """
 
-def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = tuple(state.get) if state.exists else None
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["happened_at", "version"], kind="stable")
-    for row in rows.itertuples(index=False):
-        current = (_clean(row.status), _clean(row.reason_code), _clean(row.note))
-        if (last is None and current[0] in vocab.FINAL_STATUSES) or (last is not None and current != last):
-            out.append((key[0], row.version, last[0] if last else None, *current, "review_change", row.happened_at))
-        last = current
-    if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=[part.split()[0] for part in OUTPUT.split(", ")])
-
-
-def stream_events(changes: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events of a change stream (candidate_id, version, status, reason_code, note, happened_at).
-
-    Repeated deliveries of a version are dropped inside the watermark; the state of a candidate is its last triple.
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", f"{TRIPLE}, at_us bigint")
+        self.waiting = handle.getMapState("waiting", "at_us bigint, version string", TRIPLE)
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+
+    def _wake(self, at_ms: int) -> None:
+        """Keep one timer, at the earlier of its time and `at_ms`."""
+        if self.timer.exists():
+            (known,) = self.timer.get()
+            if known <= at_ms:
+                return
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(at_ms)
+        self.timer.update((at_ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        earliest = None
+        for row in rows:
+            if key[0] is None:
+                continue
+            self.waiting.updateValue((row.happened_at_us, row.version), (row.status, row.reason_code, row.note))
+            earliest = row.happened_at_us if earliest is None else min(earliest, row.happened_at_us)
+        if earliest is not None:
+            self._wake(earliest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.timer.clear()
+        mark = timerValues.getCurrentWatermarkInMs()
+        due, later = [], None
+        for (at_us, version), triple in self.waiting.iterator():
+            if at_us // 1000 < mark:
+                due.append((at_us, version, tuple(triple)))
+            else:
+                later = at_us if later is None else min(later, at_us)
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for at_us, version, triple in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+            first_final = last is None and triple[0] in vocab.FINAL_STATUSES
+            if first_final or (last is not None and triple != last[:3]):
+                yield EVENT(key[0], version, last[0] if last else None, *triple, "review_change", at_us)
+            last = (*triple, at_us)
+            self.waiting.removeKey((at_us, version))
+        if last is not None:
+            ends = last[3] // 1000 + self.keep_ms
+            if later is None and ends <= mark:
+                self.last.clear()
+            else:
+                self.last.update(last)
+                self._wake(ends if later is None else later // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_events(changes: DataFrame, delay: str = "1 day", keep_days: int = 365) -> DataFrame:
+    """Events of a change stream (candidate_id, version, status, reason_code, note, happened_at), as `batch_events` gives them.
+
+    Rows may come late by `delay` and in any order; an event leaves once the watermark has passed its time, and rows behind the
+    watermark of the batch before are dropped and counted by Spark: whatever is let in is later than all that has left. A row without a candidate is a mark of the writer's clock: it moves the watermark and nothing
+    else. Rows without a time have no place in the order and are left out. The state store must be RocksDB (`run_available` sees to it).
     """
-    unique = changes.withWatermark("happened_at", delay).dropDuplicatesWithinWatermark(["candidate_id", "version"])
-    return unique.groupBy("candidate_id").applyInPandasWithState(
-        _emit, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    timed = changes.where(F.col("happened_at").isNotNull()).withWatermark("happened_at", delay)
+    rows = timed.select(
+        "candidate_id", F.col("version").cast("string").alias("version"), "status", "reason_code", "note", "happened_at",
+        F.unix_micros("happened_at").alias("happened_at_us"),
     )
+    events = rows.groupBy("candidate_id").transformWithState(ReviewLog(keep_days * 86_400_000), OUTPUT, "append", "eventTime")
+    return events.withColumn("happened_at", F.timestamp_micros("happened_at_us")).drop("happened_at_us")
 
 
 def review_counts(events: DataFrame, delay: str = "1 day", width: str = "7 days") -> DataFrame:

@@ -90,6 +90,54 @@ def test_floor_quantiles(spark):
     assert {r.g: r.m for r in prefix.floor_quantile(df, ["g"], "v", 0.25, "m").collect()} == {"a": 1, "b": 9}
 
 
+def test_floor_quantiles_of_many_values_in_one_group(spark):
+    """One group with 20,000 distinct values: exact, and every window is bounded to a slice or to its totals."""
+    rnd = random.Random(11)
+    values = [rnd.random() for _ in range(20_000)] + [0.5] * 5000
+    df = spark.createDataFrame([("hot", v) for v in values] + [(None, 1.5), ("x", None)], "g string, v double").repartition(6)
+    got = prefix.floor_quantiles(df, ["g"], "v", {"median": None, "low": 0.1, "least": 0.0, "most": 1.0})
+    rows = {r.g: r for r in got.collect()}
+    ordered = sorted(values)
+    n = len(ordered)
+    assert rows["hot"][1:] == (ordered[n // 2], ordered[int((n - 1) * 0.1)], ordered[0], ordered[-1])
+    assert rows[None][1:] == (1.5,) * 4 and "x" not in rows
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    running = [line for line in plan.splitlines() if "Window [sum(_n" in line]
+    assert running and all("_row" in line for line in running)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small slices would be put together again
+    try:
+        slices = prefix._in_order(df.where("g = 'hot'").groupBy("g", "v").count(), [("v", True)], ["g"]).groupBy("_slice").count().collect()
+        assert len(slices) > 4 and max(r["count"] for r in slices) < 8000
+        assert {r.g: r.median for r in prefix.floor_quantiles(df, ["g"], "v", {"median": None}).collect()}["hot"] == ordered[n // 2]
+        numbered = prefix.positions(df.where("g = 'hot'").distinct(), [("v", True)], "p", ["g"]).collect()
+        assert [r.p for r in sorted(numbered, key=lambda r: r.v)] == list(range(1, 20_002))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_positions_keep_null_groups_and_equal_orders(spark):
+    df = spark.createDataFrame([(None, 2), (None, None), ("a", 1), ("a", 3), ("a", 2)], "g string, v int")
+    got = prefix.positions(df, [("v", True)], "p", ["g"]).collect()
+    assert sorted((r.g or "", r.p, r.v or 0) for r in got) == [("", 1, 0), ("", 2, 2), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3)]
+    before = prefix.with_previous(df, ["g"], [("v", True)], [F.col("v")], "was").collect()
+    assert sorted((r.g or "", r.v or 0, r.was and (r.was.v or 0)) for r in before if r.was) == [("", 2, 0), ("a", 2, 1), ("a", 3, 2)]
+
+
+def test_cap_counts_repeated_ids(spark):
+    facts = spark.createDataFrame([("e", "a"), ("e", "a"), ("e", "a"), ("e", "b"), ("f", "c"), (None, "z"), (None, "z"), (None, "z")], "entity_id string, id string")
+    assert sorted((r.key, r.detail) for r in validate.over_cap(facts, 2).collect()) == [("a", "e"), ("b", "e")]
+
+
+def test_labels_sort_by_locale(spark):
+    labels = ["Zebra", "apple", "Ärger", "arger", "ea", "Éa", "b", "B", "éb", "_x", "10", "Ea"]
+    nodes = spark.createDataFrame([(f"n{k:02d}", label, False, "band") for k, label in enumerate(labels)], "id string, label string, starter boolean, node_type string")
+    page = [r.label for r in neighborhood.map_page(nodes, "artists", 20).collect()]
+    assert page == ["_x", "10", "apple", "arger", "Ärger", "b", "B", "ea", "Ea", "Éa", "éb", "Zebra"]
+    zoned = nodes.selectExpr("id", "label", "'z' as zone", "'band' as node_type", "cast(null as int) as era_start")
+    base = {r.position: labels[int(r.id[1:])] for r in graph.stable_positions(zoned, ["band"]).collect()}
+    assert [base[k] for k in sorted(base)] == ["_x", "10", "apple", "Ärger", "arger", "b", "B", "ea", "Éa", "Ea", "éb", "Zebra"]
+
+
 def test_grid_pairs_equal_all_pairs(spark):
     rnd = random.Random(5)
     rows = [node(f"n{i:03d}", rnd.choice(["band", "genre", "artist"]), rnd.choice("xy"), "L" * rnd.randint(1, 40), x=rnd.uniform(-900, 900), y=rnd.uniform(-400, 400)) for i in range(300)]

@@ -1,6 +1,10 @@
 """Readers, writers and streams on files."""
 
+import datetime
 import json
+import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,18 +67,100 @@ def test_snapshot_fails_on_a_bad_row(spark):
         sinks.approved_snapshot(bad).collect()
 
 
-def test_review_stream_equals_batch(spark, tmp_path):
-    rows = [("a", "1", "review", None, 1), ("a", "2", "approved", None, 2), ("a", "2", "approved", None, 2), ("a", "3", "approved", "x", 3), ("a", "4", "approved", "x", 4), ("b", "5", "rejected", None, 5)]
-    df = spark.createDataFrame(rows, "candidate_id string, version string, status string, reason_code string, t int").select(
-        "candidate_id", "version", "status", "reason_code", F.lit(None).cast("string").alias("note"), F.timestamp_seconds("t").alias("happened_at")
-    )
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    out = leases.run_available(review_log.stream_events(stream), "test").collect()
+CHANGE = "candidate_id string, version string, status string, reason_code string, note string, happened_at timestamp"
+
+
+def change(candidate, version, status, day, reason=None):
+    return (candidate, version, status, reason, None, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day))
+
+
+def deliver(spark, folder, schema, batches):
+    """One file for each batch, in order of their names and times."""
+    for k, rows in enumerate(batches):
+        target = folder / f"{k:03d}.parquet"
+        pd = spark.createDataFrame(rows, schema).coalesce(1)
+        pd.write.parquet(str(folder / f"tmp{k}"))
+        part = next((folder / f"tmp{k}").glob("part-*.parquet"))
+        part.rename(target)
+        os.utime(target, (1_700_000_000 + 100 * k,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "0*.parquet").parquet(str(folder))
+
+
+def batch_rows(spark, rows):
+    frame = spark.createDataFrame(rows, CHANGE).where("candidate_id is not null").dropDuplicates(["candidate_id", "version"])
+    out = review_log.batch_events(frame.withColumnRenamed("reason_code", "review_reason_code"), "candidate_id", ["happened_at", "version"])
+    return sorted((r.candidate_id, r.version, r.previous_status, r.status) for r in out.collect())
+
+
+def test_review_stream_equals_batch_whatever_the_batches(spark, tmp_path):
+    rows = [change("a", "1", "review", 0), change("a", "2", "approved", 1), change("a", "3", "approved", 2, "x"), change("a", "4", "approved", 3, "x"),
+            change("b", "5", "rejected", 1.5), change("b", "6", "review", 2.5), change("c", "7", "review", 0.5), change("c", "8", "review", 2.7)]
+    mark = (None, None, None, None, None, datetime.datetime(2024, 3, 1))
+    late_and_split = [[rows[1], rows[4]], [rows[0], rows[6]], [rows[3], rows[1], rows[5]], [rows[2], rows[7], rows[5]], [mark]]
+    stream = deliver(spark, tmp_path, CHANGE, late_and_split)
+    out = leases.run_available(review_log.stream_events(stream, delay="3 days"), "split").collect()
     got = sorted((r.candidate_id, r.version, r.previous_status, r.status) for r in out)
-    assert got == [("a", "2", "review", "approved"), ("a", "3", "approved", "approved"), ("b", "5", None, "rejected")]
-    batch = review_log.batch_events(df.dropDuplicates(["version"]).withColumnRenamed("reason_code", "review_reason_code"), "candidate_id", ["happened_at", "version"])
-    assert sorted((r.candidate_id, r.version, r.previous_status, r.status) for r in batch.collect()) == got
+    assert got == batch_rows(spark, rows) and len(got) == 4
+    assert all(r.origin == "review_change" for r in out)
+
+
+def test_review_state_ends_and_rows_beyond_the_delay_are_dropped(spark, tmp_path):
+    first, again = change("a", "1", "approved", 0), change("a", "3", "rejected", 40)
+    batches = [[first], [change("z", "9", "review", 20)], [change("z", "8", "review", 20.5)], [change("a", "2", "rejected", 1)], [again], [(None, None, None, None, None, datetime.datetime(2024, 4, 1))]]
+    stream = deliver(spark, tmp_path, CHANGE, batches)
+    out = leases.run_available(review_log.stream_events(stream, keep_days=10), "ends").collect()
+    assert sorted((r.version, r.previous_status, r.status) for r in out) == [("1", None, "approved"), ("3", None, "rejected")]
+
+
+def test_many_rows_of_one_candidate_in_random_batches(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [change(rng.choice("aaaab"), f"{k:04d}", rng.choice(["review", "approved", "rejected"]), rng.randrange(50) / 10) for k in range(300)]
+    mixed = rng.sample(rows, len(rows))
+    batches = [mixed[k::6] + rng.sample(rows, 5) for k in range(6)] + [[(None, None, None, None, None, datetime.datetime(2024, 3, 1))]]
+    out = leases.run_available(review_log.stream_events(deliver(spark, tmp_path, CHANGE, batches), delay="10 days"), "random").collect()
+    assert sorted((r.candidate_id, r.version, r.previous_status, r.status) for r in out) == batch_rows(spark, rows)
+
+
+REQUEST = "id string, started_at timestamp"
+RUN = "request_id string, run_id string, outcome string, candidates_written boolean, error string, finished_at timestamp"
+
+
+def test_request_stream_late_never_twice(spark, tmp_path):
+    at = lambda hour: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hour)
+    (tmp_path / "q").mkdir()
+    (tmp_path / "r").mkdir()
+    asked = [[("ok", at(0)), ("never", at(0)), ("twice", at(0))], [("late", at(1)), ("failed", at(1)), ("wrote", at(1))], [("later", at(2))], [(None, at(100))], [(None, at(101))], [(None, at(102))]]
+    run = lambda i, outcome, hour, wrote=False, error=None: (i, f"run-{i}", outcome, wrote, error, at(hour))
+    ended = [[run("ok", "completed", 3), run("twice", "completed", 4)], [run("twice", "completed", 4), run("failed", "failed", 5, error="boom")],
+             [run("late", "completed", 20), run("wrote", "failed", 6, True, "half")], [(None, None, None, None, None, at(100))], [(None, None, None, None, None, at(101))],
+             [run("later", "completed", 3), (None, None, None, None, None, at(102))]]
+    requests, runs = deliver(spark, tmp_path / "q", REQUEST, asked), deliver(spark, tmp_path / "r", RUN, ended)
+    got = leases.run_available(leases.close_request_stream(requests, runs), "requests").collect()
+    again = leases.RECOVERED
+    assert sorted((r.id, r.status, r.error) for r in got) == [
+        ("failed", "queued", "boom"), ("late", "queued", again), ("later", "queued", again), ("never", "queued", again), ("ok", "processed", None),
+        ("twice", "processed", None), ("wrote", "processed", "half"),
+    ]
+
+
+def test_lease_timers(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    schema = "id string, status string, updated_at timestamp"
+    batches = [[("stale", "processing", at), ("done", "processing", at), ("busy", "processing", at)], [("done", "processed", at + datetime.timedelta(hours=1))]]
+    stream = deliver(spark, tmp_path, schema, batches)
+    folder = leases.work_folder(spark, "lease")
+    running = leases.start(leases.lease_stream(stream, seconds=4), folder, processingTime="1 second")
+    deadline, found = time.time() + 90, []
+    while time.time() < deadline and len(found) < 2:
+        running.awaitTermination(2)
+        if running.exception():
+            raise running.exception()
+        try:
+            found = spark.read.schema("id string, status string, error string").parquet(f"{folder}/out").collect()
+        except Exception:  # noqa: BLE001  (nothing is written yet)
+            continue
+    running.stop()
+    assert sorted((r.id, r.status, r.error) for r in found) == [("busy", "queued", leases.RECOVERED), ("stale", "queued", leases.RECOVERED)]
 
 
 def test_stale_requests_return_to_the_queue(spark):
