@@ -13,6 +13,7 @@ from evigraph.functions.hashing import edge_key, pair_key, row_hash
 from evigraph.functions.text import merge_unique, normalize_key
 from evigraph.operators.evidence import induced_edges
 from evigraph.operators.graph import first_per_key
+from evigraph.session import lookup
 
 
 def _tie(df: DataFrame) -> Column:
@@ -109,18 +110,21 @@ def apply_corrections(nodes: DataFrame, corrections: DataFrame) -> tuple[DataFra
     return fixed, issues.where(F.col("rule").isNotNull())
 
 
-def co_occurrence(members: DataFrame, salts: int = 8) -> DataFrame:
+def co_occurrence(members: DataFrame, block: int = 256) -> DataFrame:
     """Collaborations between every two members of one release: release_id, member -> one row per pair and release.
 
-    The pairs themselves are the result. One side is spread over salts and the other copied, so the pairs of a
-    large release are made by several tasks.
+    The pairs themselves are the result. The members of a release are dealt into blocks of about `block`, as many as its measured
+    size asks for, and a tile of two blocks makes its pairs: a small release is one tile and no member is copied, a huge one
+    is many tiles of `block` squared pairs.
     """
     distinct = members.select("release_id", "member").distinct()
-    left = distinct.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("member", "source")
-    right = distinct.select(
-        "release_id", F.col("member").alias("target"), F.pmod(F.xxhash64("member"), F.lit(salts)).cast("int").alias("_salt")
-    )
-    pairs = left.join(right, ["release_id", "_salt"]).where(F.col("source") < F.col("target"))
+    sizes = distinct.groupBy("release_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"))
+    dealt = lookup(distinct, sizes.withColumnRenamed("release_id", "_release"), "release_id", "_release").drop("_release")
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("member"), F.col("_blocks")))
+    left = dealt.select("release_id", F.col("member").alias("_one"), F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"))
+    right = dealt.select("release_id", F.col("member").alias("_two"), F.explode(F.sequence(F.lit(0).cast("bigint"), "_block")).alias("_i"), F.col("_block").alias("_j"))
+    pairs = left.join(right, ["release_id", "_i", "_j"]).where(F.when(F.col("_i") == F.col("_j"), F.col("_one") < F.col("_two")).otherwise(F.lit(True)))
+    pairs = pairs.withColumn("source", F.least("_one", "_two")).withColumn("target", F.greatest("_one", "_two"))
     return pairs.select(
         F.concat_ws("-", F.lit("release"), "release_id", "source", "target").alias("id"), "source", "target",
         F.lit("collaboration").alias("type"), F.lit("recorded together").alias("label"), F.lit(0.72).alias("strength"),

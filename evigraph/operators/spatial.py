@@ -297,19 +297,50 @@ def timeline_x(nodes: DataFrame, start_x: int = -4800) -> DataFrame:
     return joined.select("id", "start_year", F.col("_decade").alias("decade"), (F.col("_x") + offset).alias("x"))
 
 
+NEAR = 0.15  # degrees
+COLUMNS = 2399  # of a little more than 0.15 degrees, all around
+POLAR = 90 - NEAR
+
+
+def _text(name: str) -> Column:
+    return F.lower(F.trim(F.col(name)))
+
+
 def same_place(a: str, b: str) -> Column:
-    """Equal name and country and both coordinates within 0.15 degrees, for aliased frames."""
-    def text(name: str) -> Column:
-        return F.lower(F.trim(F.col(name)))
+    """Equal name and country and both coordinates within 0.15 degrees, for aliased frames.
 
+    Longitudes are compared around the circle, so 179.95 and -179.95 are near; at a pole, where all of them meet, latitude alone decides.
+    """
+    apart = F.abs(F.col(f"{a}.lon") - F.col(f"{b}.lon"))
+    apart = F.least(apart, F.abs(F.lit(360.0) - apart))
+    pole = (F.abs(F.col(f"{a}.lat")) > POLAR) & (F.abs(F.col(f"{b}.lat")) > POLAR)
     return (
-        (text(f"{a}.name") == text(f"{b}.name")) & (text(f"{a}.country") == text(f"{b}.country"))
-        & (F.abs(F.col(f"{a}.lat") - F.col(f"{b}.lat")) < 0.15) & (F.abs(F.col(f"{a}.lon") - F.col(f"{b}.lon")) < 0.15)
+        (_text(f"{a}.name") == _text(f"{b}.name")) & (_text(f"{a}.country") == _text(f"{b}.country"))
+        & (F.abs(F.col(f"{a}.lat") - F.col(f"{b}.lat")) < NEAR) & ((apart < NEAR) | pole)
     )
 
 
 def same_place_pairs(places: DataFrame) -> DataFrame:
-    """Distinct place ids that describe one place; input is reduced to distinct places before the join."""
+    """Distinct place ids that describe one place; input is reduced to distinct places before the join.
+
+    Places meet in cells a little wider than the tolerance, by name and country: each in its own cell and half of the neighbours, columns
+    closed to a ring at 180 degrees, and those at a pole in one cell more. So places of a usual name meet only where they are near.
+    """
     distinct = places.select("place_id", "name", "country", "lat", "lon").dropDuplicates(["place_id"])
-    pairs = distinct.alias("a").join(distinct.alias("b"), same_place("a", "b") & (F.col("a.place_id") < F.col("b.place_id")))
-    return pairs.select(F.col("a.place_id").alias("first"), F.col("b.place_id").alias("second"))
+    width = 360.0 / COLUMNS
+    column = F.pmod(F.floor((F.col("lon") + 180) / width), F.lit(COLUMNS))
+    keyed = distinct.withColumns({"_name": _text("name"), "_country": _text("country"), "_cx": column, "_cy": F.floor(F.col("lat") / width), "_pole": F.abs("lat") > POLAR})
+    cap = F.struct(F.lit(-1).cast("bigint").alias("x"), F.signum("lat").cast("bigint").alias("y"))
+    cell = F.struct(F.col("_cx").alias("x"), F.col("_cy").alias("y"))
+    around = F.array(*[
+        F.struct(F.pmod(F.col("_cx") + dx, F.lit(COLUMNS)).alias("x"), (F.col("_cy") + dy).alias("y")) for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
+    ])
+
+    def side(cells: Column, name: str) -> DataFrame:
+        with_cap = F.when(F.col("_pole"), F.concat(cells, F.array(cap))).otherwise(cells)
+        return keyed.select("place_id", "name", "country", "lat", "lon", "_name", "_country", F.explode(with_cap).alias("_cell")).alias(name)
+
+    met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_name", "_country", "_cell")]
+    pairs = side(around, "a").join(side(F.array(cell), "b"), met[0] & met[1] & met[2] & (F.col("a.place_id") != F.col("b.place_id"))).where(same_place("a", "b"))
+    ids = F.array_sort(F.array(F.col("a.place_id"), F.col("b.place_id")))
+    return pairs.select(ids[0].alias("first"), ids[1].alias("second")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph import vocab
@@ -14,8 +14,9 @@ from evigraph.functions.text import fold_text
 from evigraph.operators.evidence import induced_edges, map_connections
 from evigraph.operators.graph import endpoints, first_per_key, top_per_group
 from evigraph.operators.prefix import positions
-from evigraph.session import attach_row
+from evigraph.session import attach_row, cut_lineage
 
+BORDER = 3  # letters of a border word that a two-word phrase is filed under
 # Words that say nothing about a zone.
 STOP_WORDS = (
     "a", "an", "and", "as", "artist", "artists", "band", "bands", "by", "brain", "for", "from", "genre", "genres",
@@ -79,28 +80,60 @@ def split_all(nodes: DataFrame) -> DataFrame:
     return positions(hashed, [("_h", True), ("id", True)], "position", ["zone"]).select("id", "zone", "position")
 
 
+def _gap(left: Column, right: Column, tail: Column, head: Column) -> Column:
+    """The last `tail` letters of a word and the first `head` of the next; null if a word is shorter."""
+    fits = (F.length(left) >= tail) & (F.length(right) >= head)
+    return F.when(fits, F.concat(F.lit("g"), F.right(left, tail), F.lit(" "), F.left(right, head)))
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Distinct (id, term) where the text holds the phrase as a substring; a phrase has two words or more.
+
+    An inverted index of phrases. A phrase between two texts' words can begin and end inside a word, but its inner words are whole;
+    so each phrase is filed under its rarest inner word, counted over the texts, or under the letters around its only gap if it has two
+    words. Texts meet it by one join on those keys, and the border words are checked in the row of each candidate. Neither the
+    vocabulary nor the texts are collected anywhere; the work follows the candidates.
+    """
+    own = phrases.where(F.contains("term", F.lit(" "))).select("term").distinct().withColumn("_words", F.split("term", " "))
+    size, edge = F.size("_words"), F.lit(BORDER)
+    first, last = F.element_at("_words", 1), F.element_at("_words", -1)
+    tail, head = F.least(F.length(first), edge), F.least(F.length(last), edge)
+    inner = F.transform(F.slice("_words", F.lit(2), F.greatest(size - 2, F.lit(0))), lambda w: F.concat(F.lit("w"), w))
+    keys = F.when(size > 2, F.array_distinct(inner)).otherwise(F.array(_gap(first, last, tail, head)))
+    filed = own.select("term", F.explode(keys).alias("_key"), F.when(size == 2, F.struct(tail.alias("tail"), head.alias("head"))).alias("_cut"))
+    filed = cut_lineage(filed)
+    cuts = filed.agg(F.collect_set("_cut").alias("_cuts"))  # at most (BORDER + 1)^2 pairs of lengths
+
+    words = attach_row(texts.select("id", F.split("text", " ").alias("_words")), cuts)
+    following = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0)))
+    gaps = F.flatten(F.transform(following, lambda w, i: F.transform("_cuts", lambda c: _gap(w, F.get("_words", i + 1), c["tail"], c["head"]))))
+    spelled = F.array_distinct(F.concat(F.transform("_words", lambda w: F.concat(F.lit("w"), w)), F.array_compact(gaps)))
+    postings = words.select("id", F.explode(spelled).alias("_key"))
+    postings = cut_lineage(postings.join(filed.select("_key").distinct(), "_key", "left_semi"))
+    found = filed.join(postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key")
+    whole = filed.groupBy("term").agg(F.count(F.lit(1)).alias("_all"))
+    rarest = found.groupBy("term").agg(F.count(F.lit(1)).alias("_seen"), F.min(F.struct("_n", "_key")).alias("_best")).join(whole, "term")
+    index = rarest.where(F.col("_seen") == F.col("_all")).select("term", F.col("_best._key").alias("_key"))
+    candidates = postings.join(index, "_key").select(F.col("id").alias("_id"), "term").distinct()
+    return texts.select("id", "text").join(candidates, F.col("id") == F.col("_id")).where(F.contains("text", F.col("term"))).select("id", "term").distinct()
+
+
 def zone_scores(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Score of each text in each zone: a matched term counts max(2, words + 1), the current zone one more.
 
-    Texts are (id, text, zone) with folded text; terms (zone, term, weight) with folded terms, weight null for fixed
+    Texts are (id, text, zone) with folded text, one row an id; terms (zone, term, weight) with folded terms, weight null for fixed
     terms and clamp(0.35 w, 0.5, 6) for learned ones. A word matches as a whole word, by one join with the distinct words
-    of the texts; a phrase matches as a substring, looked for in the row that holds the text. The phrases are one row
-    beside it: a vocabulary, some hundred phrases of each zone. No text is shuffled.
+    of the texts; a phrase matches as a substring, see `phrase_hits`.
     """
     parts = F.split("term", " ")
     value = F.when(F.col("weight").isNull(), F.greatest(F.lit(2), F.size(parts) + 1).cast("double")).otherwise(
         F.least(F.lit(6.0), F.greatest(F.lit(0.5), F.col("weight") * 0.35))
     )
-    table = terms.where(F.col("term") != "").select(F.col("zone").alias("_zone"), "term", value.alias("_value"))
-    phrase = F.contains("term", F.lit(" "))
+    table = terms.where(F.col("term") != "").select("zone", "term", value.alias("score"))
     words = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("term"))
-    by_word = words.join(table.where(~phrase), "term").select("id", F.col("_zone").alias("zone"), F.col("_value").alias("score"))
-    phrases = table.where(phrase).agg(F.collect_list(F.struct("_zone", "term", "_value"))).scalar()
-    beside = texts.select("id", "text", phrases.alias("_phrases"))
-    spelled = beside.select("id", F.explode(F.filter("_phrases", lambda p: F.contains(F.col("text"), p["term"]))).alias("p"))
-    by_phrase = spelled.select("id", F.col("p._zone").alias("zone"), F.col("p._value").alias("score"))
+    hits = words.where(~F.contains("term", F.lit(" "))).unionByName(phrase_hits(texts, terms))
     own = texts.where(F.col("zone") != "").select("id", "zone", F.lit(1.0).alias("score"))
-    return by_word.unionByName(by_phrase).unionByName(own).groupBy("id", "zone").agg(F.sum("score").alias("score"))
+    return hits.join(table, "term").select("id", "zone", "score").unionByName(own).groupBy("id", "zone").agg(F.sum("score").alias("score"))
 
 
 def best_zones(nodes: DataFrame, scores: DataFrame, ranks: DataFrame, default: str = "rock-circuit") -> DataFrame:

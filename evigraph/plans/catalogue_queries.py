@@ -483,7 +483,8 @@ def cross_place_relations(spark, d):
 @query(
     "join22_same_place",
     """, p AS (SELECT DISTINCT place_id, name, country, lat, lon FROM placements) SELECT a.place_id AS first, b.place_id AS second FROM p a JOIN p b ON a.place_id < b.place_id AND lower(trim(a.name)) = lower(trim(b.name)) AND lower(trim(a.country)) = lower(trim(b.country))
-       AND abs(a.lat - b.lat) < 0.15 AND abs(a.lon - b.lon) < 0.15""",
+       AND abs(a.lat - b.lat) < 0.15
+       AND (least(abs(a.lon - b.lon), abs(360 - abs(a.lon - b.lon))) < 0.15 OR (abs(a.lat) > 89.85 AND abs(b.lat) > 89.85))""",
     ("entities", "placements"),
 )
 def same_place(spark, d):

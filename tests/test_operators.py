@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, invariance and idempotence."""
 
 import itertools
+import math
 import random
 import re
 from types import SimpleNamespace
@@ -315,6 +316,79 @@ def test_zone_scores_words_and_phrases(spark):
     assert [(r.id, r.score) for r in trials.zone_scores(texts, inner).where("zone = 'x' and score > 1").collect()] == [(1, 4.0)]
 
 
+def test_phrases_equal_a_plain_substring_search(spark):
+    rng = random.Random(4)
+    letters = ["a", "b", "ab", "ba", "aab", "bbaa", "cab", "of"]
+    texts = [(i, " ".join(rng.choice(letters) for _ in range(rng.randrange(0, 12)))) for i in range(150)] + [(999, None), (998, "a  b")]
+    phrases = sorted({" ".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(250)}) + ["b a ", " ab a", "a  b", "zzz of a", "x y"]
+    got = trials.phrase_hits(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in phrases] * 2, "term string"))
+    want = sorted((i, p) for i, t in texts for p in phrases if t is not None and p in t)
+    assert sorted((r.id, r.term) for r in got.collect()) == want and len(want) > 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "collect_list" not in plan
+
+
+def test_a_frequent_word_gives_no_candidates(spark):
+    """A phrase is looked up by its rarest word only: `the` in every text brings nothing to be checked."""
+    texts = spark.createDataFrame([(i, f"in the night {'w%d' % i} of the moon") for i in range(400)] + [(1000, "over the pale moon again")], "id int, text string")
+    phrases = spark.createDataFrame([("over the pale moon",), ("in the dusk of",), ("the night",)], "term string")
+    got = trials.phrase_hits(texts, phrases)
+    assert sorted(r.id for r in got.where("term <> 'the night'").collect()) == [1000]
+    assert got.where("term = 'the night'").count() == 400
+
+
+def place(k, lat, lon, name="Springfield", country="US"):
+    return (f"p{k:05d}", name, country, float(lat), float(lon))
+
+
+PLACE = "place_id string, name string, country string, lat double, lon double"
+
+
+def plain_same(rows):
+    out = set()
+    for a, b in itertools.combinations(sorted(rows), 2):
+        apart = abs(a[4] - b[4])
+        near = min(apart, abs(360 - apart)) < 0.15 or (abs(a[3]) > 89.85 and abs(b[3]) > 89.85)
+        if a[1].strip().lower() == b[1].strip().lower() and a[2].strip().lower() == b[2].strip().lower() and abs(a[3] - b[3]) < 0.15 and near:
+            out.add((a[0], b[0]))
+    return out
+
+
+def test_same_places_around_the_date_line_and_the_poles(spark):
+    rng = random.Random(8)
+    rows = [place(k, rng.uniform(-1, 1), (179.5 + rng.random() + 180) % 360 - 180, rng.choice(["Springfield", " springfield "])) for k in range(300)]
+    rows += [place(400 + k, rng.choice([-1, 1]) * rng.uniform(89.6, 90), rng.uniform(-180, 180)) for k in range(120)]
+    rows += [place(600, 0, 180), place(601, 0, -180), place(602, 0.1, 179.9), place(603, 90, 0), place(604, 90, 180), ("p00605", "Springfield", "US", None, 1.0), ("p00606", None, "US", 0.0, 180.0)]
+    known = [r for r in rows if r[1] is not None and r[3] is not None]
+    got = [tuple(r) for r in spatial.same_place_pairs(spark.createDataFrame(rows, PLACE)).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_same(known) and ("p00600", "p00601") in set(got)
+
+
+def test_ten_thousand_places_of_one_name_meet_only_where_they_are_near(spark):
+    rng = random.Random(9)
+    rows = [place(k, rng.uniform(-80, 80), rng.uniform(-180, 180)) for k in range(10_000)]
+    frame = spark.createDataFrame(rows, PLACE)
+    got = {tuple(r) for r in spatial.same_place_pairs(frame).collect()}
+    cells = {}
+    for r in rows:
+        cells.setdefault((math.floor(r[3] / 0.2), math.floor(r[4] / 0.2)), []).append(r)
+    want = set()
+    for (y, x), own in cells.items():
+        near = [r for dy in (-1, 0, 1) for dx in (-1, 0, 1) for r in cells.get((y + dy, x + dx), [])]
+        want |= {(a[0], b[0]) for a in own for b in near if a[0] < b[0] and abs(a[3] - b[3]) < 0.15 and abs(a[4] - b[4]) < 0.15}
+    assert got == want and 20 < len(got) < 2000
+
+
+def test_a_huge_release_is_many_tiles(spark):
+    rows = [("hot", f"m{k:04d}") for k in range(1500)] + [("small", "a"), ("small", "b"), ("one", "a")]
+    frame = spark.createDataFrame(rows * 2, "release_id string, member string")
+    got = assemble.co_occurrence(frame, block=100)
+    assert got.count() == 1500 * 1499 // 2 + 1 and got.select("release_id", "source", "target").distinct().count() == got.count()
+    assert got.where("source >= target").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+
+
 def test_scope_order(spark):
     rows = [("Category:Rock albums", "genre", "category"), ("Deep Purple", "band", "link"), ("1999 tour", "band", "link"), ("Rock duos", "genre", "link"), ("Solar", "band", "template"), ("Solar", "band", "")]
     df = spark.createDataFrame(rows, "t string, k string, s string")
