@@ -595,6 +595,66 @@ def note_round_trip(spark, d):
     return rows.select("id", "label", "node_type", "zone", F.array_join("roles", "|").alias("roles"), F.array_join("aliases", "|").alias("aliases"), "era_start", "starter")
 
 
+@query(
+    "snk08_src07_nested",
+    """SELECT id, era_start AS since, aliases[1] AS first_alias, CAST(len(aliases) AS INTEGER) AS n_aliases, zone AS deep, starter FROM entities""",
+    ("entities",),
+)
+def nested_round_trip(spark, d):
+    """Nested front matter of every entity written, read back as variants and reached by path."""
+    from evigraph.sources.readers import note_values
+    from evigraph.sources.sinks import front_matter_lines
+
+    span = F.parse_json(F.to_json(F.struct(F.col("era_start").alias("since"), F.col("aliases").alias("names"), F.struct(F.struct("zone").alias("inner")).alias("outer"))))
+    nodes = _nodes(spark, d).withColumn("extra", F.create_map(F.lit("span"), span, F.lit("begins"), F.to_variant_object(F.array("starter"))))
+    heads = front_matter_lines(nodes, "extra").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    notes = heads.select(F.array_join(F.transform("lines", lambda v: v["line"]), "\n").alias("value"))
+    values = note_values(notes)
+    at = lambda name, path, kind: F.try_variant_get(F.col("values")[name], path, kind)
+    return values.select(
+        at("id", "$", "string").alias("id"), at("span", "$.since", "int").alias("since"), at("span", "$.names[0]", "string").alias("first_alias"),
+        F.size(at("span", "$.names", "array<string>")).alias("n_aliases"), at("span", "$.outer.inner.zone", "string").alias("deep"), at("begins", "$[0]", "boolean").alias("starter"),
+    )
+
+
+@query(
+    "fn24_payload_elements",
+    """SELECT o_orderkey AS id, CAST(i AS INTEGER) AS position, 'n' || (o_orderkey + i) AS name, CAST(o_orderkey % 9 + i AS BIGINT) AS rank
+       FROM orders, range(4) r(i) WHERE i < o_orderkey % 4 AND o_orderkey % 11 <> 0""",
+)
+def payload_elements(spark, d):
+    """Seeds inside the free payload of each request; every eleventh payload is broken."""
+    from evigraph.sources.readers import payload_rows
+
+    seeds = "transform(filter(sequence(0, 3), i -> i < o_orderkey % 4), i -> named_struct('name', concat('n', o_orderkey + i), 'rank', o_orderkey % 9 + i))"
+    rows = views.table(spark, d, "orders").selectExpr(
+        "o_orderkey as id", f"if(o_orderkey % 11 = 0, '{{broken', to_json(named_struct('title', o_orderstatus, 'deep', named_struct('seeds', {seeds})))) as payload"
+    )
+    return payload_rows(rows, "id", "payload", "$.deep.seeds", "struct<name:string,rank:bigint>").select("id", "position", "item.name", "item.rank")
+
+
+@query(
+    "snk03_guarded_publish",
+    "SELECT id, label || ' ' || id AS label, CASE WHEN starts_with(id, 'genre-') THEN 2 ELSE 1 END AS written FROM entities",
+    ("entities",),
+)
+def guarded_publish(spark, d):
+    """A table in two guarded versions: first without genres, then with the missing ones inserted; the newest is read back."""
+    from evigraph.sources import guarded
+    from evigraph.streaming.leases import work_folder
+
+    schema, path = "id string, label string, written int", work_folder(spark, "guarded")
+    rows = _nodes(spark, d).selectExpr("id", "concat(label, ' ', id) as label")
+    nothing = F.lit(None).cast("string")
+    base = guarded.publish(rows.where("id not like 'genre-%'").withColumn("written", F.lit(1)), path, nothing)
+    live = guarded.current(spark, path, schema)
+    states = diffs.missing_or_conflict(rows, live.drop("written"), "id", "label").withColumnRenamed("id", "_id")
+    new = rows.join(states, F.col("id") == F.col("_id")).where("state <> 'current'").select("id", "label", F.lit(2).alias("written"), "state")
+    both = live.withColumn("state", F.lit("current")).unionByName(new)
+    guarded.publish(both, path, F.when(F.col("state") == "conflict", F.col("id")), base)
+    return guarded.current(spark, path, schema)
+
+
 @query(
     "snk09_type_index",
     "SELECT node_type, row_number() OVER (PARTITION BY node_type ORDER BY label COLLATE en, id) AS line_no, '- [[' || id || '|' || label || ']]' AS line FROM entities",

@@ -1005,6 +1005,20 @@ def repeated_keys(spark, d):
     return readers.repeated_keys(views.table(spark, d, "lineitem"), "l_orderkey").select("key", "detail")
 
 
+@query(
+    "src03_paged_read",
+    "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS total FROM orders WHERE o_orderkey > 700 AND o_orderstatus <> 'P'",
+)
+def paged_read(spark, d):
+    """The orders as a folder of pages in key order, read by key; the key's filter skips pages, the other one stays with Spark."""
+    from evigraph.sources import paged
+
+    folder = leases.work_folder(spark, "pages")
+    rows = views.table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderstatus as status", "o_totalprice as total")
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.option("maxRecordsPerFile", 50_000).parquet(folder)
+    return paged.read_pages(spark, folder, rows.schema).where("id > 700 and status <> 'P'")
+
+
 @query(
     "src04_fn26_inbox",
     """SELECT 'req-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'req-' || o_orderkey ELSE 'T' END AS title, CASE WHEN o_orderkey % 3 = 0 THEN 50 ELSE CAST(o_orderkey % 100 AS INTEGER) END AS priority, 'queued' AS status FROM orders""",

@@ -151,7 +151,7 @@ def _text(fields: Column, key: str) -> Column:
     return F.when(~raw.isin("", "null", "~"), _unquote(raw))
 
 
-def _list(fields: Column, key: str) -> Column:
+def _list(fields: Column, key: str | Column) -> Column:
     raw = F.try_element_at(fields, F.lit(key))
     inner = F.regexp_replace(raw, r"^\[\s*|\s*\]$", "")
     items = F.regexp_extract_all(inner, F.lit(r"""\s*("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^,]*)\s*(?:,|$)"""), 1)
@@ -160,6 +160,26 @@ def _list(fields: Column, key: str) -> Column:
     return F.coalesce(F.when(raw.rlike(r"^\[.*\]$"), values), single, F.array().cast("array<string>"))
 
 
+def note_values(notes: DataFrame) -> DataFrame:
+    """Front matter of each note with `values`, map<string, variant>: JSON as it is, nested or not, lists of bare words, and all else as text.
+
+    Paths reach into it: `F.try_variant_get(F.col("values")["span"], "$.from", "int")`. A field without a value is a variant null.
+    """
+    rows = front_matter(notes)
+    bare = lambda k, v: F.to_variant_object(_list(F.create_map(k, v), k))
+    value = lambda k, v: F.coalesce(
+        F.try_parse_json(F.when(v.isin("", "~"), "null").otherwise(v)), F.when(v.rlike(r"^\[.*\]$"), bare(k, v)), v.cast("variant"),
+    )
+    return rows.withColumn("values", F.transform_values("fields", value))
+
+
+def payload_rows(rows: DataFrame, key: str, payload: str, path: str, kind: str) -> DataFrame:
+    """Elements of a list inside free JSON payloads: key, position and the element as `kind`; payloads that are no JSON, or hold no list there, give no row."""
+    items = F.try_variant_get(F.try_parse_json(payload), path, "array<variant>")
+    found = rows.select(F.col(key), F.posexplode(items).alias("position", "_item"))
+    return found.select(key, "position", F.try_variant_get("_item", "$", kind).alias("item"))
+
+
 def parse_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed note rows, and warnings for notes without id or with an unsupported kind."""
     rows = front_matter(notes)

@@ -35,8 +35,12 @@ def write_single_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def front_matter_lines(nodes: DataFrame) -> DataFrame:
-    """The head of each note that `readers.parse_notes` reads back (id, node_type, section 0, line_no, line)."""
+def front_matter_lines(nodes: DataFrame, extra: str | None = None) -> DataFrame:
+    """The head of each note that `readers.parse_notes` reads back (id, node_type, section 0, line_no, line).
+
+    `extra` names a column map<string, variant> of further fields, nested ones too: a line each, in order of their names, with the value as JSON,
+    which `readers.note_values` reads back.
+    """
     def quoted(value: Column) -> Column:
         return F.concat(F.lit('"'), F.replace(F.coalesce(value, F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
@@ -51,7 +55,12 @@ def front_matter_lines(nodes: DataFrame) -> DataFrame:
         ("aliases", listed("aliases")), ("eraStart", plain("era_start")), ("layoutX", plain("x", "decimal(18,3)")), ("layoutY", plain("y", "decimal(18,3)")),
         ("starter", plain("starter")),
     ]
-    lines = F.array(F.lit("---"), *[F.concat(F.lit(f"{name}: "), value) for name, value in fields], F.lit("---"))
+    lines = F.array(F.lit("---"), *[F.concat(F.lit(f"{name}: "), value) for name, value in fields])
+    if extra:
+        named = F.array_sort(F.map_keys(extra))
+        more = F.transform(named, lambda k: F.concat(k, F.lit(": "), F.coalesce(F.to_json(F.try_element_at(F.col(extra), k)), F.lit("null"))))
+        lines = F.concat(lines, F.coalesce(more, F.array().cast("array<string>")))
+    lines = F.concat(lines, F.array(F.lit("---")))
     numbered = nodes.select("id", "node_type", F.lit(0).alias("section"), F.posexplode(lines).alias("_n", "line"))
     return numbered.withColumn("line_no", (F.col("_n") + 1).cast("bigint")).drop("_n")
 

@@ -168,3 +168,20 @@ def test_stale_requests_return_to_the_queue(spark):
     df = spark.createDataFrame(rows, "id string, status string, t string").select("id", "status", F.col("t").cast("timestamp").alias("updated_at"), F.lit(None).cast("string").alias("error"))
     got = leases.recover_stale(df, F.lit("2024-01-02 06:00:00").cast("timestamp")).collect()
     assert {r.id: r.status for r in got} == {"old": "queued", "new": "processing", "done": "processed"}
+
+
+def test_nested_front_matter(spark):
+    note = '---\nid: a\nspan: {"from": 1970, "to": null, "names": ["x", {"y": [1, 2]}]}\nroles: [lead, \'bass\']\nempty:\nplain: some: text\nnumber: 12\n---\nbody'
+    rows = readers.note_values(spark.createDataFrame([(note,), ("no front matter",)], "value string"))
+    at = lambda name, path, kind="string": F.try_variant_get(F.col("values")[name], path, kind)
+    got = rows.select(
+        at("id", "$"), at("span", "$.from", "int"), at("span", "$.names[1].y[1]", "int"), at("span", "$.nothing"), at("roles", "$[1]"), F.is_variant_null(F.col("values")["empty"]),
+        at("plain", "$"), at("number", "$", "int"), at("missing", "$"),
+    ).collect()
+    assert tuple(got[0]) == ("a", 1970, 2, None, "bass", True, "some: text", 12, None) and set(got[1]) == {None}
+
+
+def test_payload_elements_of_odd_payloads(spark):
+    rows = spark.createDataFrame([(1, '{"a": [{"n": "x"}, {"m": 1}, 5]}'), (2, "{"), (3, None), (4, '{"a": {"n": 1}}'), (5, '{"a": []}')], "id int, payload string")
+    got = readers.payload_rows(rows, "id", "payload", "$.a", "struct<n:string>").collect()
+    assert sorted((r.id, r.position, r.item and r.item.n) for r in got) == [(1, 0, "x"), (1, 1, None), (1, 2, None)]
