@@ -103,6 +103,39 @@ def graph_gate(
     return result
 
 
+def ledger_gate(previous: dict[str, DataFrame], current: dict[str, DataFrame], added: tuple[DataFrame, DataFrame], max_new: int = 12) -> DataFrame:
+    """Violations (rule, key) of a promotion ledger against the one before: `nodes`, `edges` and `rows`, each with an id.
+
+    What was recorded stays as it was; the new nodes and edges of the ledger are exactly those that the graph gained (`added`: ids of nodes, of edges), and each new row
+    is a reviewed connection for one of them, as many rows as edges and `max_new` at most.
+    """
+    def says(rows: DataFrame, rule: str) -> DataFrame:
+        return rows.select(F.lit(rule).alias("rule"), F.col("id").cast("string").alias("key"))
+
+    found, new = [], {}
+    for part in ("nodes", "edges", "rows"):
+        names = sorted(previous[part].columns)
+        old = previous[part].select("id", row_hash(*[F.col(c) for c in names]).alias("_own"))
+        now = current[part].select(F.col("id").alias("_now"), row_hash(*[F.col(c) for c in names]).alias("_other"))
+        changed = old.join(now, F.col("id") == F.col("_now"), "left").where(~F.col("_own").eqNullSafe(F.col("_other")))
+        found.append(says(changed, f"promotion_{part}_changed"))
+        found.append(says(current[part].groupBy("id").count().where("count > 1"), f"promotion_{part}_repeated"))
+        new[part] = current[part].join(previous[part].select("id"), "id", "left_anti")
+    for part, gained in zip(("nodes", "edges"), added, strict=True):
+        found.append(says(new[part].join(gained.select("id"), "id", "left_anti"), f"promotion_{part}_delta"))
+        found.append(says(gained.select("id").join(new[part].select("id"), "id", "left_anti"), f"promotion_{part}_delta"))
+    edges = added[1].select(F.col("id").alias("_edge")).distinct()
+    typed = new["rows"].join(edges, F.col("edge_id") == F.col("_edge"), "left")
+    found.append(says(typed.where(~F.coalesce(F.col("kind") == "typed_connection", F.lit(False)) | F.col("_edge").isNull()), "promotion_rows_delta"))
+    counts = attach_row(new["rows"].agg(F.count(F.lit(1)).alias("_rows")), added[1].agg(F.count(F.lit(1)).alias("_edges")))
+    wrong = counts.where((F.col("_rows") != F.col("_edges")) | (F.col("_rows") > max_new)).select(F.concat_ws(" rows, ", F.col("_rows").cast("string"), F.concat(F.col("_edges").cast("string"), F.lit(" edges"))).alias("id"))
+    found.append(says(wrong, "promotion_count"))
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def documented_backfill(before: DataFrame, after: DataFrame) -> DataFrame:
     """Whether each changed node only gained a valid year with evidence among its kept sources.
 

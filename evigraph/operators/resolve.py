@@ -234,8 +234,12 @@ def group_start(begin: Column, current_year: int) -> Column:
     return F.when(year.between(1600, current_year), year)
 
 
-def readback(ledger: DataFrame, candidates: DataFrame, live: DataFrame) -> DataFrame:
-    """Whether each ledger row agrees with its candidate and with the live relation."""
+def readback(ledger: DataFrame, candidates: DataFrame, live: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Whether each ledger row agrees with its candidate and with the live relation.
+
+    With `entities` (id, label, node_type, sources), and a `discovery` (name, mbid) on the candidates, also whether the band that a candidate discovered
+    is live as it was proposed: under its own id, as a band of that name with its catalogue page; true where nothing was discovered.
+    """
     c = candidates.select(
         F.col("id").alias("_c"), F.col("status").alias("_status"), F.col("edge_id").alias("_edge"), F.col("source").alias("_cs"), F.col("target").alias("_ct")
     )
@@ -248,7 +252,16 @@ def readback(ledger: DataFrame, candidates: DataFrame, live: DataFrame) -> DataF
         F.col("_status").isin("approved", "imported") & (F.col("_edge") == F.col("edge_id")) & (F.col("_cs") == F.col("source")) & (F.col("_ct") == F.col("target")),
         F.lit(False),
     )
-    return joined.select("id", approved.alias("approved"), F.col("_rs").isNotNull().alias("published"))
+    result = [approved.alias("approved"), F.col("_rs").isNotNull().alias("published")]
+    if entities is None:
+        return joined.select("id", *result)
+    found = candidates.select(F.col("id").alias("_d"), F.col("discovery.name").alias("_name"), F.col("discovery.mbid").alias("_mbid"), F.col("discovery").isNotNull().alias("_found"))
+    bands = entities.where(F.col("node_type") == "band").select(F.col("id").alias("_band"), F.col("label").alias("_label"), F.col("sources").alias("_sources"))
+    joined = joined.join(found, F.col("id") == F.col("_d"), "left").join(bands, F.col("target") == F.col("_band"), "left")
+    page = F.concat(F.lit("https://musicbrainz.org/artist/"), "_mbid")
+    listed = F.exists("_sources", lambda s: (s["provider"] == "musicbrainz") & (s["url"] == page))
+    matches = (F.col("target") == F.concat(F.lit("mb-band-"), "_mbid")) & (F.col("_label") == F.col("_name")) & listed
+    return joined.select("id", *result, (~F.coalesce("_found", F.lit(False)) | F.coalesce(matches, F.lit(False))).alias("band_live"))
 
 
 def publishable(ledger: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ RELATION_TYPES = (
 )
 PERSON_KINDS = ("artist", "guitarist")
 MUSIC_ENTITY_KINDS = ("band", "artist", "guitarist")
+LAYOUT_ZONES = (
+    "roots-blues", "jazz", "rock-circuit", "psychedelia-prog", "hard-rock-metal", "punk-alt", "folk-country-vise", "country-roots",
+    "guitar-workshop", "guitar-genres",
+)
 MODE_KINDS = {
     "artists": ("band", "guitarist", "artist", "genre"),
     "guitars": ("guitar", "guitar_brand", "genre"),
