@@ -2,27 +2,39 @@
 
 A byte-pair tokeniser encodes each pre-token on its own, so the ids of a text are the ids of its pre-tokens in a row.
 Texts of ASCII and Latin-1 letters are cut by the tokeniser's own pattern, written out for that alphabet; any other
-text goes through the library whole.
+text goes through the library whole, and so does a text with an added token such as <|endoftext|>, which the library takes out before it cuts.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-CACHE_PIECES = 400_000
-GROUP_CHARS = 2_000_000
+CACHE_PIECES = 600_000
 LETTER, DIGIT, SPACE = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9", " \t\n\x0b\x0c\r"
 OTHER_ALPHABET = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
-# The pre-token patterns of the two tokenisers.
+# The pre-token patterns of the two tokenisers; words first, since no contraction begins as they do.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PATTERN = re.compile(
-    f"{CONTRACTIONS}| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    f" ?[{LETTER}]+| ?[{DIGIT}]+|{CONTRACTIONS}| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-WORD_PATTERN = re.compile(f"{CONTRACTIONS}|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
+WORD_PATTERN = re.compile(f"[{LETTER}]+|[{DIGIT}]|{CONTRACTIONS}|[^{SPACE}{LETTER}{DIGIT}]+")
+
+
+class Known(dict):
+    """Ids of pre-tokens as bytes; the library is asked for one that is not there."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        code = self[piece] = self.encode(piece)
+        return code
 
 
 class Encoder:
@@ -34,46 +46,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        self.library.encode_special_tokens = True
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.lower = self.library.normalizer is not None
         self.pattern = WORD_PATTERN if self.lower else BYTE_PATTERN
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        bare = Tokenizer.from_file(public_tokenizers.path(name))
+        if self.lower:
+            bare.normalizer = None  # pre-tokens of this alphabet are in lower case, composed and without white space already
+        self.known = Known(lambda piece: self._code(bare.encode(piece, add_special_tokens=False).ids))
+
+    def _code(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self._code(self.library.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        missing = list(pieces)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for piece, code in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(code.ids, dtype=self.dtype).tobytes()
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text, or None if the library must see it whole."""
+        if not text.isascii() and OTHER_ALPHABET.search(text):
+            return None
+        if self.lower:
+            text = text.lower()
+        return None if any(token in text for token in self.added) else self.pattern.findall(text)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text, equal to the library's for the whole text."""
         return next(self.encode_many([text]))
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """Ids of each text; the unknown pre-tokens of a group of texts are learned together."""
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size > GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        split = [None if OTHER_ALPHABET.search(t) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
-        self.learn(set().union(*[p for p in split if p]).difference(self.known))
+        """Ids of each text in turn."""
         get = self.known.__getitem__
-        for text, pieces in zip(texts, split, strict=True):
+        for text in texts:
+            pieces = self.pieces(text)
             yield np.frombuffer(self.whole(text) if pieces is None else b"".join(map(get, pieces)), dtype=self.dtype)
+            if len(self.known) > CACHE_PIECES:
+                self.known.clear()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,5 +1,6 @@
 """Token files and packing beside the tokenizers library itself."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -22,9 +23,12 @@ ODD = [
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     mine = Encoder(name)
-    for text in [*ODD, " ".join(ODD)]:
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "a", "B", "é", "日", "'s", "'", "1", "23", ".", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\u3000", "\u0301", "ß", "Σ", "\x85", "\xa0", "The", "<|", "|>", "½", "İ"]
+    mixed = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(4000)]
+    megabyte = "".join(rng.choices(["word ", "Éa ", "x1", ", ", "\n", "longer-words "], k=200_000))
+    for text in [*ODD, " ".join(ODD), *mixed, megabyte, f"{megabyte}<|endoftext|>end"]:
         assert mine.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
@@ -43,7 +47,6 @@ def rows(spark):
 
 def test_token_digest_beside_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     frame = rows(spark)
     data = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in frame.collect()))
     want, start = [], 0
@@ -75,7 +78,6 @@ def test_packing_of_odd_texts(spark):
     count, total = check_packing(got, 64)
     assert count <= -(-total // 64) + 1
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     want = []
     for r in frame.collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids + [0]
