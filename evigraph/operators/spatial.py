@@ -42,6 +42,22 @@ def grid_pairs(points: DataFrame, width: float, height: float, keep: list[str])
     )
 
 
+def grid_pairs_of(points: DataFrame, chosen: DataFrame, width: float, height: float, keep: list[str]) -> DataFrame:
+    """As `grid_pairs`, but only pairs with an end among the ids of `chosen`: those alone are sent to their nine cells, and a cell without them makes no pair."""
+    names = ["id", "x", "y", *keep]
+    ids = chosen.select(F.col("id").alias("_chosen")).distinct()
+    base = _cells(points.select(*names), width, height).join(ids, F.col("id") == F.col("_chosen"), "left")
+    around = F.array(*[F.struct((F.col("_cx") + dx).alias("_cx"), (F.col("_cy") + dy).alias("_cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    left = base.where("_chosen is not null").select(*[F.col(name).alias(f"_l_{name}") for name in names], F.explode(around).alias("_cell")).select("*", "_cell.*").drop("_cell")
+    right = base.select(*[F.col(name).alias(f"_r_{name}") for name in names], "_cx", "_cy", F.col("_chosen").isNotNull().alias("_both"))
+    pairs = left.join(right, ["_cx", "_cy"]).where(F.when(F.col("_both"), F.col("_l_id") < F.col("_r_id")).otherwise(F.col("_l_id") != F.col("_r_id")))
+    first = F.col("_l_id") < F.col("_r_id")
+    return pairs.select(
+        *[F.when(first, F.col(f"_l_{name}")).otherwise(F.col(f"_r_{name}")).alias(f"a_{name}") for name in names],
+        *[F.when(first, F.col(f"_r_{name}")).otherwise(F.col(f"_l_{name}")).alias(f"b_{name}") for name in names],
+    )
+
+
 def proximity_pairs(nodes: DataFrame) -> DataFrame:
     """Nodes closer than their radii allow: 0.72 of the sum in one zone, half of it across zones."""
     reach = 0.72 * 2 * 104
@@ -69,14 +85,15 @@ def top_overlap_risks(pairs: DataFrame, limit: int = 80) -> DataFrame:
     return ordered.select("a", "b", "zone", "distance", "severity")
 
 
-def label_overlaps(nodes: DataFrame, reference_window: bool = False) -> DataFrame:
-    """Pairs of overlapping label boxes with the overlap in both directions and whether it is severe.
+def label_overlaps(nodes: DataFrame, reference_window: bool = False, focus: DataFrame | None = None) -> DataFrame:
+    """Pairs of overlapping label boxes with the overlap in both directions and whether it is severe; with `focus`, those that touch one of its ids.
 
     Cells are as wide as the widest label can be, so no pair is missed. `reference_window` keeps only pairs whose
     240-unit cells are at most two columns and one row apart, which drops some pairs of very wide labels.
     """
     points = nodes.withColumn("width", numeric.label_width(F.col("label")))
-    pairs = grid_pairs(points, 540.0, 88.0, ["width", "zone"])
+    grid = (540.0, 88.0, ["width", "zone"])
+    pairs = grid_pairs(points, *grid) if focus is None else grid_pairs_of(points, focus, *grid)
     over_x = F.least(F.col("a_x") + F.col("a_width") / 2, F.col("b_x") + F.col("b_width") / 2) - F.greatest(
         F.col("a_x") - F.col("a_width") / 2, F.col("b_x") - F.col("b_width") / 2
     )
@@ -149,7 +166,7 @@ def outcome(before: str = "before", after: str = "after") -> Column:
 def focused_legibility(nodes: DataFrame, focus: DataFrame) -> DataFrame:
     """Overlaps that touch the focus nodes: pairs, and distinct focus nodes overlapping or severely overlapping."""
     ids = focus.select(F.col("id").alias("_focus")).distinct()
-    pairs = label_overlaps(nodes).select("a", "b", "severe", pair_key(F.col("a"), F.col("b")).alias("pair"))
+    pairs = label_overlaps(nodes, focus=ids.withColumnRenamed("_focus", "id")).select("a", "b", "severe", pair_key(F.col("a"), F.col("b")).alias("pair"))
     ends = pairs.select("pair", "severe", F.explode(F.array("a", "b")).alias("id"))
     hit = ends.join(ids, F.col("id") == F.col("_focus"))
     return hit.agg(

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.functions.numeric import laplace_rate
 from evigraph.functions.refs import has_url
-from evigraph.functions.text import fold_text
+from evigraph.functions.text import fold_text, label_order
 from evigraph.operators.evidence import induced_edges, map_connections
 from evigraph.operators.graph import endpoints, first_per_key, top_per_group
 from evigraph.operators.prefix import positions
@@ -176,15 +176,66 @@ def zone_term_weights(seeds: DataFrame, extra: DataFrame, limit: int | None = No
     kept = union.where((F.col("term") != "") & ~F.col("term").isin(*STOP_WORDS))
     summed = kept.groupBy("zone", "term").agg(F.sum("weight").alias("weight"))
     if limit is None:
-        return summed.withColumn("rank", F.row_number().over(Window.partitionBy("zone").orderBy(F.desc("weight"), F.asc("term"))))
+        return positions(summed, [("weight", False), ("term", True)], "rank", ["zone"])
     return top_per_group(summed, ["zone"], [F.desc("weight"), F.asc("term")], limit)
 
 
+def _weighted(rows: DataFrame, zone: Column, values: Column, weight: float | Column) -> DataFrame:
+    found = rows.select(zone.alias("zone"), F.explode(values).alias("_v"), (weight if isinstance(weight, Column) else F.lit(weight)).cast("double").alias("weight"))
+    return found.select("zone", fold_text("_v").alias("term"), "weight")
+
+
+def learned_terms(nodes: DataFrame, learned: DataFrame, zone_feedback: DataFrame, policies: DataFrame, limit: int | None = None) -> DataFrame:
+    """zone, term, weight and rank: the terms a model learns for each zone, all or the first `limit`, equal weights in locale order.
+
+    A node's terms weigh 1 in its learned zone (`learned`: id, zone, primary_genres, curator_tags, feedback), 2 more if it was moved there and 1 more if it has genres;
+    its genres, tags and feedback weigh 4 more each. What curators say of a zone (zone, terms, bridge_to_zones, feedback) weighs 8, 3 and 3. A bridge policy (zones,
+    anchor_nodes, categories, feedback) gives each of its zones the others by 4, its anchors by 6, its categories and its feedback by 3.
+    """
+    none = F.array().cast("array<string>")
+    own = learned.select(F.col("id").alias("_id"), F.col("zone").alias("_zone"), "primary_genres", "curator_tags", "feedback")
+    both = nodes.join(own, F.col("id") == F.col("_id"))
+    genres, tags = F.coalesce("primary_genres", none), F.coalesce("curator_tags", none)
+    seeds = term_seeds(both.withColumn("aliases", F.concat(F.coalesce("aliases", none), genres, tags)))
+    amount = F.when(F.col("_zone") != F.col("zone"), 3).otherwise(1) + F.when(F.size(genres) > 0, 1).otherwise(0)
+    amounts = both.select(F.col("id").alias("_node"), "_zone", amount.cast("double").alias("weight"))
+    by_node = seeds.select("id", "term").join(amounts, F.col("id") == F.col("_node")).select(F.col("_zone").alias("zone"), "term", "weight")
+    said = F.array_compact(F.array("feedback"))
+    others = policies.withColumn("_one", F.explode("zones"))
+    parts = [
+        by_node, _weighted(both, F.col("_zone"), F.concat(genres, tags, said), 4),
+        *[_weighted(zone_feedback, F.col("zone"), values, weight) for values, weight in ((F.col("terms"), 8), (F.col("bridge_to_zones"), 3), (said, 3))],
+        *[
+            _weighted(others, F.col("_one"), values, weight)
+            for values, weight in ((F.filter("zones", lambda z: z != F.col("_one")), 4), (F.col("anchor_nodes"), 6), (F.col("categories"), 3), (said, 3))
+        ],
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    kept = union.where((F.col("term") != "") & ~F.col("term").isin(*STOP_WORDS) & (F.coalesce("zone", F.lit("")) != ""))
+    summed = kept.groupBy("zone", "term").agg(F.round(F.sum("weight"), 3).alias("weight")).withColumn("_order", label_order("term"))
+    if limit is None:
+        return positions(summed, [("weight", False), ("_order", True), ("term", True)], "rank", ["zone"]).drop("_order")
+    ranked = top_per_group(summed, ["zone"], [F.desc("weight"), F.asc("_order"), F.asc("term")], limit)
+    return ranked.select("zone", "term", "weight", F.col("rank").cast("bigint").alias("rank"))
+
+
 def learned_nodes(profile: DataFrame) -> DataFrame:
     """Zone by precedence feedback, note, graph, and bridge and hub scores from link counts.
 
-    Rows have id, graph_zone, note_zone, feedback_zone, zones, genres, degree, bridge_boost, hub_boost and years.
+    Rows have id, graph_zone, note_zone, feedback_zone, zones, genres, degree, bridge_boost, hub_boost and years. Instead of the number `zones` they may have
+    the arrays feedback_zones, note_zones and linked_zones, of which the distinct secondary_zones are made (a linked zone counts if it is not the node's
+    own); known_start and known_peak, where feedback or a note states them, go before the years.
     """
+    if "linked_zones" in profile.columns:
+        none = F.array().cast("array<string>")
+        own = F.coalesce(F.nullif("feedback_zone", F.lit("")), F.nullif("note_zone", F.lit("")), "graph_zone")
+        linked = F.filter(F.coalesce("linked_zones", none), lambda z: z != own)
+        every = F.array_distinct(F.concat(F.coalesce("feedback_zones", none), F.coalesce("note_zones", none), linked))
+        profile = profile.withColumn("secondary_zones", F.filter(every, lambda z: F.coalesce(z, F.lit("")) != "")).withColumn("zones", F.size("secondary_zones"))
+    more = ["secondary_zones"] if "secondary_zones" in profile.columns else []
+    start, peak_known = (F.col(c) if c in profile.columns else F.lit(None).cast("int") for c in ("known_start", "known_peak"))
     zone = F.coalesce(F.nullif("feedback_zone", F.lit("")), F.nullif("note_zone", F.lit("")), "graph_zone")
     bridge = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("zones") * 0.22 + F.col("genres") * 0.08 + F.col("bridge_boost")))
     hub = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("degree") / 12 + F.col("hub_boost")))
@@ -192,7 +243,7 @@ def learned_nodes(profile: DataFrame) -> DataFrame:
     peak = F.when(F.size("years") > 0, F.element_at(years, (F.floor(F.size("years") / 2) + 1).cast("int")))
     return profile.select(
         "id", zone.alias("zone"), F.round(bridge, 3).alias("bridge_score"), F.round(hub, 3).alias("hub_score"),
-        F.array_min("years").alias("era_start"), peak.alias("era_peak"),
+        F.coalesce(start, F.array_min("years")).alias("era_start"), F.coalesce(peak_known, peak).alias("era_peak"), *more,
     )
 
 

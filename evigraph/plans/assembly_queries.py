@@ -541,12 +541,12 @@ def fact_snapshot(spark, d):
 @query(
     "snk12_append_trials",
     """SELECT batch_no, count(*) AS trials FROM (SELECT event_id // 40 AS batch_no FROM events WHERE event_id < 20 * (SELECT count(*) FROM events)
-         UNION ALL SELECT (SELECT max(event_id // 40) FROM events) + 1 FROM events WHERE event_type = 'view') WHERE batch_no > (SELECT max(event_id // 40) FROM events) + 1 - 100 GROUP BY batch_no""",
+         UNION ALL SELECT (SELECT max(event_id // 40) FROM events) + 1 FROM events) WHERE batch_no > (SELECT max(event_id // 40) FROM events) + 1 - 100 GROUP BY batch_no""",
 )
 def append_trials(spark, d):
     events = views.table(spark, d, "events")
     history = events.selectExpr("concat('b', event_id div 40) as batch", "event_id div 40 as batch_no", "event_type as mode")
-    batch = events.where("event_type = 'view'").selectExpr("event_type as mode")
+    batch = events.selectExpr("event_type as mode")
     fresh = views.table(spark, d, "supplier").selectExpr("concat('band-', s_suppkey) as id")
     return diffs.append_trials(history, batch, fresh, keep=100).groupBy("batch_no").agg(F.count(F.lit(1)).alias("trials"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.functions import refs
-from evigraph.operators import geography, resolve, spatial, titles, trials
+from evigraph.operators import geography, graph, resolve, spatial, titles, trials
 from evigraph.plans import views
 from evigraph.plans.registry import ORACLES, query
 from evigraph.session import attach_row, cut_lineage
@@ -756,10 +756,11 @@ def metric_mismatches(spark, d):
     """, fr AS (SELECT id FROM entities WHERE id LIKE '%7'), u AS (SELECT id, source, target, coalesce(strength, 0) AS s FROM tiered WHERE type = 'member_of' AND tier = 'source_linked'),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY s DESC, id) AS n FROM u) WHERE n = 1),
     c AS (SELECT id, list_filter([source, target], lambda v: v LIKE '%7') AS ends, row_number() OVER (ORDER BY s DESC, id) AS n FROM b WHERE source IN (SELECT id FROM fr) OR target IN (SELECT id FROM fr)),
-    g AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, CAST([] AS VARCHAR[]) AS used, FALSE AS taken
-      UNION ALL SELECT n, id, CASE WHEN ok THEN list_concat(used, ends) ELSE used END, ok FROM (
-        SELECT c.n, c.id, g.used, c.ends, len(list_filter(c.ends, lambda v: len(list_filter(g.used, lambda w: w = v)) >= 2)) = 0 AS ok FROM g JOIN c ON c.n = g.n + 1))
-    SELECT 'growth-' || id AS id FROM g WHERE taken""",
+    g AS (SELECT list_reduce(list({'id': id, 'ends': ends, 'used': CAST([] AS VARCHAR[]), 'taken': CAST([] AS VARCHAR[])} ORDER BY n),
+      lambda a, x: CASE WHEN len(list_filter(x.ends, lambda v: len(list_filter(a.used, lambda w: w = v)) >= 2)) = 0
+        THEN {'id': '', 'ends': x.ends, 'used': list_concat(a.used, x.ends), 'taken': list_append(a.taken, x.id)} ELSE a END,
+      {'id': '', 'ends': CAST([] AS VARCHAR[]), 'used': CAST([] AS VARCHAR[]), 'taken': CAST([] AS VARCHAR[])}).taken AS taken FROM c)
+    SELECT 'growth-' || unnest(taken) AS id FROM g""",
     ("entities", "relations", "tiered"),
 )
 def growth_hints(spark, d):
@@ -767,9 +768,6 @@ def growth_hints(spark, d):
     return spatial.growth_hints(_edges(spark, d), nodes, nodes.where("id like '%7'")).select("id")
 
 
-ORACLES["win14_growth_hints"] = ORACLES["win14_growth_hints"].replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query(
     "win08_undated_slots",
     """SELECT id, 100.0 + ((n - 1) % 7 + 0.5) * 50.0 AS x, 200.0 + ((n - 1) // 7) * 126.0 AS y FROM (SELECT id, row_number() OVER (ORDER BY zone, icu_sort_key(lower(strip_accents(label)), 'en'), id) AS n FROM entities WHERE era_start IS NULL)""",
@@ -962,6 +960,65 @@ def learned_nodes(spark, d):
     return trials.learned_nodes(profile)
 
 
+_LEARNED_SQL = """, l AS (SELECT *, CASE WHEN id LIKE '%1' THEN 'moved-zone' ELSE zone END AS primary_zone, CASE WHEN id LIKE '%2' THEN ['Blues Rock', 'the'] ELSE [] END AS genres,
+      CASE WHEN id LIKE '%3' THEN ['Garage', 'garage!'] ELSE [] END AS tags, CASE WHEN id LIKE '%4' THEN 'Hot Act' END AS feedback FROM entities),
+    fold AS (SELECT id, primary_zone, zone, genres, trim(regexp_replace(lower(unnest(list_concat([id, label, node_type], roles, metadata, aliases, genres, tags))), '[^a-z0-9]+', ' ', 'g')) AS t FROM l),
+    stop AS (SELECT unnest([""" + ", ".join(f"'{w}'" for w in trials.STOP_WORDS) + """]) AS s),
+    seeds AS (SELECT DISTINCT id, primary_zone, zone, genres, t FROM fold WHERE t <> ''
+      UNION SELECT id, primary_zone, zone, genres, w FROM (SELECT *, unnest(string_split(t, ' ')) AS w FROM fold) WHERE length(w) > 2 AND w NOT IN (SELECT s FROM stop)),
+    parts AS (SELECT primary_zone AS zone, t AS term, CASE WHEN primary_zone <> zone THEN 3 ELSE 1 END + CASE WHEN len(genres) > 0 THEN 1 ELSE 0 END AS weight FROM seeds
+      UNION ALL SELECT primary_zone, unnest(list_concat(genres, tags, CASE WHEN feedback IS NULL THEN [] ELSE [feedback] END)), 4 FROM l
+      UNION ALL SELECT 'nation-' || n_nationkey, n_name, 8 FROM nation UNION ALL SELECT 'nation-' || n_nationkey, 'nation-' || ((n_nationkey + 1) % 25), 3 FROM nation
+      UNION ALL SELECT 'nation-' || n_nationkey, 'see ' || n_name, 3 FROM nation
+      UNION ALL SELECT 'nation-' || a.n_nationkey, 'nation-' || b.n_nationkey, 4 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey
+      UNION ALL SELECT 'nation-' || n_nationkey, unnest(['artist-' || n_regionkey, 'band-' || n_regionkey]), 6 FROM nation
+      UNION ALL SELECT 'nation-' || n_nationkey, 'cat ' || n_regionkey, 3 FROM nation UNION ALL SELECT 'nation-' || n_nationkey, 'policy ' || n_regionkey, 3 FROM nation),
+    g AS (SELECT zone, term, CAST(sum(weight) AS DOUBLE) AS weight FROM (SELECT zone, trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) AS term, weight FROM parts) WHERE term <> '' AND term NOT IN (SELECT s FROM stop) GROUP BY ALL)
+    SELECT zone, term, weight, row_number() OVER (PARTITION BY zone ORDER BY weight DESC, term COLLATE en) AS rank FROM g"""
+
+
+@query("agg21_learned_terms", _LEARNED_SQL, ("entities",))
+def learned_terms(spark, d):
+    """Every term of every zone: nodes by their learned zone, tags and genres, curators' words on zones, and bridge policies."""
+    nodes = _nodes(spark, d)
+    learned = nodes.selectExpr(
+        "id", "if(id like '%1', 'moved-zone', zone) as zone", f"if(id like '%2', array('Blues Rock', 'the'), {views.NO_STRINGS}) as primary_genres",
+        f"if(id like '%3', array('Garage', 'garage!'), {views.NO_STRINGS}) as curator_tags", "if(id like '%4', 'Hot Act', null) as feedback",
+    )
+    nation = views.table(spark, d, "nation")
+    feedback = nation.selectExpr("concat('nation-', n_nationkey) as zone", "array(n_name) as terms", "array(concat('nation-', (n_nationkey + 1) % 25)) as bridge_to_zones", "concat('see ', n_name) as feedback")
+    policies = nation.groupBy("n_regionkey").agg(F.collect_list(F.concat(F.lit("nation-"), "n_nationkey")).alias("zones")).selectExpr(
+        "zones", "array(concat('artist-', n_regionkey), concat('band-', n_regionkey)) as anchor_nodes", "array(concat('cat ', n_regionkey)) as categories", "concat('policy ', n_regionkey) as feedback",
+    )
+    return trials.learned_terms(nodes, learned, feedback, policies)
+
+
+@query(
+    "agg22_secondary_zones",
+    """, z AS (SELECT id, list_distinct(list(o ORDER BY o)) AS linked FROM (
+      SELECT r.source AS id, e.zone AS o FROM relations r JOIN entities e ON e.id = r.target UNION SELECT r.target, e.zone FROM relations r JOIN entities e ON e.id = r.source) GROUP BY 1),
+    p AS (SELECT e.id, CASE WHEN e.id LIKE '%1' THEN 'feedback' ELSE e.zone END AS zone, length(e.id) % 3 AS genres, era_start,
+      list_concat(CASE WHEN e.id LIKE '%5' THEN ['extra', e.zone] ELSE [] END, CASE WHEN e.id LIKE '%3' THEN ['noted', ''] ELSE [] END, list_sort(coalesce(linked, []))) AS raw, len(CASE WHEN e.id LIKE '%5' THEN ['extra', e.zone] ELSE [] END) + len(CASE WHEN e.id LIKE '%3' THEN [1, 2] ELSE [] END) AS own
+      FROM entities e LEFT JOIN z ON z.id = e.id),
+    s AS (SELECT id, zone, genres, era_start, list_filter(raw, lambda v, i: v <> '' AND list_position(raw, v) = i AND (i <= own OR v <> zone)) AS secondary FROM p)
+    SELECT id, zone, array_to_string(secondary, '|') AS secondary_zones, round(least(1.0, len(secondary) * 0.22 + genres * 0.08)::DOUBLE, 3) AS bridge_score,
+      CAST(CASE WHEN id LIKE '%7' THEN 1955 ELSE era_start END AS INTEGER) AS era_start FROM s""",
+    ("entities", "relations"),
+)
+def secondary_zones(spark, d):
+    """Secondary zones from feedback, notes and linked nodes, the bridge score they give, and a start year that feedback states."""
+    nodes = _nodes(spark, d)
+    zones = nodes.select(F.col("id").alias("_o"), F.col("zone").alias("_zone"))
+    ends = graph.endpoints(_edges(spark, d).select("source", "target")).join(zones, F.col("other") == F.col("_o")).groupBy("id").agg(F.array_sort(F.collect_set("_zone")).alias("linked_zones"))
+    profile = nodes.join(ends.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").selectExpr(
+        "id", "zone as graph_zone", "cast(null as string) as note_zone", "if(id like '%1', 'feedback', '') as feedback_zone", "length(id) % 3 as genres", "0 as degree", "0D as bridge_boost", "0D as hub_boost",
+        "array_compact(array(era_start)) as years", "if(id like '%7', 1955, null) as known_start", "cast(null as int) as known_peak",
+        f"if(id like '%5', array('extra', zone), {views.NO_STRINGS}) as feedback_zones", f"if(id like '%3', array('noted', ''), {views.NO_STRINGS}) as note_zones", "linked_zones",
+    )
+    rows = trials.learned_nodes(profile)
+    return rows.select("id", "zone", F.array_join("secondary_zones", "|").alias("secondary_zones"), "bridge_score", "era_start")
+
+
 @query(
     "agg36_model_samples",
     """SELECT 'nodes' AS counter, count(*) AS n FROM entities UNION ALL SELECT 'dated', count(era_start) FROM entities UNION ALL SELECT 'edges', count(*) FROM relations UNION ALL SELECT 'map_connections', count(*) FROM tiered WHERE tier <> 'research_lead'
