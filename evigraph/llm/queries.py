@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import centroids, conversations, decontam, jaccard, language, packing, pages, pii, secrets, syncmers, token_files
+from evigraph.llm import centroids, conversations, decontam, jaccard, language, licenses, packing, pages, pii, quality, secrets, syncmers, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,31 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(_documents(spark, sf_dir))
 
 
+def _op3_sql() -> str:
+    """Exact containment of each template in every window of twice its words."""
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.LICENSES)
+    split = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+    return f"""
+WITH t AS (SELECT template_id, {split} AS w FROM (VALUES {values}) v(template_id, text)),
+ts AS (SELECT DISTINCT template_id, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS shingle FROM t, unnest(range(1, len(w) - 3)) u(i)),
+tn AS (SELECT template_id, n, count(*) AS every FROM ts GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS row, doc_id, {split} AS w FROM documents),
+ds AS (SELECT row, i - 1 AS place, array_to_string(w[i:i + 4], ' ') AS shingle FROM d, unnest(range(1, len(w) - 3)) u(i)),
+hit AS (SELECT row, template_id, n, place, shingle FROM ds JOIN ts USING (shingle)),
+win AS (SELECT row, template_id, n, shingle, unnest(range(greatest(0, CAST(ceil((place + 5 - 2 * n) / n) AS BIGINT)), place // n + 1)) AS win FROM hit),
+held AS (SELECT row, template_id, n, win, count(DISTINCT shingle) AS shared FROM win GROUP BY ALL),
+best AS (SELECT row, template_id, max(shared / every) AS containment FROM held JOIN tn USING (template_id, n) WHERE shared >= ceil(0.75 * every - 1e-9) GROUP BY ALL),
+listed AS (SELECT row, count(*) AS n_licenses, string_agg(template_id, ',' ORDER BY template_id) AS licenses, max(containment) AS containment FROM best GROUP BY row)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(containment, 0.0::DOUBLE) AS containment FROM d LEFT JOIN listed USING (row)
+"""
+
+
+@_query("op3_license_scans", _op3_sql())
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(_documents(spark, sf_dir), licenses.license_templates(spark))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -85,6 +110,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @_query("op7_closed_syncmers")
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(_documents(spark, sf_dir))
