@@ -18,6 +18,8 @@ from evigraph.llm.decontam import words
 from evigraph.llm.shared import texts, write_table
 
 SHINGLE, SHARE, PROBABILITY = 5, 0.75, 0.9999
+#: Bands up to which they are broadcast: some hundred bytes each.
+BROADCAST_BANDS = 100_000
 KEY = ["doc_id", "text_key"]
 
 # Notices of public licenses.
@@ -70,32 +72,44 @@ def template_bands(templates: DataFrame, share: float = SHARE, probability: floa
 
 def scan(
     docs: DataFrame, templates: DataFrame, share: float = SHARE, probability: float = PROBABILITY, id_col: str = "doc_id", text_col: str = "text",
+    broadcast_bands: int = BROADCAST_BANDS,
 ) -> DataFrame:
     """doc_id, text_key, template_id, containment, word (where the first window begins) and windows of every template found in a text.
 
     A template is found where a window of twice its words holds at least `share` of its distinct shingles; containment is the best
     window's share. Rows that repeat an id with the same text are one. Null and empty texts hold nothing. The whole text is read, whatever its length.
     """
-    bands = write_table(template_bands(templates, share, probability), "template-bands")  # its size on disk decides how it is joined
+    bands = write_table(template_bands(templates, share, probability), "template-bands")
+    few = bands.limit(broadcast_bands + 1).count() <= broadcast_bands
     lengths = sorted(r.length for r in bands.select("length").distinct().collect()) or [SHINGLE]  # five values at most
+    about = ["template_id", "n", "length"]
+    meeting = bands.groupBy(*about, "shingle").agg(F.collect_list(F.struct("band", "value")).alias("bands"))
     split = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    start = F.col("at")
+    first = F.greatest(F.lit(0), F.ceil((start + F.col("length") - 2 * F.col("n")) / F.col("n")).cast("int"))
+    covering = F.sequence(first, F.floor(start / F.col("n")).cast("int"))  # two windows at most
     met = None
     for k in lengths:  # one pass for each length, so that no array of words goes into a row for each word
         rows = split.where(F.size("w") >= k).select(*KEY, "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("at"))
-        placed = rows.select(*KEY, "at", _hash(F.col("w"), F.col("at"), k).alias("shingle"))
-        part = placed.join(bands.where(F.col("length") == k).select("template_id", "n", "length", "band", "value", "shingle"), "shingle")
+        hashed, mine = _hash(F.col("w"), F.col("at"), k).alias("shingle"), meeting.where(F.col("length") == k)
+        if few:  # the windows are cut where a band is met, in the task that holds the text
+            part = rows.select(*KEY, "w", "at", hashed).join(F.broadcast(mine), "shingle")
+            cut = F.transform(covering, lambda j: F.struct(j.alias("window"), F.slice("w", j * F.col("n") + 1, 2 * F.col("n")).alias("inside")))
+        else:  # only ids and positions travel to the bands; the words are looked up for what met
+            part = rows.select(*KEY, "at", hashed).join(mine, "shingle")
+            cut = F.transform(covering, lambda j: F.struct(j.alias("window")))
+        part = part.select(*KEY, *about, "bands", F.explode(cut).alias("_cut")).select(*KEY, *about, "bands", "_cut.*")
         met = part if met is None else met.unionByName(part)
-    first = F.greatest(F.lit(0), F.ceil((F.col("at") + F.col("length") - 2 * F.col("n")) / F.col("n")).cast("int"))
-    last = F.floor(F.col("at") / F.col("n")).cast("int")
-    covering = met.select(*KEY, "template_id", "band", "value", F.explode(F.sequence(first, last)).alias("window"))
-    hit = covering.groupBy(*KEY, "template_id", "window").agg(F.collect_set(F.struct("band", "value")).alias("bands"))
-    hits = write_table(hit, "window-hits")  # at most the template's bands in an array
-
-    about = bands.where("band = 1").select("template_id", "n", "length", "needed", "shingles")
-    with_words = split.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")))
-    with_words = with_words.select("d.doc_id", "d.text_key", "w", "template_id", "window", "bands").join(about, "template_id")
-    inside = F.slice("w", F.col("window") * F.col("n") + 1, 2 * F.col("n"))
-    cut = with_words.select(*KEY, "template_id", "n", "window", "needed", "shingles", "bands", F.array_distinct(_shingles(inside, F.col("length"))).alias("own"))
+    texts_of = [F.any_value("inside").alias("inside")] if few else []
+    hit = met.groupBy(*KEY, *about, "window").agg(F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"), *texts_of)
+    if not few:
+        hits = write_table(hit, "window-hits")
+        both = split.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")))
+        inside = F.slice("w", F.col("window") * F.col("n") + 1, 2 * F.col("n"))
+        hit = both.select("d.doc_id", "d.text_key", *about, "window", "bands", inside.alias("inside"))
+    wanted = bands.where("band = 1").select("template_id", "needed", "shingles")
+    own = F.array_distinct(_shingles(F.col("inside"), F.col("length"))).alias("own")
+    cut = hit.select(*KEY, "template_id", "n", "window", "bands", own).join(F.broadcast(wanted) if few else wanted, "template_id")
     agrees = F.exists("bands", lambda b: F.array_min(F.transform("own", lambda s: F.xxhash64(s, b["band"]))) == b["value"])
     shared = F.size(F.array_intersect("own", "shingles"))
     found = cut.where(agrees).select(*KEY, "template_id", (F.col("window") * F.col("n")).alias("word"), shared.alias("shared"), "needed", F.size("shingles").alias("all"))

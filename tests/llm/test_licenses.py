@@ -72,6 +72,7 @@ def test_cut_and_changed_notices(spark):
     got = found(licenses.scan(frame, licenses.license_templates(spark)))
     assert set(got) <= set(want) and len(set(want) - set(got)) <= 1 and len(want) > 80
     assert all(got[k][0] == want[k][0] for k in got)
+    assert found(licenses.scan(frame, licenses.license_templates(spark), broadcast_bands=0)) == got
 
 
 def test_bands_follow_from_the_probability(spark):
