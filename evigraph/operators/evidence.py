@@ -181,14 +181,15 @@ def first_active_year(own: Column, learned: Column) -> Column:
 
 def infer_era(
     own_start: Column, learned_start: Column, own_peak: Column, learned_peak: Column, folded: Column,
-    earliest: bool = False,
+    earliest: bool = False, last_year: int | None = 2026,
 ) -> Column:
     """Known years first, then years in the text, then a hint, then a default.
 
-    `earliest` takes the smallest year of the text and its own hint list; otherwise the first year counts.
+    `earliest` takes the smallest year of the text, up to `last_year` (None: all that the pattern names), and its own
+    hint list; otherwise the first year counts.
     """
     if earliest:
-        found = F.array_min(text.years_in_text(folded, vocab.ANY_YEAR, 1600, 2026))
+        found = F.array_min(text.years_in_text(folded, vocab.ANY_YEAR, 1600, 9999 if last_year is None else last_year))
         hints, default = vocab.EARLIEST_YEAR_HINTS, vocab.EARLIEST_YEAR_DEFAULT
     else:
         found = text.first_year_in_text(folded)

@@ -410,3 +410,10 @@ def test_vocabularies_are_distinct():
     for name in ("OUT_OF_SCOPE_TERMS", "RELEASE_TERMS", "MUSIC_TERMS", "NODE_KINDS", "RELATION_TYPES"):
         values = getattr(vocab, name)
         assert len(values) == len(set(values))
+
+
+def test_earliest_era_bound_is_the_callers(spark):
+    df = spark.createDataFrame([("model 2028",), ("model 2026 and 2029",)], "t string")
+    none = F.lit(None).cast("int")
+    capped, whole = (evidence.infer_era(none, none, none, none, F.col("t"), earliest=True, **more) for more in ({}, {"last_year": None}))
+    assert [tuple(r) for r in df.select(capped, whole).collect()] == [(vocab.EARLIEST_YEAR_DEFAULT, 2028), (2026, 2026)]
