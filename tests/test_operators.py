@@ -417,3 +417,18 @@ def test_earliest_era_bound_is_the_callers(spark):
     none = F.lit(None).cast("int")
     capped, whole = (evidence.infer_era(none, none, none, none, F.col("t"), earliest=True, **more) for more in ({}, {"last_year": None}))
     assert [tuple(r) for r in df.select(capped, whole).collect()] == [(vocab.EARLIEST_YEAR_DEFAULT, 2028), (2026, 2026)]
+
+
+def test_similar_pairs_keep_groups_apart_that_read_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "b c"), ("a b", "c"), (None, "b c")], "g string, text string")
+    for slots in (facts.WORD_SLOTS, 1):  # with one slot every word ranks alike
+        monkeypatch.setattr(facts, "WORD_SLOTS", slots)
+        got = sorted((r.g, tuple(r.left_set), tuple(r.right_set)) for r in facts.similar_pairs(rows, rows, ["g"]).collect())
+        assert got == [("a", ("b", "c"), ("b", "c")), ("a b", ("c",), ("c",))]
+
+
+def test_similar_pairs_shuffle_no_words_one_by_one(spark):
+    rows = spark.createDataFrame([("a", "b c"), ("a", "b c d")], "g string, text string")
+    plan = facts.similar_pairs(rows, rows, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key" in plan and "hashpartitioning(_token" not in plan and "Window" not in plan
+    assert "bit_count" in plan
