@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -284,20 +286,33 @@ def request_of_seed(seeds: DataFrame, requests: DataFrame) -> DataFrame:
     return attach_row(joined, only).withColumn("request_id", F.coalesce("_hit", "_only")).drop("_name", "_kind", "_hit", "_only")
 
 
-def catalogue_match(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
+def catalogue_match(seeds: DataFrame, catalogue: DataFrame, key: Sequence[str] = ("seed", "kind")) -> DataFrame:
     """Best catalogue entry per seed: a linked id beats a name, then the catalogue's own rank.
 
-    Seeds are (seed, kind, linked_id); the catalogue is (item_id, name, type, description, rank).
+    Seeds are (seed, kind, linked_id) and may have further columns; one row is returned for each `key`. The catalogue is (item_id, name, type,
+    description, rank). It is cut to its best entry for each id, and for each name and kind, before a seed meets it, so seeds of one name are never
+    joined with all entries of that name.
     """
-    by_id = seeds.join(catalogue, F.col("linked_id") == F.col("item_id")).withColumn("_by", F.lit(0))
-    named = seeds.withColumn("_key", normalize_text("seed")).join(catalogue.withColumn("_key", normalize_text("name")), "_key").drop("_key")
-    expected = F.when(F.col("kind") == "band", "Group").when(F.col("kind").isin(*vocab.PERSON_KINDS), "Person")
-    described = F.lit(False)
-    for kind, terms in vocab.DESCRIPTORS.items():
-        described = described | ((F.col("kind") == kind) & contains_any(F.lower("description"), terms))
-    named = named.where((F.col("type") == expected) | described).withColumn("_by", F.lit(1))
-    best = first_per_key(by_id.unionByName(named), ["seed", "kind"], [F.asc("_by"), F.asc("rank"), F.asc("item_id")])
-    return best.select("seed", "kind", "item_id", F.when(F.col("_by") == 0, "linked").otherwise("name").alias("matched_by"))
+    by_id = catalogue.groupBy(F.col("item_id").alias("_id")).agg(F.min(F.struct("rank")).alias("_id_best"))
+
+    def fits(kind: str) -> Column:
+        expected = F.lit("Group") if kind == "band" else F.lit("Person") if kind in vocab.PERSON_KINDS else F.lit(None)
+        described = contains_any(F.lower("description"), vocab.DESCRIPTORS[kind]) if kind in vocab.DESCRIPTORS else F.lit(False)
+        return F.coalesce((F.col("type") == expected) | described, F.lit(False))
+
+    kinds = dict.fromkeys(("band", *vocab.PERSON_KINDS, *vocab.DESCRIPTORS))
+    listed = F.explode(F.array_compact(F.array(*[F.when(fits(kind), F.lit(kind)) for kind in kinds])))
+    named = catalogue.select(normalize_text("name").alias("_name"), F.struct("rank", "item_id").alias("_entry"), listed.alias("_kind"))
+    named = named.groupBy("_name", "_kind").agg(F.min("_entry").alias("_named"))
+    met = seeds.withColumn("_key", normalize_text("seed")).join(by_id, F.col("linked_id") == F.col("_id"), "left")
+    met = met.join(named, (F.col("_key") == F.col("_name")) & (F.col("kind") == F.col("_kind")), "left")
+    linked = F.col("_id").isNotNull()
+    met = met.where(linked | F.col("_name").isNotNull()).select(
+        *dict.fromkeys((*key, "seed", "kind")), F.when(linked, F.col("_id")).otherwise(F.col("_named.item_id")).alias("item_id"),
+        F.when(linked, F.col("_id_best.rank")).otherwise(F.col("_named.rank")).alias("_rank_of"), F.when(linked, "linked").otherwise("name").alias("matched_by"),
+    )
+    best = first_per_key(met, list(key), [F.asc("matched_by"), F.asc("_rank_of"), F.asc("item_id")])
+    return best.drop("_rank_of")
 
 
 def page_for_seed(seeds: DataFrame, pages: DataFrame) -> DataFrame:

@@ -287,15 +287,13 @@ def request_of_seed(spark, d):
 )
 def catalogue_match(spark, d):
     seeds = views.table(spark, d, "part").selectExpr(
-        "p_partkey as p", "concat('Ensemble_', p_partkey % 50, repeat(' ', cast(p_partkey div 50 as int))) as seed", "'band' as kind", "case when p_partkey % 4 = 0 then concat('i-', p_partkey) end as linked_id"
+        "p_partkey as p", "concat('Ensemble_', p_partkey % 50, repeat(' ', cast(p_partkey % 3 as int))) as seed", "'band' as kind", "case when p_partkey % 4 = 0 then concat('i-', p_partkey) end as linked_id"
     )
     catalogue = views.table(spark, d, "supplier").selectExpr(
         "concat('i-', s_suppkey) as item_id", "concat('Ensemble ', s_suppkey % 40) as name", "case when s_suppkey % 3 = 0 then 'Person' else 'Group' end as type",
         "'a village' as description", "s_suppkey as rank",
     )
-    keyed = seeds.select("p", "seed").withColumnRenamed("seed", "_seed")
-    matched = resolve.catalogue_match(seeds.drop("p"), catalogue)
-    return keyed.join(matched, F.col("_seed") == F.col("seed")).select("p", "item_id", "matched_by")
+    return resolve.catalogue_match(seeds, catalogue, ["p"]).select("p", "item_id", "matched_by")
 
 
 @query(

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph import vocab
-from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, learning, neighborhood, prefix, spatial, titles, trials, validate
+from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, learning, neighborhood, prefix, resolve, spatial, titles, trials, validate
 from evigraph.session import lookup, shared_folder
 from evigraph.streaming.leases import work_folder
 
@@ -432,3 +432,16 @@ def test_similar_pairs_shuffle_no_words_one_by_one(spark):
     plan = facts.similar_pairs(rows, rows, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_key" in plan and "hashpartitioning(_token" not in plan and "Window" not in plan
     assert "bit_count" in plan
+
+
+def test_catalogue_is_cut_to_one_entry_a_name_before_seeds_meet_it(spark):
+    seeds = spark.createDataFrame(
+        [(1, "The_Act", "band", None), (2, "the act ", "band", None), (3, "the act", "artist", "i9"), (4, "the act", "genre", None), (5, "x", None, "i4"), (6, "y", "band", "none"), (7, "The Act", "artist", None)],
+        "p long, seed string, kind string, linked_id string",
+    )
+    entries = [("i1", "The Act", "Group", None, 2), ("i2", "the_act", "Group", "", 1), ("i3", "The Act", "Other", "a singer", 3), ("i4", "The Act", None, "", 0), ("i9", "z", "Person", "", 5), ("i9", "z", "Person", "", 4)]
+    catalogue = spark.createDataFrame(entries, "item_id string, name string, type string, description string, rank int")
+    got = resolve.catalogue_match(seeds, catalogue, ["p"])
+    assert sorted((r.p, r.item_id, r.matched_by) for r in got.collect()) == [(1, "i2", "name"), (2, "i2", "name"), (3, "i9", "linked"), (5, "i4", "linked"), (7, "i3", "name")]
+    by_name = resolve.catalogue_match(seeds, catalogue)
+    assert {(r.seed, r.kind, r.item_id, r.matched_by) for r in by_name.collect()} >= {("the act", "artist", "i9", "linked"), ("The_Act", "band", "i2", "name")}
