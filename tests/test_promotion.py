@@ -145,3 +145,11 @@ def test_ledger_gate(spark):
     assert rules({**new, "rows": rows(("2", "e2", "typed_connection"))}) == ["promotion_rows_changed"]
     assert rules(new, (thing("n2"), thing("e2", "e9"))) == ["promotion_count", "promotion_edges_delta"]
     assert rules(new, max_new=0) == ["promotion_count"]
+
+
+def test_ledger_gate_reads_each_part_once_for_its_rules(spark):
+    thing = spark.createDataFrame([("a", "v")], "id string, v string")
+    rows = spark.createDataFrame([("1", "a", "typed_connection")], "id string, edge_id string, kind string")
+    parts = {"nodes": thing, "edges": thing, "rows": rows}
+    plan = diffs.ledger_gate(parts, parts, (thing, thing))._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and plan.count("_changed") == plan.count("_repeated")
