@@ -62,53 +62,69 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int, steps: int = 200) -> list[list[int]]:
+def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Move pieces between underfull bins while the sum of squared fills grows; emptied bins disappear.
 
-    One step looks at one bin, emptiest first, against all other underfull bins at once: move a piece, exchange it for a
-    shorter one, or exchange two for one, and takes the change that gains most. `steps` bounds the effort, not the input.
+    One step looks at one bin, emptiest first, against all other underfull bins at once: move a piece or two, exchange one for
+    a shorter one, or exchange two for one, and takes the change that gains most. It ends where no bin has a change that
+    gains, or at the least number of bins that the sum of the lengths allows.
     """
-    fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
-    under = [k for k in range(len(bins)) if fill[k] < size]
-    stuck: set[int] = set()
-    for _ in range(steps):
-        open_bins = [k for k in under if 0 < fill[k] < size]
-        source = min((k for k in open_bins if k not in stuck), key=lambda k: fill[k], default=None)
-        if source is None or len(open_bins) < 2:
+    lengths = np.asarray(lengths, dtype=np.int64)
+    where = np.empty(len(lengths), dtype=np.int64)
+    for k, own in enumerate(bins):
+        where[own] = k
+    fill = np.bincount(where, lengths, len(bins)).astype(np.int64)
+    least = -(-int(lengths.sum()) // size)
+    stuck = np.zeros(len(bins), dtype=bool)
+    while np.count_nonzero(fill) > least:
+        under = (fill > 0) & (fill < size)
+        if not (under & ~stuck).any():
             break
-        others = np.array([k for k in open_bins if k != source])
-        owner = np.concatenate([np.full(len(bins[k]), k) for k in others])
-        item = np.concatenate([bins[k] for k in others]).astype(np.int64)
-        room, best = size - fill[owner], (0, None)
-        singles = [(lengths[i], (i,)) for i in bins[source]]
-        pairs = [(lengths[i] + lengths[j], (i, j)) for n, i in enumerate(bins[source]) for j in bins[source][n + 1 :]][:128]
-        for weight, given in singles + pairs:
-            if len(given) == 1:
-                fits = others[size - fill[others] >= weight]
-                if len(fits):
-                    target = int(fits[np.argmax(fill[fits])])
-                    gain = (fill[target] + weight) ** 2 + (fill[source] - weight) ** 2 - fill[target] ** 2 - fill[source] ** 2
-                    if gain > best[0]:
-                        best = (gain, (given, target, None))
-            shift = weight - lengths[item]
-            gains = np.where((shift > 0) & (shift <= room), 2 * shift * (fill[owner] - fill[source] + shift), 0)
-            at = int(np.argmax(gains)) if len(gains) else 0
-            if len(gains) and gains[at] > best[0]:
-                best = (gains[at], (given, int(owner[at]), int(item[at])))
+        source = int(np.argmin(np.where(under & ~stuck, fill, size)))
+        own = np.flatnonzero(where == source)
+        # Equal lengths are alike, so there are fewer weights of one or two pieces than tokens in a bin.
+        i, j = np.triu_indices(len(own := own[_first_two(lengths[own])]), 1)
+        weight = np.concatenate([lengths[own], lengths[own[i]] + lengths[own[j]]])
+        given = np.concatenate([np.stack([own, np.full(len(own), -1)], axis=1), np.stack([own[i], own[j]], axis=1)])
+        weight, one = np.unique(weight, return_index=True)
+        given = given[one]
+        best: tuple = (0, None, None, None)
+        under[source] = False
+        others = np.flatnonzero(under)
+        others = others[np.argsort(fill[others], kind="stable")]
+        fits = np.searchsorted(fill[others], size - weight, side="right") - 1
+        if len(others):
+            target = others[np.maximum(fits, 0)]
+            gains = np.where(fits >= 0, 2 * weight * (fill[target] - fill[source] + weight), 0)
+            if gains[at := int(np.argmax(gains))] > 0:
+                best = (gains[at], given[at], int(target[at]), None)
+        items = np.flatnonzero(under[where])
+        room, lead = size - fill[where[items]], fill[where[items]] - fill[source]
+        for at in range(0, len(weight) if len(items) else 0, 64):
+            shift = weight[at : at + 64, None] - lengths[items]
+            gains = np.where((shift > 0) & (shift <= room), 2 * shift * (lead + shift), 0)
+            row, column = np.unravel_index(int(np.argmax(gains)), gains.shape)
+            if gains[row, column] > best[0]:
+                best = (gains[row, column], given[at + row], int(where[items[column]]), int(items[column]))
         if best[1] is None:
-            stuck.add(source)
+            stuck[source] = True
             continue
-        given, target, taken = best[1]
-        for i in given:
-            bins[source].remove(i)
-            bins[target].append(i)
+        _, moved, target, taken = best
+        where[moved[moved >= 0]] = target
         if taken is not None:
-            bins[target].remove(taken)
-            bins[source].append(taken)
+            where[taken] = source
         for k in (source, target):
-            fill[k] = int(lengths[bins[k]].sum()) if bins[k] else 0
-        stuck.clear()
-    return [b for b in bins if b]
+            fill[k] = lengths[where == k].sum()
+        stuck[:] = False
+    order = np.argsort(where, kind="stable")
+    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(part)]
+
+
+def _first_two(values: np.ndarray) -> np.ndarray:
+    """Places of the first two of each value."""
+    order = np.argsort(values, kind="stable")
+    same = values[order][2:] == values[order][:-2]
+    return order[np.concatenate([np.ones(min(2, len(order)), dtype=bool), ~same])]
 
 
 def _pack_shard(size: int):
@@ -129,32 +145,41 @@ def _pack_shard(size: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, size: int, rounds: int = 3) -> DataFrame:
+def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     """Give every piece (doc_id, piece, length and further columns) a sequence_id and a gapless offset.
 
-    Full pieces are sequences of their own. The rest is dealt into shards of about SHARD_PIECES by hash, packed shard by
-    shard, and the pieces of underfull bins are dealt and packed again, `rounds` times in all. Shards are equal in
-    size whatever the data, no shard grows with the input, and every piece is placed. An empty input gives no row.
+    Full pieces are sequences of their own. The rest is dealt into shards of about SHARD_PIECES by hash and packed shard by
+    shard; the pieces of underfull bins are dealt and packed again until that saves no bin, they have the least number of
+    bins, or one shard holds them. Shards are equal in size whatever the data, no shard grows with the input, and every
+    piece is placed. An empty input gives no row.
     """
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     pieces = pieces.select(*keys)
     row = F.monotonically_increasing_id()
-    full = pieces.where(F.col("length") == size).withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_id", row * 4 + 3)
+    full = pieces.where(F.col("length") == size).withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_id", row * 2 + 1)
     packed = full.select(*keys, "offset", "sequence_id")
     open_pieces = pieces.where(F.col("length") < size)
     schema = f"{', '.join(f'{n} {t}' for n, t in pieces.dtypes)}, shard bigint, bin bigint, offset bigint, fill bigint"
-    for step in range(rounds):
-        n = open_pieces.count()
-        if n == 0:
-            break
+    rest, known, step = None, math.inf, 0
+    while n := open_pieces.count():
         shards = math.ceil(n / SHARD_PIECES)
         dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64(row, *keys), F.lit(shards)))
         bins = write_table(dealt.groupBy("shard").applyInPandas(_pack_shard(size), schema), "packed")
-        settled = F.lit(True) if step == rounds - 1 or shards == 1 else F.col("fill") >= size - size // 256
-        number = (F.shiftleft("shard", 20) + F.col("bin")) * 4 + step
-        packed = packed.unionByName(bins.where(settled).select(*keys, "offset", number.alias("sequence_id")))
-        open_pieces = bins.where(~settled).select(*keys)
-    return packed
+        number = ((F.shiftleft(F.lit(step).cast("long"), 47) + F.shiftleft("shard", 20) + F.col("bin")) * 2).alias("sequence_id")
+        bins = bins.select(*keys, "offset", number, "fill")
+        # A bin has one row at offset 0, as no piece is empty.
+        under = bins.where(F.col("fill") < size - size // 256)
+        count = lambda rows: rows.agg(F.count_if(F.col("offset") == 0).alias("bins"), F.sum("length").alias("tokens")).first()
+        if rest is not None and count(bins).bins >= known:
+            break
+        left = count(under)
+        if shards == 1 or left.bins <= math.ceil((left.tokens or 0) / size):
+            rest = bins
+            break
+        packed = packed.unionByName(bins.where(F.col("fill") >= size - size // 256).drop("fill"))
+        rest, known, step = under, left.bins, step + 1
+        open_pieces = under.select(*keys)
+    return packed if rest is None else packed.unionByName(rest.drop("fill"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, end_id: int = 0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token files and packing beside the tokenizers library itself."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -100,6 +101,38 @@ def test_swaps_empty_a_bin():
         assert sorted(sum(bins, [])) == list(range(60)) and max(lengths[b].sum() for b in bins) <= 64
 
 
+def test_swaps_end_where_nothing_gains():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = rng.integers(1, 30, 40)
+        bins = packing.swap_search([[k] for k in range(40)], lengths, 64)
+        fill = [int(lengths[b].sum()) for b in bins]
+        if len(bins) == -(-int(lengths.sum()) // 64):
+            continue
+        for a, b in itertools.permutations(range(len(bins)), 2):  # one or two pieces of a for none or one of b
+            for given in [c for k in (1, 2) for c in itertools.combinations(bins[a], k)]:
+                for taken in [(), *((i,) for i in bins[b])]:
+                    shift = int(lengths[list(given)].sum() - lengths[list(taken)].sum())
+                    new = fill[a] - shift, fill[b] + shift
+                    if fill[a] < 64 and fill[b] < 64 and shift > 0 and new[1] <= 64:
+                        assert new[0] ** 2 + new[1] ** 2 <= fill[a] ** 2 + fill[b] ** 2
+    # 300 single pieces are more than 200 steps: a bin that has 20 pieces has 190 pairs.
+    assert len(packing.swap_search([[k] for k in range(600)], np.full(600, 7), 70)) == 60
+    lengths = np.array([*range(100, 120), 41, 159])
+    assert len(packing.swap_search([list(range(20)), [20], [21]], lengths, 2400)) == 1
+
+
+def test_packing_goes_on_while_bins_are_saved(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 12)
+    rng = np.random.default_rng(7)
+    table = [(k, 0, 0, int(n), k) for k, n in enumerate(rng.integers(300, 1400, 1500))]
+    pieces = spark.createDataFrame(table, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    got = packing.pack_pieces(pieces, 2048).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1500))
+    count, _ = check_packing(got, 2048)
+    assert count <= 700  # three rounds: 703
+
+
 def test_packing_fill(spark, sf_dir):
     got = QUERIES["op9_best_fit_packing"](spark, sf_dir).collect()
     count, total = check_packing(got, 2048)
