@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from evigraph.llm.shared import texts, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_CANDIDATES = 20_000
+#: Training rows of a task, and the levels a threshold may have.
+ROWS_A_TASK = 20_000
+LEVELS = np.arange(10_001) / 10_000
 #: A kind with fewer distinct rows of a label than this has too few to hold some out; their copies are split instead.
 FEW = 30
 
@@ -228,11 +232,15 @@ def distinct_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "
     return found.groupBy("kind", "x", "label").agg(F.sum("n").alias("n"))
 
 
+def _sided(distinct: DataFrame) -> DataFrame:
+    """All rows with `held`, a hash of x alone, so equal rows are on one side."""
+    return distinct.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "x"), F.lit(3)) == 2)
+
+
 def sampled(distinct: DataFrame, sample: int) -> pa.Table:
     """kind, x, label, n, held, weight: at most `sample` distinct rows by hash, as many for each kind and label.
 
-    A weight is the number of candidates a row stands for: its copies times the distinct rows per row chosen. `held` is a
-    hash of x alone, so equal rows are on one side.
+    A weight is the number of candidates a row stands for: its copies times the distinct rows per row chosen.
     """
     distinct = write_table(distinct, "candidates")  # read once for each kind and label
     groups = distinct.groupBy("kind", "label").agg(F.count("*").alias("rows")).collect()
@@ -241,54 +249,64 @@ def sampled(distinct: DataFrame, sample: int) -> pa.Table:
     for g in sorted(groups):
         mine = distinct.where((F.col("kind") == g.kind) & (F.col("label") == g.label)).orderBy(F.xxhash64("x", "label"), "x").limit(most)
         weight = F.col("n") * F.lit(g.rows / min(g.rows, most))
-        parts.append(mine.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "x"), F.lit(3)) == 2).withColumn("weight", weight).toArrow())
+        parts.append(_sided(mine).withColumn("weight", weight).toArrow())
     schema = pa.schema([("kind", pa.int32()), ("x", pa.list_(pa.float64())), ("label", pa.float64()), ("n", pa.int64()), ("held", pa.bool_()), ("weight", pa.float64())])
     return pa.concat_tables([t.cast(schema) for t in parts]) if parts else schema.empty_table()
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_CANDIDATES, precision: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> Selector:
-    """Boosted trees on at most `sample` distinct candidates, chosen by hash from all documents, labelled by strict formats.
+def _cells(rows: DataFrame, selector: Selector) -> DataFrame:
+    """kind, cell (of LEVELS that the score reaches), and the held-out weight, its share with label 1 and the number of candidates."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, FEATURES)
+            cell = np.searchsorted(LEVELS, selector.score(x), side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(cell, pa.int32()), *(batch.column(c) for c in ("label", "weight", "held", "n"))], ["kind", "cell", "label", "weight", "held", "n"])
+
+    scored = rows.where("held > 0").select("kind", "x", "label", "weight", "held", "n").mapInArrow(score, "kind int, cell int, label double, weight double, held double, n long")
+    counted = F.col("weight") * F.col("held")
+    return scored.groupBy("kind", "cell").agg(F.sum(counted).alias("all"), F.sum(counted * F.col("label")).alias("right"), F.sum(F.col("n") * F.col("held")).alias("n"))
+
+
+def fit(docs: DataFrame, sample: int | None = None, precision: float = 0.98, text_col: str = "text", id_col: str = "doc_id") -> Selector:
+    """Boosted trees on all distinct candidates of all documents, labelled by strict formats; with `sample` on so many, chosen by hash.
 
     Labels come from the base formats and `sure`; the trees see only format and context, so their scores carry over to
-    candidates that no rule knows. Equal candidates are one row that counts as often as it occurs, and each kind and label
-    has its own share of the sample. Two thirds of the distinct rows fit the trees; on the rest each kind gets the smallest
-    threshold from which at least `precision` of the candidates are labelled 1. Only where a kind has fewer than FEW
-    distinct rows of a label, their copies are split in the same shares. A kind with fewer than 50 candidates over its
-    threshold there adds nothing; with fewer than 20 candidates of either label no trees are fitted and only base spans count.
+    candidates that no rule knows. Equal candidates are one row that counts as often as it occurs. Two thirds of the distinct
+    rows fit the trees; on the rest each kind gets the smallest threshold (of LEVELS) from which at least `precision` of the
+    candidates are labelled 1. Only where a kind has fewer than FEW distinct rows of a label, their copies are split in the
+    same shares. A kind with fewer than 50 candidates over its threshold there adds nothing; with fewer than 20 candidates of
+    either label no trees are fitted and only base spans count. The rows stay distributed; the driver sees sums by kind and
+    label, and by kind and level.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    chosen = sampled(distinct_candidates(docs, text_col, id_col), sample)
-    x = np.array(chosen["x"].to_pylist(), dtype=float).reshape(-1, FEATURES)
-    y, n, kind = chosen["label"].to_numpy(), chosen["n"].to_numpy().astype(float), chosen["kind"].to_numpy()
-    if min(n[y == 0].sum(), n[y == 1].sum()) < 20:
+    distinct = distinct_candidates(docs, text_col, id_col)
+    if sample is None:
+        rows = _sided(write_table(distinct, "candidates")).withColumn("weight", F.col("n").cast("double"))
+    else:
+        rows = docs.sparkSession.createDataFrame(sampled(distinct, sample))
+    groups = rows.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    if min(sum(g.n for g in groups if g.label == label) for label in (0, 1)) < 20:
         return Selector()
-    held = chosen["held"].to_numpy().astype(float)
-    for k in range(len(KINDS)):
-        for label in (0, 1):
-            if (mine := (kind == k) & (y == label)).sum() < FEW:
-                held[mine] = 1 / 3
-    weight = chosen["weight"].to_numpy()
-    fitted = held < 1
-    scale = (weight * (1 - held)).sum() / max(1, fitted.sum())
-    spark = docs.sparkSession
-    table = pa.table({
-        "x": pa.array(x[fitted].tolist(), pa.list_(pa.float64())), "label": pa.array(y[fitted]), "weight": pa.array((weight * (1 - held))[fitted] / scale),
-    })
-    rows = spark.createDataFrame(table).coalesce(1).select(array_to_vector("x").alias("features"), "label", "weight")
+    split = [(F.col("kind") == g.kind) & (F.col("label") == g.label) for g in groups if g.rows < FEW]
+    rows = rows.withColumn("held", F.when(reduce(lambda a, b: a | b, split, F.lit(False)), F.lit(1 / 3)).otherwise(F.col("held").cast("double")))
+    share = F.col("weight") * (1 - F.col("held"))
+    fitted = rows.where("held < 1")
+    total = fitted.agg(F.sum(share).alias("weight"), F.count(F.lit(1)).alias("rows")).first()
+    parts = math.ceil(total.rows / ROWS_A_TASK)
+    table = fitted.coalesce(parts).sortWithinPartitions("kind", "label", "x")
+    table = table.select(array_to_vector("x").alias("features"), "label", (share * F.lit(total.rows / total.weight)).alias("weight"))
     # As many bins as small numbers need: a row of many copies would take all of a few.
-    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1, maxBins=256, weightCol="weight").fit(rows)
+    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1, maxBins=256, weightCol="weight").fit(table)
     selector = Selector(tuple((float(w), _node_table(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)))
-    p, limits = selector.score(x), []
+    cells, limits = _cells(rows, selector).collect(), []  # at most len(LEVELS) rows a kind
     for k in range(len(KINDS)):
-        mine = np.flatnonzero((kind == k) & (held > 0))
-        mine = mine[np.argsort(-p[mine], kind="stable")]
-        counted = (weight * held)[mine]
-        right = np.cumsum(y[mine] * counted) / np.cumsum(counted)
-        ends = np.append(np.diff(p[mine]) != 0, True)[: len(mine)]
-        good = np.flatnonzero((right >= precision) & ends & (np.cumsum((n * held)[mine]) >= 50 - 1e-6))
-        limits.append(float(p[mine][good[-1]]) if len(good) else 2.0)
+        mine = sorted((c for c in cells if c.kind == k), key=lambda c: -c.cell)
+        every, right, n = (np.cumsum([c[name] for c in mine]) for name in ("all", "right", "n"))
+        good = np.flatnonzero((right >= precision * every - 1e-9) & (n >= 50 - 1e-6))
+        limits.append(float(LEVELS[mine[good[-1]].cell]) if len(good) else 2.0)
     return Selector(selector.trees, tuple(limits))
 
 
