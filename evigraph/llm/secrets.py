@@ -31,6 +31,7 @@ LENGTH, BLOCK = 64, 8192
 # The formats of the base spans.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+ASSIGN_WORD = re.compile("|".join(ASSIGN_WORDS))
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
@@ -63,16 +64,30 @@ def shape(token: str) -> str:
     return REPEAT.sub(r"\1+", token[:64].translate(KINDS_OF))[:8]
 
 
+def letter_counts(token: str) -> tuple[int, ...]:
+    return tuple(sorted([token.count(c) for c in set(token)]))
+
+
 def entropy(token: str) -> float:
-    counts = [token.count(c) for c in set(token)]
+    counts = letter_counts(token)
     return -sum(n / len(token) * math.log2(n / len(token)) for n in counts) if len(counts) < len(token) else math.log2(len(token))
 
 
+def named(low: str) -> str:
+    """The first of the words that name secrets that the token holds."""
+    return next(w for w in ASSIGN_WORDS if w in low) if ASSIGN_WORD.search(low) else ""
+
+
+def brief(token: str) -> tuple:
+    """What `describe` depends on for ASCII tokens of up to 64 characters: tokens of one brief look alike."""
+    low = token.lower()
+    return token.translate(KINDS_OF), letter_counts(token), not low.strip("0123456789abcdef"), (word := named(low)), bool(word) and len(word) == len(token), token[:4] if len(token) >= 16 else ""
+
+
 def describe(token: str) -> tuple[str, ...]:
     """What one token looks like: shape, length, alphabet, letters' surprise, and the words that name secrets."""
     low, n = token.lower(), len(token)
-    hexlike = n >= 8 and all(c in "0123456789abcdef" for c in low)
-    word = next((w for w in ASSIGN_WORDS if w in low), "")
+    hexlike, word = n >= 8 and not low.strip("0123456789abcdef"), named(low)
     return (
         f"s:{shape(token)}", f"n:{min(n, 48) // 4}", f"h:{hexlike}:{min(n, 48) // 8}", f"e:{int(2 * entropy(token))}:{n >= 16}",
         f"w:{word}:{n == len(word)}", f"d:{sum(c.isdigit() for c in token) * 4 // n}", f"p:{token[:4] if n >= 16 else ''}",
@@ -90,9 +105,12 @@ class Coder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.briefs: dict[tuple, int] = {}
         self.classes: dict[tuple[str, ...], int] = {}
         self.own, self.near, self.shapes = np.zeros((256, 8), np.uint16), np.zeros((256, 4, 3), np.uint16), []
         self.marks: dict[str, np.ndarray] = {}
+        #: Weights summed by class (`Field.scores`): under the file's marks for the token itself, under None for its four neighbours.
+        self.tables: dict[tuple[str, ...] | None, np.ndarray] = {}
         self.add(("none",) * 7)
 
     def add(self, looks: tuple[str, ...]) -> int:
@@ -108,21 +126,29 @@ class Coder:
         """The classes of a text's tokens, two empty neighbours at either end."""
         if len(self.known) > 400_000 or len(self.classes) > 50_000:
             self.clear()
-        known, out = self.known, [0, 0]
-        for token in tokens:
-            k = known.get(token)
-            if k is None:
-                looks = describe(token)
-                k = self.classes.get(looks)
-                known[token] = k = self.add(looks) if k is None else k
-            out.append(k)
-        return np.array([*out, 0, 0], dtype=np.int64)
+        out = list(map(self.known.get, tokens))
+        if None in out:
+            out = [self.class_of(token) if k is None else k for token, k in zip(tokens, out, strict=True)]
+        return np.array([0, 0, *out, 0, 0], dtype=np.int64)
+
+    def class_of(self, token: str) -> int:
+        key = brief(token) if token.isascii() and len(token) <= 64 else None
+        k = self.briefs.get(key)
+        if k is None:
+            looks = describe(token)
+            k = self.classes.get(looks)
+            k = self.add(looks) if k is None else k
+            if key is not None:
+                self.briefs[key] = k
+        self.known[token] = k
+        return k
 
     def blocks(self, tokens: list[str], marks: tuple[str, ...]) -> Iterator[np.ndarray]:
         ids = self.ids(tokens)
         for f in marks:
-            if len(self.marks.get(f, ())) < len(self.shapes):
-                self.marks[f] = np.array([bucket(f + x) for x in self.shapes], np.uint16)
+            done = self.marks.get(f, np.empty(0, np.uint16))
+            if len(done) < len(self.shapes):
+                self.marks[f] = np.concatenate([done, np.array([bucket(f + x) for x in self.shapes[len(done) :]], np.uint16)])
         for at in range(2, len(ids) - 2, BLOCK):
             end = min(at + BLOCK, len(ids) - 2)
             mine = ids[at:end]
@@ -154,6 +180,30 @@ class Field:
     def __getstate__(self) -> dict:
         return {"emit": self.emit, "move": self.move}
 
+    def scores(self, tokens: list[str], marks: tuple[str, ...]) -> np.ndarray:
+        """Tokens x tags: the weights of all features that `Coder.blocks` names, summed for each class once."""
+        coder = self.coder
+        ids = coder.ids(tokens)
+        tables, size = coder.tables, len(coder.shapes)
+        near = tables.get(None, np.zeros((4, 0, 3)))
+        if (done := near.shape[1]) < size:
+            more = self.emit[coder.near[done:size]].sum(axis=2).transpose(1, 0, 2)
+            near = tables[None] = np.concatenate([near, more], axis=1)
+        own = tables.get(marks, np.zeros((0, 3)))
+        if (done := len(own)) < size:
+            more = self.emit[coder.own[done:size]].sum(axis=1)
+            for f in marks:
+                more = more + self.emit[[bucket(f + x) for x in coder.shapes[done:]]]
+            own = tables[marks] = np.concatenate([own, more])
+        score = np.empty((len(tokens), 3))
+        for at in range(0, len(tokens), BLOCK):
+            end = min(at + BLOCK, len(tokens))
+            part = own.take(ids[at + 2 : end + 2], axis=0)
+            for k, d in enumerate((0, 1, 3, 4)):
+                part += near[k].take(ids[at + d : end + d], axis=0)
+            score[at:end] = part
+        return score
+
     def tags(self, x: np.ndarray) -> np.ndarray:
         """The best tag sequence of a whole text."""
         return self.path(self.emit[x].sum(axis=1))
@@ -200,7 +250,7 @@ class Field:
         """Tagged runs that meet no base span, as spans of the kind `tagged`."""
         if self.emit is None or not (tokens := TOKEN.findall(text)):
             return []
-        path = self.path(np.concatenate([self.emit[x].sum(axis=1) for x in self.coder.blocks(tokens, file_marks(text))]))
+        path = self.path(self.scores(tokens, file_marks(text)))
         if not path.any():
             return []
         found: list[Span] = []

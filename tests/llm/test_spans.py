@@ -177,6 +177,26 @@ def test_field_reads_every_token(spark):
         assert [long[s:e] for _, s, e in field.added(long, [])] == ["QmFzZVNlYXJldEtleQabcDEF"]
 
 
+def test_scores_by_class_are_the_sums_of_all_features(monkeypatch):
+    rng, words = np.random.default_rng(3), random.Random(3)
+    field = secrets.Field(rng.normal(0, 1, (secrets.BUCKETS, 3)), rng.normal(0, 1, (3, 3)))
+    parts = ["password", "tokenapi_key", "deadbeef", "DEADBEEF12", "AKIA" + "Q" * 16, "İ", "²", "日", "=", "a1b2", "x" * 70, "0" * 64 + "g", "Zz.", "/a+b=", "secretpasswd"]
+    plain, described = secrets.Coder(), []
+    monkeypatch.setattr(secrets, "describe", lambda token, old=secrets.describe: described.append(token) or old(token))
+    for turn in range(60):
+        text = " ".join(words.choice(parts) + "".join(words.choice("abcDEF019_+.") for _ in range(words.randint(0, 20))) for _ in range(words.randint(1, 400)))
+        tokens, marks = secrets.TOKEN.findall(text), secrets.file_marks(text)
+        if turn in (30, 45):
+            field.coder.clear()
+        want = np.concatenate([field.emit[x].sum(axis=1) for x in plain.blocks(tokens, marks)])
+        assert np.allclose(field.scores(tokens, marks), want, atol=1e-9, rtol=0)
+    for token in {t for t in plain.known if t.isascii() and len(t) <= 64}:
+        assert plain.classes[secrets.describe(token)] == plain.known[token]
+    described.clear()
+    secrets.Coder().ids(["".join(words.sample("bcdefghijklmnopq", 9)) for _ in range(200)])
+    assert len(described) <= 2  # words that look alike are described once
+
+
 def test_skipped_tokens_are_outside_in_every_best_path():
     rng = np.random.default_rng(9)
     for k in range(600):
