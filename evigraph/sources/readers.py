@@ -143,7 +143,8 @@ def front_matter(notes: DataFrame) -> DataFrame:
     pairs = F.transform(kept, lambda v: F.struct(F.trim(F.substring_index(v, ":", 1)).alias("k"), F.trim(F.substr(v, F.instr(v, ":") + 1)).alias("v")))
     named = notes.withColumn("_pairs", pairs).withColumn("_keys", F.reverse(F.transform("_pairs", lambda p: p["k"])))
     last = F.filter("_pairs", lambda p, i: F.array_position("_keys", p["k"]) == F.size("_keys") - i)
-    return named.withColumn("fields", F.map_from_entries(last)).drop("_pairs", "_keys")
+    # A generator, because conditions on the fields would otherwise be pushed below it and parse the note once for each mention.
+    return named.withColumn("fields", F.explode(F.array(F.map_from_entries(last)))).drop("_pairs", "_keys")
 
 
 def _text(fields: Column, key: str) -> Column:
