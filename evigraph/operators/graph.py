@@ -15,14 +15,17 @@ from evigraph.session import lookup
 
 
 def end_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations with label, kind and zone of both ends; relations with a missing end are dropped."""
+    """Relations with label, kind and zone of both ends; relations with a missing end are dropped.
+
+    Tasks hash their share of the nodes, so the many relations are neither sorted nor spilled.
+    """
     def side(prefix: str) -> DataFrame:
         return nodes.select(
             F.col("id").alias(f"_{prefix}_id"),
             F.col("label").alias(f"{prefix}_label"),
             F.col("node_type").alias(f"{prefix}_type"),
             F.col("zone").alias(f"{prefix}_zone"),
-        )
+        ).hint("shuffle_hash")
 
     first = lookup(edges, side("source"), "source", "_source_id")
     return lookup(first, side("target"), "target", "_target_id").drop("_source_id", "_target_id")
@@ -51,7 +54,7 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             F.sum(F.coalesce("strength", F.lit(0.5))).alias("weighted_degree"),
         )
     )
-    return nodes.join(sums, "id", "left").fillna({"degree": 0, "weighted_degree": 0.0})
+    return nodes.join(sums.hint("shuffle_hash"), "id", "left").fillna({"degree": 0, "weighted_degree": 0.0})
 
 
 def end_degrees(edges: DataFrame) -> DataFrame:
@@ -79,6 +82,15 @@ def connected_zones(ends: DataFrame) -> DataFrame:
     return crossing.groupBy("id", "other_zone").agg(F.sum("strength").alias("strength"))
 
 
+def zones_of_neighbours(ends: DataFrame) -> DataFrame:
+    """Distinct zones at the other ends of each node's relations (id, zone); input is `end_kinds`.
+
+    Repeats go in each task, before rows travel.
+    """
+    both = F.array(*[F.struct(F.col(a).alias("id"), F.col(f"{b}_zone").alias("zone")) for a, b in (("source", "target"), ("target", "source"))])
+    return ends.select(F.inline(both)).distinct()
+
+
 def linked_genres(ends: DataFrame) -> DataFrame:
     """Distinct genres a node is connected to."""
     def direction(near: str, far: str) -> DataFrame:

@@ -1,5 +1,13 @@
 """Plans whose cost must grow no faster than the input."""
 
+import unicodedata
+
+from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
+
+from evigraph.functions import text
+from evigraph.operators import evidence, graph, validate
+from evigraph.plans import views
 from evigraph.sources import readers
 
 
@@ -7,7 +15,6 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-
 def test_conditions_on_notes_do_not_parse_them_again(spark):
     notes = spark.createDataFrame([("a", "---\nid: x\nid: y\ntype: band\n---"), ("b", "---\ntype: band\n---"), ("c", "no head")], "path string, value string")
     found, warnings = readers.parse_notes(notes)
@@ -15,3 +22,30 @@ def test_conditions_on_notes_do_not_parse_them_again(spark):
     assert sorted(r.key for r in warnings.collect()) == ["b", "c"]
     for rows in (found, warnings):
         assert optimized(rows).count("regexp_extract(value") == 1
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_meet_their_nodes_without_a_sort_or_a_broadcast(spark, sf_dir):
+    """A broadcast that ends at some size makes the shuffled bytes jump, a sort of the relations spills beyond it."""
+    edges, nodes = views.relations(spark, sf_dir).select("id", "source", "target", "strength", "label", "context", "sources"), views.entities(spark, sf_dir).select("id", "label", "node_type", "zone")
+    for rows, joins in ((graph.end_kinds(edges, nodes), 2), (evidence.induced_edges(edges, nodes), 2), (graph.degrees(edges, nodes), 3)):
+        assert physical(rows).count("ShuffledHashJoin") >= joins  # Spark may push them below a union
+    assert physical(validate.audit_edges(edges.withColumn("type", F.lit("plays")), nodes)).count("ShuffledHashJoin") >= 2
+
+
+def test_packages_are_grouped_before_their_candidates_are_made(spark, sf_dir):
+    plan = optimized(views.packages(spark, sf_dir).select(F.explode("payload.music_candidates")))
+    grouped = plan[plan.index("Aggregate [l_orderkey"):]
+    assert "documented_relation" not in grouped and "Player" not in grouped
+    assert plan.count("Join ") == 1
+
+
+def test_folding_stays_in_arrow(spark):
+    words = ["Ärger", "ascii only", "ﬁn Å ё", None, "한국 ½"]
+    strip = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not 0x300 <= ord(c) <= 0x36F)
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", text._strip_marks("w").alias("t"))
+    assert {r.i: r.t for r in rows.collect()} == {i: None if w is None else strip(w) for i, w in enumerate(words)}
+    assert text._strip_marks.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
