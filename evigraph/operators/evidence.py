@@ -45,8 +45,8 @@ def of_mode(nodes: DataFrame, mode: str) -> DataFrame:
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations with both ends in the node set."""
-    ids = nodes.select(F.col("id").alias("_known"))
+    """Relations with both ends in the node set; tasks hash their share of the ids, the relations are not sorted."""
+    ids = nodes.select(F.col("id").alias("_known")).hint("shuffle_hash")
     first = edges.join(ids, F.col("source") == F.col("_known"), "left_semi")
     return first.join(ids, F.col("target") == F.col("_known"), "left_semi")
 
