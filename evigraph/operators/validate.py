@@ -55,7 +55,7 @@ def audit_nodes(nodes: DataFrame, blocked_terms: Sequence[str] = (), kinds: Sequ
 
 def audit_edges(edges: DataFrame, nodes: DataFrame, blocked_terms: Sequence[str] = (),
                 kinds: Sequence[str] = vocab.RELATION_TYPES) -> DataFrame:
-    ids = nodes.select(F.col("id").alias("_id")).distinct()
+    ids = nodes.select(F.col("id").alias("_id")).distinct().hint("shuffle_hash")
 
     def dangling(end: str) -> DataFrame:
         lost = edges.join(ids, F.col(end) == F.col("_id"), "left_anti")
