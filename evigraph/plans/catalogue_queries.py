@@ -1006,8 +1006,7 @@ def learned_terms(spark, d):
 def secondary_zones(spark, d):
     """Secondary zones from feedback, notes and linked nodes, the bridge score they give, and a start year that feedback states."""
     nodes = _nodes(spark, d)
-    zones = nodes.select(F.col("id").alias("_o"), F.col("zone").alias("_zone"))
-    ends = graph.endpoints(_edges(spark, d).select("source", "target")).join(zones, F.col("other") == F.col("_o")).groupBy("id").agg(F.array_sort(F.collect_set("_zone")).alias("linked_zones"))
+    ends = graph.zones_of_neighbours(graph.end_kinds(_edges(spark, d).select("source", "target"), nodes)).groupBy("id").agg(F.array_sort(F.collect_set("zone")).alias("linked_zones"))
     profile = nodes.join(ends.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").selectExpr(
         "id", "zone as graph_zone", "cast(null as string) as note_zone", "if(id like '%1', 'feedback', '') as feedback_zone", "length(id) % 3 as genres", "0 as degree", "0D as bridge_boost", "0D as hub_boost",
         "array_compact(array(era_start)) as years", "if(id like '%7', 1955, null) as known_start", "cast(null as int) as known_peak",
