@@ -49,3 +49,12 @@ def test_folding_stays_in_arrow(spark):
     rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", text._strip_marks("w").alias("t"))
     assert {r.i: r.t for r in rows.collect()} == {i: None if w is None else strip(w) for i, w in enumerate(words)}
     assert text._strip_marks.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_zones_of_neighbours_lose_repeats_before_they_travel(spark):
+    nodes = spark.createDataFrame([(i, i, "band", z) for i, z in (("a", "x"), ("b", "y"), ("c", "y"))], "id string, label string, node_type string, zone string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "b"), ("a", "gone")], "source string, target string")
+    zones = graph.zones_of_neighbours(graph.end_kinds(edges, nodes))
+    assert sorted(map(tuple, zones.collect())) == [("a", "y"), ("b", "x"), ("b", "y"), ("c", "x"), ("c", "y")]
+    plan = physical(zones)
+    assert plan.count("HashAggregate") - plan.count("ObjectHashAggregate") >= 2
