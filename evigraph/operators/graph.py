@@ -134,75 +134,106 @@ def overflow_distance(nodes: DataFrame, zones: DataFrame) -> DataFrame:
     return joined.withColumn("overflow", distance.cast("bigint")).drop("_zone", "_x", "_y", "_right", "_bottom")
 
 
+def _policy_anchors(nodes: DataFrame, policies: DataFrame) -> DataFrame:
+    """Distinct (id, policy) of nodes whose id or label is an anchor of the policy; policies are rules, few enough for every task."""
+    anchors = policies.select("policy", F.explode("anchors").alias("_anchor"))
+    anchors = anchors.select("policy", text.normalize_key("_anchor").alias("_anchor")).distinct()
+    keys = nodes.select("id", F.explode(F.array_distinct(F.array(text.normalize_key("id"), text.normalize_key("label")))).alias("_key"))
+    return keys.join(F.broadcast(anchors), F.col("_key") == F.col("_anchor")).select("id", "policy").distinct()
+
+
+def _policy_zones(policies: DataFrame) -> DataFrame:
+    """Distinct (policy, zone) of policies that take nodes by zones, too."""
+    return policies.where(~F.col("anchors_only")).select("policy", F.explode("zones").alias("_wanted")).distinct()
+
+
 def bridge_policy_matches(nodes: DataFrame, node_zones: DataFrame, policies: DataFrame) -> DataFrame:
     """Policies a node satisfies through an anchor or through two of their zones.
 
     `node_zones` (id, zone) holds a node's own and connected zones; `policies` has policy, zones, anchors,
     anchors_only. Both conditions are equi-joins on exploded keys.
     """
-    anchors = policies.select("policy", F.explode("anchors").alias("_anchor"))
-    anchors = anchors.select("policy", text.normalize_key("_anchor").alias("_anchor")).distinct()
-    keys = nodes.select("id", F.explode(F.array_distinct(F.array(text.normalize_key("id"), text.normalize_key("label")))).alias("_key"))
-    by_anchor = keys.join(anchors, F.col("_key") == F.col("_anchor")).select("id", "policy").distinct()
-
-    wanted = policies.where(~F.col("anchors_only")).select("policy", F.explode("zones").alias("_wanted")).distinct()
     by_zone = (
         node_zones.distinct()
-        .join(wanted, text.normalize_key("zone") == text.normalize_key("_wanted"))
+        .join(F.broadcast(_policy_zones(policies)), text.normalize_key("zone") == text.normalize_key("_wanted"))
         .groupBy("id", "policy")
         .agg(F.count(F.lit(1)).alias("_hits"))
         .where(F.col("_hits") >= 2)
         .select("id", "policy")
     )
-    marked = by_anchor.withColumn("anchor", F.lit(1)).unionByName(by_zone.withColumn("anchor", F.lit(0)))
+    marked = _policy_anchors(nodes, policies).withColumn("anchor", F.lit(1)).unionByName(by_zone.withColumn("anchor", F.lit(0)))
     return marked.groupBy("id", "policy").agg((F.max("anchor") == 1).alias("anchor"))
 
 
-def node_links(ends: DataFrame) -> DataFrame:
-    """Relations of each node by the zone of the other end and, for non-genres, the genre reached.
+def node_links(ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What each node touches: a row for its own zone (`own` 1), for each zone and, for non-genres, for each genre at the other end.
 
-    One pass over the relations with partial sums; a hub shrinks to its distinct (zone, genre) pairs. Input is
-    `end_kinds` of map connections.
+    (id, other_zone, genre_id, links, strength, own); genre rows have no zone and count no links. One pass over the relations
+    with partial sums, in which a hub shrinks to its distinct zones and genres. Input is `end_kinds` of map connections.
     """
-    def end(near: str, far: str) -> Column:
-        genre = F.when((F.col(f"{far}_type") == "genre") & (F.col(f"{near}_type") != "genre"), F.col(far))
-        return F.struct(
-            F.col(near).alias("id"), F.col(f"{near}_zone").alias("zone"), F.col(f"{far}_zone").alias("other_zone"),
-            genre.alias("genre_id"),
-        )
+    none, nothing = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+
+    def rows(near: str, far: str) -> list[Column]:
+        genre = (F.col(f"{far}_type") == "genre") & (F.col(f"{near}_type") != "genre")
+        reached = F.struct(F.col(near).alias("id"), none.alias("other_zone"), F.col(far).alias("genre_id"), nothing.alias("links"))
+        linked = F.struct(F.col(near).alias("id"), F.col(f"{far}_zone").alias("other_zone"), none.alias("genre_id"), F.lit(1).cast("bigint").alias("links"))
+        return [linked, F.when(genre, reached)]
+
+    each = F.array_compact(F.array(*rows("source", "target"), *rows("target", "source")))
+    both = ends.select(F.inline(each), F.coalesce("strength", F.lit(0.5)).alias("strength"), F.lit(0).alias("own"))  # a strength that no one reads does not travel
+    own = nodes.select("id", F.col("zone").alias("other_zone"), none.alias("genre_id"), nothing.alias("links"), F.lit(0.0).alias("strength"), F.lit(1).alias("own"))
+    return both.unionByName(own).groupBy("id", "other_zone", "genre_id").agg(
+        F.sum("links").alias("links"), F.sum(F.when(F.col("links") > 0, F.col("strength"))).alias("strength"), F.max("own").alias("own")
+    )
+
 
-    both = ends.select(
-        F.explode(F.array(end("source", "target"), end("target", "source"))).alias("_end"),
-        F.coalesce("strength", F.lit(0.5)).alias("strength"),
+def node_sums(nodes: DataFrame, links: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """degree, weighted_degree, zone_links, genre_links, policies and anchored of every node, in one pass over `node_links`.
+
+    The links travel once by id. Zones and genres are counted as rows, since they are distinct already, and the zones of
+    policies (as in `bridge_policy_matches`) are counted beside them, so that relations are not joined a second time for them.
+    """
+    none = F.lit(None).cast("string")
+    rows = links.withColumn("_genre", F.col("genre_id").isNotNull()).withColumn("_anchor", none).drop("genre_id")
+    if policies is not None:
+        anchored = _policy_anchors(nodes, policies).withColumnRenamed("policy", "_anchor")
+        rows = rows.unionByName(anchored.withColumn("own", F.lit(0)).withColumn("_genre", F.lit(False)), allowMissingColumns=True)
+    rows = rows.repartition("id")
+    is_zone = ~F.col("_genre") & F.col("_anchor").isNull()
+    wanting = F.array().cast("array<string>")
+    if policies is not None:
+        wanted = _policy_zones(policies).groupBy(text.normalize_key("_wanted").alias("_wanted")).agg(F.collect_list("policy").alias("_policies"))
+        rows = rows.join(F.broadcast(wanted), is_zone & (text.normalize_key("other_zone") == F.col("_wanted")), "left")
+        wanting = F.coalesce("_policies", wanting)
+    zero = F.lit(0)
+    crossing = F.coalesce((F.col("other_zone") != "") & (F.col("own") == 0) & is_zone, F.lit(False)).cast("int")
+
+    def part(policy: Column, *values: Column) -> Column:
+        return F.struct(policy.alias("policy"), *[v.alias(n) for v, n in zip(values, ("links", "zones", "genres", "hits", "anchor"), strict=True)])
+
+    first = part(
+        F.col("_anchor"), F.coalesce("links", zero.cast("bigint")), crossing, F.col("_genre").cast("int"), zero,
+        F.col("_anchor").isNotNull().cast("int"),
     )
-    return both.groupBy("_end.id", "_end.zone", "_end.other_zone", "_end.genre_id").agg(
-        F.count(F.lit(1)).alias("links"), F.sum("strength").alias("strength")
+    hits = F.transform(wanting, lambda p: part(p, zero.cast("bigint"), zero, zero, F.lit(1), zero))
+    parts = rows.select("id", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.inline(F.concat(F.array(first), hits)))
+    totals = [F.sum(name).alias(name) for name in ("links", "zones", "genres", "hits")]
+    by_policy = parts.groupBy("id", "policy").agg(*totals, F.sum(F.when(F.col("hits") == 0, F.col("strength"))).alias("strength"), F.max("anchor").alias("anchor"))
+    return by_policy.groupBy("id").agg(
+        F.sum("links").alias("degree"), F.sum("strength").alias("weighted_degree"), F.sum("zones").alias("zone_links"), F.sum("genres").alias("genre_links"),
+        F.count_if(F.col("policy").isNotNull() & ((F.col("hits") >= 2) | (F.col("anchor") == 1))).alias("policies"), F.max("anchor").alias("anchored"),
     )
 
 
-def node_profiles(
-    nodes: DataFrame, links: DataFrame, overlap_counts: DataFrame, policy_matches: DataFrame | None = None,
-    learned: DataFrame | None = None,
-) -> DataFrame:
+def node_profiles(nodes: DataFrame, sums: DataFrame, overlap_counts: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """Bridge and hub scores, importance and recommended actions of every node.
 
-    `links` comes from `node_links`; `overlap_counts` has id, overlap_count; `learned` may add bridge_score,
+    `sums` comes from `node_sums`; `overlap_counts` has id, overlap_count; `learned` may add bridge_score,
     hub_score and fact_count per id. Nodes need an `overflow` column.
     """
-    crossing = F.when((F.col("other_zone") != "") & (F.col("other_zone") != F.col("zone")), F.col("other_zone"))
-    sums = links.groupBy("id").agg(
-        F.sum("links").alias("degree"), F.sum("strength").alias("weighted_degree"),
-        F.count_distinct(crossing).alias("zone_links"), F.count_distinct("genre_id").alias("genre_links"),
-    )
     profile = nodes.join(sums, "id", "left").fillna({"degree": 0, "weighted_degree": 0.0})
+    profile = profile.withColumn("zone_links", F.when(F.col("zone").isNotNull(), F.col("zone_links")))  # without a zone nothing crosses
     profile = profile.join(overlap_counts, "id", "left")
-    if policy_matches is not None:
-        matched = policy_matches.groupBy("id").agg(
-            F.count(F.lit(1)).alias("policies"), F.max(F.col("anchor").cast("int")).alias("anchored")
-        )
-        profile = profile.join(matched, "id", "left")
-    else:
-        profile = profile.withColumn("policies", F.lit(0)).withColumn("anchored", F.lit(0))
     if learned is not None:
         renamed = learned.select(
             "id", F.col("bridge_score").alias("_bridge"), F.col("hub_score").alias("_hub"), "fact_count"

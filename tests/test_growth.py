@@ -7,7 +7,7 @@ from pyspark.util import PythonEvalType
 
 from evigraph.functions import text
 from evigraph.operators import evidence, graph, validate
-from evigraph.plans import views
+from evigraph.plans import graph_queries, views
 from evigraph.sources import readers
 
 
@@ -58,3 +58,29 @@ def test_zones_of_neighbours_lose_repeats_before_they_travel(spark):
     assert sorted(map(tuple, zones.collect())) == [("a", "y"), ("b", "x"), ("b", "y"), ("c", "x"), ("c", "y")]
     plan = physical(zones)
     assert plan.count("HashAggregate") - plan.count("ObjectHashAggregate") >= 2
+
+
+def test_profiles_read_the_relations_once(spark, sf_dir):
+    """Sums and policies of a node come from the same links; a second join of the relations doubled what was shuffled."""
+    plan = optimized(graph_queries.profiles(spark, sf_dir))
+    assert plan.count("inline(array(named_struct(id, concat(m-") == 1 and "Expand" not in plan
+    slim = optimized(graph_queries.profiles(spark, sf_dir).drop("weighted_degree"))
+    assert "round((l_discount" in plan and "round((l_discount" not in slim
+
+
+def test_sums_of_nodes(spark):
+    nodes = spark.createDataFrame(
+        [("a", "A", "band", "x"), ("b", "B", "band", "y"), ("c", "C", "artist", "y"), ("g", "G", "genre", "z"), ("n", "N", "band", None), ("e", "E", "band", ""), ("o", "O", "band", "x")],
+        "id string, label string, node_type string, zone string",
+    )
+    edges = spark.createDataFrame(
+        [("a", "b", 1.0), ("a", "c", None), ("a", "g", 0.25), ("n", "a", 2.0), ("e", "b", 1.0), ("a", "a", 1.0), ("a", "gone", 9.0), ("b", "g", 1.0)], "source string, target string, strength double"
+    )
+    policies = spark.createDataFrame(
+        [("p", ["x", "Y"], ["O"], False), ("q", ["x", "y"], ["a"], True), ("r", ["y", "z"], [], False)], "policy string, zones array<string>, anchors array<string>, anchors_only boolean"
+    )
+    sums = graph.node_sums(nodes, graph.node_links(graph.end_kinds(edges, nodes), nodes), policies)
+    names = ["id", "degree", "weighted_degree", "zone_links", "genre_links", "policies", "anchored"]
+    assert sorted(map(tuple, sums.select(names).collect())) == [
+        ("a", 6, 5.75, 2, 1, 3, 1), ("b", 3, 3.0, 2, 1, 2, 0), ("c", 1, 0.5, 1, 0, 1, 0), ("e", 1, 1.0, 1, 0, 0, 0), ("g", 2, 1.25, 2, 0, 2, 0), ("n", 1, 2.0, 1, 0, 0, 0), ("o", 0, 0.0, 0, 0, 1, 1),
+    ]
