@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from evigraph.functions import text
-from evigraph.operators import evidence, graph, validate
+from evigraph.operators import diffs, evidence, geography, graph, validate
 from evigraph.plans import graph_queries, views
 from evigraph.sources import readers
 
@@ -84,3 +84,13 @@ def test_sums_of_nodes(spark):
     assert sorted(map(tuple, sums.select(names).collect())) == [
         ("a", 6, 5.75, 2, 1, 3, 1), ("b", 3, 3.0, 2, 1, 2, 0), ("c", 1, 0.5, 1, 0, 1, 0), ("e", 1, 1.0, 1, 0, 0, 0), ("g", 2, 1.25, 2, 0, 2, 0), ("n", 1, 2.0, 1, 0, 0, 0), ("o", 0, 0.0, 0, 0, 1, 1),
     ]
+
+
+def test_placements_are_sorted_once(spark):
+    """Rows that pack well end up in few tasks, and each further sort holds them again."""
+    rows = spark.createDataFrame([("a", "r", "q"), ("a", "r", "p"), ("a", "s", "z"), ("gone", "r", "p")], "node_id string, role string, place_id string")
+    inferred = rows.union(spark.createDataFrame([("b", "r", "y")], rows.schema))
+    found = geography.precedence(rows.where("role = 'r'"), rows.limit(0), inferred, spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "r", "p"), ("a", "s", "z"), ("b", "r", "y")]
+    plan = physical(found)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
