@@ -94,3 +94,17 @@ def test_placements_are_sorted_once(spark):
     assert sorted(map(tuple, found.collect())) == [("a", "r", "p"), ("a", "s", "z"), ("b", "r", "y")]
     plan = physical(found)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_graph_gate_compares_by_numbers(spark):
+    """Joins of digests sorted every copy of the nodes several times in one task."""
+    nodes = spark.createDataFrame([("a", "artist", 0.0, 0.0, []), ("b", "band", 1.0, 1.0, [])], "id string, node_type string, x double, y double, sources array<struct<label:string,url:string,provider:string>>")
+    edges = spark.createDataFrame([], "id string, type string, source string, target string, sources array<struct<label:string,url:string,provider:string>>")
+    ledger = spark.createDataFrame([], "kind string, edge_id string")
+    moved = nodes.withColumn("x", F.col("x") + 1)
+    found = diffs.graph_gate((nodes.where("id = 'a'"), edges), (moved, edges), (nodes, edges), (nodes, edges), ledger)
+    assert sorted(map(tuple, found.collect())) == [("existing_node", "a"), ("new_node", "b"), ("published_node", "a"), ("published_node", "b")]
+    allowed = spark.createDataFrame([("a", True), ("b", False)], "id string, allowed boolean")
+    found = diffs.graph_gate((nodes, edges), (moved, edges), (moved, edges), (moved, edges), ledger, allowed)
+    assert sorted(map(tuple, found.collect())) == [("existing_node", "b")]
+    assert "sha2" not in optimized(found) and "FullOuter" not in optimized(found)
