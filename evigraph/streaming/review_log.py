@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ OUTPUT = (
 )
 EVENT = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
 TRIPLE = "status string, reason_code string, note string"
+PER_CALL = 1000  # rows in a message to the state
+NEVER = (None,) * 5
 
 
 def batch_events(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -45,10 +48,11 @@ def backfill_events(candidates: DataFrame, events: DataFrame) -> DataFrame:
 
 
 class ReviewLog(StatefulProcessor):
-    """Waiting rows of a candidate by (time, version), its last triple, and one timer at the earliest moment of work.
+    """Waiting rows of a candidate, its last triple, and one timer at the earliest moment of work.
 
     A row waits until the watermark has passed its time, when no earlier row can come any more; then rows are compared in
-    the order of (time, version), whatever batches brought them. A repeated delivery falls on the same key. The last triple is
+    the order of (time, version), whatever batches brought them. Of repeated deliveries of a (time, version) the latest counts. Rows go
+    into the state and out of it as one list, since each call to the state is a message to the executor. The last triple is
     forgotten when the watermark is `keep_ms` past it, so state ends; a candidate that comes back later starts anew.
     """
 
@@ -57,54 +61,53 @@ class ReviewLog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", f"{TRIPLE}, at_us bigint")
-        self.waiting = handle.getMapState("waiting", "at_us bigint, version string", TRIPLE)
-        self.timer = handle.getValueState("timer", "at_ms bigint")
-
-    def _wake(self, at_ms: int) -> None:
-        """Keep one timer, at the earlier of its time and `at_ms`."""
-        if self.timer.exists():
-            (known,) = self.timer.get()
-            if known <= at_ms:
-                return
-            self.handle.deleteTimer(known)
-        self.handle.registerTimer(at_ms)
-        self.timer.update((at_ms,))
+        self.seen = handle.getValueState("seen", f"{TRIPLE}, at_us bigint, timer_ms bigint")  # the last triple with its time, and the timer
+        self.waiting = handle.getListState("waiting", f"at_us bigint, version string, {TRIPLE}")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        earliest = None
-        for row in rows:
-            if key[0] is None:
-                continue
-            self.waiting.updateValue((row.happened_at_us, row.version), (row.status, row.reason_code, row.note))
-            earliest = row.happened_at_us if earliest is None else min(earliest, row.happened_at_us)
+        if key[0] is None:
+            return iter(())
+        rows, earliest = iter(rows), None
+        while some := [(r.happened_at_us, r.version, r.status, r.reason_code, r.note) for r in islice(rows, PER_CALL)]:
+            self.waiting.appendList(some)
+            first = min(r[0] for r in some)
+            earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
-            self._wake(earliest // 1000 + 1)
+            *last, timer = self.seen.get() or NEVER
+            if timer is None or earliest // 1000 + 1 < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self._wake(last, earliest // 1000 + 1)
         return iter(())
 
+    def _wake(self, last: Sequence, at_ms: int) -> None:
+        self.handle.registerTimer(at_ms)
+        self.seen.update((*last, at_ms))
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.timer.clear()
         mark = timerValues.getCurrentWatermarkInMs()
-        due, later = [], None
-        for (at_us, version), triple in self.waiting.iterator():
-            if at_us // 1000 < mark:
-                due.append((at_us, version, tuple(triple)))
-            else:
-                later = at_us if later is None else min(later, at_us)
-        last = tuple(self.last.get()) if self.last.exists() else None
+        rows = {(at_us, version): tuple(triple) for at_us, version, *triple in self.waiting.get()}
+        due = [(*at, triple) for at, triple in rows.items() if at[0] // 1000 < mark]
+        rest = [(*at, *triple) for at, triple in rows.items() if at[0] // 1000 >= mark]
+        later = min((r[0] for r in rest), default=None)
+        *last, _ = self.seen.get() or NEVER
+        last = None if last[3] is None else tuple(last)
         for at_us, version, triple in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
             first_final = last is None and triple[0] in vocab.FINAL_STATUSES
             if first_final or (last is not None and triple != last[:3]):
                 yield EVENT(key[0], version, last[0] if last else None, *triple, "review_change", at_us)
             last = (*triple, at_us)
-            self.waiting.removeKey((at_us, version))
-        if last is not None:
-            ends = last[3] // 1000 + self.keep_ms
-            if later is None and ends <= mark:
-                self.last.clear()
-            else:
-                self.last.update(last)
-                self._wake(ends if later is None else later // 1000 + 1)
+        if due:
+            self.waiting.clear()
+            for at in range(0, len(rest), PER_CALL):
+                self.waiting.appendList(rest[at : at + PER_CALL])
+        ends = None if last is None else last[3] // 1000 + self.keep_ms
+        if later is not None:
+            self._wake(last or NEVER[:-1], later // 1000 + 1)
+        elif ends is not None and ends > mark:
+            self._wake(last, ends)
+        else:
+            self.seen.clear()
 
     def close(self) -> None:
         pass

@@ -1,6 +1,7 @@
 """Plans whose cost must grow no faster than the input."""
 
 import unicodedata
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
@@ -9,6 +10,7 @@ from evigraph.functions import text
 from evigraph.operators import diffs, evidence, geography, graph, validate
 from evigraph.plans import graph_queries, views
 from evigraph.sources import readers
+from evigraph.streaming import review_log
 
 
 def optimized(df):
@@ -108,3 +110,40 @@ def test_graph_gate_compares_by_numbers(spark):
     found = diffs.graph_gate((nodes, edges), (moved, edges), (moved, edges), (moved, edges), ledger, allowed)
     assert sorted(map(tuple, found.collect())) == [("existing_node", "b")]
     assert "sha2" not in optimized(found) and "FullOuter" not in optimized(found)
+
+
+def test_a_candidate_costs_few_calls_to_the_state():
+    """Each call is a message between Python and the executor; a call or two for each row doubled the run."""
+    calls = []
+
+    class State:
+        value, rows = None, ()
+
+        def __getattribute__(self, name):
+            if name in ("get", "update", "clear", "appendList"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def update(self, value):
+            self.value = value
+
+        def appendList(self, rows):
+            self.rows = (*self.rows, *rows)
+
+        def clear(self):
+            self.value, self.rows = None, ()
+
+    seen, waiting = State(), State()
+    seen.get, waiting.get = lambda: seen.value, lambda: iter(waiting.rows)
+    handle = SimpleNamespace(getValueState=lambda *a: seen, getListState=lambda *a: waiting, registerTimer=lambda ms: calls.append(ms), deleteTimer=lambda ms: calls.append(ms))
+    log = review_log.ReviewLog(1000)
+    log.init(handle)
+    calls.clear()
+    row = lambda at, status: SimpleNamespace(happened_at_us=at * 1000, version=str(at), status=status, reason_code=None, note=None)
+    rows = [row(at, "approved" if at % 2 else "review") for at in range(500, 0, -1)] + [row(7, "rejected"), row(900, "approved")]
+    assert list(log.handleInputRows(("c",), iter(rows), None)) == []
+    out = list(log.handleExpiredTimer(("c",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 600), None))
+    assert [e.version for e in out] == [str(at) for at in range(1, 501)] and out[6].status == "rejected"
+    assert len(waiting.rows) == 1 and seen.value[-1] == 901 and len(calls) <= 10
+    out = list(log.handleExpiredTimer(("c",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5000), None))
+    assert [(e.version, e.previous_status) for e in out] == [("900", "review")] and seen.value is None and waiting.rows == ()
