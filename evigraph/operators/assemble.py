@@ -50,7 +50,7 @@ def assemble_nodes(
 def assemble_edges(parts: Sequence[DataFrame], nodes: DataFrame, blocked_terms: Sequence[str] = ()) -> DataFrame:
     """Relations of all sources between known nodes; the first per id and per (source, target, type, label) stays.
 
-    Of rows with one id the order is: source of the rows, key, strength, year (each ascending, missing first), digest of the row.
+    Of rows with one id the order is: source of the rows, key, strength, year (each ascending, missing first), hash of the row (64 bits).
     """
     terms = [term.lower().replace("_", " ").replace("-", " ").strip() for term in blocked_terms]
     union = _ranked_union(list(enumerate(parts)))
@@ -59,13 +59,15 @@ def assemble_edges(parts: Sequence[DataFrame], nodes: DataFrame, blocked_terms:
         for name in ("id", "source", "target", "label"):
             hit = hit | normalize_key(name).isin(*terms)
         union = union.where(~F.coalesce(hit, F.lit(False)))
-    keyed = induced_edges(union, nodes).withColumn(
+    # A number stands for the whole row in the order from the start, so that columns no one reads do not travel.
+    text = F.to_json(F.struct(*sorted(union.columns)), {"ignoreNullFields": "false"})
+    keyed = induced_edges(union.withColumn("_tie", F.xxhash64(text)), nodes).withColumn(
         "_key", edge_key(F.col("source"), F.col("target"), F.col("type"), F.col("label"))
     )
-    order = [F.asc("_priority"), F.asc("_key"), F.asc("strength"), F.asc("year"), _tie(keyed)]
+    order = [F.asc("_priority"), F.asc("_key"), F.asc("strength"), F.asc("year"), F.asc("_tie")]
     by_id = first_per_key(keyed, ["id"], order)
     by_key = first_per_key(by_id, ["_key"], [F.asc("_priority"), F.asc("id")])
-    return by_key.withColumn("strength", F.coalesce("strength", F.lit(0.5))).drop("_priority", "_key")
+    return by_key.withColumn("strength", F.coalesce("strength", F.lit(0.5))).drop("_priority", "_key", "_tie")
 
 
 def apply_overrides(nodes: DataFrame, overrides: DataFrame) -> DataFrame:

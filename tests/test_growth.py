@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from evigraph.functions import text
-from evigraph.operators import diffs, evidence, geography, graph, validate
+from evigraph.operators import assemble, diffs, evidence, geography, graph, validate
 from evigraph.plans import graph_queries, views
 from evigraph.sources import readers
 from evigraph.streaming import review_log
@@ -147,3 +147,14 @@ def test_a_candidate_costs_few_calls_to_the_state():
     assert len(waiting.rows) == 1 and seen.value[-1] == 901 and len(calls) <= 10
     out = list(log.handleExpiredTimer(("c",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5000), None))
     assert [(e.version, e.previous_status) for e in out] == [("900", "review")] and seen.value is None and waiting.rows == ()
+
+
+def test_assembled_edges_carry_a_number_for_the_row(spark):
+    """A digest as text, made after the joins, took every column through them and was half of the largest shuffle."""
+    kind = "id string, source string, target string, type string, label string, strength double, context array<string>, year int, sources array<string>"
+    rows = [("i", "a", "b", "t", "l", None, [str(k)], 1, []) for k in range(6)] + [("j", "a", "b", "t", "l", 0.7, ["x"], 2, []), ("k", "a", "gone", "t", "l", 0.7, ["x"], 2, [])]
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    found = {str(assemble.assemble_edges([spark.createDataFrame(some, kind).repartition(n)], nodes).collect()) for n, some in ((1, rows), (3, rows[::-1]))}
+    assert len(found) == 1 and "id='i'" in found.pop()
+    slim = optimized(assemble.assemble_edges([spark.createDataFrame(rows, kind)], nodes).select("id", "strength"))
+    assert "sha2" not in slim and "context" not in slim[: slim.index("xxhash64")]
