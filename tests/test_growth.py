@@ -1,5 +1,6 @@
 """Plans whose cost must grow no faster than the input."""
 
+import random
 import unicodedata
 from types import SimpleNamespace
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from evigraph.functions import text
-from evigraph.operators import assemble, diffs, evidence, geography, graph, validate
+from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, validate
 from evigraph.plans import graph_queries, views
 from evigraph.sources import readers
 from evigraph.streaming import review_log
@@ -158,3 +159,20 @@ def test_assembled_edges_carry_a_number_for_the_row(spark):
     assert len(found) == 1 and "id='i'" in found.pop()
     slim = optimized(assemble.assemble_edges([spark.createDataFrame(rows, kind)], nodes).select("id", "strength"))
     assert "sha2" not in slim and "context" not in slim[: slim.index("xxhash64")]
+
+
+def test_candidate_pairs_share_more_than_a_word(spark):
+    """Each shared prefix word made a pair, so large texts of one vocabulary met nearly all others, and both whole sets travelled for each pair."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(600)]
+    rows = [(k, " ".join(rng.sample(words, rng.randint(150, 260)))) for k in range(60)]
+    rows += [(100 + k, " ".join(text.split()[rng.randint(0, 12):])) for k, text in rows[:6]]
+    docs = spark.createDataFrame([(k, "en" if k % 7 else "de", text) for k, text in rows], "id int, lang string, text string")
+    left, right = docs.where("id % 2 = 0"), docs.where("id % 2 = 1 or id > 99")
+    sets = lambda df: {(r.lang, frozenset(r.text.split())) for r in df.collect()}
+    near = {(g, a, b) for g, a in sets(left) for h, b in sets(right) if g == h and len(a & b) / len(a | b) >= 0.64}
+    found = facts.similar_pairs(left, right, ["lang"]).collect()
+    assert {(r.lang, frozenset(r.left_set), frozenset(r.right_set)) for r in found} == near and len(found) == len(near) > 2
+    on = docs.select("lang", F.array_sort(facts.tokens("text")).alias("words"), F.expr("id % 2 = 0").alias("_l"), F.expr("id % 2 = 1 or id > 99").alias("_r"))
+    stored = on.select("*", F.monotonically_increasing_id().alias("_set"), *facts._marks()).localCheckpoint()
+    assert len(near) <= facts.candidate_pairs(stored, ["lang"]).count() < len(near) + 20
