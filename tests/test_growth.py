@@ -176,3 +176,17 @@ def test_candidate_pairs_share_more_than_a_word(spark):
     on = docs.select("lang", F.array_sort(facts.tokens("text")).alias("words"), F.expr("id % 2 = 0").alias("_l"), F.expr("id % 2 = 1 or id > 99").alias("_r"))
     stored = on.select("*", F.monotonically_increasing_id().alias("_set"), *facts._marks()).localCheckpoint()
     assert len(near) <= facts.candidate_pairs(stored, ["lang"]).count() < len(near) + 20
+
+
+def test_update_states_travel_as_hashes(spark):
+    """Keys, contexts and sources of both sides were shuffled as texts."""
+    link = lambda *urls: [("l", url, "other") for url in urls]
+    schema = "id string, source string, target string, context array<string>, sources array<struct<label:string,url:string,provider:string>>"
+    live = [("1", "a", "b", ["x"], link("u")), ("2", "a", "c", [], []), ("3", "a", "d", ["x"], link("u")), ("4", "a", "d", ["x"], link("u")), ("5", "a", None, ["x"], []), ("6", "e", "f", None, None), ("7", "g", "h", ["x", "y"], [])]
+    edges = [("a1", "a", "b", ["x"], link("u")), ("a2", "a", "b", ["x"], link("v")), ("a3", "a", "c", ["x"], []), ("a4", "a", "d", ["x"], link("u")), ("a5", "a", None, ["x"], []),
+             ("a6", "e", "f", None, None), ("a7", "e", "f", [], None), ("a8", "g", "h", ["x"], []), ("a9", "no", "no", [], []), ("a9", "a", "c", [], [])]
+    states = diffs.update_states(spark.createDataFrame(edges, schema), spark.createDataFrame(live, schema), ["source", "target"])
+    want = {"a1": "current", "a2": "conflict", "a3": "update", "a4": "conflict", "a5": "conflict", "a6": "current", "a7": "update", "a8": "conflict"}
+    assert sorted(map(tuple, states.collect())) == sorted([*want.items(), ("a9", "conflict"), ("a9", "current")])
+    deals = [line for line in physical(states).splitlines() if "hashpartitioning" in line]
+    assert deals and not any(f"{name}#" in line for line in deals for name in ("source", "target", "context", "sources"))
