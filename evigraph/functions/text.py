@@ -35,7 +35,7 @@ def normalize_key(value: Column | str) -> Column:
 
 @F.arrow_udf(StringType())
 def _strip_marks(values: pa.Array) -> pa.Array:
-    # Spark has no NFKD built-in; this is the one Python expression of the library. The batch stays in Arrow buffers, without a Python string a row.
+    # Spark has no NFKD built-in. The batch stays in Arrow buffers, without a Python string a row.
     return pc.replace_substring_regex(pc.utf8_normalize(values, form="NFKD"), "[\u0300-\u036f]+", "")
 
 

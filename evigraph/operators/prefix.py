@@ -7,11 +7,14 @@ recomputed, and the totals of the slices before are added.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from evigraph.session import cut_lineage
 
@@ -58,10 +61,49 @@ def prefix_sums(
     return shifted.select(*df.columns, *outputs)
 
 
-def positions(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "position", group: Sequence[str] = ()) -> DataFrame:
-    """1-based row number in `order`, which should end in a unique column: the place in the slice, shifted. No window sees the rows."""
-    shifted = _with_offsets(_in_order(df, order, group), group, {"_before": F.count(F.lit(1))})
-    return shifted.select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias(out))
+@F.arrow_udf(LongType())
+def _place_in_run(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """1 for the first of equal keys that follow each other in a partition, 2 for the second; a run goes on in the next batch."""
+    last, n = None, 0
+    for batch in keys:
+        if not len(batch):
+            yield pa.array([], pa.int64())
+            continue
+        key = batch.to_numpy(zero_copy_only=False)
+        at = np.arange(len(key))
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        places = at - np.maximum.accumulate(np.where(begins, at, 0)) + 1
+        if last is not None and key[0] == last:
+            first = begins[1:].argmax() + 1 if begins[1:].any() else len(key)
+            places[:first] += n
+        last, n = key[-1], int(places[-1])
+        yield pa.array(places, pa.int64())
+
+
+def positions(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "position", group: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """1-based row number in `order`, which should end in a unique column; no window sees the rows. `keep` names the columns of the result, all if None.
+
+    A row's place in the run of its group is counted while the sorted slice is stored. Only the group that a slice begins with can have rows in slices
+    before, so what is added is a row for each slice at most, and the stored rows do not travel again.
+    """
+    keep = df.columns if keep is None else list(keep)
+    if not group:
+        shifted = _with_offsets(_in_order(df, order, group), group, {"_before": F.count(F.lit(1))})
+        return shifted.select(*keep, (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias(out))
+    sort = [F.asc(name) for name in group] + [F.asc(name) if ascending else F.desc(name) for name, ascending in order]
+    ordered = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    key = F.xxhash64(*[part for name in group for part in (F.col(name).isNull(), F.col(name))])
+    kept = list(dict.fromkeys([*keep, *group]))
+    stored = cut_lineage(ordered.select(*kept, _place_in_run.asNondeterministic()(key).alias("_nth"), F.monotonically_increasing_id().alias("_at")))
+    stored = stored.withColumn("_slice", F.shiftright("_at", PLACE_BITS))
+    ends = stored.groupBy("_slice").agg(
+        F.min_by(F.struct(*group), "_at").alias("_first"), F.max_by(F.struct(*group), "_at").alias("_last"), F.max_by("_nth", "_at").alias("_n")
+    )
+    before = F.broadcast(ends.select(F.col("_slice").alias("_earlier"), F.col("_last").alias("_same"), "_n"))
+    runs = ends.select("_slice", "_first").join(before, F.col("_first").eqNullSafe(F.col("_same")) & (F.col("_earlier") < F.col("_slice")))
+    added = runs.groupBy(F.col("_slice").alias("_s"), F.col("_first").alias("_g")).agg(F.sum("_n").alias("_before"))
+    shifted = stored.join(F.broadcast(added), (F.col("_slice") == F.col("_s")) & F.struct(*group).eqNullSafe(F.col("_g")), "left")
+    return shifted.select(*keep, (F.col("_nth") + F.coalesce("_before", F.lit(0))).alias(out))
 
 
 def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], columns: Sequence[Column], out: str) -> DataFrame:

@@ -70,17 +70,14 @@ def note_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The relations of a node are numbered by slices, so a node with a third of all relations is not one task.
     """
     context = F.when(F.size("context") > 0, F.concat(F.lit(" ("), F.array_join("context", "; "), F.lit(")"))).otherwise("")
-    ends = end_kinds(edges.select("source", "target", "label", "context"), nodes)
+    ends = end_kinds(edges.select("source", "target", F.concat(F.lit("]] - "), "label", context).alias("_tail")), nodes)
 
     def seen(near: str, far: str) -> Column:
         return F.struct(F.col(near).alias("id"), F.col(f"{near}_type").alias("node_type"), F.col(far).alias("other"), F.col(f"{far}_label").alias("other_label"))
 
-    both = ends.select("label", "context", F.explode(F.array(seen("source", "target"), seen("target", "source"))).alias("_end")).select("label", "context", "_end.*")
-    related = both.select(
-        "id", "node_type", "other_label", F.concat(F.lit("- [["), "other", F.lit("|"), "other_label", F.lit("]] - "), "label", context).alias("line")
-    )
-    related = related.withColumn("_order", label_order("other_label"))
-    numbered = positions(related, [("_order", True), ("line", True)], "line_no", ["id"])
+    both = ends.select("_tail", F.explode(F.array(seen("source", "target"), seen("target", "source"))).alias("_end")).select("_tail", "_end.*")
+    related = both.select("id", "node_type", label_order("other_label").alias("_order"), F.concat(F.lit("- [["), "other", F.lit("|"), "other_label", "_tail").alias("line"))
+    numbered = positions(related, [("_order", True), ("line", True)], "line_no", ["id"], ["id", "node_type", "line"])
     body = numbered.select("id", "node_type", F.lit(2).alias("section"), "line_no", "line")
     summary = F.when(F.coalesce("summary", F.lit("")) == "", "No summary yet.").otherwise(F.col("summary"))
     head = nodes.select("id", "node_type", F.lit(1).alias("section"), F.posexplode(F.array(F.concat(F.lit("# "), "label"), F.lit("## Summary"), summary)).alias("_n", "line"))

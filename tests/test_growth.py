@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from evigraph.functions import text
-from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, validate
+from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, prefix, validate
 from evigraph.plans import graph_queries, views
 from evigraph.sources import readers
 from evigraph.streaming import review_log
@@ -190,3 +190,16 @@ def test_update_states_travel_as_hashes(spark):
     assert sorted(map(tuple, states.collect())) == sorted([*want.items(), ("a9", "conflict"), ("a9", "current")])
     deals = [line for line in physical(states).splitlines() if "hashpartitioning" in line]
     assert deals and not any(f"{name}#" in line for line in deals for name in ("source", "target", "context", "sources"))
+
+
+def test_numbered_rows_do_not_travel_again(spark):
+    """Rows that lay in order were shuffled a second time to meet the totals of the slices before."""
+    names = ["hot"] * 3000 + [None] * 40 + ["", "a", "a", "z"]
+    rows = spark.createDataFrame([(g, (k * 7919) % 5003, k) for k, g in enumerate(names)], "g string, v int, id int").repartition(5)
+    numbered = prefix.positions(rows, [("v", True), ("id", True)], "p", ["g"], ["g", "id"])
+    assert numbered.columns == ["g", "id", "p"] and "SortMergeJoin" not in physical(numbered)
+    want = {(g, i): p for g in set(names) for p, (_, i) in enumerate(sorted(((k * 7919) % 5003, k) for k, n in enumerate(names) if n == g), 1)}
+    got = numbered.collect()
+    assert len(got) == len(names) and {(r.g, r.id): r.p for r in got} == want
+    two = prefix.positions(rows.withColumn("h", F.expr("if(id % 2 = 0, g, null)")), [("id", True)], "p", ["g", "h"]).where("p = 1").count()
+    assert two == 7 and prefix.positions(rows.limit(0), [("v", True)], "p", ["g"]).collect() == []
