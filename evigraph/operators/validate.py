@@ -15,6 +15,7 @@ from evigraph.functions.refs import has_url
 from evigraph.functions.text import has_superlative, normalize_key
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.graph import first_per_key, top_per_group
+from evigraph.session import cut_lineage
 
 
 def _rule(rule: str, condition: Column, detail: Column | str = "") -> Column:
@@ -159,32 +160,60 @@ def fact_rules(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     ])
 
 
+MOST_BROADCAST = 100_000
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Rows that are exceptions, stored; broadcast to the many rows they are looked up for while they are few, else both are shuffled."""
+    stored = cut_lineage(rows)
+    return F.broadcast(stored) if stored.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else stored
+
+
 def constraint_rules(constraints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Near pairs need a sourced connection between the same nodes, apart pairs are bounded; no contradictions."""
-    ids = nodes.select(F.col("id").alias("_id")).distinct()
-    sourced = map_connections(edges).where(has_url(F.col("sources"))).select(
-        F.col("id").alias("_edge"), pair_key(F.col("source"), F.col("target")).alias("_edge_pair")
-    )
+    """Near pairs need a sourced connection between the same nodes, apart pairs are bounded; no contradictions.
+
+    Constraints travel to their evidence, as hashes and the rules that they break by themselves, and not to their nodes: what is looked up are the ends
+    that no node has. A constraint whose evidence is there several times counts as often.
+    """
+    def name(column: str) -> list[Column]:
+        return [F.xxhash64(column), F.when(F.col(column).isNotNull(), F.hash(column))]  # null meets nothing
+
+    ends = constraints.select(F.explode(F.array("source", "target")).alias("_end")).where(F.col("_end").isNotNull()).distinct()
+    lost = _listed(ends.join(nodes.select(F.col("id").alias("_id")).distinct(), F.col("_end") == F.col("_id"), "left_anti"))
+    connections = map_connections(edges).where(has_url(F.col("sources")) & F.col("id").isNotNull())
+    sourced = connections.select(*[part.alias(f"_e{k}") for k, part in enumerate(name("id"))], F.xxhash64(pair_key(F.col("source"), F.col("target"))).alias("_edge_pair"))
+    several = _listed(sourced.groupBy("_e0", "_e1").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
+
     marked = constraints.withColumn("pair", pair_key(F.col("source"), F.col("target")))
-    marked = marked.join(ids.withColumnRenamed("_id", "_s"), F.col("source") == F.col("_s"), "left")
-    marked = marked.join(ids.withColumnRenamed("_id", "_t"), F.col("target") == F.col("_t"), "left")
-    marked = marked.join(sourced, F.col("evidence_edge_id") == F.col("_edge"), "left")
     near, apart = F.col("kind") == "near", F.col("kind") == "apart"
-    near_bad = ~F.coalesce(F.col("max_distance").between(180, 1800), F.lit(False)) | ~F.coalesce(F.col("_edge_pair") == F.col("pair"), F.lit(False))
     apart_bad = (
         ~F.coalesce(F.col("display_only"), F.lit(False)) | ~F.coalesce(F.col("min_distance").between(120, 500), F.lit(False))
         | F.col("evidence_edge_id").isNotNull()
     )
-    known = F.col("_s").isNotNull() & F.col("_t").isNotNull() & (F.col("source") != F.col("target"))
-    found = violations(marked, F.col("id"), [
+    for end in ("source", "target"):
+        marked = marked.join(lost.withColumnRenamed("_end", f"_no_{end}"), F.col(end) == F.col(f"_no_{end}"), "left")
+    known = F.col("_no_source").isNull() & F.col("_no_target").isNull() & (F.col("source") != F.col("target"))
+    own = [
         _rule("ends", ~known),
         _rule("kind", ~(near | apart), F.col("kind")),
         _rule("reason", F.length(F.trim(F.coalesce("reason", F.lit("")))) < 20),
-        _rule("near_evidence", near & near_bad),
         _rule("apart_bounds", apart & apart_bad),
-    ])
-    pairs = marked.groupBy("pair").agg(
-        F.count_if(near).alias("_near"), F.count_if(apart).alias("_apart"),
+    ]
+    evidence = name("evidence_edge_id")
+    key = [F.xxhash64(F.coalesce("evidence_edge_id", "id")), evidence[1]]  # rows without evidence are dealt by their own ids
+    slim = marked.select(
+        "id", *[part.alias(f"_e{k}") for k, part in enumerate(key)], F.xxhash64("pair").alias("_pair"), near.alias("_near"),
+        F.coalesce(F.col("max_distance").between(180, 1800), F.lit(False)).alias("_within"), F.array_compact(F.array(*own)).alias("_own"),
+    )
+    joined = slim.join(sourced, ["_e0", "_e1"], "left")
+    near_bad = ~F.col("_within") | ~F.coalesce(F.col("_edge_pair") == F.col("_pair"), F.lit(False))
+    hits = F.concat("_own", F.array_compact(F.array(_rule("near_evidence", F.col("_near") & near_bad))))
+    found = joined.select(F.col("id").alias("key"), F.explode(hits).alias("_hit")).select("_hit.rule", "key", "_hit.detail")
+
+    counted = constraints.select("*", pair_key(F.col("source"), F.col("target")).alias("pair"), *[part.alias(f"_e{k}") for k, part in enumerate(evidence)])
+    times = F.coalesce("_times", F.lit(1))
+    pairs = counted.join(several, ["_e0", "_e1"], "left").groupBy("pair").agg(
+        F.sum(F.when(near, times).otherwise(0)).alias("_near"), F.sum(F.when(apart, times).otherwise(0)).alias("_apart"),
         F.min(F.when(near, F.col("max_distance"))).alias("_max"), F.max(F.when(apart, F.col("min_distance"))).alias("_min"),
     )
     clash = violations(pairs, F.col("pair"), [

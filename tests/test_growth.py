@@ -203,3 +203,28 @@ def test_numbered_rows_do_not_travel_again(spark):
     assert len(got) == len(names) and {(r.g, r.id): r.p for r in got} == want
     two = prefix.positions(rows.withColumn("h", F.expr("if(id % 2 = 0, g, null)")), [("id", True)], "p", ["g", "h"]).where("p = 1").count()
     assert two == 7 and prefix.positions(rows.limit(0), [("v", True)], "p", ["g"]).collect() == []
+
+
+def test_constraints_do_not_travel_to_their_nodes(spark):
+    """Whole constraints were dealt by source, by target and by evidence; those without evidence all met in one task."""
+    long = "close because they played together"
+    rows = [
+        ("n1", "near", "a", "b", 300.0, None, False, "e1", long), ("n2", "near", "a", "b", 5.0, None, False, "e1", long), ("n3", "near", "a", "c", 300.0, None, False, "e2", long),
+        ("n4", "near", "a", "gone", 300.0, None, False, "e3", long), ("n5", "near", "a", "a", 300.0, None, False, None, "short"), ("n6", "near", None, "b", 300.0, None, False, "no", None),
+        ("p1", "apart", "b", "c", None, 200.0, True, None, long), ("p2", "apart", "a", "c", None, 400.0, True, None, long), ("p3", "apart", "a", "c", None, 600.0, None, "e1", long),
+        ("k1", None, "a", "b", 300.0, None, False, "e1", long), ("k1", "far", "b", "c", 300.0, None, False, "twice", long), ("t1", "near", "c", "d", 300.0, None, False, "twice", long),
+    ]
+    constraints = spark.createDataFrame(rows, "id string, kind string, source string, target string, max_distance double, min_distance double, display_only boolean, evidence_edge_id string, reason string")
+    nodes = spark.createDataFrame([(n,) for n in ("a", "b", "c", "d", "d", None)], "id string")
+    link = [("l", "https://x.example.org/", "other")]
+    edges = [("e1", "b", "a", link), ("e2", "a", "d", link), ("e3", "a", "gone", []), ("twice", "c", "d", link), ("twice", "d", "b", link), (None, "a", "b", link)]
+    frame = spark.createDataFrame([(i, s, t, "member of", [], x) for i, s, t, x in edges], "id string, source string, target string, label string, context array<string>, sources array<struct<label:string,url:string,provider:string>>")
+    found = validate.constraint_rules(constraints, nodes, frame)
+    got = sorted((r.rule, r.key, r.detail) for r in found.collect())
+    assert got == sorted([
+        ("near_evidence", "n2", ""), ("near_evidence", "n3", ""), ("ends", "n4", ""), ("near_evidence", "n4", ""), ("ends", "n5", ""), ("reason", "n5", ""), ("near_evidence", "n5", ""),
+        ("ends", "n6", ""), ("reason", "n6", ""), ("near_evidence", "n6", ""), ("apart_bounds", "p3", ""), ("apart_bounds", "k1", ""), ("kind", "k1", ""), ("kind", "k1", "far"), ("kind", "k1", "far"),
+        ("near_evidence", "t1", ""), ("duplicate_id", "k1", "2"), ("pair_repeated", "a|b", ""), ("pair_repeated", "a|c", ""), ("pair_repeated", "c|d", ""), ("pair_conflict", "a|c", ""),
+    ])
+    deals = [line for line in physical(found).splitlines() if "hashpartitioning" in line]
+    assert not any(f"hashpartitioning({name}#" in line for line in deals for name in ("source", "target", "evidence_edge_id"))
