@@ -228,3 +228,33 @@ def test_constraints_do_not_travel_to_their_nodes(spark):
     ])
     deals = [line for line in physical(found).splitlines() if "hashpartitioning" in line]
     assert not any(f"hashpartitioning({name}#" in line for line in deals for name in ("source", "target", "evidence_edge_id"))
+
+
+def _aggregates(plan):
+    return plan.count("Aggregate [")
+
+
+def test_gates_compare_once(spark):
+    """Each rule of a batch made a comparison of its own, and new rows of a ledger were looked for twice."""
+    schema = "id string, type string, tier string, provider string"
+    rows = lambda *ids: spark.createDataFrame([(i, "member_of" if i and i > "c" else "plays", "source_linked", "p") for i in ids], schema)
+    before, after = rows("a", "b", "b", "c"), rows("a", "b", "c", "c", "d", "e", "e", None, "a0")
+    changed = after.withColumn("provider", F.expr("if(id = 'a', 'q', provider)"))
+    ledger = spark.createDataFrame([("d",), ("d",), ("a0",), ("z",)], "edge_id string")
+    gate = diffs.batch_gate(before, changed, ledger, 2)
+    got = sorted(((r.rule, r.key, r.detail) for r in gate.collect()), key=str)
+    assert got == sorted([
+        ("existing_changed", "a", ""), ("existing_changed", "b", ""), ("existing_changed", "c", ""), ("unreviewed_addition", "e", "member_of"), ("unreviewed_addition", None, None),
+        ("unreviewed_addition", "a0", "plays"), ("addition_count", "batch", "5"),
+    ], key=str)
+    assert _aggregates(optimized(gate.select("rule", "key"))) == 1  # the count of what is stored
+
+    part = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    lines = lambda *all_: spark.createDataFrame(list(all_), "id string, edge_id string, kind string")
+    old = {"nodes": part("n"), "edges": part("e"), "rows": lines(("r", "e", "typed_connection"))}
+    new = {"nodes": part("n", "m"), "edges": part("e", "f"), "rows": lines(("r", "e", "typed_connection"), ("s", "f", "typed_connection"), ("t", "g", "typed_connection"), ("t", "f", None), ("u", None, "typed_connection"))}
+    found = diffs.ledger_gate(old, new, (part("m"), part("f", "f")))
+    assert sorted((r.rule, r.key) for r in found.collect()) == sorted([
+        ("promotion_rows_repeated", "t"), ("promotion_rows_delta", "t"), ("promotion_rows_delta", "t"), ("promotion_rows_delta", "u"), ("promotion_count", "4 rows, 2 edges"),
+    ])
+    assert optimized(found).count("Join LeftAnti") == 0  # stored beforehand
