@@ -171,10 +171,14 @@ def test_candidate_pairs_share_more_than_a_word(spark):
     left, right = docs.where("id % 2 = 0"), docs.where("id % 2 = 1 or id > 99")
     sets = lambda df: {(r.lang, frozenset(r.text.split())) for r in df.collect()}
     near = {(g, a, b) for g, a in sets(left) for h, b in sets(right) if g == h and len(a & b) / len(a | b) >= 0.64}
-    found = facts.similar_pairs(left, right, ["lang"]).collect()
+    pairs = facts.similar_pairs(left, right, ["lang"])
+    assert physical(pairs).count("LeftSemi, BuildRight") == 2  # sets that are in no pair stay where they are
+    found = pairs.collect()
     assert {(r.lang, frozenset(r.left_set), frozenset(r.right_set)) for r in found} == near and len(found) == len(near) > 2
     on = docs.select("lang", F.array_sort(facts.tokens("text")).alias("words"), F.expr("id % 2 = 0").alias("_l"), F.expr("id % 2 = 1 or id > 99").alias("_r"))
     stored = on.select("*", F.monotonically_increasing_id().alias("_set"), *facts._marks()).localCheckpoint()
+    short = docs.select(F.slice(facts.tokens("text"), 1, facts.SMALL).alias("words")).select(*facts._marks()).distinct()
+    assert [tuple(r) for r in short.collect()] == [(None,) * facts.MARKS]
     assert len(near) <= facts.candidate_pairs(stored, ["lang"]).count() < len(near) + 20
 
 
