@@ -61,7 +61,7 @@ def assemble_edges(parts: Sequence[DataFrame], nodes: DataFrame, blocked_terms:
         union = union.where(~F.coalesce(hit, F.lit(False)))
     # A number stands for the whole row in the order from the start, so that columns no one reads do not travel.
     text = F.to_json(F.struct(*sorted(union.columns)), {"ignoreNullFields": "false"})
-    keyed = induced_edges(union.withColumn("_tie", F.xxhash64(text)), nodes).withColumn(
+    keyed = induced_edges(union.withColumn("_tie", F.xxhash64(text)), nodes, mostly_known=True).withColumn(
         "_key", edge_key(F.col("source"), F.col("target"), F.col("type"), F.col("label"))
     )
     order = [F.asc("_priority"), F.asc("_key"), F.asc("strength"), F.asc("year"), F.asc("_tie")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph import vocab
 from evigraph.functions import refs, text
+from evigraph.session import listed
 
 
 def evidence_tier(label: Column, context: Column, sources: Column) -> Column:
@@ -44,8 +45,16 @@ def of_mode(nodes: DataFrame, mode: str) -> DataFrame:
     return nodes.where(F.col("node_type").isin(*vocab.MODE_KINDS[mode]))
 
 
-def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations with both ends in the node set; tasks hash their share of the ids, the relations are not sorted."""
+def induced_edges(edges: DataFrame, nodes: DataFrame, mostly_known: bool = False) -> DataFrame:
+    """Relations with both ends in the node set; tasks hash their share of the ids, the relations are not sorted.
+
+    Where relations are wide and most ends are nodes (`mostly_known`), the ends that are none are listed first, and the relations are not dealt by their ends.
+    """
+    if mostly_known:
+        ends = edges.select(F.explode(F.array("source", "target")).alias("_end")).where(F.col("_end").isNotNull()).distinct()
+        lost = listed(ends.join(nodes.select(F.col("id").alias("_known")), F.col("_end") == F.col("_known"), "left_anti"))
+        whole = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull())
+        return whole.join(lost, F.col("source") == F.col("_end"), "left_anti").join(lost, F.col("target") == F.col("_end"), "left_anti")
     ids = nodes.select(F.col("id").alias("_known")).hint("shuffle_hash")
     first = edges.join(ids, F.col("source") == F.col("_known"), "left_semi")
     return first.join(ids, F.col("target") == F.col("_known"), "left_semi")

@@ -15,7 +15,7 @@ from evigraph.functions.refs import has_url
 from evigraph.functions.text import has_superlative, normalize_key
 from evigraph.operators.evidence import map_connections
 from evigraph.operators.graph import first_per_key, top_per_group
-from evigraph.session import cut_lineage
+from evigraph.session import listed
 
 
 def _rule(rule: str, condition: Column, detail: Column | str = "") -> Column:
@@ -160,15 +160,6 @@ def fact_rules(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     ])
 
 
-MOST_BROADCAST = 100_000
-
-
-def _listed(rows: DataFrame) -> DataFrame:
-    """Rows that are exceptions, stored; broadcast to the many rows they are looked up for while they are few, else both are shuffled."""
-    stored = cut_lineage(rows)
-    return F.broadcast(stored) if stored.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else stored
-
-
 def constraint_rules(constraints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Near pairs need a sourced connection between the same nodes, apart pairs are bounded; no contradictions.
 
@@ -179,10 +170,10 @@ def constraint_rules(constraints: DataFrame, nodes: DataFrame, edges: DataFrame)
         return [F.xxhash64(column), F.when(F.col(column).isNotNull(), F.hash(column))]  # null meets nothing
 
     ends = constraints.select(F.explode(F.array("source", "target")).alias("_end")).where(F.col("_end").isNotNull()).distinct()
-    lost = _listed(ends.join(nodes.select(F.col("id").alias("_id")).distinct(), F.col("_end") == F.col("_id"), "left_anti"))
+    lost = listed(ends.join(nodes.select(F.col("id").alias("_id")).distinct(), F.col("_end") == F.col("_id"), "left_anti"))
     connections = map_connections(edges).where(has_url(F.col("sources")) & F.col("id").isNotNull())
     sourced = connections.select(*[part.alias(f"_e{k}") for k, part in enumerate(name("id"))], F.xxhash64(pair_key(F.col("source"), F.col("target"))).alias("_edge_pair"))
-    several = _listed(sourced.groupBy("_e0", "_e1").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
+    several = listed(sourced.groupBy("_e0", "_e1").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
 
     marked = constraints.withColumn("pair", pair_key(F.col("source"), F.col("target")))
     near, apart = F.col("kind") == "near", F.col("kind") == "apart"

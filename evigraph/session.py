@@ -40,6 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+MOST_BROADCAST = 1_000_000
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Short rows that are exceptions, stored; broadcast to the many rows they are looked up for while they are few, else both are shuffled."""
+    stored = cut_lineage(rows)
+    return F.broadcast(stored) if stored.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else stored
+
+
 def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner") -> DataFrame:
     """Join many rows to a table that is unique in `dim_key`; the columns of both sides must not clash.
 

@@ -262,3 +262,15 @@ def test_gates_compare_once(spark):
         ("promotion_rows_repeated", "t"), ("promotion_rows_delta", "t"), ("promotion_rows_delta", "t"), ("promotion_rows_delta", "u"), ("promotion_count", "4 rows, 2 edges"),
     ])
     assert optimized(found).count("Join LeftAnti") == 0  # stored beforehand
+
+
+def test_assembled_relations_are_not_dealt_by_their_ends(spark):
+    rows = [("1", "a", "b"), ("2", "a", "gone"), ("3", "gone", "b"), ("4", None, "b"), ("5", "b", None), ("6", "b", "a"), ("6", "b", "a"), (None, "a", "a")]
+    edges = spark.createDataFrame([(i, s, t, "t", f"l{k}", 0.5, 1) for k, (i, s, t) in enumerate(rows)], "id string, source string, target string, type string, label string, strength double, year int")
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    kept = evidence.induced_edges(edges, nodes, mostly_known=True)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, evidence.induced_edges(edges, nodes).collect())) and kept.count() == 4
+    assert evidence.induced_edges(edges, nodes.limit(0), mostly_known=True).collect() == []
+    found = assemble.assemble_edges([edges], nodes)
+    assert sorted((r.id or "", r.source, r.target) for r in found.collect()) == [("", "a", "a"), ("1", "a", "b"), ("6", "b", "a")]
+    assert not any(f"hashpartitioning({end}#" in physical(found) for end in ("source", "target"))
