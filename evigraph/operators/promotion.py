@@ -77,7 +77,8 @@ def seed_nodes(packages: DataFrame, nodes: DataFrame, blocked_terms: tuple[str,
     )
     title, kind = F.col("title"), F.col("kind")
     fits = _filled(title) & kind.isin(*vocab.NODE_KINDS) & ~has_blocked_term(title, blocked_terms) & scope_reason(title, kind, F.lit(""), promotion=True).isNull()
-    rows = resolve_titles(rows.where(F.coalesce(fits, F.lit(False)) & (F.size("sources") > 0)), title_index(nodes)).where(~F.col("known"))
+    rows = cut_lineage(rows.where(F.coalesce(fits, F.lit(False)) & (F.size("sources") > 0)))  # judged once; read for its titles and for itself
+    rows = resolve_titles(rows, title_index(nodes)).where(~F.col("known"))
     used = nodes.where(_filled(F.col("zone"))).select(F.col("zone").alias("_used")).distinct()
     rows = lookup(rows, used, "_wish", "_used", "left")
     wished = F.when(F.col("_wish").isin(*vocab.LAYOUT_ZONES) | F.col("_used").isNotNull(), F.col("_wish"))
@@ -107,12 +108,14 @@ def promoted_nodes(
     spread = seeded.select("row_order", "_seed", "_seed_zone", "seed_id", F.posexplode(p["music_candidates"]).alias("_pos", "_c")).withColumn("pos", F.col("_pos").cast("bigint"))
     judged = spread.withColumn("title", F.trim(F.coalesce(F.col("_c.title"), F.lit("")))).withColumn("_why", rejection_reason(F.col("_c"), blocked_terms))
     refused = judged.where("_why is not null").select("row_order", "title", F.col("_why").alias("reason"))
-    good = judged.where("_why is null").where(~same_loose_title("_seed", "title"))
-    kind = F.trim(F.col("_c.kind"))
-    fresh = resolve_titles(good.withColumn("kind", kind), index).where(~F.col("known"))
+    good = judged.where("_why is null").where(~same_loose_title("_seed", "title")).select(
+        "row_order", "pos", "title", "_seed", "_seed_zone", F.trim(F.col("_c.kind")).alias("kind"), F.col("_c.source").alias("_source"), F.col("_c.musicbrainz.id").alias("_artist")
+    )
+    good = cut_lineage(good)  # candidates are judged once; read for their titles and for themselves
+    fresh = resolve_titles(good, index).where(~F.col("known"))
     fresh = fresh.withColumn("zone", zone_of_title(F.col("title"), F.col("kind"), F.col("_seed_zone"))).where(F.col("zone").isNotNull())
-    artist = F.col("_c.musicbrainz.id")
-    related = (F.col("_c.source") == "musicbrainz_relation") & _filled(artist)
+    artist = F.col("_artist")
+    related = (F.col("_source") == "musicbrainz_relation") & _filled(artist)
     noun = F.lower(_kind_label(F.col("kind")))
     tail = F.when(related, " with a documented MusicBrainz band-membership connection to ").otherwise(" found while researching Wikipedia signals around ")
     seed = F.coalesce(F.nullif("_seed", F.lit("")), F.lit("an approved seed"))

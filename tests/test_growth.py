@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from evigraph.functions import text
-from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, prefix, validate
-from evigraph.plans import graph_queries, views
+from evigraph.operators import assemble, diffs, evidence, facts, geography, graph, prefix, promotion, validate
+from evigraph.plans import graph_queries, promotion_queries, views
 from evigraph.sources import readers
 from evigraph.streaming import review_log
 
@@ -274,3 +274,9 @@ def test_assembled_relations_are_not_dealt_by_their_ends(spark):
     found = assemble.assemble_edges([edges], nodes)
     assert sorted((r.id or "", r.source, r.target) for r in found.collect()) == [("", "a", "a"), ("1", "a", "b"), ("6", "b", "a")]
     assert not any(f"hashpartitioning({end}#" in physical(found) for end in ("source", "target"))
+
+
+def test_candidates_are_judged_once(spark, sf_dir):
+    """The titles of the candidates and the candidates themselves were made from the packages twice, and so were the seeds."""
+    made, _ = promotion.promoted_nodes(promotion_queries._packages(spark, sf_dir), views.entities(spark, sf_dir), ("blocked act",), max_new=900, per_seed=1)
+    assert "music_candidates" not in optimized(made) and made.count() > 0
