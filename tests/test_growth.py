@@ -161,7 +161,7 @@ def test_assembled_edges_carry_a_number_for_the_row(spark):
     assert "sha2" not in slim and "context" not in slim[: slim.index("xxhash64")]
 
 
-def test_candidate_pairs_share_more_than_a_word(spark):
+def test_candidate_pairs_share_more_than_a_word(spark, monkeypatch):
     """Each shared prefix word made a pair, so large texts of one vocabulary met nearly all others, and both whole sets travelled for each pair."""
     rng = random.Random(3)
     words = [f"w{k}" for k in range(600)]
@@ -171,6 +171,8 @@ def test_candidate_pairs_share_more_than_a_word(spark):
     left, right = docs.where("id % 2 = 0"), docs.where("id % 2 = 1 or id > 99")
     sets = lambda df: {(r.lang, frozenset(r.text.split())) for r in df.collect()}
     near = {(g, a, b) for g, a in sets(left) for h, b in sets(right) if g == h and len(a & b) / len(a | b) >= 0.64}
+    assert len(facts.similar_pairs(left, right, ["lang"]).collect()) == len(near)
+    monkeypatch.setattr(facts, "MANY_SETS", 10)
     pairs = facts.similar_pairs(left, right, ["lang"])
     assert physical(pairs).count("LeftSemi, BuildRight") == 2  # sets that are in no pair stay where they are
     found = pairs.collect()
